@@ -117,3 +117,8 @@ def rendered(rows: DataFrame, column: str = "issue") -> DataFrame:
         "confidence", "source",
         F.col(f"{column}.fix").alias("autofix_allowed"),
     )
+
+
+def rule_of(code: Column) -> Column:
+    """Rule id of an issue code, from the catalogue as a literal array."""
+    return F.element_at(F.array(*[F.lit(entry[1]) for entry in ISSUES.values()]), code + 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed import words as W
 from ..functions import rx
+from ..session import spread
 from .rules.logic import paragraphs
 
 HEADING_TYPES = "heading"
@@ -59,7 +60,7 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
             i.alias("i"), p.alias("text"),
             F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda acc, x: acc + F.length(x) + 1).alias("start")))
 
-    rows = docs.where(rx.strip(F.col("text")) != "").select(
+    rows = spread(docs).where(rx.strip(F.col("text")) != "").select(
         "doc_id", F.explode_outer(rx.let(sentence_array(F.col("text")), placed)).alias("s"))
     return rows.where("s.text <> ''").select(
         "doc_id", F.col("s.i").alias("sentence"), "s.text", F.col("s.start").alias("start_char"),
@@ -239,7 +240,7 @@ def boundary_chunks(docs: DataFrame, size: int = 8000, overlap: int = 500) -> Da
                 for i, (a, b) in enumerate(split_at_boundaries(text, size, overlap))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk", "section", "start_char", "end_char", "chunk_text"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, CHUNK_SCHEMA)
+    return spread(docs.select("doc_id", "text")).mapInPandas(cut, CHUNK_SCHEMA)
 
 
 def section_spans(text: str) -> list[tuple[int, int, str]]:
@@ -268,7 +269,7 @@ def section_chunks(docs: DataFrame, size: int = 4000, overlap: int = 100) -> Dat
                         n += 1
             yield pd.DataFrame(rows, columns=["doc_id", "chunk", "section", "start_char", "end_char", "chunk_text"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, CHUNK_SCHEMA)
+    return spread(docs.select("doc_id", "text")).mapInPandas(cut, CHUNK_SCHEMA)
 
 
 def token_budget(docs: DataFrame, max_tokens: int, from_start: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed import fixes as X
 from ..functions import rx
+from ..session import spread
 from .score import gain
 
 SUGGESTION = ("struct<id:string,issue_id:string,rule_id:string,severity:string,category:string,original:string,"
@@ -344,7 +345,7 @@ def diffs(pairs: DataFrame, unit: str = "line") -> DataFrame:
             out = pd.DataFrame(rows, columns=[f.split()[0] for f in DIFF_SCHEMA.split(", ")])
             yield out.astype({"old_line": "Int32", "new_line": "Int32"})
 
-    return pairs.select("doc_id", "text", "fixed_text").mapInPandas(compare, DIFF_SCHEMA)
+    return spread(pairs.select("doc_id", "text", "fixed_text")).mapInPandas(compare, DIFF_SCHEMA)
 
 
 def diff_statistics(rows: DataFrame) -> DataFrame:
@@ -370,7 +371,7 @@ def unified_diffs(pairs: DataFrame, context: int = 3) -> DataFrame:
                 rows.append((d, "".join(out), plus + minus, plus, minus))
             yield pd.DataFrame(rows, columns=["doc_id", "unified", "changes", "additions", "deletions"])
 
-    return pairs.select("doc_id", "text", "fixed_text").mapInPandas(
+    return spread(pairs.select("doc_id", "text", "fixed_text")).mapInPandas(
         compare, "doc_id bigint, unified string, changes int, additions int, deletions int")
 
 

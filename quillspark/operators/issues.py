@@ -114,14 +114,14 @@ def document_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     made = parsed.select(
         "doc_id", figures.alias("figures"), entries.alias("entries"), F.array_distinct(mentioned).alias("mentioned"),
         F.array_distinct(cited).alias("cited"))
-    nodes = made.select("doc_id", F.explode(F.concat(
+    nodes = made.select("doc_id", F.explode_outer(F.concat(
         F.transform("figures", lambda n: F.struct(n.alias("node_id"), F.lit("figure").alias("kind"))),
         F.transform("entries", lambda n: F.struct(n.alias("node_id"), F.lit("reference").alias("kind"))))).alias("x")
-    ).select("doc_id", "x.*")
-    edges = made.select("doc_id", F.explode(F.concat(
+    ).where("x IS NOT NULL").select("doc_id", "x.*")
+    edges = made.select("doc_id", F.explode_outer(F.concat(
         F.transform("mentioned", lambda n: F.struct(
             F.lit("body").alias("src"), n.alias("dst"), F.lit("mentions").alias("relation"))),
         F.transform("cited", lambda n: F.struct(
             F.lit("body").alias("src"), n.alias("dst"), F.lit("cites").alias("relation"))))).alias("x")
-    ).select("doc_id", "x.*")
+    ).where("x IS NOT NULL").select("doc_id", "x.*")
     return nodes, edges

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed import words as W
 from ..functions import rx
+from ..session import spread
 
 CAPTION_WORDS = ["figure", "fig", "table", "tabl", "equation", "eq"]
 EMPTY_BLOCKS = (
@@ -106,7 +107,7 @@ def parse(docs: DataFrame, text: str = "text") -> DataFrame:
     ``tokens`` holds the lower-case words of every line and ``vocabulary`` the distinct ones of the
     document: most rules look there first and run their regexes only where a needed word occurs.
     """
-    out = docs.withColumn("text", normalized(F.col(text)))
+    out = spread(docs).withColumn("text", normalized(F.col(text)))
     out = out.withColumns({"lines": F.split("text", "\n", -1), "text_lower": F.lower("text")})
     out = out.withColumns({
         "n_lines": F.size("lines"),

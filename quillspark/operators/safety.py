@@ -19,9 +19,11 @@ def found_values(text: Column, pattern: str, limit: int | None = 5) -> Column:
 
 def pii_rows(docs: DataFrame, limit: int | None = 5) -> DataFrame:
     """One row per document, kind and value. A cheap digit / @ test spares plain texts the regexes."""
-    kinds = F.flatten(F.array(*[
-        F.transform(found_values(F.col("text"), p, limit), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value")))
-        for k, p in X.PII]))
+    def named(kind: str, pattern: str) -> Column:
+        return F.transform(found_values(F.col("text"), pattern, limit),
+                           lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    kinds = F.concat(*[named(k, p) for k, p in X.PII])
     rows = docs.where(F.col("text").rlike(r"[0-9@]|[A-Za-z]{32}")).select("doc_id", F.explode_outer(kinds).alias("x"))
     return rows.where("x IS NOT NULL").select("doc_id", "x.*")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed import profiles as P
+from ..functions.findings import rendered, rule_of
 
 
 def deduction(severity: Column, mode: str = "standard") -> Column:
@@ -81,9 +82,9 @@ def score_issue_table(reviews: DataFrame, issues: DataFrame, mode: str = "standa
 def insights(scored_rows: DataFrame) -> DataFrame:
     """One row per insight, from the scored row."""
     cat, points = F.col("category"), F.col("points")
-    per_category = scored_rows.select("doc_id", "issues", F.explode("category_scores").alias("category", "points"))
-    related = F.slice(
-        F.transform(F.filter("issues", lambda i: i["category"] == F.col("category")), lambda i: i["rule_id"]), 1, 5)
+    per_category = scored_rows.select("doc_id", "issues", F.explode_outer("category_scores").alias("category", "points"))
+    related = F.slice(F.transform(
+        F.filter("issues", lambda i: i["category"] == F.col("category")), lambda i: rule_of(i["code"])), 1, 5)
     kinds = per_category.where((points >= 80) | (points < 60)).select(
         "doc_id",
         F.when(points >= 80, F.lit("strength")).otherwise(F.lit("weakness")).alias("type"),
@@ -114,9 +115,11 @@ def recommendations(scored_rows: DataFrame, top: int | None = None) -> DataFrame
     keyed = F.array_sort(F.transform("issues", lambda i, n: F.struct(
         severity_rank(i["severity"]).alias("rank"), n.alias("seq"), i.alias("i"))))
     ranked = keyed if top is None else F.slice(keyed, 1, top)
-    return scored_rows.select("doc_id", F.posexplode(ranked).alias("pos", "r")).select(
-        "doc_id", (F.col("pos") + 1).alias("priority"), "r.i.rule_id", "r.i.category", "r.i.severity", "r.i.message",
-        F.col("r.i.autofix_allowed").alias("auto_fixable"), gain(F.col("r.i.severity")).alias("estimated_gain"))
+    rows = scored_rows.select("doc_id", F.posexplode_outer(ranked).alias("pos", "r")).where("r IS NOT NULL").select(
+        "doc_id", (F.col("pos") + 1).alias("priority"), F.col("r.i").alias("issue"))
+    return rendered(rows).select(
+        "doc_id", "priority", "rule_id", "category", "severity", "message", "recommendation",
+        F.col("autofix_allowed").alias("auto_fixable"), gain(F.col("severity")).alias("estimated_gain"))
 
 
 def issue_summary(issues: DataFrame, *keys: str) -> DataFrame:

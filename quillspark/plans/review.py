@@ -20,6 +20,20 @@ def settings(overrides: dict | None = None) -> dict:
     return {**DEFAULT_CONFIG, **(overrides or {})}
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def rule_column(parsed: DataFrame, rule_id: str, cfg: dict, shadowed: bool = False) -> Column:
+    """The rule's issue array. Columns are unresolved expressions over fixed column names, so one that was
+    built once serves every frame with the same optional columns."""
+    fn = (SHADOWED if shadowed else REGISTRY)[rule_id]
+    optional = tuple(c in parsed.columns for c in ("blocks", "profile_id", "required_sections", "permissions"))
+    key = (parsed.sparkSession.sparkContext.applicationId, fn, optional, tuple(sorted(cfg.items(), key=str)))
+    if key not in _BUILT:
+        _BUILT[key] = fn(Doc.of(parsed), cfg).cast(ISSUE_ARRAY)
+    return _BUILT[key]
+
+
 def exploded(rows: DataFrame, *keep: str) -> DataFrame:
     """One row per issue struct.
 
@@ -32,8 +46,7 @@ def exploded(rows: DataFrame, *keep: str) -> DataFrame:
 def rule_issues(parsed: DataFrame, rule_id: str, overrides: dict | None = None, shadowed: bool = False,
                 keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Issues of one rule over parsed documents."""
-    fn = (SHADOWED if shadowed else REGISTRY)[rule_id]
-    found = fn(Doc.of(parsed), settings(overrides)).cast(ISSUE_ARRAY)
+    found = rule_column(parsed, rule_id, settings(overrides), shadowed)
     return rendered(exploded(parsed.select(*keep, found.alias("issues")), *keep).drop("seq"))
 
 
@@ -43,14 +56,14 @@ def all_issues(parsed: DataFrame, packs: list[str] = (), overrides: dict | None
 
     ``categories`` names the column with the categories in force; None runs every rule.
     """
-    doc, cfg = Doc.of(parsed), settings(overrides)
+    cfg = settings(overrides)
     ids = C.selected_rules(in_order(rule_ids), list(packs), disabled)
     gate = None
     if categories is not None:
         gate = C.enabled_categories(F.col(categories), formatting_alias=formatting_alias)
     arrays = []
     for rule_id in ids:
-        found = REGISTRY[rule_id](doc, cfg).cast(ISSUE_ARRAY)
+        found = rule_column(parsed, rule_id, cfg)
         if gate is not None:
             found = F.when(C.gate_open(gate, META[rule_id][0]), found).otherwise(none())
         arrays.append(found)

@@ -212,13 +212,13 @@ def without_deleted(sessions: DataFrame, issues: DataFrame, deleted: DataFrame)
     return kept, issues.join(gone, "session_id", "left_anti")
 
 
-def timeline(sessions: DataFrame, owner: str = "document_id") -> DataFrame:
+def timeline(sessions: DataFrame, owner: str = "document_id", bucket: str = "month") -> DataFrame:
     """Q-14: score change and time since the previous session of the same owner.
 
-    The window runs per (owner, month); only the last session of every month is carried into a second, far smaller
-    window per owner. A hot owner is therefore split over its months.
+    The window runs per (owner, time bucket); only the last session of every bucket is carried into a second, smaller
+    window per owner. A hot owner is split over its buckets: choose them so that one fits a task.
     """
-    month = F.date_trunc("month", "created_at")
+    month = F.date_trunc(bucket, "created_at")
     base = sessions.select(owner, "id", "created_at", "score", month.alias("month"))
     order = [F.col("created_at"), F.col("id")]
     inner = Window.partitionBy(owner, "month").orderBy(*order)

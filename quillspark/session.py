@@ -17,6 +17,7 @@ def build(app: str = "quillspark", master: str | None = None, **conf: str) -> Sp
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites cost seconds in wide plans
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -46,3 +47,12 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -
     if rows is None:
         rows = df.limit(limit + 1).count()
     return F.broadcast(df) if rows <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than the cluster has cores (one small file).
+
+    A large input already has more splits than cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

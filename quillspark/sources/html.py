@@ -10,6 +10,8 @@ from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 BLOCK_SCHEMA = (
     "page_id bigint, block_idx int, type string, text string, level int, title string, author string, "
     "description string, keywords string"
@@ -119,4 +121,4 @@ def page_blocks(pages: DataFrame) -> DataFrame:
                                  page.meta.get("keywords", "")))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
 
-    return pages.select("page_id", "html").mapInPandas(read, BLOCK_SCHEMA)
+    return spread(pages.select("page_id", "html")).mapInPandas(read, BLOCK_SCHEMA)

@@ -34,7 +34,7 @@ TAILS = [
     " The pump was opened by the crew.", " See [1] and [2].", " It is shown (Smith, 2020).", " Jones (2019) agrees.",
     " See Figure 2 for details.", " Compare Table 3 here.", " However, we may recieve it later.",
     " The NLP team uses AI tools.", " Signed on 12/03/2024.", " Version 0.9 applies.", " Warning: hot surface.",
-    " Visit http://localhost/page now.", " Look at https://doi.org/10.1000/xyz1 for more.",
+    " Visit http://localhost/page or //mirror/page now.", " Look at https://doi.org/10.1000/xyz1 for more.",
     " in order to win, perhaps.", " This clearly proves that our results hold.", " All of it, but some say no.",
     " You must comply with every requirement.", " It's very good, really important and just big.",
     " An e-mail or email is fine.", " The database and data-base differ.", " Due on 2024-05-01, ten of 12 units.",
@@ -45,7 +45,7 @@ TAILS = [
     " In contrast to that, similarly to this.", " Nothing is due to the fact that it rains.",
     " step 1 of the procedure; the API is REST.", " (See the note (below).", ' He said "yes" and "no" twice.',
     " It could of been worse than the last.", " Contact 10.0.0.1 or 123-45-6789 today.",
-    " (Smith and Lee 2018) wrote it.", " Between 3 May 2021 and June 5, 2022.",
+    " (Smith and Lee 2018) wrote it.Then they left , slowly.", " Between 3 May 2021 and June 5, 2022.",
     " Similarly, in contrast to the DNA data, GPU use rose.",
 ]
 CAPTIONS = [

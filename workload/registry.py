@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.operators.score import scored
 from quillspark.plans.review import review_rows
 
-from . import document_queries, rule_queries
+from . import document_queries, ops_queries, rule_queries, store_queries
 from .drafts import documents
 
 
@@ -17,8 +17,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {**rule_queries.queries(), **document_queries.queries()}
+    return {**rule_queries.queries(), **document_queries.queries(), **store_queries.queries(), **ops_queries.queries()}
 
 
 def oracles() -> dict[str, str]:
-    return {**rule_queries.oracles(), **document_queries.oracles()}
+    return {**rule_queries.oracles(), **document_queries.oracles(), **store_queries.oracles(), **ops_queries.oracles()}
