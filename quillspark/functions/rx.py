@@ -85,16 +85,17 @@ def half_even(col: Column, digits: int = 0) -> Column:
     return F.format_string(f"%.{digits}f", F.bround(col.cast("double"), digits))
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``."""
+    return F.transform(F.array(value), use)[0]
+
+
 def positions(col: Column, pattern: str) -> Column:
     """0-based start of every match, rebuilt from the pieces between the matches."""
-    pieces, matches = F.split(col, pattern, -1), find_all(col, pattern)
 
     def lengths(parts: Column, upto: Column) -> Column:
         return F.aggregate(F.slice(parts, F.lit(1), upto), F.lit(0), lambda acc, x: acc + F.length(x))
 
-    return F.transform(matches, lambda _, i: lengths(pieces, i + 1) + lengths(matches, i))
-
-
-def let(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``."""
-    return F.transform(F.array(value), use)[0]
+    both = F.struct(F.split(col, pattern, -1).alias("pieces"), find_all(col, pattern).alias("matches"))
+    return let(both, lambda b: F.transform(
+        b["matches"], lambda _, i: lengths(b["pieces"], i + 1) + lengths(b["matches"], i)))

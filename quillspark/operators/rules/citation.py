@@ -141,10 +141,11 @@ def style_consistency(d: Doc, cfg: dict) -> Column:
 
 
 def duplicate_reference(d: Doc, cfg: dict) -> Column:
-    keys = F.transform(d.refs, lambda r: rx.strip(F.lower(F.left(r, F.lit(80)))))
-    later = F.filter(
-        F.transform(d.refs, lambda r, i: F.struct(r.alias("ref"), i.alias("i"))),
-        lambda x: F.array_position(keys, F.get(keys, x["i"])) < x["i"] + 1)
+    later = rx.let(
+        F.transform(d.refs, lambda r: rx.strip(F.lower(F.left(r, F.lit(80))))),
+        lambda keys: F.filter(
+            F.transform(d.refs, lambda r, i: F.struct(r.alias("ref"), i.alias("i"))),
+            lambda x: F.array_position(keys, F.get(keys, x["i"])) < x["i"] + 1))
     return F.transform(later, lambda x: issue(
         "duplicate-ref", index=x["i"], position=x["i"] + 1, excerpt=F.left(x["ref"], F.lit(200))))
 

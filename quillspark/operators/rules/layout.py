@@ -25,8 +25,8 @@ def heading_numbering(d: Doc, cfg: dict) -> Column:
 def heading_hierarchy_deep(d: Doc, cfg: dict) -> Column:
     levels = F.transform(d.headings, lambda h: h["level"])
     jumps = F.filter(
-        F.transform(levels, lambda level, i: F.struct(
-            i.alias("i"), F.get(levels, i - 1).alias("upper"), level.alias("lower"))),
+        F.transform(d.headings, lambda h, i: F.struct(
+            i.alias("i"), F.get(d.headings, i - 1)["level"].alias("upper"), h["level"].alias("lower"))),
         lambda j: (j["i"] > 0) & (j["lower"] > j["upper"] + 1))
     skips = F.transform(jumps, lambda j: issue(
         "heading-skip", fix=True, index=j["i"] - 1, position=j["i"] + 1, upper=j["upper"], lower=j["lower"],
@@ -151,16 +151,22 @@ def cross_reference(d: Doc, cfg: dict) -> Column:
     figures = F.array_union(of_blocks("figure"), F.transform(F.filter(numbered, fig), lambda c: c["number"]))
     tables = F.array_union(of_blocks("table"), F.transform(F.filter(numbered, tab), lambda c: c["number"]))
 
-    def dangling(pattern: str, actual: Column, key: str) -> Column:
-        missing = F.filter(references_to(d, pattern), lambda h: ~F.array_contains(actual, h["k"]))
+    def dangling(refs: Column, actual: Column, key: str) -> Column:
+        missing = F.filter(refs, lambda h: ~F.array_contains(actual, h["k"]))
         return F.when(F.size(actual) > 0, F.transform(missing, lambda h: issue(
             key, line=h["no"], number=h["k"], excerpt=F.left(h["line"], F.lit(200))))).otherwise(none())
 
-    mentioned = F.transform(references_to(d, W.FIGURE_REF), lambda h: h["k"])
-    unused = F.array_sort(F.filter(figures, lambda n: ~F.array_contains(mentioned, n)))
-    return F.concat(
-        dangling(W.FIGURE_REF, figures, "figure-ref"), dangling(W.TABLE_REF, tables, "table-ref"),
-        F.when(F.size(figures) > 0, F.transform(unused, lambda n: issue("figure-unused", number=n))).otherwise(none()))
+    def judge(x: Column) -> Column:
+        unused = F.array_sort(F.filter(
+            x["figures"], lambda n: ~F.exists(x["figure_refs"], lambda h: h["k"] == n)))
+        return F.concat(
+            dangling(x["figure_refs"], x["figures"], "figure-ref"), dangling(x["table_refs"], x["tables"], "table-ref"),
+            F.transform(unused, lambda n: issue("figure-unused", number=n)))
+
+    seen = F.struct(
+        figures.alias("figures"), tables.alias("tables"), references_to(d, W.FIGURE_REF).alias("figure_refs"),
+        references_to(d, W.TABLE_REF).alias("table_refs"))
+    return F.when((F.size(figures) > 0) | (F.size(tables) > 0), rx.let(seen, judge)).otherwise(none())
 
 
 def caption_format(d: Doc, cfg: dict) -> Column:

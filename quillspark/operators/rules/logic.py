@@ -24,12 +24,15 @@ def cut(line: Column) -> Column:
 
 
 def undefined_acronym(d: Doc, cfg: dict) -> Column:
-    defined = rx.find_all(d.text, rx.exact(W.ACRONYM_DEFINED), 1)
-    used = F.filter(
-        d.matches(rx.exact(W.ACRONYM)),
-        lambda h: (F.length(h["k"]) <= 8) & ~h["k"].isin(W.ACRONYM_STOP) & ~F.array_contains(defined, h["k"]))
-    found = F.transform(used, lambda h: issue("acronym", line=h["no"], acronym=h["k"], excerpt=cut(h["line"])))
-    return F.when(d.text.rlike("[A-Z][A-Z]"), found).otherwise(none())
+    def judge(defined: Column) -> Column:
+        used = F.filter(
+            d.matches(rx.exact(W.ACRONYM)),
+            lambda h: (F.length(h["k"]) <= 8) & ~h["k"].isin(W.ACRONYM_STOP) & ~F.array_contains(defined, h["k"]))
+        return F.transform(used, lambda h: issue("acronym", line=h["no"], acronym=h["k"], excerpt=cut(h["line"])))
+
+    return F.when(
+        d.text.rlike("[A-Z][A-Z]"), rx.let(rx.find_all(d.text, rx.exact(W.ACRONYM_DEFINED), 1), judge)
+    ).otherwise(none())
 
 
 def paragraphs(text: Column) -> Column:
@@ -81,13 +84,13 @@ def scope_mismatch(d: Doc, cfg: dict) -> Column:
             (opens | (state["inside"] & ~closes)).alias("inside"),
             F.when(keep, F.concat(state["text"], line, F.lit(" "))).otherwise(state["text"]).alias("text"))
 
-    body = F.lower(F.array_join(F.slice(d.lines, F.lit(1), F.floor(d.n_lines / 2).cast("int")), " "))
+    half = F.lower(F.array_join(F.slice(d.lines, F.lit(1), F.floor(d.n_lines / 2).cast("int")), " "))
 
     def judge(text: Column) -> Column:
         terms = F.slice(rx.find_all(text, rx.exact(r"\b[A-Z][a-z]{3,}\b")), 1, 5)
-        return F.transform(
+        return rx.let(half, lambda body: F.transform(
             F.filter(terms, lambda t: ~F.contains(body, F.lower(t))),
-            lambda t: issue("scope", term=t, term_lower=F.lower(t)))
+            lambda t: issue("scope", term=t, term_lower=F.lower(t))))
 
     marked = d.text.rlike("(?m)" + rx.fold(W.CONCLUSION_OPEN.replace("^", r"^\s*")))
     return F.when(
@@ -114,8 +117,10 @@ def contradictions(d: Doc, cfg: dict) -> Column:
             first_three(W.ABSOLUTES).alias("absolute"), first_three(W.QUALIFIERS).alias("qualifier")), on_lines),
     ).otherwise(none())
 
-    contrast = F.get(rx.positions(d.lower, rx.exact(W.CONTRAST_MARKERS)), F.lit(0))
-    near = F.exists(rx.positions(d.lower, rx.exact(W.SIMILARITY_MARKERS)), lambda s: F.abs(s - contrast) < 500)
+    near = rx.let(
+        F.get(rx.positions(d.lower, rx.exact(W.CONTRAST_MARKERS)), F.lit(0)),
+        lambda contrast: F.exists(
+            rx.positions(d.lower, rx.exact(W.SIMILARITY_MARKERS)), lambda s: F.abs(s - contrast) < 500))
     mixed = F.filter(
         F.transform(d.lines, lambda line, i: F.when(
             F.lower(line).contains("in contrast") & F.lower(line).contains("similarly"),

@@ -58,11 +58,12 @@ def section_order(d: Doc, cfg: dict) -> Column:
         ),
     )
     known = F.filter(mapped, lambda m: m["rank"] > 0)
-    ranks = F.transform(known, lambda m: m["rank"])
-    first_seen = F.filter(known, lambda m, i: F.array_position(ranks, m["rank"]) == i + 1)
+    first_seen = rx.let(known, lambda ks: rx.let(
+        F.transform(ks, lambda m: m["rank"]),
+        lambda ranks: F.filter(ks, lambda m, i: F.array_position(ranks, m["rank"]) == i + 1)))
 
-    def step(current: Column, i: Column) -> Column:
-        before = F.get(first_seen, i - 1)
+    def step(seen: Column, current: Column, i: Column) -> Column:
+        before = F.get(seen, i - 1)
         name, previous = F.get(names, current["rank"] - 1), F.get(names, before["rank"] - 1)
         return F.when(
             (i > 0) & (current["rank"] < before["rank"]),
@@ -72,7 +73,8 @@ def section_order(d: Doc, cfg: dict) -> Column:
         )
 
     return F.when(
-        d.is_profile("academic"), F.filter(F.transform(first_seen, step), lambda x: x.isNotNull())
+        d.is_profile("academic"),
+        rx.let(first_seen, lambda seen: F.array_compact(F.transform(seen, lambda current, i: step(seen, current, i)))),
     ).otherwise(none())
 
 
@@ -168,8 +170,9 @@ def sop_required_fields(d: Doc, cfg: dict) -> Column:
 
 
 def missing_required(d: Doc, key: str) -> Column:
-    titles = F.transform(d.headings, lambda h: F.lower(h["title"]))
-    absent = F.filter(d.required_sections, lambda s: ~F.array_contains(titles, F.lower(s)))
+    absent = rx.let(
+        F.transform(d.headings, lambda h: F.lower(h["title"])),
+        lambda titles: F.filter(d.required_sections, lambda s: ~F.array_contains(titles, F.lower(s))))
     return F.transform(
         absent, lambda s: issue(key, slug=F.replace(F.lower(s), F.lit(" "), F.lit("-")), section=s))
 

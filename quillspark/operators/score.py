@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed import profiles as P
+from ..functions import rx
 from ..functions.findings import rendered, rule_of
 
 
@@ -21,20 +22,29 @@ def deduction(severity: Column, mode: str = "standard") -> Column:
 def category_scores(issues: Column, categories: Column, mode: str = "standard") -> Column:
     """G01 inside the row: map category -> score from a document's issue array."""
 
-    def lost(category: Column) -> Column:
-        return F.aggregate(
-            F.filter(issues, lambda i: i["category"] == category), F.lit(0),
-            lambda acc, i: acc + deduction(i["severity"], mode))
+    def per_category(found: Column) -> Column:
+        def points(category: Column) -> Column:
+            lost = F.aggregate(
+                F.filter(found, lambda i: i["category"] == category), F.lit(0),
+                lambda acc, i: acc + deduction(i["severity"], mode))
+            return F.greatest(F.lit(0), F.lit(100) - lost)
 
-    return F.map_from_arrays(categories, F.transform(categories, lambda c: F.greatest(F.lit(0), F.lit(100) - lost(c))))
+        return F.map_from_arrays(categories, F.transform(categories, points))
+
+    # bound once: an expression used inside a lambda would run again for every category
+    return rx.let(issues, per_category)
 
 
 def overall(scores: Column, weights: Column) -> Column:
     """Weighted mean, ties to even."""
-    total = F.aggregate(F.map_values(weights), F.lit(0), lambda acc, w: acc + w)
-    weighted = F.aggregate(
-        F.map_entries(weights), F.lit(0), lambda acc, e: acc + F.coalesce(scores[e["key"]], F.lit(0)) * e["value"])
-    return F.bround(weighted / F.when(total == 0, F.lit(1)).otherwise(total)).cast("int")
+
+    def mean(scores: Column) -> Column:
+        total = F.aggregate(F.map_values(weights), F.lit(0), lambda acc, w: acc + w)
+        weighted = F.aggregate(
+            F.map_entries(weights), F.lit(0), lambda acc, e: acc + F.coalesce(scores[e["key"]], F.lit(0)) * e["value"])
+        return F.bround(weighted / F.when(total == 0, F.lit(1)).otherwise(total)).cast("int")
+
+    return rx.let(scores, mean)
 
 
 def readiness(score: Column, severe: Column) -> Column:

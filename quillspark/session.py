@@ -49,10 +49,13 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -
     return F.broadcast(df) if rows <= limit else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input has fewer splits than the cluster has cores (one small file).
+def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """A Parquet table for per-row work.
 
-    A large input already has more splits than cores and passes through without a shuffle.
+    A scan with fewer splits than the cluster has cores (one small file) is spread over them first; a large
+    table has more splits than that and is read as it lies, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    df = spark.read.parquet(path)
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

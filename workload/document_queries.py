@@ -8,6 +8,7 @@ from quillspark.fixed import detection as D, profiles as P, words as W
 from quillspark.functions import rx
 from quillspark.operators import config as C, detect as DT, document as DOC, template as T
 from quillspark.operators.parse import parse
+from quillspark.session import read_table
 from quillspark.sources import html
 
 from .blocks import BLOCKS_SQL, blocks
@@ -49,10 +50,10 @@ Q["p06_sentences"] = (
           FROM docs WHERE {strip('text')} <> '')))) WHERE part <> ''""")
 # --- P07, P08 ----------------------------------------------------------------------------
 Q["p07_html_blocks"] = (
-    lambda s, d: html.page_blocks(s.read.parquet(f"{d}/pages.parquet")).select("page_id", "block_idx", "type", "text", "level"), None)
+    lambda s, d: html.page_blocks(read_table(s, f"{d}/pages.parquet", "page_id", "html")).select("page_id", "block_idx", "type", "text", "level"), None)
 _ENT = lambda x: f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 Q["p08_html_metadata"] = (
-    lambda s, d: html.page_blocks(s.read.parquet(f"{d}/pages.parquet")).groupBy("page_id").agg(
+    lambda s, d: html.page_blocks(read_table(s, f"{d}/pages.parquet", "page_id", "html")).groupBy("page_id").agg(
         F.any_value("title").alias("title"), F.any_value("author").alias("author"),
         F.count_if(F.col("type") == "heading").alias("headings")),
     f"""SELECT page_id, trim({_ENT("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title, '' AS author,

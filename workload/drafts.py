@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quillspark.session import read_table
+
 PROFILE_CYCLE = ["general", "academic", "business", "legal", "research", "sop", "technical_design"]
 FILENAMES = [
     "field-notes.md", "thesis transit.md", "pump sop v2.md", "payments api spec.md", "market proposal.md",
@@ -100,7 +102,7 @@ def profile_of(source: Column) -> Column:
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "source", "text")
     return docs.select(
         "doc_id", profile_of(F.col("source")).alias("profile_id"),
         F.concat(F.col("doc_id").cast("string"), F.lit("-"), pick(FILENAMES, F.col("doc_id"))).alias("filename"),
@@ -110,7 +112,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw documents with the profile their source is routed to."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "source", "text")
     return docs.select("doc_id", profile_of(F.col("source")).alias("profile_id"), "text")
 
 
