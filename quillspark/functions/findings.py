@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..fixed.catalog import CATEGORY_OF_PREFIX, ISSUES
+from . import rx
 
 ISSUE = ("struct<code:int,category:string,severity:string,fix:boolean,line_start:int,line_end:int,"
          "args:array<string>>")
@@ -65,6 +66,7 @@ def catalog_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, f"code int, confidence int, source string, {fields}")
 
 
+@rx.once
 def none() -> Column:
     return F.array().cast(ISSUE_ARRAY)
 

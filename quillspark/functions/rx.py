@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 WHITESPACE = " \t\n\r\f\x0b"
@@ -47,9 +48,27 @@ def literal_count(col: Column, needle: str) -> Column:
     return ((F.length(col) - F.length(F.replace(col, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
 
 
+def once(build):
+    """Keep the columns ``build(*args)`` makes for this Spark application: constants are asked for often."""
+    kept: dict[tuple, Column] = {}
+
+    def cached(*args) -> Column:
+        key = (SparkContext._active_spark_context.applicationId, *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return cached
+
+
+@once
+def _strings(*values: str) -> Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+
+
 def strings(values) -> Column:
     """Literal array of strings; an empty list keeps its type."""
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return _strings(*values)
 
 
 def contains_any(col: Column, needles: list[str]) -> Column:

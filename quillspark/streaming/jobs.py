@@ -33,6 +33,29 @@ def first_seen(docs: DataFrame, delay: str = "1 hour") -> DataFrame:
     return docs.withColumn("text_hash", F.sha2("text", 256)).drop("text").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["text_hash"])
 
 
+def first_seen_table(docs: DataFrame, out: str, horizon: str = "1 day", checkpoint: str | None = None):
+    """ST3 for hot texts: the first copies as a table, one ``epoch`` folder per micro-batch.
+
+    Copies inside a batch fold by partial aggregation before the shuffle, so a text that makes up a third of the
+    input costs one row per task; what is left is unique and meets the texts seen within the horizon in an
+    anti-join. A repeated epoch overwrites its own folder.
+    """
+    spark = docs.sparkSession
+    empty = spark.createDataFrame([], "text_hash string, doc_id bigint, ts timestamp")
+    empty.write.mode("ignore").parquet(f"{out}/epoch=-1")
+
+    def fold(batch: DataFrame, epoch: int) -> None:
+        firsts = batch.groupBy(F.sha2("text", 256).alias("text_hash")).agg(
+            F.min(F.struct("ts", "doc_id")).alias("f")).select("text_hash", "f.doc_id", "f.ts")
+        seen = spark.read.schema("text_hash string, doc_id bigint, ts timestamp, epoch bigint").parquet(out).where(
+            F.col("epoch") != epoch).select("text_hash", F.col("ts").alias("seen_at"))
+        recent = (firsts["text_hash"] == seen["text_hash"]) & (seen["seen_at"] >= firsts["ts"] - F.expr(f"INTERVAL {horizon}"))
+        firsts.join(seen, recent, "left_anti").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    folder = checkpoint or f"{shared_dir(spark)}/first-seen"
+    return docs.writeStream.foreachBatch(fold).option("checkpointLocation", folder).trigger(availableNow=True).start()
+
+
 def first_seen_batch(docs: DataFrame) -> DataFrame:
     """The batch form: partial aggregation folds copies inside each task before the shuffle."""
     return docs.groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))

@@ -89,3 +89,9 @@ def test_streams(spark):
     seen = jobs.first_seen(stream).writeStream.format("memory").queryName("seen").option("checkpointLocation", f"{check}/seen").trigger(availableNow=True).start()
     seen.awaitTermination()
     assert spark.table("seen").count() == 2
+    for _ in range(2):
+        jobs.first_seen_table(stream, f"{out}/firsts", checkpoint=f"{check}/firsts").awaitTermination()
+        assert sorted(r.doc_id for r in spark.read.parquet(f"{out}/firsts").collect()) == [0, 1]
+    frame.withColumn("doc_id", F.col("doc_id") + 10).write.mode("append").parquet(source)
+    jobs.first_seen_table(stream, f"{out}/firsts", checkpoint=f"{check}/firsts").awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{out}/firsts").collect()) == [0, 1]

@@ -384,10 +384,17 @@ Q["q03_all_issues"] = (
 Q["q04_issue_evidence"] = (
     lambda s, d: S.issue_evidence(issues(s, d), sessions(s, d), issues(s, d).where("severity = 'high' AND confidence > 45").select("id")).select("id", "session_id", "evidence_excerpt", "evidence_line_start", "filename"),
     _STORE + "SELECT i.id, i.session_id, i.evidence_excerpt, i.evidence_line_start, s.filename FROM isu i JOIN ses s ON s.id = i.session_id WHERE i.id IN (SELECT id FROM isu WHERE severity = 'high' AND confidence > 45)")
+
+
+def latest_sessions(s, d):
+    """One session per document, so a history has one row per earlier occurrence and no pairs of sessions."""
+    return sessions(s, d).groupBy("document_id").agg(F.max(F.struct("created_at", "id")).alias("b")).select(F.col("b.id").alias("session_id"))
+
+
 Q["q05_issue_history"] = (
-    lambda s, d: S.issue_history(issues(s, d), sessions(s, d), issues(s, d).where("severity = 'high'").select("session_id", "issue_id").distinct()).groupBy("asked_session", "issue_id").agg(
+    lambda s, d: S.issue_history(issues(s, d), sessions(s, d), issues(s, d).join(latest_sessions(s, d), "session_id", "left_semi").select("session_id", "issue_id").distinct()).groupBy("asked_session", "issue_id").agg(
         F.count("*").alias("n"), F.max("session_created_at").alias("latest"), F.sum("session_score").alias("scores")),
-    _STORE + """, ask AS (SELECT DISTINCT i.session_id, i.issue_id, s.document_id FROM isu i JOIN ses s ON s.id = i.session_id WHERE severity = 'high')
+    _STORE + """, ask AS (SELECT DISTINCT i.session_id, i.issue_id, s.document_id FROM isu i JOIN ses s ON s.id = i.session_id WHERE s.id IN (SELECT arg_max(id, (created_at, id)) FROM ses GROUP BY document_id))
     SELECT a.session_id AS asked_session, a.issue_id, count(*) AS n, max(s.created_at) AS latest, CAST(sum(s.score) AS BIGINT) AS scores FROM ask a JOIN ses s ON s.document_id = a.document_id AND s.id <> a.session_id JOIN isu i ON i.session_id = s.id AND i.issue_id = a.issue_id GROUP BY 1, 2""")
 Q["q06_document_sessions"] = (
     lambda s, d: S.sessions_of_document(sessions(s, d), 42),
