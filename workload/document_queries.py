@@ -321,14 +321,15 @@ Q["t01_learn_template"] = (
 
 
 def templates(s, d):
-    """The templates in use: the learned layout of documents 0-16, by id."""
-    return layout(s, d).where("doc_id < 17").select(
-        F.col("doc_id").alias("template_id"), "body_font", "body_size",
-        *[F.round(F.col(f"margin_{m}") / T.EMU_PER_INCH, 2).alias(f"margin_{m}_in") for m in T.MARGINS])
+    """The templates in use: the layout of the first document that names a template."""
+    cols = ["body_font", "body_size", *[f"margin_{m}" for m in T.MARGINS]]
+    return layout(s, d).groupBy("template_id").agg(F.min_by(F.struct(*cols), "doc_id").alias("t")).select(
+        "template_id", "t.body_font", "t.body_size",
+        *[F.round(F.col(f"t.margin_{m}") / T.EMU_PER_INCH, 2).alias(f"margin_{m}_in") for m in T.MARGINS])
 
 
-_TPL = "tpl AS (SELECT doc_id AS template_id, body_font AS t_font, body_size AS t_size, " + ", ".join(
-    f"round(margin_{m} / 914400, 2) AS t_{m}" for m in T.MARGINS) + " FROM lay WHERE doc_id < 17)"
+_TPL = "tpl AS (SELECT template_id, body_font AS t_font, body_size AS t_size, " + ", ".join(
+    f"round(margin_{m} / 914400, 2) AS t_{m}" for m in T.MARGINS) + " FROM lay QUALIFY row_number() OVER (PARTITION BY template_id ORDER BY doc_id) = 1)"
 _short = lambda x: f"regexp_replace(CAST({x} AS VARCHAR), '\\.0+$', '')"
 Q["t02_template_margins"] = (
     lambda s, d: T.compare_layout(layout(s, d), templates(s, d)).where(F.col("rule_id").contains("margin")),
@@ -343,12 +344,14 @@ Q["t03_template_body"] = (
 
 
 def template_sections(s, d):
-    return DOC.heading_rows(parsed(s, d)).where("doc_id < 17").select(F.col("doc_id").alias("template_id"), F.col("title").alias("section")).distinct()
+    """Headings of the first document that names a template."""
+    first = layout(s, d).groupBy("template_id").agg(F.min("doc_id").alias("doc_id"))
+    return DOC.heading_rows(parsed(s, d)).join(first, "doc_id").select("template_id", F.col("title").alias("section")).distinct()
 
 
 Q["t04_template_sections"] = (
     lambda s, d: T.missing_sections(parsed(s, d).withColumn("template_id", F.col("doc_id") % 17), template_sections(s, d), blocks(s, d)),
-    base() + f"""SELECT d.doc_id, t.section FROM docs d JOIN (SELECT DISTINCT doc_id AS template_id, title AS section FROM heads WHERE doc_id < 17) t ON d.doc_id % 17 = t.template_id
+    base() + f"""SELECT d.doc_id, t.section FROM docs d JOIN (SELECT DISTINCT f.t AS template_id, title AS section FROM heads JOIN (SELECT doc_id % 17 AS t, min(doc_id) AS doc_id FROM documents GROUP BY 1) f USING (doc_id)) t ON d.doc_id % 17 = t.template_id
     WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = d.doc_id AND h.key = lower({strip('t.section')}))""")
 Q["t05_demirrored_text"] = (
     lambda s, d: blocks(s, d).where("type = 'heading'").select("doc_id", "block_idx", T.demirrored(F.when(

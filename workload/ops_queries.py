@@ -230,10 +230,9 @@ Q["s09_list_documents"] = (
 Q["s10_template_rows"] = (
     lambda s, d: stored_documents(s, d).select("id", F.to_json(F.struct(F.col("original_name").alias("source_filename"), F.lit(1).alias("version"))).alias("analysis")),
     _STORE + "SELECT id, '{\"source_filename\":\"' || original_name || '\",\"version\":1}' AS analysis FROM dcs")
-some = lambda s, d: (sessions(s, d).where("score > 90").drop("created_at"), issues(s, d))
 Q["s12_json_export"] = (
-    lambda s, d: SS.as_json(some(s, d)[0], issues(s, d)).select("session_id", F.get_json_object("body", "$.session.filename").alias("filename"), F.json_array_length(F.get_json_object("body", "$.issues")).alias("n")),
-    _STORE + "SELECT s.id AS session_id, s.filename, count(i.id) AS n FROM ses s LEFT JOIN isu i ON i.session_id = s.id WHERE s.score > 90 GROUP BY ALL")
+    lambda s, d: SS.as_json(sessions(s, d), issues(s, d)).select("session_id", F.get_json_object("body", "$.session.filename").alias("filename"), F.json_array_length(F.get_json_object("body", "$.issues")).alias("n")),
+    _STORE + "SELECT s.id AS session_id, s.filename, count(i.id) AS n FROM ses s LEFT JOIN isu i ON i.session_id = s.id GROUP BY ALL")
 Q["s13_csv_export"] = (
     lambda s, d: SS.as_csv(issues(s, d)),
     _STORE + "SELECT session_id, issue_id, severity, category, rule_id, message, confidence, status, evidence_location, recommendation, evidence_excerpt FROM isu")

@@ -58,8 +58,20 @@ def issue_table(s, d, *keep):
     return issue_rows(reviewed(s, d), *keep)
 
 
+# the whole engine on the raw documents: every rule a stock profile can reach, with stock thresholds
+_STOCK = {r: sql for r, sql in all_rules().items() if r in REGISTRY and META[r][0] not in ("format", "figure_table")
+          and r not in ("compliance.mandatory-sections", "logic.unsupported-conclusion")}
+_WHOLE = base("raw_docs") + f""", cats AS (SELECT * FROM (VALUES {_CATS}) t(profile_id, category, weight, pos)),
+iss AS MATERIALIZED (SELECT i.doc_id, i.category, i.severity, i.fix FROM ({' UNION ALL '.join(f"SELECT doc_id, {q(META[r][0])} AS category, severity, autofix_allowed AS fix FROM ({sql.replace('mean * 3', 'mean * 10')})" for r, sql in _STOCK.items())}) i
+  JOIN docs d USING (doc_id) JOIN cats c ON c.profile_id = d.profile_id AND c.category = i.category),
+lost AS (SELECT doc_id, category, sum(CASE severity WHEN 'high' THEN 20 WHEN 'medium' THEN 10 ELSE 4 END) AS lost FROM iss GROUP BY ALL),
+per_doc AS (SELECT doc_id, count(*) AS n_issues, count(*) FILTER (WHERE severity = 'high') AS n_severe, count(*) FILTER (WHERE fix) AS n_fixable FROM iss GROUP BY doc_id),
+tot AS (SELECT d.doc_id, d.profile_id, CAST(round_even(sum(greatest(0, 100 - coalesce(l.lost, 0)) * c.weight) / sum(c.weight), 0) AS INTEGER) AS score FROM docs d JOIN cats c USING (profile_id)
+  LEFT JOIN lost l ON l.doc_id = d.doc_id AND l.category = c.category GROUP BY ALL)
+SELECT doc_id, profile_id, score, CASE WHEN coalesce(n_severe, 0) > 5 OR score < 50 THEN 'draft' WHEN score < 70 THEN 'review_needed' WHEN score < 85 THEN 'almost_ready' ELSE 'ready' END AS readiness,
+  coalesce(n_issues, 0) AS n_issues, coalesce(n_severe, 0) AS n_severe, coalesce(n_fixable, 0) AS n_fixable FROM tot LEFT JOIN per_doc USING (doc_id)"""
 Q["review_documents"] = (
-    lambda s, d: G.scored(review_rows(documents(s, d))).select("doc_id", "profile_id", "score", "readiness", "n_issues", "n_severe", "n_fixable"), None)
+    lambda s, d: G.scored(review_rows(documents(s, d))).select("doc_id", "profile_id", "score", "readiness", "n_issues", "n_severe", "n_fixable"), _WHOLE)
 Q["review_drafts"] = (
     lambda s, d: issue_rows(review_rows(drafts(s, d), formatting_alias=True)).select(
         "doc_id", "seq", "issue_id", "category", "rule_id", "severity", "line_start", "line_end", "confidence", "source", "autofix_allowed"), None)
@@ -471,12 +483,18 @@ def actions(s, d):
         F.concat(F.lit("rule."), (part % 40).cast("string")).alias("rule_id"), F.when(F.col("l_returnflag") == "R", "revert").otherwise("apply").alias("action_type"),
         F.concat(F.lit("old "), part.cast("string")).alias("original_text"), F.concat(F.lit("new "), part.cast("string")).alias("patched_text"),
         (F.col("l_shipdate") + F.make_interval(secs=part)).alias("applied_at"),
-        F.when(F.col("l_returnflag") == "R", F.col("l_shipdate") + F.expr("INTERVAL 1 DAY")).alias("reverted_at"))
+        F.when(F.col("l_returnflag") == "R", F.col("l_shipdate") + F.expr("INTERVAL 1 DAY")).alias("reverted_at"),
+        (F.col("l_linestatus") == "F").alias("finished"))
+
+
+def finished(s, d):
+    """Actions the log has closed; open ones are still being written."""
+    return actions(s, d).where("finished")
 
 
 _ACT = """WITH act AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS action_id, l_orderkey AS session_id, concat_ws('-', l_orderkey, l_partkey % 3) AS suggestion_id, 'rule.' || (l_partkey % 40) AS rule_id,
     CASE l_returnflag WHEN 'R' THEN 'revert' ELSE 'apply' END AS action_type, 'old ' || l_partkey AS original_text, 'new ' || l_partkey AS patched_text, l_shipdate + to_seconds(l_partkey) AS applied_at,
-    CASE WHEN l_returnflag = 'R' THEN l_shipdate + INTERVAL 1 DAY END AS reverted_at FROM lineitem)
+    CASE WHEN l_returnflag = 'R' THEN l_shipdate + INTERVAL 1 DAY END AS reverted_at, l_linestatus = 'F' AS finished FROM lineitem)
 """
 Q["f28_change_summary"] = (
     lambda s, d: FX.change_summary(issues(s, d).where("status = 'resolved'")),
@@ -497,11 +515,11 @@ _PEND = _ACT + """, pen AS (SELECT suggestion_id AS id, max(rule_id) AS rule_id,
 lst AS (SELECT suggestion_id, arg_max(reverted_at IS NULL, applied_at) AS live FROM act GROUP BY suggestion_id)
 """
 Q["f30_suggestion_status"] = (
-    lambda s, d: FX.suggestion_status(pending(s, d), actions(s, d).where("rule_id < 'rule.3'")).groupBy("applied").agg(F.count("*").alias("n")),
-    _PEND + ", l3 AS (SELECT suggestion_id, arg_max(CASE WHEN reverted_at IS NULL THEN 1 ELSE 0 END, (applied_at, reverted_at)) AS live FROM act WHERE rule_id < 'rule.3' GROUP BY suggestion_id) SELECT coalesce(live, 0) = 1 AS applied, count(*) AS n FROM pen LEFT JOIN l3 ON l3.suggestion_id = pen.id GROUP BY 1")
+    lambda s, d: FX.suggestion_status(pending(s, d), finished(s, d)).groupBy("applied").agg(F.count("*").alias("n")),
+    _PEND + ", l3 AS (SELECT suggestion_id, arg_max(CASE WHEN reverted_at IS NULL THEN 1 ELSE 0 END, (applied_at, reverted_at)) AS live FROM act WHERE finished GROUP BY suggestion_id) SELECT coalesce(live, 0) = 1 AS applied, count(*) AS n FROM pen LEFT JOIN l3 ON l3.suggestion_id = pen.id GROUP BY 1")
 Q["f31_one_click"] = (
-    lambda s, d: FX.one_click(FX.suggestion_status(pending(s, d), actions(s, d).where("rule_id < 'rule.3'"))).select("id", "confidence"),
-    _PEND + ", l3 AS (SELECT suggestion_id, arg_max(CASE WHEN reverted_at IS NULL THEN 1 ELSE 0 END, (applied_at, reverted_at)) AS live FROM act WHERE rule_id < 'rule.3' GROUP BY suggestion_id) SELECT id, confidence FROM pen LEFT JOIN l3 ON l3.suggestion_id = pen.id WHERE coalesce(live, 0) = 0 AND fix_type = 'safe' AND confidence >= 90")
+    lambda s, d: FX.one_click(FX.suggestion_status(pending(s, d), finished(s, d))).select("id", "confidence"),
+    _PEND + ", l3 AS (SELECT suggestion_id, arg_max(CASE WHEN reverted_at IS NULL THEN 1 ELSE 0 END, (applied_at, reverted_at)) AS live FROM act WHERE finished GROUP BY suggestion_id) SELECT id, confidence FROM pen LEFT JOIN l3 ON l3.suggestion_id = pen.id WHERE coalesce(live, 0) = 0 AND fix_type = 'safe' AND confidence >= 90")
 
 
 def queries() -> dict:
