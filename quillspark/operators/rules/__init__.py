@@ -21,14 +21,19 @@ REGISTRY: dict[str, RuleFn] = {
 }
 SHADOWED: dict[str, RuleFn] = {**writing.SHADOWED, **compliance.SHADOWED}
 META: dict[str, tuple[str, int, str]] = dict(CATALOG)
+OPTIONAL: set[str] = set()
 
 
-def rule(rule_id: str, category: str, priority: int = 0, pack: str = ""):
-    """Register ``fn(doc, config) -> Column[array<issue>]`` under an id of your own."""
+def rule(rule_id: str, category: str, priority: int = 0, pack: str = "", enabled: bool = True):
+    """Register ``fn(doc, config) -> Column[array<issue>]`` under an id of your own.
+
+    A rule that is not ``enabled`` runs only where it is named.
+    """
 
     def add(fn: RuleFn) -> RuleFn:
         REGISTRY[rule_id] = fn
         META[rule_id] = (category, priority, pack)
+        (OPTIONAL.discard if enabled else OPTIONAL.add)(rule_id)
         return fn
 
     return add
@@ -36,5 +41,5 @@ def rule(rule_id: str, category: str, priority: int = 0, pack: str = ""):
 
 def in_order(rule_ids=None) -> list[str]:
     """Priority descending, then id: the order in which issues come out."""
-    ids = REGISTRY if rule_ids is None else rule_ids
+    ids = [r for r in REGISTRY if r not in OPTIONAL] if rule_ids is None else rule_ids
     return sorted(ids, key=lambda r: (-META[r][1], r))

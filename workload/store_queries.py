@@ -72,14 +72,19 @@ SELECT doc_id, profile_id, score, CASE WHEN coalesce(n_severe, 0) > 5 OR score <
   coalesce(n_issues, 0) AS n_issues, coalesce(n_severe, 0) AS n_severe, coalesce(n_fixable, 0) AS n_fixable FROM tot LEFT JOIN per_doc USING (doc_id)"""
 Q["review_documents"] = (
     lambda s, d: G.scored(review_rows(documents(s, d))).select("doc_id", "profile_id", "score", "readiness", "n_issues", "n_severe", "n_fixable"), _WHOLE)
+_EVERY = {r: sql for r, sql in all_rules().items() if r in REGISTRY and r not in ("compliance.mandatory-sections", "logic.unsupported-conclusion")}
+_stock = lambda sql: sql.replace("mean * 3", "mean * 10").replace("w > 400", "w > 2000").replace("(max: 400)", "(max: 2000)")
 Q["review_drafts"] = (
     lambda s, d: issue_rows(review_rows(drafts(s, d), formatting_alias=True)).select(
-        "doc_id", "seq", "issue_id", "category", "rule_id", "severity", "line_start", "line_end", "confidence", "source", "autofix_allowed"), None)
+        "doc_id", "issue_id", "category", "rule_id", "severity", "message", "line_start", "line_end", "confidence", "autofix_allowed"),
+    base() + BLOCKS_SQL.replace("FROM lines WHERE bare <> ''", "FROM lines WHERE FALSE") + f""", cats AS (SELECT * FROM (VALUES {_CATS}) t(profile_id, category, weight, pos)),
+    iss AS MATERIALIZED ({' UNION ALL '.join(f"SELECT doc_id, issue_id, {q(META[r][0])} AS category, rule_id, severity, message, line_start, line_end, confidence, autofix_allowed FROM ({_stock(sql)})" for r, sql in _EVERY.items())})
+    SELECT i.* FROM iss i JOIN docs d USING (doc_id) JOIN cats c ON c.profile_id = d.profile_id AND c.category = CASE WHEN i.category IN ('format', 'figure_table') THEN 'formatting' ELSE i.category END""")
 Q["rule_statistics"] = (
     lambda s, d: G.rule_statistics(issue_table(s, d), C.rule_table(s).where(F.col("rule_id").isin(RULESET))),
     iss() + f"SELECT m.rule_id, m.category, count(i.doc_id) AS n_issues, count(DISTINCT i.doc_id) AS n_docs FROM (VALUES {_META}) m(rule_id, category, priority) LEFT JOIN iss i USING (rule_id) GROUP BY 1, 2")
 
-@rule("structure.long-title", "structure", 5)
+@rule("structure.long-title", "structure", 5, enabled=False)
 def long_title(d, cfg):
     """A user's own rule over the same document columns: it reuses a stock issue text."""
     from quillspark.functions.findings import issue
