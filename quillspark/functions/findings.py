@@ -124,3 +124,12 @@ def rendered(rows: DataFrame, column: str = "issue") -> DataFrame:
 def rule_of(code: Column) -> Column:
     """Rule id of an issue code, from the catalogue as a literal array."""
     return F.element_at(F.array(*[F.lit(entry[1]) for entry in ISSUES.values()]), code + 1)
+
+
+def text_of(found: Column, which: str) -> Column:
+    """One text (``message``, ``recommendation``, ``excerpt``, ``rule_id``) of an issue struct, filled in the row."""
+    at = TEXTS.index(which)
+    formats = rx.strings([java_format(texts_of(k)[at], slots(k)) for k in ISSUES])
+    values = [found["line_start"].cast("string"), found["line_end"].cast("string")]
+    values += [F.get(found["args"], F.lit(i)) for i in range(MAX_ARGS)]
+    return F.printf(F.element_at(formats, found["code"] + 1), *values)
