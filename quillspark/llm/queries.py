@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ordinal, profiles, viterbi, wu_manber
+from . import lattice, mixture, ordinal, profiles, viterbi, warc, wu_manber
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -14,6 +14,10 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def op2_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
 def op3_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     learned = profiles.learn(docs.where(_remainder(3) != 1))
@@ -26,6 +30,15 @@ def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return wu_manber.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text")
 
 
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def op8_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return mixture.mixed(docs).drop("text")
+
+
 def op9_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return viterbi.token_counts(docs, PIECES).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens")
