@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, mixture, ordinal, profiles, viterbi, warc, wu_manber
+from . import lattice, minhash, mixture, ordinal, profiles, viterbi, warc, wu_manber
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -14,6 +14,11 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def op1_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return minhash.near_duplicates(docs, size=3, percent=85)
+
+
 def op2_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
 
