@@ -30,3 +30,21 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             held = [batch.slice(a, b - a)]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) -> Iterator[pa.Table]:
+    """The rows as tables of about `rows` rows that break no run of the long column `key`."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            held.append(batch.slice(at, rows))
+            if sum(b.num_rows for b in held) < rows:
+                continue
+            table = pa.Table.from_batches(held)
+            values = table.column(key).to_numpy()
+            cut = int(np.searchsorted(values, values[-1]))  # sorted within the task
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, minhash, mixture, ordinal, profiles, viterbi, warc, wu_manber
+from . import lattice, minhash, mixture, ordinal, profiles, suffixes, viterbi, warc, wu_manber
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -30,6 +30,10 @@ def op3_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score"))
 
 
+def op4_suffix_array_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return wu_manber.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text")
