@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, minhash, mixture, ordinal, profiles, suffixes, viterbi, warc, wu_manber
+from . import lattice, minhash, mixture, ordinal, pitman_yor, profiles, suffixes, viterbi, warc, wu_manber
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -39,6 +39,11 @@ def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return wu_manber.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text")
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (_remainder(10) == 0).alias("held_out"), "text")
+    return pitman_yor.scores(docs, pitman_yor.fit(docs.where("NOT held_out").select("text")))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
