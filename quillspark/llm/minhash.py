@@ -1,19 +1,22 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
-A document's set of word shingles gives a MinHash signature of `coordinates` minima. A pair counts as a candidate if it
-agrees on at least `matches` coordinates, so it shares one of the first coordinates - matches + 1 of them: only these
-(the prefix) are posted, each document under every coordinate-value pair. Postings of one list are not paired with each
-other. They are merged with two pivots of the list, collisions are counted over the whole signatures, and links are
-confirmed on the full sets. Then lists whose members are all in one component by now are skipped, and what is left of
-the others is paired across components only.
+A document's set of word shingles gives a MinHash signature of `coordinates` minima. A pair is a candidate if it agrees
+on at least `matches` coordinates. Coordinate-value pairs are put in one order, the rarest first, and a document is
+posted under the first coordinates - matches + 1 of its own (the prefix): two documents with enough matches share one of
+these, while values that many unlike documents share (of common passages) stay out of prefixes. Postings of one list are
+not paired with each other. They are merged with two pivots of the list, collisions are counted over the whole
+signatures, and links are confirmed on the full sets. Then lists whose members are all in one component by now are
+skipped, and what is left of the others is paired across components only.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -22,6 +25,17 @@ from .store import written
 from .text import LOWER, NOT_BLANK, bounds, fingerprints, mix, pair, raw, slices, words
 
 SIDE = 512  # members that one task compares with a pivot
+MISS = 1e-6  # the most pairs, as a share, that the match threshold may lose at the similarity asked for
+
+
+def matches_for(percent: int, coordinates: int) -> int:
+    """The highest match threshold that a pair of just that similarity fails with a probability of at most MISS."""
+    p, failing = percent / 100, 0.0
+    for matches in range(coordinates):
+        failing += comb(coordinates, matches) * p**matches * (1 - p) ** (coordinates - matches)
+        if failing > MISS:
+            return max(1, matches)
+    return coordinates
 
 
 def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +66,7 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signed(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
     """(doc_id, n_shingles, key, key2, signature, packed): the set's size, fingerprint and minima, and the text's bytes compressed."""
-    seeds = mix(np.arange(1, coordinates + 1, dtype=np.uint64))
+    seeds = mix(np.arange(1, coordinates + 1, dtype=np.uint64)) | np.uint64(1)
     one, two = seeds[0] ^ np.uint64(1), seeds[0] ^ np.uint64(2)
 
     def sign(batches):
@@ -68,7 +82,7 @@ def signed(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
                     key[full] = np.add.reduceat(mix(value ^ one), at[full])
                     key2[full] = np.add.reduceat(mix(value ^ two), at[full])
                     for k in range(coordinates):
-                        minima[full, k] = np.minimum.reduceat(mix(value ^ seeds[k]), at[full])
+                        minima[full, k] = np.minimum.reduceat(value * seeds[k], at[full])
                 texts = [packer.compress(t.encode("utf-8", "surrogatepass")) if c else None
                          for t, c in zip(part.column("text").to_pylist(), n.tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n.size + 1, dtype=np.int32) * coordinates), pa.array(minima.ravel().astype(np.int64)))
@@ -120,21 +134,29 @@ def _confirmed(pairs: DataFrame, table: DataFrame, kinds: DataFrame, size: int,
     return full.mapInArrow(confirm, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 12, matches: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
     Words are runs of anything but blanks, A-Z lower-cased. A text of fewer than `size` words, but not none, has the
     whole sequence as its one shingle. Null, empty and blank texts have no shingle and link with nothing. Documents
     link when 100 * intersection >= percent * union; equal sets are linked without being paired. component_id is the
     smallest doc_id reachable. Rows of one doc_id count as one document; rows with a null doc_id stay alone. An empty
-    table gives no rows. At similarity 0.85 a pair misses `matches` of 12 coordinates once in four million pairs, at 0.8 once in 200 000.
+    table gives no rows. The match
+    threshold follows from `percent`: a pair of just that similarity fails it once in a million.
     """
+    matches = matches_for(percent, coordinates)
     table = written(signed(docs, size, coordinates), "signed", "snappy")
     kinds = written(table.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key", "key2").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "kinds", "snappy")
-    prefix = kinds.select("id", F.posexplode(F.slice("signature", 1, coordinates - matches + 1)).alias("place", "value"))
-    lists = prefix.groupBy("place", "value").agg(F.count(F.lit(1)).alias("long"), F.min("id").alias("first"), F.max("id").alias("last")).where("long > 1").drop("long")
-    posted = written(prefix.join(lists, ["place", "value"]), "posted", "snappy")
+    values = kinds.select("id", F.posexplode("signature").alias("place", "value"))
+    # what no other document has stays out of the join; it counts as the rarest
+    lists = values.groupBy("place", "value").agg(F.count(F.lit(1)).alias("long")).where("long > 1")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("long", "place"))
+    among = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    prefix = written(values.join(lists, ["place", "value"]).withColumns({"rank": rank, "shared": among})
+                     .where(F.col("rank") <= F.col("shared") - matches + 1).select("id", "place", "value"), "prefix", "snappy")
+    ends = prefix.groupBy("place", "value").agg(F.count(F.lit(1)).alias("long"), F.min("id").alias("first"), F.max("id").alias("last")).where("long > 1").drop("long")
+    posted = written(prefix.join(ends, ["place", "value"]), "posted", "snappy")
 
     pivots = posted.select(F.col("id").alias("b"), F.explode(F.array("first", "last")).alias("a")).where("a <> b").distinct()
     pairs = written(_agreeing(pivots.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), kinds, matches, percent), "pairs", "snappy")
