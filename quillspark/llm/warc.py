@@ -89,7 +89,9 @@ def read(archives: DataFrame, split: int = 8 << 20) -> DataFrame:
     """
     begins = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("begin")
     ranges = archives.select("path", "bytes", begins)
-    return ranges.repartition(F.col("path"), F.col("begin")).mapInArrow(_ranges(split), SCHEMA)
+    # by number, so that ranges (short rows, long work) are not put together again
+    tasks = max(1, min(ranges.count(), 16 * archives.sparkSession.sparkContext.defaultParallelism))
+    return ranges.repartition(tasks).mapInArrow(_ranges(split), SCHEMA)
 
 
 def _ranges(split: int):
