@@ -49,7 +49,7 @@ def weights(sources: DataFrame, budget, entropy: float, repeats: float) -> DataF
         return most * budget(F.col("all_tokens")) <= F.lit(repeats) * F.col("all_tokens") * F.lit(1 + 1e-9)
 
     def bisected(holds, low_holds):
-        """The edge of a condition that holds at 0 (or else at 1), from the side where it holds."""
+        """The edge of a condition that holds at 0 and up to it (or else from it up to 1), from the side where it holds."""
         start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
 
         def halve(s, _):
@@ -58,7 +58,7 @@ def weights(sources: DataFrame, budget, entropy: float, repeats: float) -> DataF
             return F.struct(F.when(up, middle).otherwise(s["low"]).alias("low"), F.when(up, s["high"]).otherwise(middle).alias("high"))
 
         found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve)
-        return F.when(holds(F.lit(1.0)), 1.0).otherwise(found["low"] if low_holds else found["high"])
+        return F.when(holds(F.lit(1.0)), 1.0).otherwise(found["low"]) if low_holds else found["high"]
 
     total = total.withColumn("by_entropy", bisected(enough_entropy, True))
     total = total.withColumn("exponent", F.when(few_repeats(F.col("by_entropy")), F.col("by_entropy")).otherwise(
@@ -88,7 +88,7 @@ def plan(sized: DataFrame, share: float, entropy: float, repeats: float) -> tupl
     budget = sources.agg(F.floor(F.sum("tokens") * F.lit(share)).alias("budget"))
     target = (weighed.join(sources.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s").crossJoin(F.broadcast(budget))
               .withColumn("target", F.floor(F.col("weight") * F.col("budget"))))
-    epochs = F.coalesce(F.floor(F.col("target") / F.col("tokens")), F.lit(0))
+    epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("tokens"), F.lit(0))), F.lit(0))
     per_source = target.select(
         "source", epochs.alias("epochs"), F.coalesce(F.col("target") - epochs * F.col("tokens"), F.lit(0)).alias("part"),
         F.ceil(F.sqrt("n")).cast("long").alias("n_blocks"))
