@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,10 +17,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         known = labels.select(F.col("node").alias("b"), "component")
         near = both.join(known, "b").groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
+        step = labels.select("node", "component").join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
         step = step.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("component"))
         step = written(step, "labels")
+        discard(labels)
         if step.where("component <> old").isEmpty():
+            discard(both)
             return step.select("node", "component")
-        labels = step.select("node", "component")
+        labels = step

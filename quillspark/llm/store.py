@@ -25,11 +25,31 @@ def fresh(spark: SparkSession, what: str) -> str:
     return f"{shared(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends there, and any executor can read it again."""
-    at = fresh(df.sparkSession, what)
-    df.write.option("compression", codec).parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    """The rows as a table in the shared folder: lineage ends there, and any executor can read it again.
+
+    The shuffle files of the write go when it is done; nothing reads them any more.
+    """
+    spark = df.sparkSession
+    at, before = fresh(spark, what), spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(at)
+    finally:
+        spark.conf.set(CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.folder = at
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table from written() that nothing will read again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def opened(address: str) -> tuple[fs.FileSystem, str]:

@@ -1,8 +1,9 @@
 """Removal of long repeated byte strings with a logarithmic family of sampled suffix arrays.
 
 Documents come in batches. A batch's suffix array holds its sampled suffixes (see anchors.py), dealt by key and sorted:
-by their first bytes, then by fingerprints. It is merge-scanned against the arrays of the existing levels and against
-itself for suffixes that agree on a whole gram; then equal-sized levels merge, so a suffix is rewritten once per doubling.
+by their first bytes, then by fingerprints. It is merge-scanned against
+itself and the existing levels for suffixes that agree on a whole gram; equal-sized levels merge in the same pass, so a
+suffix is rewritten once per doubling.
 A run of strings whose whole context occurs twice is repeated; where only a part of two contexts agrees, one text of each
 context is fetched and its strings of `length` bytes are sorted within their key, neighbours that are equal being repeated.
 """
@@ -14,12 +15,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import Prefixes, anchors
 from .groups import whole_runs
-from .store import fresh, written
+from .store import discard, fresh, written
 from .text import raw, slices
 
 GROUP = 5_000  # contexts of one key that a task compares; the strings of a larger key are dealt one by one
@@ -28,37 +29,46 @@ ROW = ["doc_id", "rid"]
 
 
 class Family:
-    """Suffix arrays (key, context, n) of levels whose sizes are powers of two batches."""
+    """Suffix arrays of levels whose sizes are powers of two batches: (key, context, n, kinds, hit), sorted within parts dealt by key.
+
+    n counts a context, kinds the contexts of its key; hit says that the key's suffixes occur more than once.
+    """
 
     def __init__(self):
         self.levels: dict[int, DataFrame] = {}
-        self.matched: DataFrame | None = None
-
-    def _note(self, keys: DataFrame) -> None:
-        self.matched = keys if self.matched is None else self.matched.union(keys)
 
     def add(self, suffixes: DataFrame) -> None:
-        """Takes a batch of suffixes (key, context): scans it against every level, then merges levels of one size."""
-        run = written(suffixes.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("key", "context"), "run")
-        self._note(run.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
-        for level in self.levels.values():
-            self._note(run.select("key").join(level.select("key"), "key", "left_semi"))
+        """Takes a batch of suffixes (key, context): its array is merge-scanned against the levels of its size, one after the other.
+
+        A scan and a merge are one pass over both arrays. A larger level is scanned when an array of its size has
+        grown, or by repeated().
+        """
+        run = written(_scanned(suffixes.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"))), "run")
         size = 1
         while size in self.levels:
-            both = run.union(self.levels.pop(size))
-            run = written(both.groupBy("key", "context").agg(F.sum("n").alias("n")).sortWithinPartitions("key", "context"), "run")
+            run = self._merged(run, self.levels.pop(size))
             size *= 2
         self.levels[size] = run
 
+    def _merged(self, run: DataFrame, level: DataFrame) -> DataFrame:
+        both = run.select("key", "context", "n").union(level.select("key", "context", "n")).repartition("key")
+        out = written(_scanned(both.groupBy("key", "context").agg(F.sum("n").alias("n"))), "run")
+        discard(run)
+        discard(level)
+        return out
+
     def repeated(self) -> DataFrame:
-        """(key, context, n, kinds) of the contexts that occur n > 1 times or share their key with others (kinds > 1)."""
-        levels = list(self.levels.values())
-        rows = levels[0]
-        for level in levels[1:]:
-            rows = rows.union(level)
-        rows = rows.join(self.matched.distinct(), "key", "left_semi").groupBy("key", "context").agg(F.sum("n").alias("n"))
-        kinds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
-        return rows.join(kinds, "key").where("n > 1 OR kinds > 1")
+        """Merges what levels are left, and gives the contexts of keys that were hit."""
+        while len(self.levels) > 1:
+            small, large = sorted(self.levels)[:2]
+            self.levels[small + large] = self._merged(self.levels.pop(small), self.levels.pop(large))
+        return next(iter(self.levels.values())).where("hit").select("key", "context", "n", "kinds")
+
+
+def _scanned(rows: DataFrame) -> DataFrame:
+    """Rows (key, context, n) in order, with what their neighbours of one key tell."""
+    by = Window.partitionBy("key")
+    return rows.withColumns({"kinds": F.count(F.lit(1)).over(by), "hit": F.sum("n").over(by) > 1})
 
 
 def suffix_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -187,16 +197,21 @@ def repeated_spans(docs: DataFrame, length: int = 200, batches: int = 4) -> Data
     rows = suffix_rows(docs, length)
     rows.withColumn("batch", F.pmod(F.col("rid"), F.lit(batches)).cast("int")).write.option("compression", "zstd").partitionBy("batch").parquet(at)
     table = spark.read.schema(f"{_typed(docs, 'first int, last int, key long, context long')}, batch int").parquet(at)
+    table.folder = at
     family = Family()
     for i in range(batches):
         family.add(table.where(F.col("batch") == i).select("key", "context"))
-    marks = written(table.drop("batch").join(family.repeated(), ["key", "context"])
+    repeated = family.repeated()
+    marks = written(table.drop("batch").join(repeated, ["key", "context"])
                     .select(*ROW, "first", "last", "key", "context", (F.col("n") > 1).alias("whole"), "kinds"), "marks")
+    for level in family.levels.values():
+        discard(level)
+    discard(table)
     shared = marks.where("kinds > 1")
     one = (shared.where("whole").groupBy("key", "context").agg(F.min(F.struct(*ROW, "first", "last", "whole", "kinds")).alias("one"))
            .select("one.*", "key"))
     asked = shared.where("NOT whole").select(*ROW, "first", "last", "whole", "kinds", "key").unionByName(one)
-    parts = _partly(written(_contexts(_packed(docs, ROW), asked, length), "contexts"), length)
+    parts = written(_partly(written(_contexts(_packed(docs, ROW), asked, length), "contexts"), length), "parts")
     whole = marks.where("whole").select(*ROW, F.col("first").alias("start"), (F.col("last") + length).cast("int").alias("stop")).distinct()
     return whole.unionByName(parts).groupBy(*ROW).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
