@@ -24,7 +24,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         begins = np.flatnonzero(new).tolist()
         if not begins or begins[0] > 0:  # the batch goes on with the run before
             held.append(batch.slice(0, begins[0] if begins else batch.num_rows))
-        for a, b in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+        for a, b in zip(begins, [*begins[1:], batch.num_rows][: len(begins)], strict=True):
             if held:
                 yield pa.Table.from_batches(held)
             held = [batch.slice(a, b - a)]
