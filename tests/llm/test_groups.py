@@ -1,12 +1,13 @@
 """Runs of keys across batches."""
 
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspark.llm.groups import runs, whole_runs
 
 
+@settings(deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=6), max_size=6))
 def test_runs(parts):
     keys = sorted(k for part in parts for k in part)
