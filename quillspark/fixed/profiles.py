@@ -61,12 +61,24 @@ SCORE_GAIN = {"critical": 15, "high": 10, "medium": 5, "low": 2}
 # --- fixed values: rule thresholds -----------------------------------------------------
 DEFAULT_CONFIG = {
     "min_abstract_words": 50, "max_abstract_words": 350, "min_section_words": 10, "variance_ratio": 10,
-    "max_grammar_issues": 10, "max_spelling_issues": 15, "max_punctuation_issues": 10, "max_long_words_pct": 25,
-    "max_avg_sentence_words": 25, "max_per_phrase": 2, "max_passive": 5, "max_hedging": 3, "max_weak": 5,
-    "max_sentence_words": 40, "max_repeats": 3, "min_words": 20, "max_words": 2000, "min_paragraph_lines": 3,
-    "max_claims": 5, "pack_id": "",
+    "max_long_words_pct": 25, "max_avg_sentence_words": 25, "max_sentence_words": 40, "max_repeats": 3, "min_words": 20,
+    "max_words": 2000, "min_paragraph_lines": 3, "pack_id": "",
 }
 
+# --- fixed values: published limits on what a rule reads and reports --------------------
+PUBLISHED_LIMITS = {
+    "max_grammar_issues": 10, "max_spelling_issues": 15, "max_punctuation_issues": 10, "max_per_phrase": 2,
+    "max_passive": 5, "max_hedging": 3, "max_weak": 5, "max_weak_per_line": 3, "max_tone_lines": 20,
+    "max_abstract_lines": 80, "narrative_chars": 50, "max_listed_numbers": 10, "max_acm_references": 3,
+    "reference_key_chars": 80, "fingerprint_words": 10, "max_duplicates": 5, "max_scope_terms": 5,
+    "max_contrast_words": 3, "max_contradictions": 3, "max_contrast_mixes": 1, "max_claims": 5,
+    "max_conclusion_lines": 30, "max_conclusion_terms": 10, "max_shown_terms": 5, "max_number_issues": 3,
+    "max_aligned_blocks": 10, "max_gaps": 1,
+}
+
+# every limit is off unless a configuration names it
+DEFAULT_CONFIG |= dict.fromkeys(PUBLISHED_LIMITS)
+
 # --- fixed values: issue mapping, category names -------------------------------------
 UNIFIED_CATEGORIES = [
     "formatting", "structure", "writing", "citation", "logic", "compliance", "figures", "tables", "consistency",

@@ -43,6 +43,19 @@ def tokens(col: Column) -> Column:
     return find_all(col, r"(?U)\w+")
 
 
+def repeats(items: Column, key: str, place: str) -> Column:
+    """Structs whose key an earlier one has, by place. Neighbours of a sorted array are compared, so it is no all-pairs search."""
+    ordered = let(F.array_sort(F.transform(items, lambda x: F.struct(x[key].alias("k"), x[place].alias("p"), x.alias("x")))),
+                  lambda xs: F.filter(xs, lambda x, i: (i > 0) & (F.get(xs, F.greatest(i - 1, F.lit(0)))["k"] == x["k"])))
+    by_place = F.array_sort(F.transform(ordered, lambda x: F.struct(x["p"].alias("p"), x["x"].alias("x"))))
+    return F.transform(by_place, lambda x: x["x"])
+
+
+def limited(array: Column, limit: int | None) -> Column:
+    """The first ``limit`` items; all of them without a limit."""
+    return array if limit is None else F.slice(array, 1, limit)
+
+
 def literal_count(col: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a literal."""
     return ((F.length(col) - F.length(F.replace(col, F.lit(needle), F.lit("")))) / len(needle)).cast("int")

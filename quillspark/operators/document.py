@@ -93,7 +93,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
         F.when(footnote, F.lit(0)).when(heading, F.lit(1)).when(numbered, depth).when(shout, F.lit(2))
         .otherwise(F.lit(0)).alias("level"),
         F.when(~footnote & centered, "center").otherwise("left").alias("alignment"),
-        F.when(footnote, text).otherwise(F.left(text, F.lit(2000))).alias("text"))
+        text.alias("text"))
 
 
 def table_cells(blocks: DataFrame) -> DataFrame:

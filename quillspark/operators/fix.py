@@ -16,8 +16,15 @@ def each_line(text: Column, change) -> Column:
     return F.array_join(F.transform(F.split(text, "\n", -1), change), "\n")
 
 
-def heading_style(text: Column) -> Column:
-    """a space after ``#`` or ``##``."""
+def heading_style(text: Column, published: bool = False) -> Column:
+    """one space after a heading's marks where there is none.
+
+    The published form knows two levels and takes ``## Title`` for a first-level heading of ``# Title``.
+    """
+    if not published:
+        return each_line(text, lambda line: F.when(
+            rx.strip(line).rlike(r"^#+[^#\s]"), F.regexp_replace(rx.strip(line), r"^(#+)", "$1 ")).otherwise(line))
+
     def change(line: Column) -> Column:
         bare = rx.strip(line)
         two, one = rx.strip(F.substring(bare, 3, 1 << 30)), rx.strip(F.substring(bare, 2, 1 << 30))

@@ -102,19 +102,21 @@ def retention(records: DataFrame, now: Column, days: dict[str, int] | None = Non
         "expired", F.coalesce(~F.col("legal_hold") & (now >= F.col("expires_at")), F.lit(False)))
 
 
-def nearest_rank(samples: DataFrame, quantiles: list[float], bins: int = 1024) -> DataFrame:
+def nearest_rank(samples: DataFrame, quantiles: list[float], bins: int = 256) -> DataFrame:
     """Exact nearest-rank percentiles per name without sorting a group in one task.
 
-    Values fall into ``bins`` equal ranges between the group's minimum and maximum; the bin counts (at most
-    ``bins`` rows per group) tell which bin holds each rank. Only rows of those bins are counted by value, and the
-    running count over their distinct values gives the answer.
+    Null and NaN values are no samples. Values are counted once; approximate quantiles cut each name into ``bins``
+    ranges of about equal counts, so an outlier does not put the rest in one range; the counts by range (at most
+    ``bins`` rows per name) tell which range holds each rank, and the running count over the distinct values of
+    that range gives the answer.
     """
-    span = samples.groupBy("name").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"), F.avg("value").alias("mean"))
-    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
-    binned = samples.join(span.select("name", "lo", "hi"), "name").select(
-        "name", "value", F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / width * bins)).cast("int").alias("bin"))
-    counts = binned.groupBy("name", "bin").agg(F.count("*").alias("size"))
+    samples = samples.where("value IS NOT NULL AND NOT isnan(value)")
+    cuts = F.percentile_approx("value", F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(10 * bins))
+    span = samples.groupBy("name").agg(F.max("value").alias("hi"), F.count("*").alias("n"), F.avg("value").alias("mean"), cuts.alias("cuts"))
+    distinct = samples.groupBy("name", "value").agg(F.count("*").alias("c"))
+    binned = distinct.join(span.select("name", "cuts"), "name").select(
+        "name", "value", "c", F.size(F.filter("cuts", lambda x: x < F.col("value"))).alias("bin"))
+    counts = binned.groupBy("name", "bin").agg(F.sum("c").alias("size"))
     running = Window.partitionBy("name").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0)))
     wanted = span.select("name", "n", F.explode(F.array(*[F.lit(q) for q in quantiles])).alias("quantile")).withColumn(
@@ -122,8 +124,7 @@ def nearest_rank(samples: DataFrame, quantiles: list[float], bins: int = 1024) -
     targets = counts.join(wanted, "name").where(
         (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("size"))).select(
         "name", "bin", "quantile", "rank", "before")
-    values = binned.join(targets.select("name", "bin").distinct(), ["name", "bin"], "left_semi").groupBy(
-        "name", "bin", "value").agg(F.count("*").alias("c"))
+    values = binned.join(targets.select("name", "bin").distinct(), ["name", "bin"], "left_semi")
     upto = Window.partitionBy("name", "bin").orderBy("value")
     placed = values.withColumn("upto", F.sum("c").over(upto))
     hits = placed.join(targets, ["name", "bin"]).where(F.col("before") + F.col("upto") >= F.col("rank"))

@@ -45,11 +45,16 @@ def year_validity(d: Doc, cfg: dict) -> Column:
     return F.when(d.text.contains("("), odd).otherwise(none())
 
 
+def opening(text: Column, chars: int | None) -> Column:
+    """The first characters of a text; all of it without a limit."""
+    return text if chars is None else F.left(text, F.lit(chars))
+
+
 def apa_format(d: Doc, cfg: dict) -> Column:
     groups = F.filter(
         d.matches(r"\([^)]{3,}\)"),
         lambda h: h["k"].rlike("[A-Z]") & h["k"].rlike(rx.exact(r"\d{4}"))
-        & ~h["k"].rlike(rx.exact(W.APA_IN_TEXT)) & ~F.left(h["line"], F.lit(50)).rlike(rx.exact(W.APA_NARRATIVE)))
+        & ~h["k"].rlike(rx.exact(W.APA_IN_TEXT)) & ~opening(h["line"], cfg["narrative_chars"]).rlike(rx.exact(W.APA_NARRATIVE)))
     found = F.transform(groups, lambda h: issue("apa-format", line=h["no"], excerpt=F.left(h["k"], F.lit(200))))
     return F.when(d.text.contains("("), found).otherwise(none())
 
@@ -70,7 +75,7 @@ def ieee_format(d: Doc, cfg: dict) -> Column:
             present(
                 F.when(F.get(n, F.lit(0)) != 1, issue("ieee-start", number=F.get(n, F.lit(0)))),
                 F.when(~in_order, issue(
-                    "ieee-order", numbers=F.array_join(F.slice(n, 1, 10).cast("array<string>"), ", "))),
+                    "ieee-order", numbers=F.array_join(rx.limited(n, cfg["max_listed_numbers"]).cast("array<string>"), ", "))),
             ),
         ).otherwise(none())
 
@@ -108,7 +113,7 @@ def acm_reference_format(d: Doc, cfg: dict) -> Column:
         lambda x: ~x["ref"].startswith("[")
         & ~((x["i"] + 1 < F.size(d.refs)) & x["ref"].rlike(r"^\p{Nd}"))
         & ~x["ref"].rlike(rx.exact(W.ACM_INITIALS)))
-    return F.transform(F.slice(unusual, 1, 3), lambda x: issue(
+    return F.transform(rx.limited(unusual, cfg["max_acm_references"]), lambda x: issue(
         "acm-reference", index=x["i"], position=x["i"] + 1, excerpt=F.left(x["ref"], F.lit(200))))
 
 
@@ -141,11 +146,9 @@ def style_consistency(d: Doc, cfg: dict) -> Column:
 
 
 def duplicate_reference(d: Doc, cfg: dict) -> Column:
-    later = rx.let(
-        F.transform(d.refs, lambda r: rx.strip(F.lower(F.left(r, F.lit(80))))),
-        lambda keys: F.filter(
-            F.transform(d.refs, lambda r, i: F.struct(r.alias("ref"), i.alias("i"))),
-            lambda x: F.array_position(keys, F.get(keys, x["i"])) < x["i"] + 1))
+    keyed = F.transform(d.refs, lambda r, i: F.struct(
+        rx.strip(F.lower(opening(r, cfg["reference_key_chars"]))).alias("key"), i.alias("i"), r.alias("ref")))
+    later = rx.repeats(keyed, "key", "i")
     return F.transform(later, lambda x: issue(
         "duplicate-ref", index=x["i"], position=x["i"] + 1, excerpt=F.left(x["ref"], F.lit(200))))
 

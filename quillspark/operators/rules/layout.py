@@ -65,7 +65,7 @@ def block_format(d: Doc, cfg: dict) -> Column:
         lambda b: F.lower(b["font_name"]))))
     aligned = F.transform(
         F.filter(d.blocks, lambda b: b["type"].isin("paragraph", "heading")), lambda b: b["alignment"])
-    seen = F.array_sort(F.array_distinct(F.slice(aligned, 1, 10)))
+    seen = F.array_sort(F.array_distinct(rx.limited(aligned, cfg["max_aligned_blocks"])))
     return present(
         F.when(F.size(fonts) > 1, issue("heading-font", fonts=F.array_join(fonts, ", "))),
         F.when((F.size(aligned) >= 3) & (F.size(seen) > 2),
@@ -79,8 +79,8 @@ def first_number(text: Column) -> Column:
     return F.regexp_extract(text, r"(\d+)", 1).try_cast("int")
 
 
-def numbering(d: Doc, kind: str, word: str, key: str) -> Column:
-    """First number that breaks the run; block captions count first, caption lines only without them."""
+def numbering(d: Doc, kind: str, word: str, key: str, limit: int | None = None) -> Column:
+    """Numbers that break the run; block captions count first, caption lines only without them."""
     pattern = rx.fold(word)
     from_blocks = F.transform(d.blocks, lambda b: (
         F.when((b["type"] == kind) & (b["caption"] != ""), first_number(b["caption"]))
@@ -94,17 +94,17 @@ def numbering(d: Doc, kind: str, word: str, key: str) -> Column:
         off = F.filter(
             F.transform(ns, lambda n, i: F.struct(n.alias("n"), (F.get(ns, F.lit(0)) + i).alias("expected"))),
             lambda x: x["n"] != x["expected"])
-        return F.transform(F.slice(off, 1, 1), lambda x: issue(key, number=x["n"], expected=x["expected"]))
+        return F.transform(rx.limited(off, limit), lambda x: issue(key, number=x["n"], expected=x["expected"]))
 
     return rx.let(numbers, judge)
 
 
 def figure_numbering(d: Doc, cfg: dict) -> Column:
-    return numbering(d, "figure", W.FIGURE_WORD, "figure-gap")
+    return numbering(d, "figure", W.FIGURE_WORD, "figure-gap", cfg["max_gaps"])
 
 
 def table_numbering(d: Doc, cfg: dict) -> Column:
-    return numbering(d, "table", W.TABLE_WORD, "table-gap")
+    return numbering(d, "table", W.TABLE_WORD, "table-gap", cfg["max_gaps"])
 
 
 def uncaptioned(d: Doc, kind: str, key: str) -> Column:

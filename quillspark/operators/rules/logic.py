@@ -59,20 +59,16 @@ def duplicate_content(d: Doc, cfg: dict) -> Column:
     def fingerprint(words: Column) -> Column:
         return F.when(
             F.size(words) >= 5,
-            F.array_join(F.slice(F.filter(words, lambda w: F.length(w) > 3), 1, 10), " "))
+            F.array_join(rx.limited(F.filter(words, lambda w: F.length(w) > 3), cfg["fingerprint_words"]), " "))
 
-    def judge(prints: Column) -> Column:
-        repeats = F.filter(
-            F.transform(prints, lambda p, i: F.struct(p.alias("p"), (i + 1).alias("no"))),
-            lambda x: x["p"].isNotNull() & (F.array_position(prints, x["p"]) < x["no"]))
-        return F.transform(F.slice(repeats, 1, 5), lambda x: issue(
-            "duplicate", line=x["no"], excerpt=cut(F.element_at(d.lines, x["no"]))))
-
-    return rx.let(F.transform(d.tokens, fingerprint), judge)
+    prints = F.filter(
+        F.transform(d.tokens, lambda ws, i: F.struct(fingerprint(ws).alias("p"), (i + 1).alias("no"))), lambda x: x["p"].isNotNull())
+    return F.transform(rx.limited(rx.repeats(prints, "p", "no"), cfg["max_duplicates"]), lambda x: issue(
+        "duplicate", line=x["no"], excerpt=cut(F.element_at(d.lines, x["no"]))))
 
 
 def scope_mismatch(d: Doc, cfg: dict) -> Column:
-    """First five capitalised terms of the plain-text conclusion that the first half never uses."""
+    """Capitalised terms of the plain-text conclusion that the first half never uses."""
     opened, closed = rx.fold(W.CONCLUSION_OPEN), rx.fold(W.CONCLUSION_CLOSE)
     start = F.struct(F.lit(False).alias("inside"), F.lit("").alias("text"))
 
@@ -87,7 +83,7 @@ def scope_mismatch(d: Doc, cfg: dict) -> Column:
     half = F.lower(F.array_join(F.slice(d.lines, F.lit(1), F.floor(d.n_lines / 2).cast("int")), " "))
 
     def judge(text: Column) -> Column:
-        terms = F.slice(rx.find_all(text, rx.exact(r"\b[A-Z][a-z]{3,}\b")), 1, 5)
+        terms = rx.limited(rx.find_all(text, rx.exact(r"\b[A-Z][a-z]{3,}\b")), cfg["max_scope_terms"])
         return rx.let(half, lambda body: F.transform(
             F.filter(terms, lambda t: ~F.contains(body, F.lower(t))),
             lambda t: issue("scope", term=t, term_lower=F.lower(t))))
@@ -99,22 +95,22 @@ def scope_mismatch(d: Doc, cfg: dict) -> Column:
 
 
 def contradictions(d: Doc, cfg: dict) -> Column:
-    def first_three(pattern: str) -> Column:
-        return F.concat(F.lit(r"(?U)\b(?:"), F.array_join(F.slice(rx.find_all(d.lower, rx.exact(pattern)), 1, 3), "|"),
-                        F.lit(r")\b"))
+    def words_used(pattern: str) -> Column:
+        used = rx.limited(rx.find_all(d.lower, rx.exact(pattern)), cfg["max_contrast_words"])
+        return F.concat(F.lit(r"(?U)\b(?:"), F.array_join(F.array_distinct(used), "|"), F.lit(r")\b"))
 
     def on_lines(p: Column) -> Column:
         both = F.filter(
             F.transform(d.lines, lambda line, i: F.struct(line.alias("line"), i.alias("i"))),
             lambda x: F.rlike(F.lower(x["line"]), p["absolute"]) & F.rlike(F.lower(x["line"]), p["qualifier"]))
-        return F.transform(F.slice(both, 1, 3), lambda x: issue(
+        return F.transform(rx.limited(both, cfg["max_contradictions"]), lambda x: issue(
             "contradiction", line=x["i"] + 1, index=x["i"], excerpt=cut(x["line"])))
 
     clash = F.when(
         d.uses(ABSOLUTE_WORDS) & d.uses(QUALIFIER_WORDS)
         & d.lower.rlike(rx.exact(W.ABSOLUTES)) & d.lower.rlike(rx.exact(W.QUALIFIERS)),
         rx.let(F.struct(
-            first_three(W.ABSOLUTES).alias("absolute"), first_three(W.QUALIFIERS).alias("qualifier")), on_lines),
+            words_used(W.ABSOLUTES).alias("absolute"), words_used(W.QUALIFIERS).alias("qualifier")), on_lines),
     ).otherwise(none())
 
     near = rx.let(
@@ -128,7 +124,7 @@ def contradictions(d: Doc, cfg: dict) -> Column:
         lambda x: x.isNotNull())
     mix = F.when(
         d.lower.contains("in contrast") & d.lower.contains("similarly"),
-        F.when(near, F.slice(mixed, 1, 1)).otherwise(none())).otherwise(none())
+        F.when(near, rx.limited(mixed, cfg["max_contrast_mixes"])).otherwise(none())).otherwise(none())
     return F.concat(clash, mix)
 
 
@@ -136,7 +132,7 @@ def claim_without_evidence(d: Doc, cfg: dict) -> Column:
     claim = rx.fold("|".join(f"(?:{p})" for p in W.CLAIMS))
     evidence = rx.fold("|".join(f"(?:{p})" for p in W.EVIDENCE_MARKERS))
     hits = d.lines_where(lambda line: F.when(line.rlike(claim) & ~line.rlike(evidence), F.lit(1)), CLAIM_WORDS)
-    return F.transform(F.slice(hits, 1, cfg["max_claims"]), lambda h: issue("claim", line=h["no"], excerpt=cut(h["line"])))
+    return F.transform(rx.limited(hits, cfg["max_claims"]), lambda h: issue("claim", line=h["no"], excerpt=cut(h["line"])))
 
 
 def unsupported_conclusion(d: Doc, cfg: dict) -> Column:
@@ -146,15 +142,15 @@ def unsupported_conclusion(d: Doc, cfg: dict) -> Column:
     starts = rx.fold(W.CONCLUSION_START)
     at = F.get(d.lines_where(lambda line: F.when(rx.strip(line).rlike(starts), F.lit(1))), F.lit(0))["no"] - 1
     body = F.lower(F.array_join(F.slice(d.lines, F.lit(1), F.greatest(F.lit(0), at - 1)), " "))
-    conclusion = F.array_join(F.slice(d.lines, at + 1, F.lit(30)), " ")
+    conclusion = F.array_join(F.slice(d.lines, at + 1, F.lit(cfg["max_conclusion_lines"]) if cfg["max_conclusion_lines"] else F.size(d.lines)), " ")
 
     def judge(x: Column) -> Column:
         terms = F.filter(
             rx.find_all(x["conclusion"], rx.exact(r"\b[A-Z][a-z]{2,}\b")),
             lambda t: (F.length(t) > 3) & ~F.lower(t).isin(W.CONCLUSION_STOP))
-        unseen = F.filter(F.slice(terms, 1, 10), lambda t: ~F.contains(x["body"], F.lower(t)))
+        unseen = F.filter(rx.limited(terms, cfg["max_conclusion_terms"]), lambda t: ~F.contains(x["body"], F.lower(t)))
         return only_if(F.size(unseen) > 0, issue(
-            "unsupported", count=F.size(unseen), terms=F.array_join(F.slice(unseen, 1, 5), ", ")))
+            "unsupported", count=F.size(unseen), terms=F.array_join(rx.limited(unseen, cfg["max_shown_terms"]), ", ")))
 
     return F.when(
         (d.n_lines >= 20) & (at - 1 >= 5),
@@ -177,9 +173,8 @@ def number_consistency(d: Doc, cfg: dict) -> Column:
     mixed = F.transform(
         d.lines_where(lambda line: F.when(line.rlike(digit) & line.rlike(word), F.lit(1))),
         lambda h: issue("mixed-numbers", line=h["no"], fix=True, excerpt=cut(h["line"])))
-    # the limit of three counts the date issue too
-    return rx.let(dates, lambda ds: F.when(
-        many, F.concat(ds, F.slice(mixed, F.lit(1), F.lit(3) - F.size(ds)))).otherwise(ds))
+    # a limit counts the date issue too
+    return rx.let(dates, lambda ds: F.when(many, rx.limited(F.concat(ds, mixed), cfg["max_number_issues"])).otherwise(ds))
 
 
 RULES = {

@@ -21,10 +21,10 @@ def title_check(d: Doc, cfg: dict) -> Column:
 
 
 def abstract_check(d: Doc, cfg: dict) -> Column:
-    """Word count from the abstract heading to the next heading, at most 80 lines."""
+    """Word count from the abstract heading to the next heading."""
     low, high = cfg["min_abstract_words"], cfg["max_abstract_words"]
     section = F.get(F.filter(d.sections, lambda s: s["key"].isin(W.ABSTRACT_HEADINGS)), F.lit(0))
-    body = F.slice(d.section_lines(section, include_next_heading=False), 1, 80)
+    body = rx.limited(d.section_lines(section, include_next_heading=False), cfg["max_abstract_lines"])
     words = F.aggregate(body, F.lit(0), lambda acc, line: acc + rx.word_count(line))
     sized = F.transform(F.array(words), lambda n: (
         F.when(n < low, issue("abstract-too-short", line=section["line_no"], words=n, limit=low))

@@ -10,8 +10,9 @@ from ...functions.findings import issue, none, only_if, present
 from ..parse import Doc
 
 
-def excerpt(line: Column, size: int = 200) -> Column:
-    return F.left(line, F.lit(size))
+def excerpt(line: Column, size: int | None = None) -> Column:
+    """The evidence of an issue. Fixes read it as the text to change, so a line is whole unless a size is given."""
+    return line if size is None else F.left(line, F.lit(size))
 
 
 # words a line needs before the grammar regexes are worth running
@@ -41,7 +42,7 @@ def first_pattern_per_line(d: Doc, patterns: list[str], limit: int | None = None
                            words: list[str] | None = None) -> Column:
     """(no, line, k): k is the 1-based index of the first pattern found on the line."""
     hits = d.lines_where(lambda line: rx.first_match(line, patterns), words)
-    return hits if limit is None else F.slice(hits, 1, limit)
+    return rx.limited(hits, limit)
 
 
 def grammar(d: Doc, cfg: dict) -> Column:
@@ -54,7 +55,7 @@ def grammar(d: Doc, cfg: dict) -> Column:
         return F.struct((i + 1).alias("no"), line.alias("line"),
                         F.when(worth, rx.first_match(line, patterns)).alias("k"))
 
-    hits = F.slice(F.filter(F.transform(d.lines, pick), lambda h: h["k"].isNotNull()), 1, cfg["max_grammar_issues"])
+    hits = rx.limited(F.filter(F.transform(d.lines, pick), lambda h: h["k"].isNotNull()), cfg["max_grammar_issues"])
     found = F.transform(hits, lambda h: issue(
         "grammar", line=h["no"], fix=d.may("writing", 3), excerpt=excerpt(h["line"]),
         problem=F.element_at(notes, h["k"]),
@@ -70,7 +71,7 @@ def spelling(d: Doc, cfg: dict) -> Column:
             F.filter(words, lambda t: t.isin(typos)),
             lambda t: F.struct((i + 1).alias("no"), F.get(d.lines, i).alias("line"), t.alias("k")))
 
-    hits = F.slice(F.flatten(F.transform(d.tokens, on_line)), 1, cfg["max_spelling_issues"])
+    hits = rx.limited(F.flatten(F.transform(d.tokens, on_line)), cfg["max_spelling_issues"])
     fixes = F.create_map(*[F.lit(x) for pair in W.TYPOS.items() for x in pair])
     found = F.transform(hits, lambda h: issue(
         "spelling", line=h["no"], fix=True, excerpt=excerpt(h["line"]), word=h["k"],
@@ -92,7 +93,7 @@ def punctuation(d: Doc, cfg: dict) -> Column:
             choice = F.when(found, F.lit(k)) if choice is None else choice.when(found, F.lit(k))
         return choice
 
-    hits = F.slice(d.lines_where(pick), 1, cfg["max_punctuation_issues"])
+    hits = rx.limited(d.lines_where(pick), cfg["max_punctuation_issues"])
     return F.transform(hits, lambda h: issue(
         "punctuation", line=h["no"], fix=True, excerpt=excerpt(h["line"]), problem=F.element_at(notes, h["k"])))
 
@@ -133,7 +134,7 @@ def overused_phrases(d: Doc, cfg: dict) -> Column:
         hits = F.when(worth, flags).otherwise(F.array().cast("array<int>"))
         return F.transform(hits, lambda k: F.struct((i + 1).alias("no"), line.alias("line"), k.alias("k")))
 
-    hits = F.slice(F.flatten(F.transform(d.lines, on_line)), 1, cfg["max_per_phrase"])
+    hits = rx.limited(F.flatten(F.transform(d.lines, on_line)), cfg["max_per_phrase"])
     return F.when(d.uses(OVERUSED_WORDS), F.transform(hits, lambda h: issue(
         "overused", line=h["no"], excerpt=excerpt(h["line"]), advice=F.element_at(advice, h["k"])))).otherwise(none())
 
@@ -152,7 +153,7 @@ def terminology(d: Doc, cfg: dict) -> Column:
 
 
 def passive_voice(d: Doc, cfg: dict) -> Column:
-    hits = F.slice(d.matches(rx.fold(W.PASSIVE), 1, words=BE_WORDS), 1, cfg["max_passive"])
+    hits = rx.limited(d.matches(rx.fold(W.PASSIVE), 1, words=BE_WORDS), cfg["max_passive"])
     placed = F.transform(hits, lambda h: F.struct(
         h["no"].alias("no"),
         F.substr(h["line"], F.greatest(F.lit(0), F.instr(F.lower(h["line"]), h["k"]) - 21) + 1, F.lit(100)).alias("context")))
@@ -161,13 +162,13 @@ def passive_voice(d: Doc, cfg: dict) -> Column:
 
 
 def hedging(d: Doc, cfg: dict) -> Column:
-    hits = F.slice(d.matches(rx.fold(rx.any_word(W.HEDGING_WORDS)), words=token_words(W.HEDGING_WORDS)), 1, cfg["max_hedging"])
+    hits = rx.limited(d.matches(rx.fold(rx.any_word(W.HEDGING_WORDS)), words=token_words(W.HEDGING_WORDS)), cfg["max_hedging"])
     return F.transform(hits, lambda h: issue(
         "hedging", line=h["no"], fix=d.may("writing", 4), excerpt=excerpt(h["line"]), match=h["k"]))
 
 
 def weak_wording(d: Doc, cfg: dict) -> Column:
-    hits = F.slice(d.matches(rx.fold(rx.any_word(W.WEAK_WORDS)), per_line=3, words=W.WEAK_WORDS), 1, cfg["max_weak"])
+    hits = rx.limited(d.matches(rx.fold(rx.any_word(W.WEAK_WORDS)), per_line=cfg["max_weak_per_line"], words=W.WEAK_WORDS), cfg["max_weak"])
     return F.transform(hits, lambda h: issue(
         "weak", line=h["no"], fix=d.may("writing", 3), excerpt=excerpt(h["line"]), match=h["k"]))
 
@@ -206,7 +207,7 @@ def long_sentence_piece(d: Doc, cfg: dict) -> Column:
 
     return F.transform(F.flatten(F.transform(d.lines, on_line)), lambda c: issue(
         "long-sentence", line=c["no"], fix=d.may("writing", 3), words=c["words"], limit=limit,
-        excerpt=excerpt(rx.strip(c["piece"]))))
+        excerpt=excerpt(rx.strip(c["piece"]), 200)))
 
 
 def repetition(d: Doc, cfg: dict) -> Column:
@@ -231,7 +232,7 @@ def tone_consistency(d: Doc, cfg: dict) -> Column:
             "informal", line=i + 1, fix=d.may("writing", 3), excerpt=excerpt(F.get(d.lines, i)), word=w))
 
     passive = rx.count(d.text, rx.fold(W.PASSIVE))
-    direct = F.size(F.filter(F.slice(d.lines, 1, 20), lambda line: line.rlike(r"^\p{Lu}")))
+    direct = F.size(F.filter(rx.limited(d.lines, cfg["max_tone_lines"]), lambda line: line.rlike(r"^\p{Lu}")))
     return (
         F.when(d.is_profile("academic"), F.flatten(F.transform(d.tokens, informal_on)))
         .when(d.is_profile("business"), only_if(passive > 10, issue("business-passive", count=passive)))

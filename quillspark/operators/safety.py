@@ -11,20 +11,25 @@ REPLY_ITEM = ("category string, rule_id string, severity string, message string,
               "evidence_excerpt string, confidence string")
 
 
-def found_values(text: Column, pattern: str, limit: int | None = 5) -> Column:
-    """Distinct full matches in order, at most ``limit``."""
+def found_values(text: Column, pattern: str, limit: int | None = None) -> Column:
+    """Distinct full matches in order; at most ``limit`` where one is given."""
     values = F.array_distinct(rx.find_all(text, rx.exact(pattern)))
     return values if limit is None else F.slice(values, 1, limit)
 
 
-def pii_rows(docs: DataFrame, limit: int | None = 5) -> DataFrame:
-    """One row per document, kind and value. A cheap digit / @ test spares plain texts the regexes."""
+# what every match of a kind contains; the last kind can be letters alone and has no such test
+PII_NEEDS = {"email": "@", "phone": r"(?U)\d", "ssn": r"(?U)\d", "credit_card": r"(?U)\d", "ip_address": r"(?U)\d"}
+
+
+def pii_rows(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per document, kind and value. A text without what a kind needs is spared its regex."""
     def named(kind: str, pattern: str) -> Column:
-        return F.transform(found_values(F.col("text"), pattern, limit),
-                           lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+        found = F.transform(found_values(F.col("text"), pattern, limit),
+                            lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+        return F.when(F.col("text").rlike(PII_NEEDS[kind]), found).otherwise(F.slice(found, 1, 0)) if kind in PII_NEEDS else found
 
     kinds = F.concat(*[named(k, p) for k, p in X.PII])
-    rows = docs.where(F.col("text").rlike(r"[0-9@]|[A-Za-z]{32}")).select("doc_id", F.explode_outer(kinds).alias("x"))
+    rows = docs.select("doc_id", F.explode_outer(kinds).alias("x"))
     return rows.where("x IS NOT NULL").select("doc_id", "x.*")
 
 
@@ -125,9 +130,11 @@ def valid_fix(original: Column, suggested: Column) -> Column:
     return F.coalesce((original != "") & (suggested != ""), F.lit(False))
 
 
-def sanitized(text: Column, limit: int = 100_000) -> Column:
-    """L08."""
+def sanitized(text: Column, limit: int | None = None) -> Column:
+    """Without control characters; shortened only to a given limit."""
     clean = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    if limit is None:
+        return clean
     return F.when(F.length(clean) > limit, F.concat(F.left(clean, F.lit(limit)), F.lit("\n\n[...response truncated...]"))).otherwise(clean)
 
 

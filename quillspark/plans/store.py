@@ -23,15 +23,17 @@ def _equal(**filters) -> Column:
 
 
 def page(df: DataFrame, order: list, limit: int | None, offset: int = 0) -> DataFrame:
-    """Ordered page; with a limit Spark keeps only the top rows of each partition."""
+    """Ordered page of ``limit`` rows, of which Spark keeps only the top rows of each partition; all rows, unordered, without a limit."""
+    if limit is None:
+        if offset:
+            raise ValueError("an offset needs a limit: without one all rows would go through one task")
+        return df
     out = df.orderBy(*order)
-    if offset:
-        out = out.offset(offset)
-    return out if limit is None else out.limit(limit)
+    return (out.offset(offset) if offset else out).limit(limit)
 
 
 def list_sessions(sessions: DataFrame, search: str | None = None, score_min: int | None = None,
-                  score_max: int | None = None, limit: int | None = 30, offset: int = 0, **equal) -> DataFrame:
+                  score_max: int | None = None, limit: int | None = None, offset: int = 0, **equal) -> DataFrame:
     """Q-01."""
     keep = _equal(**equal) & _ilike(search, "filename", "summary")
     if score_min is not None:
@@ -45,7 +47,7 @@ def severity_order(other: int = 2) -> Column:
     return F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(other)
 
 
-def list_issues(issues: DataFrame, session_id, search: str | None = None, limit: int | None = 100, offset: int = 0,
+def list_issues(issues: DataFrame, session_id, search: str | None = None, limit: int | None = None, offset: int = 0,
                 **equal) -> DataFrame:
     """Q-02: issues of one session."""
     keep = (F.col("session_id") == session_id) & _equal(**equal) & _ilike(search, "message", "recommendation")
@@ -58,7 +60,7 @@ def with_session(issues: DataFrame, sessions: DataFrame, *columns: str) -> DataF
     return issues.join(side, "session_id")
 
 
-def list_all_issues(issues: DataFrame, sessions: DataFrame, search: str | None = None, limit: int | None = 100,
+def list_all_issues(issues: DataFrame, sessions: DataFrame, search: str | None = None, limit: int | None = None,
                     offset: int = 0, **equal) -> DataFrame:
     """Q-03."""
     joined = with_session(issues.where(_ilike(search, "message", "recommendation")), sessions,
@@ -86,22 +88,22 @@ def issue_history(issues: DataFrame, sessions: DataFrame, asked: DataFrame) -> D
 def sessions_of_document(sessions: DataFrame, document_id, user_id=None) -> DataFrame:
     """Q-06."""
     return sessions.where(_equal(document_id=document_id, user_id=user_id)).select(
-        "id", "created_at", "profile_id", "status", "score", "summary").orderBy(F.desc("created_at"))
+        "id", "created_at", "profile_id", "status", "score", "summary")
 
 
 def current_status(issues: DataFrame, events: DataFrame) -> DataFrame:
     """Q-07: status after all update events; the latest event wins, a resolve time once set is kept.
 
     ``events(target, key, category, status, at)``: target ``issue`` updates one issue, ``session`` all of a session,
-    of one category when given. Events fold to the newest per key before they meet the issues.
+    of one category when given (the category of an ``issue`` event has no meaning). Events fold to the newest per key before they meet the issues.
     """
-    def newest(target: str) -> DataFrame:
+    def newest(target: str, *keys: str) -> DataFrame:
         closing = F.col("status").isin("resolved", "ignored")
-        return events.where(F.col("target") == target).groupBy("key", "category").agg(
+        return events.where(F.col("target") == target).groupBy(*keys).agg(
             F.max(F.struct("at", "status")).alias("last"), F.max(F.when(closing, F.col("at"))).alias("closed"))
 
-    own = newest("issue").select(F.col("key").alias("id"), F.col("last").alias("a"), F.col("closed").alias("a_closed"))
-    whole = newest("session")
+    own = newest("issue", "key").select(F.col("key").alias("id"), F.col("last").alias("a"), F.col("closed").alias("a_closed"))
+    whole = newest("session", "key", "category")
     any_cat = whole.where("category IS NULL").select(
         F.col("key").alias("session_id"), F.col("last").alias("b"), F.col("closed").alias("b_closed"))
     one_cat = whole.where("category IS NOT NULL").select(
@@ -179,7 +181,7 @@ def compare_runs(issues: DataFrame, pairs: DataFrame) -> DataFrame:
         *[(F.sum(f"{sev}_2") - F.sum(f"{sev}_1")).alias(f"{sev}_change") for sev in ("high", "medium", "low")])
 
 
-def search(documents: DataFrame, sessions: DataFrame, issues: DataFrame, needle: str, limit: int | None = 20) -> DataFrame:
+def search(documents: DataFrame, sessions: DataFrame, issues: DataFrame, needle: str, limit: int | None = None) -> DataFrame:
     """Q-11: three searches under one schema."""
     def kind(df: DataFrame, name: str, label: str, *fields: str) -> DataFrame:
         hits = df.where(_ilike(needle, *fields)).select(F.lit(name).alias("kind"), F.col("id").cast("string").alias("id"), F.col(label).alias("label"))

@@ -38,7 +38,7 @@ def save_run(scored: DataFrame, issues: DataFrame, folder: str, run_id: str, cre
 
 
 def list_documents(documents: DataFrame, search: str | None = None, content_type: str | None = None,
-                   limit: int | None = 30, offset: int = 0) -> DataFrame:
+                   limit: int | None = None, offset: int = 0) -> DataFrame:
     """S09."""
     from ..plans.store import _equal, _ilike, page
 

@@ -70,7 +70,7 @@ Q["p09_page_blocks"] = (
     lambda s, d: DOC.page_blocks(page_text(s, d)),
     _PAGES + f"""SELECT doc_id, page, piece, CASE WHEN foot THEN 'footnote' WHEN chap OR num OR shout THEN 'heading' WHEN cap THEN 'caption' ELSE 'paragraph' END AS type,
     CASE WHEN foot THEN 0 WHEN chap THEN 1 WHEN num THEN len(string_split(regexp_extract(text, {q(W.PAGE_NUMBERED)}, 1), '.')) WHEN shout THEN 2 ELSE 0 END AS level,
-    CASE WHEN foot THEN 'left' ELSE 'center' END AS alignment, CASE WHEN foot THEN text ELSE left(text, 2000) END AS text FROM typed""")
+    CASE WHEN foot THEN 'left' ELSE 'center' END AS alignment, text FROM typed""")
 _LOOK = f"len(string_split({strip('text')}, chr(10))) >= 2 AND (contains(text, chr(9)) OR regexp_matches(text, '(?m)^\\|'))"
 Q["p10_table_cells"] = (
     lambda s, d: DOC.table_cells(DOC.page_blocks(page_text(s, d))),
@@ -80,7 +80,7 @@ Q["p10_table_cells"] = (
         WHEN contains(line, chr(9)) THEN list_filter(list_transform(string_split(line, chr(9)), lambda x: {strip('x')}), lambda x: x <> '')
         ELSE [{strip('line')}] END AS cells FROM (
         SELECT doc_id, page, piece, unnest(string_split({strip('text')}, chr(10))) AS line, generate_subscripts(string_split({strip('text')}, chr(10)), 1) AS r FROM (
-          SELECT doc_id, page, piece, CASE WHEN foot THEN text ELSE left(text, 2000) END AS text FROM typed) WHERE {_LOOK}))) WHERE cell <> '' AND cell <> '---'""")
+          SELECT doc_id, page, piece, text FROM typed) WHERE {_LOOK}))) WHERE cell <> '' AND cell <> '---'""")
 # --- P11-P14 ---------------------------------------------------------------------------
 Q["p11_citations"] = (
     lambda s, d: DOC.citation_rows(parsed(s, d)),

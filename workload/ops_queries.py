@@ -23,20 +23,25 @@ _LOCAL = [(k, p) for k, p in X.PII]
 # ASCII \b and \w decide the ends of a match; folding keeps one character per letter, so values are cut from the raw text
 
 
-def pii_sql(limit: int) -> str:
+# every fifth text also holds a key of letters alone
+KEY = " key sk-abcdefghijklmnopqrstuvwxyz end"
+keyed = lambda s, d: documents(s, d).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.lit(KEY)).otherwise(F.lit(""))))
+_KEYED = f"(SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN {q(KEY)} ELSE '' END AS text FROM raw_docs)"
+
+
+def pii_sql() -> str:
     return RAW + " UNION ALL ".join(
-        f"SELECT doc_id, {q(k)} AS kind, value FROM (SELECT doc_id, value, row_number() OVER (PARTITION BY doc_id ORDER BY first_at) AS rn FROM (SELECT doc_id, v AS value, min(i) AS first_at FROM "
-        f"(SELECT doc_id, unnest(regexp_extract_all(t, {q(p)})) AS v, generate_subscripts(regexp_extract_all(t, {q(p)}), 1) AS i FROM (SELECT doc_id, {ascii_fold('text')} AS t FROM raw_docs)) GROUP BY doc_id, v)) WHERE rn <= {limit}"
+        f"SELECT DISTINCT doc_id, {q(k)} AS kind, unnest(regexp_extract_all(t, {q(p)})) AS value FROM (SELECT doc_id, {ascii_fold('text')} AS t FROM {_KEYED})"
         for k, p in X.PII)
 
 
-Q["l01_pii"] = (lambda s, d: L.pii_rows(documents(s, d)), pii_sql(5))
+Q["l01_pii"] = (lambda s, d: L.pii_rows(keyed(s, d)), pii_sql())
 _RED = "t"
 for _k, _p in X.PII:
     _RED = f"regexp_replace({_RED}, {q(_p)}, '[REDACTED_{_k.upper()}]', 'g')"
 Q["l02_redaction"] = (
-    lambda s, d: documents(s, d).select("doc_id", F.length(L.redacted(F.col("text"))).alias("chars"), rx.literal_count(L.redacted(F.col("text")), "[REDACTED_").alias("redactions")),
-    RAW + f"SELECT doc_id, length(r) AS chars, (length(r) - length(replace(r, '[REDACTED_', ''))) // 10 AS redactions FROM (SELECT doc_id, {_RED} AS r FROM (SELECT doc_id, {ascii_fold('text')} AS t FROM raw_docs))")
+    lambda s, d: keyed(s, d).select("doc_id", F.length(L.redacted(F.col("text"))).alias("chars"), rx.literal_count(L.redacted(F.col("text")), "[REDACTED_").alias("redactions")),
+    RAW + f"SELECT doc_id, length(r) AS chars, (length(r) - length(replace(r, '[REDACTED_', ''))) // 10 AS redactions FROM (SELECT doc_id, {_RED} AS r FROM (SELECT doc_id, {ascii_fold('text')} AS t FROM {_KEYED}))")
 topical = lambda s, d: drafts(s, d).select("doc_id", "profile_id", F.concat("text", pick(["", " Confidential data.", " Keep it internal only, a trade secret.", ""], F.col("doc_id"))).alias("text"))
 _TOP = base() + f", top AS (SELECT doc_id, profile_id, text || {sql_pick(['', ' Confidential data.', ' Keep it internal only, a trade secret.', ''], 'doc_id')} AS text FROM docs)"
 _TOPICS = f"array_to_string(list_filter([{', '.join(q(t) for t in X.SENSITIVE_TOPICS)}], lambda t: contains(lower(text), t)), ',')"
@@ -85,11 +90,11 @@ Q["l06_validated_items"] = (
     lambda s, d: L.validated_items(L.reply_items(replies(s, d))).select("doc_id", "item", "severity", "confidence", "missing", "reply_valid"),
     _REP + "SELECT doc_id, item, sev AS severity, c AS confidence, m AS missing, doc_id % 6 <> 4 AS reply_valid FROM x")
 Q["l07_valid_fixes"] = (
-    lambda s, d: documents(s, d).select("doc_id", L.valid_fix(F.left("text", F.lit(20)), F.when(F.col("doc_id") % 3 > 0, F.substring_index("text", "\n", 1)).otherwise(F.lit(""))).alias("valid")),
-    "SELECT doc_id, left(text, 20) <> '' AND doc_id % 3 > 0 AND string_split(text, chr(10))[1] <> '' AS valid FROM documents")
+    lambda s, d: documents(s, d).select("doc_id", L.valid_fix(F.col("text"), F.when(F.col("doc_id") % 3 > 0, F.substring_index("text", "\n", 1)).otherwise(F.lit(""))).alias("valid")),
+    "SELECT doc_id, text <> '' AND doc_id % 3 > 0 AND string_split(text, chr(10))[1] <> '' AS valid FROM documents")
 Q["l08_sanitized"] = (
-    lambda s, d: documents(s, d).select("doc_id", F.sha2(L.sanitized(F.concat(F.lit("\u0001"), F.replace("text", F.lit(" the "), F.lit("\u0007 the "))), 800), 256).alias("digest")),
-    "SELECT doc_id, sha256(CASE WHEN length(t) > 800 THEN left(t, 800) || chr(10) || chr(10) || '[...response truncated...]' ELSE t END) AS digest FROM (SELECT doc_id, replace(text, ' the ', ' the ') AS t FROM documents)")
+    lambda s, d: documents(s, d).select("doc_id", F.sha2(L.sanitized(F.concat(F.lit("\u0001"), F.replace("text", F.lit(" the "), F.lit("\u0007 the ")))), 256).alias("digest")),
+    "SELECT doc_id, sha256(t) AS digest FROM (SELECT doc_id, replace(text, ' the ', ' the ') AS t FROM documents)")
 
 
 def quotes(s, d):
@@ -183,9 +188,9 @@ Q["o07_retention"] = (
     lambda s, d: O.retention(records(s, d), F.lit("2025-01-10 00:00:00").cast("timestamp")).select("event_id", "expires_at", "expired"),
     f"SELECT event_id, x AS expires_at, user_id % 5 <> 0 AND TIMESTAMP '2025-01-10 00:00:00' >= x AS expired FROM (SELECT *, ts + to_days([90, 365, 730, 365][CAST(event_id % 4 + 1 AS INTEGER)]) AS x FROM events)")
 Q["o08_percentiles"] = (
-    lambda s, d: O.nearest_rank(events(s, d).select(F.col("event_type").alias("name"), "value"), [0.5, 0.95, 0.99]),
-    """WITH r AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events)
-    SELECT r.name, q::DOUBLE AS quantile, r.value, m.mean, m.mx AS max FROM r JOIN (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) t(q) ON r.rn = greatest(1, ceil(q * n)) JOIN (SELECT event_type AS name, round(avg(value), 2) AS mean, max(value) AS mx FROM events GROUP BY 1) m ON m.name = r.name""")
+    lambda s, d: O.nearest_rank(events(s, d).select(F.col("event_type").alias("name"), F.when(F.col("event_id") % 11 > 0, F.col("value")).alias("value")), [0.5, 0.95, 0.99]),
+    """WITH v AS (SELECT event_type, value FROM events WHERE event_id % 11 > 0), r AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM v)
+    SELECT r.name, q::DOUBLE AS quantile, r.value, m.mean, m.mx AS max FROM r JOIN (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) t(q) ON r.rn = greatest(1, ceil(q * n)) JOIN (SELECT event_type AS name, round(avg(value), 2) AS mean, max(value) AS mx FROM v GROUP BY 1) m ON m.name = r.name""")
 
 # --- S01-S15 ----------------------------------------------------------------------------------------
 EXT = ["a.md", "b.TXT", "c.tex", "d.html", "e.pdf", "f.docx", "g.csv"]

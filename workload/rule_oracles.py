@@ -9,10 +9,8 @@ from .sql import any_in, base, count_in, found, has, n, q, strip, words
 MAY3, MAY4 = "writing_level >= 3", "writing_level >= 4"
 
 
-def top(rel: str, order: str, limit: int, extra: str = "") -> str:
-    """Rows of ``rel`` up to a per-document limit."""
-    return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS rn {extra} "
-            f"FROM {rel}) WHERE rn <= {limit})")
+def every(rel: str) -> str:
+    return f"(SELECT * FROM {rel})"
 
 
 def first_pattern(patterns: list[str], x: str, flags: str) -> str:
@@ -39,8 +37,7 @@ def structure() -> dict[str, list[str]]:
     abstract = f"""(SELECT s.doc_id, s.line_no, coalesce(sum({words('l.line')}), 0) AS words FROM
         (SELECT * FROM sects WHERE key IN ({', '.join(q(x) for x in W.ABSTRACT_HEADINGS)})
          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) = 1) s
-        LEFT JOIN lines l ON l.doc_id = s.doc_id AND l.line_no > s.line_no AND l.line_no <= s.line_no + 80
-          AND (s.nxt IS NULL OR l.line_no < s.nxt) GROUP BY ALL)"""
+        LEFT JOIN lines l ON l.doc_id = s.doc_id AND l.line_no > s.line_no AND (s.nxt IS NULL OR l.line_no < s.nxt) GROUP BY ALL)"""
     o["structure.abstract-check"] = [
         found("abstract-too-short", abstract, "words < 50", line="line_no", words="words", limit="50"),
         found("abstract-too-long", abstract, "words > 350", line="line_no", words="words", limit="350"),
@@ -106,21 +103,21 @@ def structure() -> dict[str, list[str]]:
 def writing() -> dict[str, list[str]]:
     o: dict[str, list[str]] = {}
     k = first_pattern([p for p, _ in W.GRAMMAR], "al", "i")
-    rel = top(f"(SELECT *, {k} AS k FROM lines) WHERE k IS NOT NULL", "line_no", 10)
+    rel = every(f"(SELECT *, {k} AS k FROM lines) WHERE k IS NOT NULL")
     pats = lst(["(?i)" + p for p, _ in W.GRAMMAR])
     match = "CASE k " + " ".join(f"WHEN {i} THEN regexp_extract(al, {q('(?i)' + p)}, 0)" for i, (p, _) in enumerate(W.GRAMMAR, 1)) + " END"
     o["writing.grammar"] = [
-        found("grammar", rel, line="line_no", fix=MAY3, excerpt="left(line, 200)",
+        found("grammar", rel, line="line_no", fix=MAY3, excerpt="line",
               problem=f"{lst([m for _, m in W.GRAMMAR])}[k]", match=f"left({match}, 60)")]
     typos = ", ".join(f"({q(a)}, {q(b)})" for a, b in W.TYPOS.items())
     toks = each_match(r"\w+", "", x="lower(al)")
     o["writing.spelling"] = [
-        found("spelling", top(f"{toks} t JOIN (VALUES {typos}) y(typo, fixed) ON t.m = y.typo", "line_no, mpos", 15),
-              line="line_no", fix="TRUE", excerpt="left(line, 200)", word="typo", correction="fixed")]
+        found("spelling", every(f"{toks} t JOIN (VALUES {typos}) y(typo, fixed) ON t.m = y.typo"),
+              line="line_no", fix="TRUE", excerpt="line", word="typo", correction="fixed")]
     k = first_pattern([p if "(?!" not in p else r"(?:^|[^.])(?:\.\.)*\.\.(?:[^.]|$)|\.\.(?:[^.]|$)" for p, _ in W.PUNCTUATION], "line", "")
     o["writing.punctuation"] = [
-        found("punctuation", top(f"(SELECT *, {k} AS k FROM lines) WHERE k IS NOT NULL", "line_no", 10), line="line_no",
-              fix="TRUE", excerpt="left(line, 200)", problem=f"{lst([m for _, m in W.PUNCTUATION])}[k]")]
+        found("punctuation", every(f"(SELECT *, {k} AS k FROM lines) WHERE k IS NOT NULL"), line="line_no",
+              fix="TRUE", excerpt="line", problem=f"{lst([m for _, m in W.PUNCTUATION])}[k]")]
     read = f"""(SELECT doc_id, 100.0 * long / w AS pct, long, w / nullif(s, 0) AS avg_words, w, s, pieces FROM (SELECT doc_id,
         {n('folded', r'\w+')} AS w, {n('folded', r'\b\w{10,}\b')} AS long,
         len(string_split_regex(text, '[.!?]+\\s+')) AS pieces,
@@ -133,7 +130,7 @@ def writing() -> dict[str, list[str]]:
         f"SELECT doc_id, line_no, line, {i} AS k, {q(advice)} AS advice FROM lines WHERE {has('al', p, 'i')}"
         for i, (p, advice) in enumerate(W.OVERUSED, 1))
     o["writing.overused-phrases"] = [
-        found("overused", top(f"({pairs})", "line_no, k", 2), line="line_no", excerpt="left(line, 200)", advice="advice")]
+        found("overused", every(f"({pairs})"), line="line_no", excerpt="line", advice="advice")]
     count = lambda w: f"CAST((length(low) - length(replace(low, {q(w)}, ''))) / {len(w)} AS BIGINT)"
     o["writing.terminology"] = [
         found("terminology", f"(SELECT doc_id, {count(a)} AS na, {count(b)} AS nb FROM docs)", "na > 0 AND nb > 0",
@@ -142,22 +139,22 @@ def writing() -> dict[str, list[str]]:
         for a, b in W.TERM_VARIANTS]
     ctx = "substr(line, greatest(0, strpos(lower(al), m) - 21) + 1, 100)"
     o["writing.passive-voice"] = [
-        found("passive", top(each_match(W.PASSIVE, "i", 1), "line_no, mpos", 5), line="line_no", fix=MAY3, excerpt=ctx,
+        found("passive", every(each_match(W.PASSIVE, "i", 1)), line="line_no", fix=MAY3, excerpt=ctx,
               context=strip(ctx))]
     word_re = lambda ws: r"\b(?:" + "|".join(ws) + r")\b"
     o["writing.hedging"] = [
-        found("hedging", top(each_match(word_re(W.HEDGING_WORDS), "i"), "line_no, mpos", 3), line="line_no", fix=MAY4,
-              excerpt="left(line, 200)", match="m")]
+        found("hedging", every(each_match(word_re(W.HEDGING_WORDS), "i")), line="line_no", fix=MAY4,
+              excerpt="line", match="m")]
     o["writing.weak-wording"] = [
-        found("weak", top(f"{each_match(word_re(W.WEAK_WORDS), 'i')} WHERE mpos <= 3", "line_no, mpos", 5), line="line_no",
-              fix=MAY3, excerpt="left(line, 200)", match="m")]
+        found("weak", every(f"{each_match(word_re(W.WEAK_WORDS), 'i')}"), line="line_no",
+              fix=MAY3, excerpt="line", match="m")]
     k = first_pattern([p for p, _ in W.VERBOSE], "al", "i")
     o["writing.verbosity"] = [
         found("verbose", f"(SELECT *, {k} AS k FROM lines)", "k IS NOT NULL", line="line_no", fix=MAY3,
-              excerpt="left(line, 200)", advice=f"{lst([a for _, a in W.VERBOSE])}[k]")]
+              excerpt="line", advice=f"{lst([a for _, a in W.VERBOSE])}[k]")]
     o["writing.contractions"] = [
         found("contraction", each_match(word_re(W.CONTRACTIONS), "i"), "profile_id IN ('academic', 'sop')", line="line_no",
-              fix=MAY4, excerpt="left(line, 200)", match="m", profile="profile_name")]
+              fix=MAY4, excerpt="line", match="m", profile="profile_name")]
     o["writing.sentence-length"] = [
         found("long-line", "lines", f"{n('al', r'\w+')} > 40", line="line_no", fix=MAY3, excerpt="left(line, 220)")]
     pieces = """(SELECT doc_id, writing_level, line_no, unnest(string_split_regex(line, '[.!?]+')) AS piece,
@@ -170,9 +167,9 @@ def writing() -> dict[str, list[str]]:
     o["writing.repetition"] = [found("repetition", rep, "c > 3", word="m", count="c")]
     inf = f"(SELECT DISTINCT doc_id, writing_level, line_no, line, m FROM {toks} WHERE profile_id = 'academic' AND m IN ({', '.join(q(x) for x in W.INFORMAL_WORDS)}))"
     o["writing.tone-consistency"] = [
-        found("informal", inf, line="line_no", fix=MAY3, excerpt="left(line, 200)", word="m"),
+        found("informal", inf, line="line_no", fix=MAY3, excerpt="line", word="m"),
         found("business-passive", f"(SELECT *, {n('folded', W.PASSIVE, 'i')} AS c FROM docs)", "profile_id = 'business' AND c > 10", count="c"),
-        found("sop-imperative", """(SELECT doc_id, count(*) FILTER (WHERE line_no <= 20 AND regexp_matches(line, '^\\p{Lu}')) AS c
+        found("sop-imperative", """(SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^\\p{Lu}')) AS c
               FROM lines WHERE profile_id = 'sop' GROUP BY doc_id)""", "c < 3")]
     return o
 
@@ -193,7 +190,7 @@ def citation() -> dict[str, list[str]]:
     group = "(SELECT doc_id, line_no, line, unnest(regexp_extract_all(line, '\\([^)]{3,}\\)')) AS g FROM lines)"
     o["citation.apa-format"] = [
         found("apa-format", group, f"{has('g', '[A-Z]')} AND {has('g', r'\d{4}')} AND NOT {has('g', W.APA_IN_TEXT)} AND NOT "
-              f"{has('left(line, 50)', W.APA_NARRATIVE)}", line="line_no", excerpt="left(g, 200)")]
+              f"{has('line', W.APA_NARRATIVE)}", line="line_no", excerpt="left(g, 200)")]
     o["citation.apa-heading"] = [
         found("apa-no-heading", "nref", "n_refs > 0 AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = nref.doc_id AND "
               "regexp_matches(title, '(?i)^(references|bibliography)$'))", count="n_refs")]
@@ -207,7 +204,7 @@ def citation() -> dict[str, list[str]]:
     lowest = lambda p, g: f"(SELECT doc_id, min(v) AS v FROM {numbers(p, g)} GROUP BY doc_id)"
     seen = f"""(SELECT doc_id, max(CASE WHEN v <> rn THEN 1 ELSE 0 END) AS off FROM (SELECT doc_id, v,
         row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS rn FROM {numbers(W.IEEE)} GROUP BY doc_id, v) GROUP BY doc_id)"""
-    shown = f"(SELECT doc_id, string_agg(CAST(v AS VARCHAR), ', ' ORDER BY pos) FILTER (WHERE pos <= 10) AS shown FROM {numbers(W.IEEE)} GROUP BY doc_id)"
+    shown = f"(SELECT doc_id, string_agg(CAST(v AS VARCHAR), ', ' ORDER BY pos) AS shown FROM {numbers(W.IEEE)} GROUP BY doc_id)"
     o["citation.ieee-format"] = [
         found("ieee-start", first(W.IEEE), "v <> 1", number="v"),
         found("ieee-order", f"{seen} JOIN {shown} USING (doc_id)", "off = 1", numbers="shown")]
@@ -220,8 +217,8 @@ def citation() -> dict[str, list[str]]:
     o["citation.nature-format"] = [found("nature-start", lowest(W.NATURE_SUPERSCRIPT, 1), "v <> 1", number="v")]
     odd = "(SELECT r.*, n.n_refs FROM refs r JOIN nref n USING (doc_id))"
     o["citation.acm-reference-format"] = [
-        found("acm-reference", top(f"{odd} WHERE NOT starts_with(ref, '[') AND NOT (pos + 1 < n_refs AND regexp_matches(ref, "
-              f"'^\\p{{Nd}}')) AND NOT {has('ref', W.ACM_INITIALS)}", "pos", 3), index="pos", position="pos + 1", excerpt="left(ref, 200)")]
+        found("acm-reference", every(f"{odd} WHERE NOT starts_with(ref, '[') AND NOT (pos + 1 < n_refs AND regexp_matches(ref, "
+              f"'^\\p{{Nd}}')) AND NOT {has('ref', W.ACM_INITIALS)}"), index="pos", position="pos + 1", excerpt="left(ref, 200)")]
     o["citation.springer-format"] = [
         found("springer-no-refs", f"(SELECT *, {n('text', W.SPRINGER)} AS c FROM nref)", "c > 0 AND n_refs = 0", count="c")]
     o["citation.elsevier-format"] = [found("elsevier-start", first(W.ELSEVIER), "v <> 1", number="v")]
@@ -232,7 +229,7 @@ def citation() -> dict[str, list[str]]:
         found("mixed-styles", f"(SELECT doc_id, list_filter([{styles}], lambda s: s IS NOT NULL) AS st FROM docs)",
               "len(st) > 1", styles="array_to_string(st, ', ')")]
     o["citation.duplicate-reference"] = [
-        found("duplicate-ref", f"(SELECT *, row_number() OVER (PARTITION BY doc_id, {strip('lower(left(ref, 80))')} ORDER BY pos) AS rn FROM refs)",
+        found("duplicate-ref", f"(SELECT *, row_number() OVER (PARTITION BY doc_id, {strip('lower(ref)')} ORDER BY pos) AS rn FROM refs)",
               "rn > 1", index="pos", position="pos + 1", excerpt="left(ref, 200)")]
     loose = f"(SELECT *, {has('text', W.LOOSE_CITATION)} AS cited FROM nref)"
     o["citation.reference-list"] = [
@@ -266,7 +263,7 @@ def layout() -> dict[str, list[str]]:
               "lower(font_name)) AS fonts FROM blk WHERE type = 'heading' AND font_name <> '' GROUP BY doc_id)", "c > 1", fonts="fonts"),
         found("mixed-alignment", "(SELECT doc_id, max(c) AS c, count(DISTINCT alignment) AS nd, string_agg(DISTINCT alignment, ', ' ORDER BY "
               "alignment) AS al FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY "
-              "block_idx) AS rn FROM blk WHERE type IN ('paragraph', 'heading')) WHERE rn <= 10 GROUP BY doc_id)",
+              "block_idx) AS rn FROM blk WHERE type IN ('paragraph', 'heading')) GROUP BY doc_id)",
               "c >= 3 AND nd > 2", alignments="al")]
 
     def gaps(kind: str, word: str, key: str) -> list[str]:
@@ -276,7 +273,7 @@ def layout() -> dict[str, list[str]]:
         rel = f"""(SELECT doc_id, v, f + rn - 1 AS e FROM (SELECT doc_id, v, row_number() OVER w AS rn, first_value(v) OVER w AS f FROM (
             SELECT * FROM ({blocks}) WHERE v IS NOT NULL UNION ALL SELECT * FROM ({lines}) c WHERE v IS NOT NULL AND NOT EXISTS (
             SELECT 1 FROM ({blocks}) b WHERE b.v IS NOT NULL AND b.doc_id = c.doc_id)) WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-            WHERE v <> f + rn - 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rn) = 1)"""
+            WHERE v <> f + rn - 1)"""
         return [found(key, rel, number="v", expected="e")]
 
     o["figure.numbering-sequential"] = gaps("figure", W.FIGURE_WORD, "figure-gap")
@@ -335,37 +332,37 @@ def logic() -> dict[str, list[str]]:
     # the fold turns every accented letter into one mark, so the words come from the positions in the raw line
     raw = "regexp_extract_all(low, '[\\p{L}\\p{N}\\p{M}_]+')"
     prints = f"""(SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id, fp ORDER BY line_no) AS seen FROM (SELECT doc_id, line_no, line,
-        array_to_string(list_filter({raw}, lambda w: length(w) > 3)[1:10], ' ') AS fp FROM lines WHERE len({raw}) >= 5))"""
+        array_to_string(list_filter({raw}, lambda w: length(w) > 3), ' ') AS fp FROM lines WHERE len({raw}) >= 5))"""
     o["logic.duplicate-content"] = [
-        found("duplicate", top(f"{prints} WHERE seen > 1", "line_no", 5), line="line_no", excerpt="left(line, 200)")]
+        found("duplicate", every(f"{prints} WHERE seen > 1"), line="line_no", excerpt="left(line, 200)")]
     marks = f"CASE WHEN {has('bare', W.CONCLUSION_OPEN, 'i')} THEN 1 WHEN {has('bare', W.CONCLUSION_CLOSE, 'i')} THEN 2 END"
     region = f"""(SELECT doc_id, string_agg(line || ' ', '' ORDER BY line_no) AS t FROM (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id
         ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM (SELECT *, {marks} AS mark FROM lines)) WHERE state = 1 AND mark IS NULL GROUP BY doc_id)"""
-    terms = f"""(SELECT r.doc_id, unnest(regexp_extract_all(regexp_replace(t, '[^\\x00-\\x7F]', '_', 'g'), '\\b[A-Z][a-z]{{3,}}\\b')[1:5]) AS term FROM {region} r)"""
+    terms = f"""(SELECT r.doc_id, unnest(regexp_extract_all(regexp_replace(t, '[^\\x00-\\x7F]', '_', 'g'), '\\b[A-Z][a-z]{{3,}}\\b')) AS term FROM {region} r)"""
     o["logic.scope-mismatch"] = [
         found("scope", f"(SELECT t.doc_id, t.term FROM {terms} t JOIN docs d USING (doc_id) WHERE NOT contains(lower(array_to_string(d.ls[1:d.n_lines // 2], ' ')), lower(t.term)))",
               term="term", term_lower="lower(term)")]
-    three = lambda p: f"list_distinct(regexp_extract_all(lower(folded), {q(p)})[1:3])"
+    three = lambda p: f"list_distinct(regexp_extract_all(lower(folded), {q(p)}))"
     both = f"""(SELECT l.doc_id, l.line_no, l.line FROM lines l JOIN (SELECT doc_id, {three(W.ABSOLUTES)} AS a, {three(W.QUALIFIERS)} AS b FROM docs) d USING (doc_id)
         WHERE len(list_filter(d.a, lambda w: regexp_matches(lower(l.al), '\\b' || w || '\\b'))) > 0 AND len(list_filter(d.b, lambda w: regexp_matches(lower(l.al), '\\b' || w || '\\b'))) > 0)"""
     pos = lambda p, which: f"""(SELECT doc_id, {which} AS p FROM (SELECT doc_id, list_transform(range(1, len(regexp_extract_all(lower(folded), {q(p)})) + 1), lambda i:
         length(array_to_string(string_split_regex(lower(folded), {q(p)})[1:i], '')) + length(array_to_string(regexp_extract_all(lower(folded), {q(p)})[1:i - 1], ''))) AS ps FROM docs))"""
     near = f"(SELECT DISTINCT c.doc_id FROM {pos(W.CONTRAST_MARKERS, 'ps[1]')} c JOIN {pos(W.SIMILARITY_MARKERS, 'unnest(ps)')} s USING (doc_id) WHERE abs(c.p - s.p) < 500)"
     o["logic.contradictions"] = [
-        found("contradiction", top(both, "line_no", 3), line="line_no", index="line_no - 1", excerpt="left(line, 200)"),
-        found("contrast-mix", top(f"(SELECT l.* FROM lines l JOIN {near} USING (doc_id)) WHERE contains(low, 'in contrast') AND contains(low, 'similarly')", "line_no", 1),
+        found("contradiction", every(both), line="line_no", index="line_no - 1", excerpt="left(line, 200)"),
+        found("contrast-mix", every(f"(SELECT l.* FROM lines l JOIN {near} USING (doc_id)) WHERE contains(low, 'in contrast') AND contains(low, 'similarly')"),
               line="line_no", excerpt="left(line, 200)")]
     claim = " OR ".join(has("al", p, "i") for p in W.CLAIMS)
     evid = " OR ".join(has("al", p, "i") for p in W.EVIDENCE_MARKERS)
     o["logic.claim-without-evidence"] = [
-        found("claim", top(f"lines WHERE ({claim}) AND NOT ({evid})", "line_no", 5), line="line_no", excerpt="left(line, 200)")]
+        found("claim", every(f"lines WHERE ({claim}) AND NOT ({evid})"), line="line_no", excerpt="left(line, 200)")]
     start = f"(SELECT doc_id, min(line_no) AS place FROM lines WHERE {has('bare', W.CONCLUSION_START, 'i')} GROUP BY doc_id)"
     concl = f"""(SELECT d.doc_id, lower(array_to_string(d.ls[1:s.place - 2], ' ')) AS body, list_filter(regexp_extract_all(regexp_replace(
-        array_to_string(d.ls[s.place:s.place + 29], ' '), '[^\\x00-\\x7F]', '_', 'g'), '\\b[A-Z][a-z]{{2,}}\\b'), lambda t: length(t) > 3 AND lower(t) NOT IN
-        ({', '.join(q(x) for x in W.CONCLUSION_STOP)}))[1:10] AS terms FROM docs d JOIN {start} s USING (doc_id) WHERE d.n_lines >= 20 AND s.place - 2 >= 5)"""
+        array_to_string(d.ls[s.place:], ' '), '[^\\x00-\\x7F]', '_', 'g'), '\\b[A-Z][a-z]{{2,}}\\b'), lambda t: length(t) > 3 AND lower(t) NOT IN
+        ({', '.join(q(x) for x in W.CONCLUSION_STOP)})) AS terms FROM docs d JOIN {start} s USING (doc_id) WHERE d.n_lines >= 20 AND s.place - 2 >= 5)"""
     unseen = f"(SELECT doc_id, list_filter(terms, lambda t: NOT contains(body, lower(t))) AS u FROM {concl})"
     o["logic.unsupported-conclusion"] = [
-        found("unsupported", unseen, "len(u) > 0", count="len(u)", terms="array_to_string(u[1:5], ', ')")]
+        found("unsupported", unseen, "len(u) > 0", count="len(u)", terms="array_to_string(u, ', ')")]
     used = ", ".join(f"CASE WHEN {n('folded', p)} > 0 THEN {q(name)} || ' (' || {n('folded', p)} || 'x)' END" for name, p in W.DATE_FORMATS)
     dates = f"(SELECT doc_id, u, CASE WHEN len(u) > 1 THEN 1 ELSE 0 END AS nd, mixed FROM (SELECT doc_id, list_filter([{used}], lambda x: x IS NOT NULL) AS u, " \
             f"{n('folded', W.NUMBER_WORDS, 'i')} > 3 AND {n('folded', chr(92) + 'b' + chr(92) + 'd+' + chr(92) + 'b')} > 10 AS mixed FROM docs))"
@@ -373,7 +370,7 @@ def logic() -> dict[str, list[str]]:
             f"{has('al', W.NUMBER_WORDS_ON_LINE, 'i')} AND {has('al', chr(92) + 'b' + chr(92) + 'd+' + chr(92) + 'b')})"
     o["logic.number-consistency"] = [
         found("date-formats", dates, "nd = 1", formats="array_to_string(u, ', ')"),
-        found("mixed-numbers", lines, "rn <= 3 - nd", line="line_no", fix="TRUE", excerpt="left(line, 200)")]
+        found("mixed-numbers", lines, "TRUE", line="line_no", fix="TRUE", excerpt="left(line, 200)")]
     return o
 
 

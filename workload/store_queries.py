@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.fixed.catalog import ISSUES
 from quillspark.fixed import fixes as X, profiles as P, words as W
 from quillspark.functions import rx
 from quillspark.functions.findings import category_of
@@ -22,15 +23,17 @@ from .sql import any_in, base, count_in, has, n, q, strip, words
 
 Q: dict[str, tuple] = {}
 
-# --- the reviewed drafts: seven rules, gated by profile ---------------------------------------
-RULESET = ["structure.title-check", "structure.required-section", "writing.grammar", "writing.punctuation",
-           "writing.sentence-length", "writing.verbosity", "compliance.safety-warning", "compliance.signatures", "writing.hedging"]
+# --- the reviewed drafts: every rule a stock profile reaches, with stock thresholds --------------
+# two rules have no effect under a stock profile: one needs a pack, one is off
+_STOCK = {r: sql.replace("mean * 3", "mean * 10") for r, sql in all_rules().items() if r in REGISTRY and META[r][0] not in ("format", "figure_table")
+          and r not in ("compliance.mandatory-sections", "logic.unsupported-conclusion")}
+RULESET = list(_STOCK)
 _CATS = ", ".join(f"({q(p[0])}, {q(c)}, {w}, {i})" for p in P.PROFILES for i, (c, w) in enumerate(p[2].items()))
 _META = ", ".join(f"({q(r)}, {q(META[r][0])}, {META[r][1]})" for r in RULESET)
 _ISS = base() + f""", cats AS (SELECT * FROM (VALUES {_CATS}) t(profile_id, category, weight, pos)),
-iss AS MATERIALIZED (SELECT i.*, m.category, d.profile_id, CASE WHEN starts_with(i.rule_id, 'structure') THEN 1 ELSE 2 END AS x, row_number() OVER (PARTITION BY i.doc_id ORDER BY m.priority DESC, i.rule_id, i.line_start, i.issue_id) - 1 AS seq
-  FROM ({' UNION ALL '.join('(' + all_rules()[r] + ')' for r in RULESET)}) i JOIN (VALUES {_META}) m(rule_id, category, priority) USING (rule_id)
-  JOIN docs d USING (doc_id) JOIN cats c ON c.profile_id = d.profile_id AND c.category = m.category),
+iss AS MATERIALIZED (SELECT i.* EXCLUDE (priority, registered), d.profile_id, row_number() OVER (PARTITION BY i.doc_id ORDER BY i.priority DESC, i.registered, i.line_start, i.issue_id) - 1 AS seq
+  FROM ({' UNION ALL '.join(f"(SELECT *, {q(META[r][0])} AS category, {META[r][1]} AS priority, {q(r)} AS registered FROM ({_STOCK[r]}))" for r in RULESET)}) i
+  JOIN docs d USING (doc_id) JOIN cats c ON c.profile_id = d.profile_id AND c.category = i.category),
 cat_scores AS (SELECT d.doc_id, c.category, c.weight, c.pos, {{scores}} FROM docs d JOIN cats c USING (profile_id)),
 per_doc AS (SELECT doc_id, count(*) AS n_issues, count(*) FILTER (WHERE severity = 'high') AS n_severe, count(*) FILTER (WHERE autofix_allowed) AS n_fixable FROM iss GROUP BY doc_id),
 totals AS (SELECT s.doc_id, CAST(round_even(sum(points * weight) / sum(weight), 0) AS INTEGER) AS score, coalesce(any_value(n_issues), 0) AS n_issues, coalesce(any_value(n_severe), 0) AS n_severe,
@@ -58,11 +61,9 @@ def issue_table(s, d, *keep):
     return issue_rows(reviewed(s, d), *keep)
 
 
-# the whole engine on the raw documents: every rule a stock profile can reach, with stock thresholds
-_STOCK = {r: sql for r, sql in all_rules().items() if r in REGISTRY and META[r][0] not in ("format", "figure_table")
-          and r not in ("compliance.mandatory-sections", "logic.unsupported-conclusion")}
+# the whole engine on the raw documents
 _WHOLE = base("raw_docs") + f""", cats AS (SELECT * FROM (VALUES {_CATS}) t(profile_id, category, weight, pos)),
-iss AS MATERIALIZED (SELECT i.doc_id, i.category, i.severity, i.fix FROM ({' UNION ALL '.join(f"SELECT doc_id, {q(META[r][0])} AS category, severity, autofix_allowed AS fix FROM ({sql.replace('mean * 3', 'mean * 10')})" for r, sql in _STOCK.items())}) i
+iss AS MATERIALIZED (SELECT i.doc_id, i.category, i.severity, i.fix FROM ({' UNION ALL '.join(f"SELECT doc_id, {q(META[r][0])} AS category, severity, autofix_allowed AS fix FROM ({sql})" for r, sql in _STOCK.items())}) i
   JOIN docs d USING (doc_id) JOIN cats c ON c.profile_id = d.profile_id AND c.category = i.category),
 lost AS (SELECT doc_id, category, sum(CASE severity WHEN 'high' THEN 20 WHEN 'medium' THEN 10 ELSE 4 END) AS lost FROM iss GROUP BY ALL),
 per_doc AS (SELECT doc_id, count(*) AS n_issues, count(*) FILTER (WHERE severity = 'high') AS n_severe, count(*) FILTER (WHERE fix) AS n_fixable FROM iss GROUP BY doc_id),
@@ -182,10 +183,11 @@ Q["g04_insights"] = (
 Q["g05_recommendations"] = (
     lambda s, d: G.recommendations(scored(s, d)).select("doc_id", "priority", "severity", "estimated_gain"),
     iss() + f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, seq) AS priority, severity, {_GAIN} AS estimated_gain FROM iss")
+_SOURCES = ", ".join(sorted({f"({q(v[1])}, {q(v[4])})" for v in ISSUES.values()}))
 Q["g06_issue_summary"] = (
     lambda s, d: G.issue_summary(issue_table(s, d)),
-    iss() + """SELECT dimension, value, count(*) AS n, count(*) FILTER (WHERE autofix_allowed) AS n_fixable FROM (SELECT 'severity' AS dimension, severity AS value, autofix_allowed FROM iss
-    UNION ALL SELECT 'category', category, autofix_allowed FROM iss UNION ALL SELECT 'source', CASE WHEN rule_id IN ('writing.sentence-length', 'writing.hedging', 'compliance.safety-warning') THEN 'semantic-rule' ELSE 'syntax-rule' END, autofix_allowed FROM iss) GROUP BY ALL""")
+    iss() + f"""SELECT dimension, value, count(*) AS n, count(*) FILTER (WHERE autofix_allowed) AS n_fixable FROM (SELECT 'severity' AS dimension, severity AS value, autofix_allowed FROM iss
+    UNION ALL SELECT 'category', category, autofix_allowed FROM iss UNION ALL SELECT 'source', s.source, autofix_allowed FROM iss JOIN (VALUES {_SOURCES}) s(rule_id, source) USING (rule_id)) GROUP BY ALL""")
 Q["g07_next_steps"] = (
     lambda s, d: G.next_steps(scored(s, d)).select("doc_id", "step"),
     iss() + """SELECT doc_id, 'Fix ' || n_severe || ' critical/high severity issues first' AS step FROM totals WHERE n_severe > 0
@@ -240,8 +242,7 @@ def chain(x: str, pairs, flags: str = "i") -> str:
 
 
 _B = strip("line")
-Q["f03_heading_style"] = fixer(FX.heading_style, f"""CASE WHEN starts_with({_B}, '##') AND NOT starts_with({_B}, '## ') THEN CASE WHEN {strip(f'substr({_B}, 3)')} <> '' THEN '## ' || {strip(f'substr({_B}, 3)')} ELSE line END
-    WHEN starts_with({_B}, '#') AND NOT starts_with({_B}, '# ') THEN CASE WHEN {strip(f'substr({_B}, 2)')} <> '' THEN '# ' || {strip(f'substr({_B}, 2)')} ELSE line END ELSE line END""")
+Q["f03_heading_style"] = fixer(lambda c: FX.heading_style(F.regexp_replace(c, r"^(#+)\s+", "$1")), f"regexp_replace(line, '^(#+)\\s+([^#\\s])', '\\1 \\2')")
 Q["f05_reference_format"] = fixer(FX.reference_format, "regexp_replace(line, '(?i)DOI:\\s*', 'doi:', 'g')")
 Q["f06_url_prefix"] = fixer(FX.url_prefix, "replace(replace(replace(line, '://', chr(1)), '//', '://'), chr(1), '://')")
 Q["f07_bullets"] = fixer(lambda c: FX.bullets(F.regexp_replace(c, "^[|] ", "* ")), "CASE WHEN starts_with(line, '| ') THEN '- ' || substr(regexp_replace(line, '\\s+$', ''), 3) ELSE line END")
@@ -256,7 +257,8 @@ Q["f04_line_spacing"] = (
     base() + "SELECT doc_id, sha256(regexp_replace(replace(text, chr(10) || chr(10), chr(10) || chr(10) || chr(10) || chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM docs")
 _SHORT = "string_split(replace(lower(rule_id), '_', '-'), '.')[-1]"
 _HED = chain("excerpt", [(p if w else p + r"\s*", w or " ") for p, w in X.HEDGING_FIXES])
-_SUG = iss() + f""", sug AS (SELECT doc_id, issue_id, rule_id, severity, category, excerpt AS original, line_start, line_end, confidence, CASE WHEN {_SHORT} = 'punctuation' THEN replace(regexp_replace(excerpt, '\\.([A-Z])', '. \\1', 'g'), '.  ', '. ') END AS suggested,
+_SUG = iss() + f""", sug AS (SELECT doc_id, issue_id, rule_id, severity, category, excerpt AS original, line_start, line_end, confidence, CASE WHEN contains({_SHORT}, 'reference') THEN regexp_replace(excerpt, '(?i)DOI:\\s*', 'doi:', 'g') WHEN {_SHORT} = 'punctuation' THEN replace(regexp_replace(excerpt, '\\.([A-Z])', '. \\1', 'g'), '.  ', '. ')
+      WHEN {_SHORT} = 'spelling' THEN {chain("excerpt", X.SPELLING_FIXES)} WHEN category = 'writing' AND contains({_SHORT}, 'passive') THEN excerpt WHEN category = 'writing' AND contains({_SHORT}, 'hedging') THEN {_HED} END AS suggested,
     CASE WHEN {_SHORT} IN ({', '.join(q(x) for x in X.SAFE_TYPE)}) THEN 'safe' WHEN {_SHORT} IN ({', '.join(q(x) for x in X.AI_TYPE)}) THEN 'ai' ELSE 'manual' END AS fix_type FROM iss WHERE autofix_allowed AND {strip('excerpt')} <> ''),
 sug2 AS (SELECT *, sha256(concat_ws('|', doc_id, issue_id, rule_id, line_start, line_end, original, suggested)) AS id FROM sug WHERE suggested IS NOT NULL AND suggested <> original)
 """
@@ -308,11 +310,13 @@ Q["f20_exact_location"] = (
 Q["f23_verify_f24_preview"] = (
     lambda s, d: FX.previews(drafts(s, d), suggested(s, d)).select("doc_id", "id", "before_hash", "after_hash", "needs_confirmation"),
     _LOC + "SELECT doc_id, id, sha256(text) AS before_hash, CASE WHEN start >= 0 THEN sha256(left(text, start) || suggested || substr(text, start + length(original) + 1)) ELSE sha256(text) END AS after_hash, fix_type <> 'safe' OR confidence < 95 AS needs_confirmation FROM loc")
-# every suggestion of this set sits on its own line, so nothing overlaps and the fixed text is the lines replaced
+# every suggestion is of one line, so those of one line overlap: the best of a line is applied, the others are blocked
 Q["f21_f22_fixed_documents"] = (
     lambda s, d: FX.fixed_documents(drafts(s, d), suggested(s, d)).select("doc_id", F.sha2("fixed_text", 256).alias("digest"), F.size("applied").alias("applied"), F.size("blocked").alias("blocked")),
-    _SUG + """SELECT l.doc_id, sha256(string_agg(CASE WHEN s.id IS NOT NULL THEN s.suggested || substr(l.line, length(s.original) + 1) ELSE l.line END, chr(10) ORDER BY l.line_no)) AS digest, count(s.id) AS applied, 0 AS blocked
-    FROM lines l LEFT JOIN sug2 s ON s.doc_id = l.doc_id AND s.line_start = l.line_no WHERE l.doc_id IN (SELECT doc_id FROM sug2) GROUP BY l.doc_id""")
+    _SUG + """, best AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM sug2
+        QUALIFY row_number() OVER (PARTITION BY doc_id, line_start ORDER BY CASE fix_type WHEN 'safe' THEN 3 WHEN 'ai' THEN 1 ELSE 0 END DESC, confidence DESC, id) = 1)
+    SELECT l.doc_id, sha256(string_agg(CASE WHEN s.id IS NOT NULL THEN s.suggested || substr(l.line, length(s.original) + 1) ELSE l.line END, chr(10) ORDER BY l.line_no)) AS digest, count(s.id) AS applied, max(s.total) - count(s.id) AS blocked
+    FROM lines l LEFT JOIN best s ON s.doc_id = l.doc_id AND s.line_start = l.line_no WHERE l.doc_id IN (SELECT doc_id FROM sug2) GROUP BY l.doc_id""")
 
 
 def pairs(s, d):
@@ -419,20 +423,24 @@ Q["q06_document_sessions"] = (
 
 
 def status_events(s, d):
-    """Update events from the event log: some name one issue's session, some a category of it."""
+    """Update events from the event log: some name an issue, with or without a category, some a session or a category of it."""
     e = s.read.parquet(f"{d}/events.parquet")
     n_sessions = F.pmod(F.col("event_id") * 13, F.lit(2000))
-    return e.select(
-        F.lit("session").alias("target"), n_sessions.cast("string").alias("key"),
+    e = e.select(
+        F.lit("session").alias("target"), n_sessions.cast("string").alias("key"), "event_id",
         F.when(F.col("event_type").isin("click", "view"), pick(CATS, F.col("user_id"))).alias("category"), pick(STATUS, F.col("event_id") * 5 + F.col("user_id")).alias("status"), F.col("ts").alias("at"))
+    one = e.where("event_id % 3 = 0").join(issues(s, d).where("evidence_line_start <= 2").select(F.col("session_id").cast("string").alias("key"), "id"), "key").select(
+        F.lit("issue").alias("target"), F.col("id").alias("key"), "event_id", "category", "status", "at")
+    return e.unionByName(one).drop("event_id")
 
 
 Q["q07_status_updates"] = (
     lambda s, d: S.current_status(issues(s, d), status_events(s, d)).select("id", "status", "resolved_at"),
-    _STORE + f""", ev AS (SELECT (event_id * 13) % 2000 AS k, CASE WHEN event_type IN ('click', 'view') THEN {sql_pick(CATS, 'user_id')} END AS category, {sql_pick(STATUS, 'event_id * 5 + user_id')} AS status, ts FROM events),
-    m AS (SELECT k, category, max(ts) AS t, max_by(status, ts) AS st, max(ts) FILTER (WHERE status IN ('resolved', 'ignored')) AS closed FROM ev GROUP BY k, category)
-    SELECT i.id, CASE WHEN a.t IS NULL AND c.t IS NULL THEN i.status WHEN c.t IS NULL OR a.t > c.t THEN a.st ELSE c.st END AS status, CASE WHEN a.closed IS NULL THEN c.closed WHEN c.closed IS NULL THEN a.closed ELSE greatest(a.closed, c.closed) END AS resolved_at
-    FROM isu i LEFT JOIN (SELECT * FROM m WHERE category IS NULL) a ON a.k = i.session_id LEFT JOIN (SELECT * FROM m WHERE category IS NOT NULL) c ON c.k = i.session_id AND c.category = i.category""")
+    _STORE + f""", ev AS (SELECT event_id, (event_id * 13) % 2000 AS k, CASE WHEN event_type IN ('click', 'view') THEN {sql_pick(CATS, 'user_id')} END AS category, {sql_pick(STATUS, 'event_id * 5 + user_id')} AS status, ts FROM events),
+    m AS (SELECT k, category, max(ts) AS t, max_by(status, ts) AS st, max(ts) FILTER (WHERE status IN ('resolved', 'ignored')) AS closed FROM ev GROUP BY k, category),
+    o AS (SELECT i.id AS k, max(ts) AS t, max_by(ev.status, ts) AS st, max(ts) FILTER (WHERE ev.status IN ('resolved', 'ignored')) AS closed FROM ev JOIN isu i ON i.session_id = ev.k WHERE event_id % 3 = 0 AND evidence_line_start <= 2 GROUP BY i.id)
+    SELECT i.id, CASE WHEN o.t = greatest(o.t, a.t, c.t) THEN o.st WHEN a.t = greatest(o.t, a.t, c.t) THEN a.st WHEN c.t IS NOT NULL THEN c.st ELSE i.status END AS status, greatest(o.closed, a.closed, c.closed) AS resolved_at
+    FROM isu i LEFT JOIN (SELECT * FROM m WHERE category IS NULL) a ON a.k = i.session_id LEFT JOIN (SELECT * FROM m WHERE category IS NOT NULL) c ON c.k = i.session_id AND c.category = i.category LEFT JOIN o ON o.k = i.id""")
 Q["q08_dashboard"] = (
     lambda s, d: S.dashboard(sessions(s, d), issues(s, d)),
     _STORE + """SELECT 'summary' AS section, 'total_reviews' AS key, count(*)::DOUBLE AS value FROM ses UNION ALL SELECT 'summary', 'average_score', round_even(avg(score), 0) FROM ses
