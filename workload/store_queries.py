@@ -183,11 +183,12 @@ Q["g04_insights"] = (
 Q["g05_recommendations"] = (
     lambda s, d: G.recommendations(scored(s, d)).select("doc_id", "priority", "severity", "estimated_gain"),
     iss() + f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, seq) AS priority, severity, {_GAIN} AS estimated_gain FROM iss")
-_SOURCES = ", ".join(sorted({f"({q(v[1])}, {q(v[4])})" for v in ISSUES.values()}))
+# an issue id starts with its template up to the first slot; the longest start tells the issue
+_SOURCES = ", ".join(sorted({f"({q(v[1])}, {q(v[0].split('{')[0])}, {q(v[4])})" for v in ISSUES.values()}))
 Q["g06_issue_summary"] = (
     lambda s, d: G.issue_summary(issue_table(s, d)),
     iss() + f"""SELECT dimension, value, count(*) AS n, count(*) FILTER (WHERE autofix_allowed) AS n_fixable FROM (SELECT 'severity' AS dimension, severity AS value, autofix_allowed FROM iss
-    UNION ALL SELECT 'category', category, autofix_allowed FROM iss UNION ALL SELECT 'source', s.source, autofix_allowed FROM iss JOIN (VALUES {_SOURCES}) s(rule_id, source) USING (rule_id)) GROUP BY ALL""")
+    UNION ALL SELECT 'category', category, autofix_allowed FROM iss UNION ALL SELECT 'source', s.source, autofix_allowed FROM iss JOIN (SELECT doc_id, seq, arg_max(source, length(start)) AS source FROM iss i JOIN (VALUES {_SOURCES}) v(rule_id, start, source) ON v.rule_id = i.rule_id AND starts_with(i.issue_id, v.start) GROUP BY doc_id, seq) s USING (doc_id, seq)) GROUP BY ALL""")
 Q["g07_next_steps"] = (
     lambda s, d: G.next_steps(scored(s, d)).select("doc_id", "step"),
     iss() + """SELECT doc_id, 'Fix ' || n_severe || ' critical/high severity issues first' AS step FROM totals WHERE n_severe > 0
