@@ -6,7 +6,9 @@ posted under the first coordinates - matches + 1 of its own (the prefix): two do
 these, while values that many unlike documents share (of common passages) stay out of prefixes. Postings of one list are
 not paired with each other. They are merged with two pivots of the list, collisions are counted over the whole
 signatures, and links are confirmed on the full sets. Then lists whose members are all in one component by now are
-skipped, and what is left of the others is paired across components only.
+skipped. The documents of the others are joined once more in the same way, with all their shingles in place of the
+signature's coordinates, so that the thresholds of prefix and position are those of the similarity itself: texts that
+share much but not enough are not paired. Again only lists of several components count, and only pairs across them.
 """
 
 from __future__ import annotations
@@ -64,10 +66,23 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], bounds(of[new], n)
 
 
+def minima(value: np.ndarray, at: np.ndarray, coordinates: int) -> np.ndarray:
+    """(texts, coordinates): the least product of a text's shingles with each coordinate's odd factor; 0 for texts without shingles."""
+    factors = mix(np.arange(1, coordinates + 1, dtype=np.uint64)) | np.uint64(1)
+    out, full = np.zeros((at.size - 1, coordinates), np.uint64), np.flatnonzero(np.diff(at))
+    for k in range(coordinates if full.size else 0):
+        out[full, k] = np.minimum.reduceat(value * factors[k], at[full])
+    return out
+
+
+def _lists(signatures: np.ndarray) -> pa.ListArray:
+    n, coordinates = signatures.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * coordinates), pa.array(signatures.ravel().astype(np.int64)))
+
+
 def signed(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
     """(doc_id, n_shingles, key, key2, signature, packed): the set's size, fingerprint and minima, and the text's bytes compressed."""
-    seeds = mix(np.arange(1, coordinates + 1, dtype=np.uint64)) | np.uint64(1)
-    one, two = seeds[0] ^ np.uint64(1), seeds[0] ^ np.uint64(2)
+    one, two = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 
     def sign(batches):
         packer = zstandard.ZstdCompressor(level=1)
@@ -77,23 +92,87 @@ def signed(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
                 n = np.diff(at)
                 full = np.flatnonzero(n)
                 key, key2 = np.zeros(n.size, np.uint64), np.zeros(n.size, np.uint64)
-                minima = np.zeros((n.size, coordinates), np.uint64)
                 if full.size:
                     key[full] = np.add.reduceat(mix(value ^ one), at[full])
                     key2[full] = np.add.reduceat(mix(value ^ two), at[full])
-                    for k in range(coordinates):
-                        minima[full, k] = np.minimum.reduceat(value * seeds[k], at[full])
                 texts = [packer.compress(t.encode("utf-8", "surrogatepass")) if c else None
                          for t, c in zip(part.column("text").to_pylist(), n.tolist(), strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n.size + 1, dtype=np.int32) * coordinates), pa.array(minima.ravel().astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(key2.astype(np.int64)), lists, pa.array(texts, pa.binary())],
+                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(key2.astype(np.int64)), _lists(minima(value, at, coordinates)), pa.array(texts, pa.binary())],
                     ["doc_id", "n_shingles", "key", "key2", "signature", "packed"])
 
     return docs.selectExpr("cast(doc_id AS bigint) doc_id", "text").mapInArrow(
         sign, "doc_id long, n_shingles long, key long, key2 long, signature array<long>, packed binary")
 
 
+def _prefixes(kinds: DataFrame, matches: int) -> DataFrame:
+    """(id, place, value): the postings of the rarest coordinate values of each kind (id, signature), as many as the threshold asks for.
+
+    A value that no other kind has counts as the rarest and takes its place, but is not posted.
+    """
+    values = kinds.select("id", F.posexplode("signature").alias("place", "value"))
+    lists = values.groupBy("place", "value").agg(F.count(F.lit(1)).alias("long")).where("long > 1")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("long", "place"))
+    among = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    return (values.join(lists, ["place", "value"]).withColumns({"rank": rank, "shared": among})
+            .where(F.col("rank") <= F.col("shared") - matches + 1).select("id", "place", "value"))
+
+
+def _open(posted: DataFrame, groups: DataFrame) -> DataFrame:
+    """The postings of lists that still hold several components, with their own component c and the largest one's name."""
+    lists = [c for c in posted.columns if c in ("place", "value")]
+    of = posted.join(groups, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
+    sizes = of.groupBy(*lists, "c").agg(F.count(F.lit(1)).alias("members"))
+    several = sizes.groupBy(*lists).agg(F.count(F.lit(1)).alias("k"), F.max_by("c", F.struct("members", "c")).alias("largest")).where("k > 1").drop("k")
+    return of.join(several, lists)
+
+
+def _shingled(ids: DataFrame, table: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
+    """(id, n, value): every shingle of the ids."""
+    def all_of(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                texts = pa.array([unpack.decompress(t).decode("utf-8", "surrogatepass") for t in part.column("packed").to_pylist()], pa.large_string())
+                value, at = shingles(texts, size)
+                n = np.diff(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(part.column("id").to_numpy(), n)), pa.array(np.repeat(n, n).astype(np.int64)), pa.array(value.astype(np.int64))], ["id", "n", "value"])
+
+    return _texts(ids, table, kinds).mapInArrow(all_of, "id long, n long, value long")
+
+
+def _across(ids: DataFrame, groups: DataFrame, table: DataFrame, kinds: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids in different components that may be similar enough: no such pair is missing.
+
+    Of two similar sets the smaller has a common shingle among its first n - overlap + 1, the rarest first, where overlap
+    is what sets of that size must share; the larger has it among its first n - ceil(percent * n / 100) + 1. What
+    comes behind the two places bounds what the sets can share.
+    """
+    shingle = written(_shingled(ids, table, kinds, size), "shingles", "snappy")
+    often = shingle.groupBy("value").agg(F.count(F.lit(1)).alias("long")).where("long > 1")
+    needed = lambda m, n: F.ceil((m + n) * percent / (100 + percent) - 1e-9)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("long", "value")) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
+    posted = (shingle.join(often, "value").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1)
+              .select("id", "n", "value", "rank"))
+    found = written(_open(posted, groups), "open", "snappy")
+    left = found.where(F.col("rank") <= F.col("n") - needed(F.col("n"), F.col("n")) + 1)
+    right = found.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("rank").alias("rank2"), F.col("c").alias("c2"))
+    near = ((F.col("c") != F.col("c2")) & (F.col("n") <= F.col("n2")) & (F.col("n") * 100 >= F.col("n2") * percent)
+            & (F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) + 1 >= needed(F.col("n"), F.col("n2"))))
+    one = left.where("c <> largest").join(right, "value").where(near)
+    two = left.where("c = largest").join(right, "value").where(near & (F.col("c2") != F.col("largest")))
+    return one.union(two).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def _texts(ids: DataFrame, table: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(id, packed): the compressed text of each id."""
+    own = kinds.join(ids, "id", "left_semi").select("id", "key", "key2")
+    return (table.where("packed IS NOT NULL").select(F.col("doc_id").alias("id"), "key", "key2", "packed")
+            .join(own, ["id", "key", "key2"]).select("id", "packed").dropDuplicates(["id"]))
+
+
 def _agreeing(pairs: DataFrame, kinds: DataFrame, matches: int, percent: int) -> DataFrame:
     """The pairs (a, b) of kinds that agree on enough coordinates and whose sizes allow the similarity."""
     left = kinds.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
@@ -105,8 +184,7 @@ def _agreeing(pairs: DataFrame, kinds: DataFrame, matches: int, percent: int) ->
 
 def _confirmed(pairs: DataFrame, table: DataFrame, kinds: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of the full sets. Each b comes to its a, at most SIDE or so to a task."""
-    texts = (table.where("packed IS NOT NULL").select(F.col("doc_id").alias("id"), "key", "key2", "packed")
-             .join(kinds.select("id", "key", "key2"), ["id", "key", "key2"]).select("id", "packed"))
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), table, kinds)
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("long").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     heads = dealt.select("a", "part").distinct().select("a", "part", F.lit(0).alias("role"), F.col("a").alias("id"))
@@ -148,13 +226,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     table = written(signed(docs, size, coordinates), "signed", "snappy")
     kinds = written(table.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key", "key2").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "kinds", "snappy")
-    values = kinds.select("id", F.posexplode("signature").alias("place", "value"))
-    # what no other document has stays out of the join; it counts as the rarest
-    lists = values.groupBy("place", "value").agg(F.count(F.lit(1)).alias("long")).where("long > 1")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("long", "place"))
-    among = F.count(F.lit(1)).over(Window.partitionBy("id"))
-    prefix = written(values.join(lists, ["place", "value"]).withColumns({"rank": rank, "shared": among})
-                     .where(F.col("rank") <= F.col("shared") - matches + 1).select("id", "place", "value"), "prefix", "snappy")
+    prefix = written(_prefixes(kinds, matches), "prefix", "snappy")
     ends = prefix.groupBy("place", "value").agg(F.count(F.lit(1)).alias("long"), F.min("id").alias("first"), F.max("id").alias("last")).where("long > 1").drop("long")
     posted = written(prefix.join(ends, ["place", "value"]), "posted", "snappy")
 
@@ -163,14 +235,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     links = _confirmed(pairs, table, kinds, size, percent)
     groups = components(links)
 
-    of = posted.select("place", "value", "id").join(groups, F.col("id") == F.col("node"), "left").select("place", "value", "id", F.coalesce("component", "id").alias("c"))
-    sizes = of.groupBy("place", "value", "c").agg(F.count(F.lit(1)).alias("n"))
-    open_lists = sizes.groupBy("place", "value").agg(F.count(F.lit(1)).alias("k"), F.max_by("c", F.struct("n", "c")).alias("largest")).where("k > 1").drop("k")
-    left_over = written(of.join(open_lists, ["place", "value"]), "open", "snappy")
-    right = left_over.select("place", "value", F.col("id").alias("other"), F.col("c").alias("c2"))
-    across = (left_over.where("c <> largest").join(right, ["place", "value"])
-              .where("c <> c2 AND (c2 = largest OR id < other)").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-    rest = written(_agreeing(across.join(pairs, ["a", "b"], "left_anti"), kinds, matches, percent), "pairs", "snappy")
+    ids = written(_open(posted.select("place", "value", "id"), groups).select("id").distinct(), "open", "snappy")
+    rest = written(_across(ids, groups, table, kinds, size, percent).join(pairs, ["a", "b"], "left_anti"), "pairs", "snappy")
     more = _confirmed(rest, table, kinds, size, percent)
     if not rest.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
