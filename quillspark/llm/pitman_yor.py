@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .groups import runs
-from .store import written
+from .store import discard, written
 from .text import LOWER, NOT_BLANK, fingerprints, mix, raw, slices, words
 
 COARSE, FINE = 32, 8  # classes; the first coarse class is that of a text's start
@@ -292,7 +292,8 @@ def fit(docs: DataFrame, sweeps: int = 4, keep: int = 2) -> Fitted:
     fixed = {"discounts": discounts, "strengths": (1.0, 1.0, 1.0), "base": 1 / (seen[0] + 1)}
     samples = [Totals.of(_summed(model, "totals", Totals.length()), **fixed)]
     for i in range(sweeps):
-        model = written(_swept(model, samples[-1], i, keep), "model", "uncompressed")
+        before, model = model, written(_swept(model, samples[-1], i, keep), "model", "uncompressed")
+        discard(before)
         samples.append(Totals.of(_summed(model, "totals", Totals.length()), **fixed))
     return Fitted(model, samples[-keep:], buckets, int(seen[0]), int(seen[1]))
 
@@ -399,8 +400,10 @@ def scores(docs: DataFrame, fitted: Fitted) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(4, -(-size // CHUNK_BYTES))
     dealt = _packed(docs.select("doc_id", "held_out", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "text"))
-    asked = _asked(dealt.repartition(chunks, "chunk").sortWithinPartitions("chunk"), fitted.buckets)
-    answers = _answered(asked, fitted)
+    # each step is written, so that only one step's shuffle files stand at a time
+    asked = written(_asked(dealt.repartition(chunks, "chunk").sortWithinPartitions("chunk"), fitted.buckets), "asked", "uncompressed")
+    answers = written(_answered(asked, fitted), "answers", "uncompressed")
+    discard(asked)
     both = dealt.select("chunk", F.lit(1).alias("role"), "doc_id", "held_out", "text").unionByName(answers.select(
         "chunk", F.lit(0).alias("role"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"),
         F.col("blob").alias("text")))
