@@ -331,7 +331,7 @@ ISSUES = {
         "SOP procedure does not use numbered steps.",
         "Break down procedures into clear, numbered sequential steps.", "No numbered steps detected", DOC),
     "sop-regulatory": ("compliance.sop-regulatory", "compliance.sop-validation", "medium", 75, SEM,
-        "Insufficient regulatory/compliance language in SOP (found {{regulatory_count}} terms).",
+        "Insufficient regulatory/compliance language in SOP (found {count} terms).",
         "Include compliance terms: 'shall', 'must', 'comply', 'requirement', 'standard'.",
         "Found {count} regulatory terms", DOC),
     "no-versioning": ("compliance.no-versioning", "compliance.versioning", "medium", 95, SYN,

@@ -56,7 +56,6 @@ PACKS = [
 DEDUCTIONS = {"high": 20, "medium": 10, "low": 4}
 SCORING_MODES = {"strict": 1.25, "standard": 1.0, "relaxed": 0.75}
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
-SCORE_GAIN = {"critical": 15, "high": 10, "medium": 5, "low": 2}
 
 # --- fixed values: rule thresholds -----------------------------------------------------
 DEFAULT_CONFIG = {

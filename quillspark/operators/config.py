@@ -39,12 +39,12 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 def attach_profile(docs: DataFrame, requested: str = "profile_id", detected: str | None = None,
                    rows=None) -> DataFrame:
-    """Resolve ``auto`` to the detected profile, then join the profile row (a handful of rows, broadcast)."""
+    """Resolve ``auto`` to the detected profile, then join the profile row (the stock ones, a handful, by broadcast)."""
     wanted = F.col(requested)
     if detected is not None:
         wanted = F.coalesce(F.nullif(wanted, F.lit("auto")), F.col(detected))
     table = profile_table(docs.sparkSession, rows)
-    return docs.withColumn("profile_id", wanted).join(F.broadcast(table), "profile_id", "left")
+    return docs.withColumn("profile_id", wanted).join(F.broadcast(table) if rows is None else table, "profile_id", "left")
 
 
 def profile_of_type(document_type: Column) -> Column:
@@ -145,7 +145,7 @@ def custom_profiles(requests: DataFrame, rows=None) -> DataFrame:
     base = profile_table(requests.sparkSession, rows).select(
         F.col("profile_id").alias("base_profile_id"), F.col("categories").alias("base_categories"),
         F.col("weights").alias("base_weights"))
-    joined = requests.join(F.broadcast(base), "base_profile_id")
+    joined = requests.join(F.broadcast(base) if rows is None else base, "base_profile_id")
     chosen = F.array_distinct(
         F.when(F.size("enabled_categories") > 0, F.col("enabled_categories")).otherwise(F.col("base_categories")))
     weights = F.map_from_arrays(chosen, F.transform(

@@ -8,7 +8,6 @@ from ..fixed import words as W
 from ..functions import rx
 from .rules.logic import paragraphs
 
-HEADING_TYPES = "heading"
 
 
 def line_rows(parsed: DataFrame) -> DataFrame:

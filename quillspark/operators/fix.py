@@ -419,7 +419,7 @@ def cumulative_diff(actions: DataFrame) -> DataFrame:
 def suggestion_status(suggested: DataFrame, actions: DataFrame) -> DataFrame:
     """applied / reverted flags from the latest action of a suggestion (an aggregate, no window)."""
     latest = actions.groupBy("suggestion_id").agg(
-        F.max_by(F.struct("applied_at", "reverted_at"), "applied_at").alias("last"))
+        F.max_by(F.struct("applied_at", "reverted_at"), F.struct("applied_at", "reverted_at", "action_id")).alias("last"))
     return suggested.join(latest, suggested["id"] == latest["suggestion_id"], "left").select(
         suggested["*"], (F.col("last").isNotNull() & F.col("last.reverted_at").isNull()).alias("applied"),
         F.col("last.reverted_at").alias("reverted_at"))

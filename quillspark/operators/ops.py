@@ -26,9 +26,10 @@ def counters(samples: DataFrame, *labels: str) -> DataFrame:
     return samples.groupBy("name", *labels).agg(F.sum("value").alias("value"))
 
 
-def route_label(path: Column) -> Column:
-    """Long ids become ``{id}``; six segments at most."""
-    parts = F.slice(F.split(F.btrim(path, F.lit("/")), "/", -1), 1, 6)
+def route_label(path: Column, segments: int | None = None) -> Column:
+    """Long ids become ``{id}``; the first ``segments`` only where a number is given."""
+    parts = F.split(F.btrim(path, F.lit("/")), "/", -1)
+    parts = parts if segments is None else F.slice(parts, 1, segments)
     return F.concat(F.lit("/"), F.array_join(F.transform(
         parts, lambda p: F.when((F.length(p) >= 24) & p.rlike("^[A-Za-z0-9-]+$"), F.lit("{id}")).otherwise(p)), "/"))
 
@@ -85,10 +86,10 @@ def chain_status(verified: DataFrame) -> DataFrame:
         F.bool_and(good).alias("valid"), F.min(F.when(~good, F.col("seq"))).alias("first_broken"), F.count("*").alias("events"))
 
 
-def redacted_metadata(metadata: Column) -> Column:
-    """Secret keys hidden, other values cut at 1000 characters."""
+def redacted_metadata(metadata: Column, chars: int | None = None) -> Column:
+    """Secret keys hidden; other values cut only where a length is given."""
     return F.transform_values(metadata, lambda k, v: F.when(
-        F.lower(k).isin(X.SECRET_KEYS), F.lit("[REDACTED]")).otherwise(F.left(v, F.lit(1000))))
+        F.lower(k).isin(X.SECRET_KEYS), F.lit("[REDACTED]")).otherwise(v if chars is None else F.left(v, F.lit(chars))))
 
 
 def retention(records: DataFrame, now: Column, days: dict[str, int] | None = None) -> DataFrame:

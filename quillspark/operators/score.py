@@ -89,25 +89,24 @@ def score_issue_table(reviews: DataFrame, issues: DataFrame, mode: str = "standa
         F.bround(F.sum(F.col("category_score") * F.col("weight")) / F.sum("weight")).cast("int").alias("score"))
 
 
-def insights(scored_rows: DataFrame) -> DataFrame:
-    """One row per insight, from the scored row."""
-    cat, points = F.col("category"), F.col("points")
-    per_category = scored_rows.select("doc_id", "issues", F.explode_outer("category_scores").alias("category", "points"))
-    related = F.slice(F.transform(
-        F.filter("issues", lambda i: i["category"] == F.col("category")), lambda i: rule_of(i["code"])), 1, 5)
-    kinds = per_category.where((points >= 80) | (points < 60)).select(
-        "doc_id",
-        F.when(points >= 80, F.lit("strength")).otherwise(F.lit("weakness")).alias("type"),
-        cat,
-        F.when(points >= 80, F.concat(F.lit("Strong "), F.initcap(cat), F.lit(" Quality")))
-        .otherwise(F.concat(F.initcap(cat), F.lit(" Needs Attention"))).alias("title"),
-        F.when(points >= 80, F.lit("low")).otherwise(F.lit("high")).alias("impact"),
-        F.when(points < 60, F.array_join(related, ",")).otherwise(F.lit("")).alias("related_rules"))
-    fixes = scored_rows.where("n_fixable > 0").select(
-        "doc_id", F.lit("opportunity").alias("type"), F.lit("general").alias("category"),
-        F.concat(F.col("n_fixable").cast("string"), F.lit(" Issues Can Be Auto-Fixed")).alias("title"),
-        F.lit("high").alias("impact"), F.lit("").alias("related_rules"))
-    return kinds.unionByName(fixes)
+def insights(scored_rows: DataFrame, related: int | None = None) -> DataFrame:
+    """One row per insight, all from one array of the scored row. ``related`` limits the rules named with a weakness."""
+    def rules(category: Column) -> Column:
+        own = F.transform(F.filter("issues", lambda i: i["category"] == category), lambda i: rule_of(i["code"]))
+        return F.array_join(own if related is None else F.slice(own, 1, related), ",")
+
+    def insight(kind: str, category: Column, title: Column, impact: str, named: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), category.alias("category"), title.alias("title"), F.lit(impact).alias("impact"), named.alias("related_rules"))
+
+    def judged(e: Column) -> Column:
+        name = F.initcap(e["key"])
+        return (F.when(e["value"] >= 80, insight("strength", e["key"], F.concat(F.lit("Strong "), name, F.lit(" Quality")), "low", F.lit("")))
+                .when(e["value"] < 60, insight("weakness", e["key"], F.concat(name, F.lit(" Needs Attention")), "high", rules(e["key"]))))
+
+    fixes = F.when(F.col("n_fixable") > 0, insight(
+        "opportunity", F.lit("general"), F.concat(F.col("n_fixable").cast("string"), F.lit(" Issues Can Be Auto-Fixed")), "high", F.lit("")))
+    found = F.array_compact(F.concat(F.transform(F.map_entries("category_scores"), judged), F.array(fixes)))
+    return scored_rows.select("doc_id", F.explode_outer(found).alias("x")).where("x IS NOT NULL").select("doc_id", "x.*")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -170,10 +169,9 @@ def next_steps(scored_rows: DataFrame) -> DataFrame:
 
 
 def rule_distribution(issues: DataFrame) -> DataFrame:
-    """Count per rule and its share of the most frequent rule (one row per rule reaches the window)."""
+    """Count per rule and its share of the most frequent rule (one row per rule, of a fixed catalogue, reaches the window)."""
     counts = issues.groupBy("rule_id").agg(F.count("*").alias("n"))
-    top = counts.agg(F.greatest(F.max("n"), F.lit(1)).alias("top")).scalar()
-    return counts.select("rule_id", "n", F.round(F.col("n") / top, 6).alias("share_of_max"))
+    return counts.select("rule_id", "n", F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 6).alias("share_of_max"))
 
 
 def top_by_confidence(issues: DataFrame, n: int = 5) -> DataFrame:

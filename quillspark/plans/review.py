@@ -50,20 +50,29 @@ def rule_issues(parsed: DataFrame, rule_id: str, overrides: dict | None = None,
     return rendered(exploded(parsed.select(*keep, found.alias("issues")), *keep).drop("seq"))
 
 
+def with_severity(found: Column, severity: str) -> Column:
+    return F.transform(found, lambda i: i.withField("severity", F.lit(severity)))
+
+
 def all_issues(parsed: DataFrame, packs: list[str] = (), overrides: dict | None = None, disabled=(),
-               categories: str | None = "categories", formatting_alias: bool = False, rule_ids=None) -> Column:
+               categories: str | None = "categories", formatting_alias: bool = False, rule_ids=None,
+               severities: dict[str, str] | None = None) -> Column:
     """Every issue of a document as one array, in rule order.
 
-    ``categories`` names the column with the categories in force; None runs every rule.
+    ``categories`` names the column with the categories in force; None runs every rule. ``disabled`` names rules or
+    whole categories. ``severities`` gives the issues of a rule, or else of a category, another severity.
     """
     cfg = settings(overrides)
-    ids = C.selected_rules(in_order(rule_ids), list(packs), disabled)
+    ids = [r for r in C.selected_rules(in_order(rule_ids), list(packs), disabled) if META[r][0] not in disabled]
     gate = None
     if categories is not None:
         gate = C.enabled_categories(F.col(categories), formatting_alias=formatting_alias)
     arrays = []
     for rule_id in ids:
         found = rule_column(parsed, rule_id, cfg)
+        wanted = (severities or {}).get(rule_id, (severities or {}).get(META[rule_id][0]))
+        if wanted:
+            found = with_severity(found, wanted)
         if gate is not None:
             found = F.when(C.gate_open(gate, META[rule_id][0]), found).otherwise(none())
         arrays.append(found)
@@ -71,7 +80,8 @@ def all_issues(parsed: DataFrame, packs: list[str] = (), overrides: dict | None
 
 
 def review_rows(docs: DataFrame, text: str = "text", packs: list[str] = (), overrides: dict | None = None,
-                disabled=(), formatting_alias: bool = False, profiles=None, rule_ids=None, blocks=None) -> DataFrame:
+                disabled=(), formatting_alias: bool = False, profiles=None, rule_ids=None, blocks=None,
+                severities: dict[str, str] | None = None) -> DataFrame:
     """One row per document with its profile columns and the ``issues`` array.
 
     Expects ``doc_id, profile_id`` and the text column. Pack thresholds apply by key.
@@ -85,10 +95,17 @@ def review_rows(docs: DataFrame, text: str = "text", packs: list[str] = (), over
     if blocks is not None:
         parsed = with_blocks(parsed, blocks)
     found = all_issues(parsed, packs, {**pack_config, **(overrides or {})}, disabled,
-                       formatting_alias=formatting_alias, rule_ids=rule_ids)
+                       formatting_alias=formatting_alias, rule_ids=rule_ids, severities=severities)
     return parsed.withColumn("issues", found)
 
 
-def issue_rows(reviewed: DataFrame, *keep: str) -> DataFrame:
-    """The issues table: one row per issue with its sequence number in the document."""
-    return rendered(exploded(reviewed, "doc_id", *keep))
+def issue_rows(reviewed: DataFrame, *keep: str, confidences: dict[str, int] | None = None) -> DataFrame:
+    """The issues table: one row per issue with its sequence number in the document.
+
+    ``confidences`` gives the issues of a rule, or else of a category, another confidence.
+    """
+    rows = rendered(exploded(reviewed, "doc_id", *keep))
+    if not confidences:
+        return rows
+    given = F.create_map(*[F.lit(x) for pair in confidences.items() for x in pair])
+    return rows.withColumn("confidence", F.coalesce(given[F.col("rule_id")], given[F.col("category")], F.col("confidence")))

@@ -49,13 +49,16 @@ def list_documents(documents: DataFrame, search: str | None = None, content_type
 # --- exports: a session's issues fold into one ordered array (bounded by its document) ------
 
 
-def session_documents(sessions: DataFrame, issues: DataFrame, order: str = "id") -> DataFrame:
-    fields = ["issue_id", "category", "rule_id", "severity", "message", "recommendation", "evidence_excerpt",
+def session_documents(sessions: DataFrame, issues: DataFrame) -> DataFrame:
+    """Sessions with their issues: by severity, the newest first, then by id."""
+    from ..plans.store import severity_order
+
+    fields = ["id", "issue_id", "category", "rule_id", "severity", "message", "recommendation", "evidence_excerpt",
               "evidence_location", "confidence", "status"]
-    folded = issues.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("issues"))
-    return sessions.withColumnRenamed("id", "session_id").join(folded, "session_id", "left").withColumn(
-        "issues", F.coalesce("issues", F.filter(F.array(F.struct(*[F.lit("").alias(c) for c in [order]], *[
-            F.lit(0).cast("int").alias(c) if c == "confidence" else F.lit("").alias(c) for c in fields])), lambda _: F.lit(False))))
+    keyed = F.struct(severity_order().alias("rank"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), "id", F.struct(*fields).alias("x"))
+    folded = issues.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda k: k["x"]).alias("issues"))
+    empty = F.array().cast(folded.schema["issues"].dataType)
+    return sessions.withColumnRenamed("id", "session_id").join(folded, "session_id", "left").withColumn("issues", F.coalesce("issues", empty))
 
 
 def as_json(sessions: DataFrame, issues: DataFrame) -> DataFrame:

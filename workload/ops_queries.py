@@ -13,7 +13,7 @@ from quillspark.streaming import jobs
 
 from .drafts import RAW_SQL, documents, drafts, pick, sql_pick
 from .sql import any_in, ascii_fold, base, has, q, strip, words
-from .store_queries import _STORE, CATS, issue_table, issues, iss, scored, sessions, stored_documents
+from .store_queries import _SO, _STORE, CATS, issue_table, issues, iss, scored, sessions, stored_documents
 
 Q: dict[str, tuple] = {}
 RAW = f"WITH {RAW_SQL} "
@@ -132,7 +132,7 @@ Q["o02_counters"] = (
     lambda s, d: O.counters(samples(s, d), "route").select("name", "route", F.round("value", 4).alias("value")), _SAM + "SELECT name, route, round(sum(value), 4) AS value FROM sam GROUP BY ALL")
 Q["o03_routes"] = (
     lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", O.route_label(F.concat(F.regexp_extract("url", r"://([^?#]*)", 1), F.lit("/"), F.md5("url"), F.lit("/a/b/c/d/"))).alias("route")),
-    "SELECT page_id, '/' || array_to_string(list_transform(string_split(trim(regexp_extract(url, '://([^?#]*)', 1) || '/' || md5(url) || '/a/b/c/d/', '/'), '/')[1:6], lambda p: CASE WHEN length(p) >= 24 AND regexp_full_match(p, '[A-Za-z0-9-]+') THEN '{id}' ELSE p END), '/') AS route FROM pages")
+    "SELECT page_id, '/' || array_to_string(list_transform(string_split(trim(regexp_extract(url, '://([^?#]*)', 1) || '/' || md5(url) || '/a/b/c/d/', '/'), '/'), lambda p: CASE WHEN length(p) >= 24 AND regexp_full_match(p, '[A-Za-z0-9-]+') THEN '{id}' ELSE p END), '/') AS route FROM pages")
 
 
 def snapshots(s, d):
@@ -181,7 +181,7 @@ Q["o05_audit_chains"] = (
 Q["o06_audit_redaction"] = (
     lambda s, d: documents(s, d).select("doc_id", O.redacted_metadata(F.create_map(F.lit("Token"), F.lit("abc"), F.lit("document_text"), F.col("text"), F.lit("note"), F.col("text"))).alias("m")).select(
         "doc_id", F.col("m")["Token"].alias("token"), F.col("m")["document_text"].alias("body"), F.col("m")["note"].alias("note")),
-    "SELECT doc_id, '[REDACTED]' AS token, '[REDACTED]' AS body, left(text, 1000) AS note FROM documents")
+    "SELECT doc_id, '[REDACTED]' AS token, '[REDACTED]' AS body, text AS note FROM documents")
 CLASSES = list(X.RETENTION_DAYS)
 records = lambda s, d: events(s, d).select("event_id", pick(CLASSES, F.col("event_id")).alias("data_class"), F.col("ts").alias("created_at"), (F.col("user_id") % 5 == 0).alias("legal_hold"))
 Q["o07_retention"] = (
@@ -236,15 +236,15 @@ Q["s10_template_rows"] = (
     lambda s, d: stored_documents(s, d).select("id", F.to_json(F.struct(F.col("original_name").alias("source_filename"), F.lit(1).alias("version"))).alias("analysis")),
     _STORE + "SELECT id, '{\"source_filename\":\"' || original_name || '\",\"version\":1}' AS analysis FROM dcs")
 Q["s12_json_export"] = (
-    lambda s, d: SS.as_json(sessions(s, d), issues(s, d)).select("session_id", F.get_json_object("body", "$.session.filename").alias("filename"), F.json_array_length(F.get_json_object("body", "$.issues")).alias("n")),
-    _STORE + "SELECT s.id AS session_id, s.filename, count(i.id) AS n FROM ses s LEFT JOIN isu i ON i.session_id = s.id GROUP BY ALL")
+    lambda s, d: SS.as_json(sessions(s, d), issues(s, d)).select("session_id", F.get_json_object("body", "$.session.filename").alias("filename"), F.json_array_length(F.get_json_object("body", "$.issues")).alias("n"), F.get_json_object("body", "$.issues[0].id").alias("first_id")),
+    _STORE + f"SELECT s.id AS session_id, s.filename, count(i.id) AS n, list(i.id ORDER BY {_SO}, i.created_at DESC, i.id)[1] AS first_id FROM ses s LEFT JOIN isu i ON i.session_id = s.id GROUP BY ALL")
 Q["s13_csv_export"] = (
     lambda s, d: SS.as_csv(issues(s, d)),
     _STORE + "SELECT session_id, issue_id, severity, category, rule_id, message, confidence, status, evidence_location, recommendation, evidence_excerpt FROM isu")
 _BAD = "CASE severity WHEN 'high' THEN '🔴 HIGH' WHEN 'medium' THEN '🟡 MEDIUM' ELSE '🟢 LOW' END"
 Q["s14_markdown_export"] = (
     lambda s, d: SS.as_markdown(sessions(s, d), issues(s, d)).select("session_id", F.sha2("body", 256).alias("digest")),
-    _STORE + f""", o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id, issue_id, category, rule_id, severity, message) AS n FROM isu), b AS (SELECT session_id, string_agg('### ' || n || '. ' || {_BAD} || ' — ' || message || chr(10) || '- **Category:** ' || category || chr(10) || '- **Rule:** `' || rule_id || '`' || chr(10)
+    _STORE + f""", o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {_SO}, created_at DESC, id) AS n FROM isu), b AS (SELECT session_id, string_agg('### ' || n || '. ' || {_BAD} || ' — ' || message || chr(10) || '- **Category:** ' || category || chr(10) || '- **Rule:** `' || rule_id || '`' || chr(10)
     || '- **Confidence:** ' || confidence || '%' || chr(10) || '- **Status:** ' || status || chr(10) || '- **Evidence:** "' || evidence_excerpt || '"' || chr(10) || '- **Location:** ' || evidence_location || chr(10) || '- **Recommendation:** ' || recommendation || chr(10), chr(10) ORDER BY n) AS t FROM o GROUP BY session_id)
     SELECT s.id AS session_id, sha256('# Review Report' || chr(10) || chr(10) || '**Profile:** ' || profile_id || chr(10) || '**Document:** ' || filename || chr(10) || '**Overall Score:** ' || score || '/100' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || summary || chr(10) || chr(10) || '## Issues' || chr(10) || coalesce(t, 'No issues found.')) AS digest
     FROM ses s LEFT JOIN b ON b.session_id = s.id""")

@@ -85,6 +85,14 @@ Q["rule_statistics"] = (
     lambda s, d: G.rule_statistics(issue_table(s, d), C.rule_table(s).where(F.col("rule_id").isin(RULESET))),
     iss() + f"SELECT m.rule_id, m.category, count(i.doc_id) AS n_issues, count(DISTINCT i.doc_id) AS n_docs FROM (VALUES {_META}) m(rule_id, category, priority) LEFT JOIN iss i USING (rule_id) GROUP BY 1, 2")
 
+# one rule and one category with another severity, one rule and one category off, another confidence
+Q["c08_overridden_review"] = (
+    lambda s, d: issue_rows(review_rows(drafts(s, d), rule_ids=RULESET, disabled=("writing.spelling", "compliance"), severities={"writing.grammar": "high", "writing": "low", "structure": "low"}),
+                            confidences={"writing.grammar": 11, "citation": 22}).select("doc_id", "issue_id", "rule_id", "severity", "confidence"),
+    iss() + """SELECT doc_id, issue_id, rule_id, CASE WHEN rule_id = 'writing.grammar' THEN 'high' WHEN category IN ('writing', 'structure') THEN 'low' ELSE severity END AS severity,
+    CASE WHEN rule_id = 'writing.grammar' THEN 11 WHEN category = 'citation' THEN 22 ELSE confidence END AS confidence FROM iss WHERE rule_id <> 'writing.spelling' AND category <> 'compliance'""")
+
+
 @rule("structure.long-title", "structure", 5, enabled=False)
 def long_title(d, cfg):
     """A user's own rule over the same document columns: it reuses a stock issue text."""
@@ -176,10 +184,11 @@ Q["g03_readiness"] = (
     iss() + "SELECT doc_id, readiness, least(n_fixable * 5, 30) AS improvement_potential FROM ready")
 _TC = "upper(category[1]) || category[2:]"
 Q["g04_insights"] = (
-    lambda s, d: G.insights(scored(s, d)).select("doc_id", "type", "category", "title", "impact"),
+    lambda s, d: G.insights(scored(s, d)),
     iss() + f"""SELECT doc_id, CASE WHEN points >= 80 THEN 'strength' ELSE 'weakness' END AS type, category, CASE WHEN points >= 80 THEN 'Strong ' || {_TC} || ' Quality' ELSE {_TC} || ' Needs Attention' END AS title,
-    CASE WHEN points >= 80 THEN 'low' ELSE 'high' END AS impact FROM cat_scores WHERE points >= 80 OR points < 60
-    UNION ALL SELECT doc_id, 'opportunity', 'general', n_fixable || ' Issues Can Be Auto-Fixed', 'high' FROM totals WHERE n_fixable > 0""")
+    CASE WHEN points >= 80 THEN 'low' ELSE 'high' END AS impact,
+    CASE WHEN points >= 80 THEN '' ELSE (SELECT string_agg(rule_id, ',' ORDER BY seq) FROM iss i WHERE i.doc_id = c.doc_id AND i.category = c.category) END AS related_rules FROM cat_scores c WHERE points >= 80 OR points < 60
+    UNION ALL SELECT doc_id, 'opportunity', 'general', n_fixable || ' Issues Can Be Auto-Fixed', 'high', '' FROM totals WHERE n_fixable > 0""")
 Q["g05_recommendations"] = (
     lambda s, d: G.recommendations(scored(s, d)).select("doc_id", "priority", "severity", "estimated_gain"),
     iss() + f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, seq) AS priority, severity, {_GAIN} AS estimated_gain FROM iss")
