@@ -282,7 +282,7 @@ Q["f01_suggestions"] = (
     lambda s, d: suggested(s, d).select("id", "doc_id", "issue_id", "original", "suggested", "line_start", "confidence", "fix_type"),
     _SUG + "SELECT id, doc_id, issue_id, original, suggested, line_start, confidence, fix_type FROM sug2")
 Q["f02_fix_routing"] = (
-    lambda s, d: C.rule_table(s).join(issue_table(s, d).select("rule_id").distinct(), "rule_id").select("rule_id", FX.short_rule(F.col("rule_id")).alias("route")),
+    lambda s, d: issue_table(s, d).select("rule_id", FX.short_rule(F.col("rule_id")).alias("route")).distinct(),
     iss() + f"SELECT DISTINCT rule_id, {_SHORT} AS route FROM iss")
 Q["f13_fix_type"] = (
     lambda s, d: issue_table(s, d).groupBy("rule_id", FX.fix_type(F.col("rule_id")).alias("fix_type")).agg(F.count("*").alias("n")),
