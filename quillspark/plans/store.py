@@ -150,7 +150,7 @@ def recent_sessions(sessions: DataFrame, n: int = 5) -> DataFrame:
 def category_shares(issues: DataFrame) -> DataFrame:
     """Q-09: share of issues per category in percent, one decimal."""
     counts = issues.groupBy("category").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    total = F.sum("n").over(Window.partitionBy())  # one row per category
     return counts.select("category", "n", F.round(F.col("n") / total * 100, 1).alias("percent"))
 
 
@@ -159,26 +159,42 @@ def score_trend(sessions: DataFrame, n: int = 10) -> DataFrame:
     return page(sessions, [F.desc("created_at"), F.desc("id")], n).select("created_at", "id", "score").orderBy("created_at", "id")
 
 
-def compare_runs(issues: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Q-10: improved, new and remaining issue ids per session pair, with counts.
-
-    ``pairs(pair_id, first_session, second_session)``. One aggregate per (pair, issue id) says in which of the two
-    sessions the id occurs; no set is gathered anywhere.
-    """
+def _sides(issues: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per (pair, issue id) the issues of either session, in all and by severity; no set is gathered anywhere."""
     sides = pairs.select("pair_id", F.explode(F.array(
         F.struct(F.col("first_session").alias("session_id"), F.lit(1).alias("side")),
         F.struct(F.col("second_session").alias("session_id"), F.lit(2).alias("side")))).alias("s")).select("pair_id", "s.*")
     hits = issues.select("session_id", "issue_id", "severity").join(sides, "session_id")
-    per_id = hits.groupBy("pair_id", "issue_id").agg(
+    return hits.groupBy("pair_id", "issue_id").agg(
         *[F.count_if((F.col("side") == side) & (F.col("severity") == sev)).alias(f"{sev}_{side}")
           for side in (1, 2) for sev in ("high", "medium", "low")],
         F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2"))
-    return per_id.groupBy("pair_id").agg(
+
+
+def compared_ids(issues: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Q-10: the issue ids of every pair as rows, each ``improved``, ``new`` or ``remaining``."""
+    kind = F.when(F.col("n2") == 0, "improved").when(F.col("n1") == 0, "new").otherwise("remaining")
+    return _sides(issues, pairs).select("pair_id", kind.alias("kind"), "issue_id")
+
+
+def compare_runs(issues: DataFrame, pairs: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Q-10: counts of improved, new and remaining issue ids per session pair, and with ``sessions`` both scores.
+
+    ``pairs(pair_id, first_session, second_session)``.
+    """
+    counts = _sides(issues, pairs).groupBy("pair_id").agg(
         F.sum("n1").alias("issues_1"), F.sum("n2").alias("issues_2"), (F.sum("n2") - F.sum("n1")).alias("issue_change"),
         F.count_if((F.col("n1") > 0) & (F.col("n2") == 0)).alias("improved"),
         F.count_if((F.col("n1") == 0) & (F.col("n2") > 0)).alias("new"),
         F.count_if((F.col("n1") > 0) & (F.col("n2") > 0)).alias("remaining"),
         *[(F.sum(f"{sev}_2") - F.sum(f"{sev}_1")).alias(f"{sev}_change") for sev in ("high", "medium", "low")])
+    if sessions is None:
+        return counts
+    first = sessions.select(F.col("id").alias("first_session"), F.col("score").alias("score_1"))
+    second = sessions.select(F.col("id").alias("second_session"), F.col("score").alias("score_2"))
+    scores = pairs.join(first, "first_session").join(second, "second_session").select(
+        "pair_id", "score_1", "score_2", (F.col("score_2") - F.col("score_1")).alias("score_change"))
+    return counts.join(scores, "pair_id")
 
 
 def search(documents: DataFrame, sessions: DataFrame, issues: DataFrame, needle: str, limit: int | None = None) -> DataFrame:
@@ -193,18 +209,18 @@ def search(documents: DataFrame, sessions: DataFrame, issues: DataFrame, needle:
 
 
 def issue_stats(issues: DataFrame) -> DataFrame:
-    """Q-12: counts by severity, category and status per session; the fixed severities and statuses show zeros."""
-    dims = ["severity", "category", "status"]
-    grouped = issues.groupingSets([[F.col("session_id"), F.col(d)] for d in dims], "session_id", *dims).agg(
-        F.count("*").alias("n"), *[F.grouping(d).alias(f"_{d}") for d in dims])
-    kind = F.when(F.col("_severity") == 0, "severity").when(F.col("_category") == 0, "category").otherwise("status")
-    value = F.when(F.col("_severity") == 0, F.col("severity")).when(F.col("_category") == 0, F.col("category")).otherwise(F.col("status"))
-    seen = grouped.select("session_id", kind.alias("dimension"), value.alias("value"), "n")
-    fixed = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(v).alias("value")) for d, v in (
-        ("severity", "high"), ("severity", "medium"), ("severity", "low"), ("status", "open"), ("status", "resolved"), ("status", "ignored"))])
-    zeros = issues.groupBy("session_id").agg(F.lit(0).cast("bigint").alias("n")).select(
-        "session_id", F.explode(fixed).alias("x"), "n").select("session_id", "x.*", "n")
-    return seen.unionByName(zeros).groupBy("session_id", "dimension", "value").agg(F.sum("n").alias("n"))
+    """Q-12: counts by severity, category and status per session; the fixed severities and statuses show zeros.
+
+    One scan: the few combinations of a session are counted first, and each then adds to its three values.
+    """
+    combined = issues.groupBy("session_id", "severity", "category", "status").agg(F.count("*").alias("n"))
+    entry = lambda dimension, value, n: F.struct(F.lit(dimension).alias("dimension"), value.alias("value"), n.alias("n"))
+    zero = F.lit(0).cast("bigint")
+    entries = [entry(d, F.col(d), F.col("n")) for d in ("severity", "category", "status")]
+    entries += [entry("severity", F.lit(v), zero) for v in ("high", "medium", "low")]
+    entries += [entry("status", F.lit(v), zero) for v in ("open", "resolved", "ignored")]
+    return combined.select("session_id", F.explode(F.array(*entries)).alias("x")).groupBy(
+        "session_id", "x.dimension", "x.value").agg(F.sum("x.n").alias("n"))
 
 
 def without_deleted(sessions: DataFrame, issues: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:

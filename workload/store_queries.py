@@ -472,13 +472,18 @@ def run_pairs(s, d):
 
 
 Q["q10_compare_runs"] = (
-    lambda s, d: S.compare_runs(issues(s, d), run_pairs(s, d)),
+    lambda s, d: S.compare_runs(issues(s, d), run_pairs(s, d), sessions(s, d)),
     _STORE + """, pr AS (SELECT document_id AS pair_id, arg_min(id, (created_at, id)) AS a, arg_max(id, (created_at, id)) AS b FROM ses GROUP BY document_id HAVING a <> b),
     pid AS (SELECT p.pair_id, i.issue_id, count(*) FILTER (WHERE i.session_id = p.a) AS n1, count(*) FILTER (WHERE i.session_id = p.b) AS n2,
       """ + ", ".join(f"count(*) FILTER (WHERE i.session_id = p.{x} AND severity = '{v}') AS {v}_{k}" for k, x in ((1, "a"), (2, "b")) for v in SEV) + """
       FROM pr p JOIN isu i ON i.session_id = p.a OR i.session_id = p.b GROUP BY 1, 2)
     SELECT pair_id, CAST(sum(n1) AS BIGINT) AS issues_1, CAST(sum(n2) AS BIGINT) AS issues_2, CAST(sum(n2) - sum(n1) AS BIGINT) AS issue_change, count(*) FILTER (WHERE n1 > 0 AND n2 = 0) AS improved, count(*) FILTER (WHERE n1 = 0 AND n2 > 0) AS new, count(*) FILTER (WHERE n1 > 0 AND n2 > 0) AS remaining,
-    """ + ", ".join(f"CAST(sum({v}_2) - sum({v}_1) AS BIGINT) AS {v}_change" for v in SEV) + " FROM pid GROUP BY pair_id")
+    """ + ", ".join(f"CAST(sum({v}_2) - sum({v}_1) AS BIGINT) AS {v}_change" for v in SEV) + ", any_value(x.score) AS score_1, any_value(y.score) AS score_2, any_value(y.score - x.score) AS score_change FROM pid JOIN pr USING (pair_id) JOIN ses x ON x.id = pr.a JOIN ses y ON y.id = pr.b GROUP BY pair_id")
+Q["q10_compared_ids"] = (
+    lambda s, d: S.compared_ids(issues(s, d), run_pairs(s, d)),
+    _STORE + """, pr AS (SELECT document_id AS pair_id, arg_min(id, (created_at, id)) AS a, arg_max(id, (created_at, id)) AS b FROM ses GROUP BY document_id HAVING a <> b),
+    pid AS (SELECT p.pair_id, i.issue_id, bool_or(i.session_id = p.a) AS one, bool_or(i.session_id = p.b) AS two FROM pr p JOIN isu i ON i.session_id = p.a OR i.session_id = p.b GROUP BY 1, 2)
+    SELECT pair_id, CASE WHEN NOT two THEN 'improved' WHEN NOT one THEN 'new' ELSE 'remaining' END AS kind, issue_id FROM pid""")
 Q["q11_search"] = (
     lambda s, d: S.search(stored_documents(s, d), sessions(s, d), issues(s, d), "99", limit=None),
     _STORE + """SELECT 'document' AS kind, id, original_name AS label FROM dcs WHERE original_name ILIKE '%99%' UNION ALL SELECT 'session', CAST(id AS VARCHAR), filename FROM ses WHERE filename ILIKE '%99%' OR summary ILIKE '%99%'
