@@ -8,6 +8,7 @@ postings share a cell of a table; their cosine in double precision decides.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations, product
 
 import numpy as np
@@ -60,14 +61,24 @@ def _code(points: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=256)
+def _projection(width: int, blocks: int, seed: int, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """The directions of a table (orthonormal where the width allows it) and its random offset."""
+    random, directions = np.random.default_rng([seed, table, width]), 8 * blocks
+    if width >= directions:
+        axes = np.linalg.qr(random.standard_normal((width, width)))[0][:, :directions]
+    else:
+        axes = random.standard_normal((width, directions)) / np.sqrt(width)
+    return axes, random.uniform(0, 2, directions)
+
+
 def cells(unit: np.ndarray, tables: int, blocks: int, scale: float, probes: int, seed: int) -> np.ndarray:
     """(vectors, tables, 1 + probes) cell numbers: the own cell, then the `probes` nearest neighbouring cells."""
     n, width = unit.shape
     out = np.zeros((n, tables, 1 + probes), np.uint64)
     for t in range(tables):
-        random = np.random.default_rng([seed, t, width])
-        axes = np.linalg.qr(random.standard_normal((width, max(width, 8 * blocks))))[0] if width >= 8 * blocks else random.standard_normal((width, 8 * blocks)) / np.sqrt(width)
-        x = unit @ axes[:, : 8 * blocks] * scale + random.uniform(0, 2, 8 * blocks)
+        axes, offset = _projection(width, blocks, seed, t)
+        x = unit @ axes * scale + offset
         own, cost, codes = [], [], []
         for b in range(blocks):
             y = x[:, 8 * b : 8 * b + 8]
