@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
 STEPS = 40  # halvings of the exponent's range
 
 
@@ -92,11 +94,14 @@ def plan(sized: DataFrame, share: float, entropy: float, repeats: float) -> tupl
     per_source = target.select(
         "source", epochs.alias("epochs"), F.coalesce(F.col("target") - epochs * F.col("tokens"), F.lit(0)).alias("part"),
         F.ceil(F.sqrt("n")).cast("long").alias("n_blocks"))
+    per_source = written(per_source, "sources")
     blocks = (_blocked(sized, per_source).groupBy("source", "block", "epochs", "part").agg(F.sum("n_tokens").alias("tokens"))
               .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs")))))
     order = Window.partitionBy("source", "epoch").orderBy(_hash(F.col("block"), F.col("epoch")), "block")
     placed = blocks.withColumn("place", F.row_number().over(order)).withColumn("before", F.sum("tokens").over(order) - F.col("tokens"))
-    return per_source, placed.where("epoch < epochs OR before < part").select("source", "block", "epoch", "place", "before", "tokens")
+    # written, so that their sizes are known: small ones are broadcast and texts need no shuffle
+    placed = placed.where("epoch < epochs OR before < part").select("source", "block", "epoch", "place", "before", "tokens")
+    return per_source, written(placed, "placed")
 
 
 def _blocked(sized: DataFrame, per_source: DataFrame) -> DataFrame:
