@@ -1,14 +1,17 @@
 """A hierarchical Pitman-Yor language model over words, fitted by Gibbs sampling of restaurant seatings.
 
-The context of a token is the class of the token before it: a coarse class by its last two bytes, cut into fine classes by
-its fingerprint. Each fine class is a restaurant whose parent is its coarse class's, all coarse ones share the unigram
-restaurant, and that one's base is uniform over the words and one unknown. A word's dish is wholly in one bucket with
-its customers and tables in every restaurant; restaurants touch each other only through totals, a fixed number of them.
-So a sweep reseats all dishes of all buckets in parallel, given the totals of the sweep before, and sums new totals.
+The context of a token is the word before it (a text's start has the end token's): every word is a restaurant. Its parent
+is the restaurant of the word's class: a coarse class by its last two bytes, cut into fine classes by its fingerprint. A
+fine class's parent is its coarse class, all coarse ones share the unigram restaurant, and that one's base is uniform
+over the words and one unknown. A word's dish is wholly in one bucket with its customers and tables in every restaurant.
+Restaurants touch each other only through totals. Those of the classes are a fixed number and go through the driver;
+those of the words grow with the texts: each bucket sends its tables of every context to the bucket of that word, which
+adds them up and answers. So a sweep reseats all dishes of all buckets in parallel, given the totals of the sweep before.
+Seating starts anew in each sweep: what a sweep takes from the one before are the totals and the parents' tables.
 Probabilities are averaged over the kept sweeps; in each they sum to one over the words and the unknown.
 
-Texts are dealt in chunks. A chunk asks a bucket once for each distinct pair of word and class, and the answers come back to
-it: what moves is distinct pairs, never tokens.
+Texts are dealt in chunks. A chunk asks a bucket once for each distinct pair of word and context, and the answers come back
+to it in that order: what moves is distinct pairs, never tokens.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ from .text import LOWER, NOT_BLANK, fingerprints, mix, raw, slices, words
 COARSE, FINE = 32, 8  # classes; the first coarse class is that of a text's start
 CLASSES = COARSE * FINE
 END = np.uint64(0x454E44454E44454E)
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20  # of text, in a chunk and for each bucket
+TEXT = 1 << 62  # comes after all buckets
 BLOCK = 16  # customers of a large dish sit down in blocks of a sixteenth of those seated
 
 
 def tokens(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word fingerprint, class of the token before, and text number of each token; every text has one end token."""
+    """Word fingerprint, class as a context, and text number of each token; every text has one end token, which is also its start's context."""
     starts, ends, doc = words(low, offsets, NOT_BLANK)
     n = offsets.size - 1
     at = np.arange(starts.size) + doc  # the end tokens of earlier texts come before
@@ -48,19 +52,49 @@ def tokens(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     tail = low[ends - 1].astype(np.uint64) | (np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0).astype(np.uint64) << np.uint64(8))
     own = np.zeros(total, np.int64)
     own[at] = (1 + mix(tail) % np.uint64(COARSE - 1)).astype(np.int64) * FINE + (prints >> np.uint64(61)).astype(np.int64)
-    before = np.zeros(total, np.int64)
-    before[1:] = own[:-1]  # the class of an end token is that of a start
-    return word, before, of
+    return word, own.astype(np.uint8), of.astype(np.int32)
 
 
-def _distinct(word: np.ndarray, cls: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order, with summed weights."""
-    order = np.lexsort((cls, word))
-    word, cls, weight = word[order], cls[order], weight[order]
-    new = np.ones(word.size, bool)
-    new[1:] = (word[1:] != word[:-1]) | (cls[1:] != cls[:-1])
-    at = np.flatnonzero(new)
-    return word[at], cls[at], np.add.reduceat(weight, at) if at.size else weight
+class Chunk:
+    """The distinct pairs (word, word before) of some texts, ordered by the word's bucket, the word, and the word before.
+
+    names are the words in that order (each word before is one of them), cls their classes; word and before number them.
+    """
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int):
+        word = np.concatenate([p[0] for p in parts])
+        names, first, at = np.unique(word, return_index=True, return_inverse=True)
+        own = np.concatenate([p[1] for p in parts])[first]
+        del word, first
+        of = _bucket(names, buckets)
+        order = np.argsort(of, kind="stable")
+        place = np.empty(order.size, np.int32)
+        place[order] = np.arange(order.size)
+        self.names, self.cls, at = names[order], own[order], place[at]
+        before = np.empty_like(at)
+        before[1:], before[:1] = at[:-1], at[-1:]  # the last token is an end token, as each before a text
+        code, pair, self.n = np.unique(at.astype(np.int64) * names.size + before, return_inverse=True, return_counts=True)
+        self.word, self.before = np.divmod(code, names.size)
+        self.token, self.pair = at, pair.astype(np.int32)  # name and pair of each token
+        self.buckets, self.first = np.unique(of[order], return_index=True)
+
+    def parts(self):
+        """(bucket, number of its first name, names, pairs as a slice) of each bucket that has any."""
+        last = np.append(self.first[1:], self.names.size)
+        for b, i, j in zip(self.buckets.tolist(), self.first.tolist(), last.tolist(), strict=True):
+            yield b, i, j, slice(*np.searchsorted(self.word, [i, j]).tolist())
+
+    def blobs(self, counted: bool):
+        for b, i, j, own in self.parts():
+            context, at = np.unique(self.before[own], return_inverse=True)
+            more = {"n": _small(self.n[own])} if counted else {}
+            yield b, _dump(word=self.names[i:j], many=_small(np.bincount(self.word[own] - i, minlength=j - i)),
+                           context=self.names[context], cls=self.cls[context], at=_small(at), **more)
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """In the narrowest unsigned type."""
+    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
 
 
 def _dump(**arrays) -> bytes:
@@ -71,30 +105,10 @@ def _load(blob: bytes) -> dict:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
-def _pairs(word: np.ndarray, cls: np.ndarray, **more) -> bytes:
-    """Sorted pairs, each word once."""
-    new = np.ones(word.size, bool)
-    new[1:] = word[1:] != word[:-1]
-    at = np.flatnonzero(new)
-    many = np.diff(np.append(at, word.size))
-    return _dump(word=word[at], many=many.astype(np.uint16), cls=cls.astype(np.uint8), **more)
-
-
 def _bucket(word: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(word ^ np.uint64(5)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _split(word, cls, weight, buckets):
-    """The pairs of each bucket."""
-    of = _bucket(word, buckets)
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        own = order[cuts[b] : cuts[b + 1]]
-        if own.size:
-            yield b, word[own], cls[own], weight[own]
-
-
 def _counted(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, blob): the pairs of training texts with counts, summed over each task's chunks of text."""
 
@@ -103,8 +117,7 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = raw(part.column("text"))
-                word, cls, _ = tokens(LOWER[data], offsets)
-                held.append(_distinct(word, cls, np.ones(word.size, np.int64)))
+                held.append(tokens(LOWER[data], offsets))
                 size += data.size
                 if size >= CHUNK_BYTES:
                     yield from send(held)
@@ -113,8 +126,7 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
             yield from send(held)
 
     def send(held):
-        pairs = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        rows = [(b, _pairs(w, c, n=n)) for b, w, c, n in _split(*pairs, buckets)]
+        rows = list(Chunk(held, buckets).blobs(True))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
 
     return docs.select("text").mapInArrow(count, "bucket long, blob binary")
@@ -127,8 +139,8 @@ class Totals:
     fine: np.ndarray  # (2, CLASSES)
     coarse: np.ndarray  # (2, COARSE)
     root: np.ndarray  # (2,)
-    discounts: tuple[float, float, float]
-    strengths: tuple[float, float, float]
+    discounts: tuple[float, float, float, float]  # of the root, the coarse and fine classes and the words
+    strengths: tuple[float, float, float, float]
     base: float
 
     @staticmethod
@@ -142,27 +154,32 @@ class Totals:
 
 
 class Dishes:
-    """The dishes of one bucket. Fine pairs are (word number, class) in order; coarse pairs follow from them."""
+    """The dishes of one bucket. Pairs are (word number, context number) in order; fine and coarse pairs follow from them."""
 
-    def __init__(self, word, cls, n):
-        new = np.ones(word.size, bool)
-        new[1:] = word[1:] != word[:-1]
-        self.words, self.of, self.cls, self.n = word[new], np.cumsum(new) - 1, cls.astype(np.int64), n
+    def __init__(self, words, context, cls, pair, n):
+        self.words, self.context, self.context_cls, self.pair, self.pair_n = words, context, cls, pair, n
+        of, self.at = np.divmod(pair, max(context.size, 1))
+        fine, self.down = np.unique(of * CLASSES + cls[self.at], return_inverse=True)
+        self.of, self.cls = np.divmod(fine, CLASSES)
         coarse = self.of * COARSE + self.cls // FINE
         self.coarse, self.up = np.unique(coarse, return_inverse=True)
-        self.counts = np.bincount(self.of, n, self.words.size)
+        self.counts = np.bincount(of, n, self.words.size).astype(np.int64)
         # one table a dish to begin with
-        self.t = np.ones(word.size, np.int64)
-        self.seated()
+        self.pair_t = np.ones(pair.size, np.int64)
+        self.t = np.ones(fine.size, np.int64)
         self.t1 = np.ones(self.coarse.size, np.int64)
-        self.seated()
         self.t0 = np.ones(self.words.size, np.int64)
+        self.seated()
 
     def seated(self) -> None:
         """Customers of the parents: the tables below."""
+        self.n = np.bincount(self.down, self.pair_t, self.of.size).astype(np.int64)
         self.n1 = np.bincount(self.up, self.t, self.coarse.size).astype(np.int64)
-        if hasattr(self, "t1"):
-            self.n0 = np.bincount(self.coarse // COARSE, self.t1, self.words.size).astype(np.int64)
+        self.n0 = np.bincount(self.coarse // COARSE, self.t1, self.words.size).astype(np.int64)
+
+    def of_contexts(self) -> np.ndarray:
+        """The tables of each context that this bucket's dishes have."""
+        return np.bincount(self.at, self.pair_t, self.context.size).astype(np.int64)
 
     def totals(self) -> np.ndarray:
         g = self.coarse % COARSE
@@ -178,9 +195,13 @@ class Dishes:
         d, a, g = s.discounts[1], s.strengths[1], self.coarse % COARSE
         return (self.n1 - d * self.t1 + (a + d * s.coarse[1][g]) * self.root(s)[self.coarse // COARSE]) / (a + s.coarse[0][g])
 
-    def sweep(self, s: Totals, random: np.random.Generator) -> None:
-        """Reseats every customer of every dish, restaurant by restaurant from the fine ones to the root."""
+    def sweep(self, s: Totals, tables: np.ndarray, random: np.random.Generator) -> None:
+        """Reseats every customer of every dish, restaurant by restaurant from the words to the root. tables: of each context, in all buckets."""
         d, a = s.discounts, s.strengths
+        many = np.flatnonzero(self.pair_n > 1)
+        opening = (a[3] + d[3] * tables[self.at[many]]) * _probabilities(self, s)[2][self.down[many]]
+        self.pair_t[many] = _tables(self.pair_n[many], opening, d[3], random)
+        self.seated()
         self.t = _tables(self.n, (a[2] + d[2] * s.fine[1][self.cls]) * self.middle(s)[self.up], d[2], random)
         self.seated()
         self.t1 = np.minimum(self.t1, self.n1)
@@ -190,10 +211,10 @@ class Dishes:
         self.t0 = _tables(self.n0, np.full(self.n0.size, (a[0] + d[0] * s.root[1]) * s.base), d[0], random)
 
     def state(self) -> dict:
-        return {"t": self.t.astype(np.uint32), "t1": self.t1.astype(np.uint32), "t0": self.t0.astype(np.uint32)}
+        return {k: _small(getattr(self, k)) for k in ("pair_t", "t", "t1", "t0")}
 
     def restore(self, state: dict) -> Dishes:
-        self.t, self.t1, self.t0 = (state[k].astype(np.int64) for k in ("t", "t1", "t0"))
+        self.pair_t, self.t, self.t1, self.t0 = (state[k].astype(np.int64) for k in ("pair_t", "t", "t1", "t0"))
         self.seated()
         return self
 
@@ -223,18 +244,33 @@ def _tables(n: np.ndarray, opening: np.ndarray, discount: float, random: np.rand
     return out
 
 
+def _merged(parts: list[dict], buckets: int) -> Dishes:
+    words = np.unique(np.concatenate([p["word"] for p in parts]))
+    every = np.concatenate([p["context"] for p in parts])
+    names, first, back = np.unique(every, return_index=True, return_inverse=True)
+    order = np.argsort(_bucket(names, buckets), kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(order.size)
+    back = place[back]
+    begins = np.cumsum([0, *(p["context"].size for p in parts)])
+    code = np.concatenate([
+        np.repeat(np.searchsorted(words, p["word"]), p["many"]) * names.size + back[i + p["at"].astype(np.int64)] for p, i in zip(parts, begins, strict=False)])
+    pair, at = np.unique(code, return_inverse=True)
+    n = np.bincount(at, np.concatenate([p["n"] for p in parts]), pair.size).astype(np.int64)
+    return Dishes(words, names[order], np.concatenate([p["cls"] for p in parts])[first][order], pair, n)
+
+
 def _dished(counted: DataFrame, buckets: int) -> DataFrame:
     """(bucket, dishes, states, totals, seen): one row a bucket, with all its dishes and one table each."""
 
     def gather(batches):
         for group in runs(batches, ["bucket"]):
-            parts = [_load(b) for b in group.column("blob").to_pylist()]
-            own = Dishes(*_distinct(
-                np.concatenate([np.repeat(p["word"], p["many"]) for p in parts]), np.concatenate([p["cls"] for p in parts]), np.concatenate([p["n"] for p in parts])))
-            seen = [own.words.size, int(own.n.sum()), *((x == k).sum() for x in (own.n0, own.n1, own.n) for k in (1, 2))]
-            word = own.words[own.of]
+            own = _merged([_load(b) for b in group.column("blob").to_pylist()], buckets)
+            seen = [own.words.size, int(own.counts.sum()), *((x == k).sum() for x in (own.n0, own.n1, own.n, own.pair_n) for k in (1, 2))]
+            of, at = np.divmod(own.pair, own.context.size)
+            dishes = _dump(word=own.words, many=_small(np.bincount(of, minlength=own.words.size)), context=own.context, cls=own.context_cls, at=_small(at), n=_small(own.pair_n))
             yield pa.RecordBatch.from_arrays(
-                [group.column("bucket").combine_chunks().slice(0, 1), pa.array([_pairs(word, own.cls, n=own.n)], pa.binary()), pa.array([_dump(sweeps=[own.state()])], pa.binary()),
+                [group.column("bucket").combine_chunks().slice(0, 1), pa.array([dishes], pa.binary()), pa.array([_dump(sweeps=[own.state()])], pa.binary()),
                  pa.array([own.totals().tolist()], pa.list_(pa.int64())), pa.array([[int(x) for x in seen]], pa.list_(pa.int64()))], ["bucket", "dishes", "states", "totals", "seen"])
 
     return counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
@@ -243,22 +279,60 @@ def _dished(counted: DataFrame, buckets: int) -> DataFrame:
 
 def _opened(row: dict) -> Dishes:
     p = _load(row["dishes"])
-    return Dishes(np.repeat(p["word"], p["many"]), p["cls"], p["n"])
+    pair = np.repeat(np.arange(p["word"].size), p["many"]) * p["context"].size + p["at"]
+    return Dishes(p["word"], p["context"], p["cls"], pair.astype(np.int64), p["n"].astype(np.int64))
 
 
-def _swept(model: DataFrame, totals: Totals, sweep: int, keep: int) -> DataFrame:
-    """The model with one more sweep; the states of the last `keep` sweeps are kept."""
+def _contexts(model: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, of, blob): the tables of each context, in all buckets, in the last state of the model.
 
-    def resit(batches):
+    For each bucket and each `of`, a bucket of contexts, the tables of the bucket's contexts there, in order; with `of` -1
+    the words of the bucket as contexts, and their tables.
+    """
+
+    def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                states = _load(row["states"])["sweeps"]
-                own = _opened(row).restore(states[-1])
-                own.sweep(totals, np.random.default_rng([sweep, row["bucket"]]))
-                row |= {"states": _dump(sweeps=[*states, own.state()][-keep:]), "totals": own.totals().tolist()}
-                yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
+                own = _opened(row).restore(_load(row["states"])["sweeps"][-1])
+                tables, of = own.of_contexts(), _bucket(own.context, buckets)
+                to, first = np.unique(of, return_index=True)
+                last = np.append(first[1:], of.size)
+                blobs = [_dump(context=own.context[i:j], tables=_small(tables[i:j])) for i, j in zip(first, last, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to), pa.array([row["bucket"]] * to.size, pa.int64()), pa.array(blobs, pa.binary())], ["of", "bucket", "blob"])
+
+    def add(batches):
+        for group in runs(batches, ["of"]):
+            parts = [_load(b) for b in group.column("blob").to_pylist()]
+            names, at = np.unique(np.concatenate([p["context"] for p in parts]), return_inverse=True)
+            tables = np.bincount(at, np.concatenate([p["tables"] for p in parts]), names.size).astype(np.int64)
+            cuts = np.cumsum([p["context"].size for p in parts])[:-1]
+            of, to = group.column("of")[0].as_py(), group.column("bucket").to_pylist()
+            blobs = [_dump(tables=_small(tables[i])) for i in np.split(at, cuts)] + [_dump(context=names, tables=_small(tables))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*to, of], pa.int64()), pa.array([of] * len(to) + [-1], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "of", "blob"])
+
+    sent = model.select("bucket", "dishes", "states").mapInArrow(send, "of long, bucket long, blob binary")
+    return sent.repartition(buckets, "of").sortWithinPartitions("of").mapInArrow(add, "bucket long, of long, blob binary")
+
 
-    return model.mapInArrow(resit, model.schema)
+def _swept(model: DataFrame, contexts: DataFrame, totals: Totals, sweep: int, keep: int, buckets: int) -> DataFrame:
+    """The model with one more sweep; the states of the last `keep` sweeps are kept."""
+    schema = model.schema
+    both = model.withColumns({"of": F.lit(None).cast("long"), "blob": F.lit(None).cast("binary")}).unionByName(contexts.where("of >= 0"), allowMissingColumns=True)
+
+    def resit(batches):
+        for group in runs(batches, ["bucket"]):
+            rows = group.to_pylist()
+            model, tables = rows[-1], np.concatenate([_load(r["blob"])["tables"].astype(np.int64) for r in rows[:-1]])
+            row = {f.name: model[f.name] for f in schema}
+            states = _load(row["states"])["sweeps"]
+            own = _opened(row).restore(states[-1])
+            own.sweep(totals, tables, np.random.default_rng([sweep, row["bucket"]]))
+            row |= {"states": _dump(sweeps=[*states, own.state()][-keep:]), "totals": own.totals().tolist()}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([group.schema.field(f.name) for f in schema]))
+
+    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.asc_nulls_last("of")).mapInArrow(resit, schema)
 
 
 def _summed(model: DataFrame, column: str, length: int) -> np.ndarray:
@@ -270,9 +344,10 @@ def _summed(model: DataFrame, column: str, length: int) -> np.ndarray:
 
 @dataclass
 class Fitted:
-    """model: (bucket, dishes, states, ...); samples: the totals of each kept sweep."""
+    """model: (bucket, dishes, states, ...); contexts, samples: the tables of words as contexts, and the totals, of each kept sweep."""
 
     model: DataFrame
+    contexts: list[DataFrame]
     samples: list[Totals]
     buckets: int
     words: int
@@ -287,15 +362,19 @@ def fit(docs: DataFrame, sweeps: int = 4, keep: int = 2) -> Fitted:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-size // CHUNK_BYTES))
     model = written(_dished(_counted(docs, buckets), buckets), "model", "uncompressed")
-    seen = _summed(model, "seen", 8)
-    discounts = tuple(min(0.95, max(0.05, (one + 1) / (one + 2 * two + 2))) for one, two in seen[2:].reshape(3, 2))
-    fixed = {"discounts": discounts, "strengths": (1.0, 1.0, 1.0), "base": 1 / (seen[0] + 1)}
+    seen = _summed(model, "seen", 10)
+    discounts = tuple(min(0.95, max(0.05, (one + 1) / (one + 2 * two + 2))) for one, two in seen[2:].reshape(4, 2))
+    fixed = {"discounts": discounts, "strengths": (1.0, 1.0, 1.0, 1.0), "base": 1 / (seen[0] + 1)}
     samples = [Totals.of(_summed(model, "totals", Totals.length()), **fixed)]
+    contexts = [written(_contexts(model, buckets), "contexts", "uncompressed")]
     for i in range(sweeps):
-        before, model = model, written(_swept(model, samples[-1], i, keep), "model", "uncompressed")
+        before, model = model, written(_swept(model, contexts[-1], samples[-1], i, keep, buckets), "model", "uncompressed")
         discard(before)
         samples.append(Totals.of(_summed(model, "totals", Totals.length()), **fixed))
-    return Fitted(model, samples[-keep:], buckets, int(seen[0]), int(seen[1]))
+        contexts.append(written(_contexts(model, buckets), "contexts", "uncompressed"))
+        if len(contexts) > keep:
+            discard(contexts.pop(0))
+    return Fitted(model, contexts[-keep:], samples[-keep:], buckets, int(seen[0]), int(seen[1]))
 
 
 def _asked(texts: DataFrame, buckets: int) -> DataFrame:
@@ -304,14 +383,9 @@ def _asked(texts: DataFrame, buckets: int) -> DataFrame:
     def ask(batches):
         unpack = zstandard.ZstdDecompressor()
         for group in runs(batches, ["chunk"]):
-            held = []
-            for batch in group.to_batches():
-                for part in _unpacked(batch, unpack):
-                    data, offsets = raw(part.column("text"))
-                    word, cls, _ = tokens(LOWER[data], offsets)
-                    held.append(_distinct(word, cls, np.ones(word.size, np.int64)))
-            pairs = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            rows = [(b, _pairs(w, c)) for b, w, c, _ in _split(*pairs, buckets)]
+            held = [tokens(LOWER[data], offsets) for batch in group.to_batches() for part in _unpacked(batch, unpack) for data, offsets in [raw(part.column("text"))]]
+            rows = list(Chunk(held, buckets).blobs(False))
+            del held
             chunk = group.column("chunk")[0].as_py()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _ in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "chunk", "blob"])
@@ -325,27 +399,55 @@ def _unpacked(batch: pa.RecordBatch, unpack):
 
 
 def _answered(asked: DataFrame, fitted: Fitted) -> DataFrame:
-    """(chunk, blob): for each pair asked the averaged log10 probability, and for each word its training count."""
-    model = fitted.model.select("bucket", F.lit(-1).cast("long").alias("chunk"), "dishes", "states", F.lit(None).cast("binary").alias("blob"))
-    both = model.unionByName(asked.select("bucket", "chunk", F.lit(None).cast("binary").alias("dishes"), F.lit(None).cast("binary").alias("states"), "blob"))
-    samples = fitted.samples
+    """(chunk, bucket, blob): the answers to each part of a chunk, in its order.
+
+    For each word its training count, and its tables as a context in each sample; for each pair the customers and the tables of
+    each sample; for each distinct pair of word and class the probability of each sample.
+    """
+    empty = {k: F.lit(None).cast("binary").alias(k) for k in ("dishes", "states", "blob")}
+    samples, keep = fitted.samples, len(fitted.samples)
+    both = fitted.model.select("bucket", F.lit(-keep - 1).cast("long").alias("chunk"), "dishes", "states", empty["blob"])
+    for k, own in enumerate(fitted.contexts):
+        both = both.unionByName(own.where("of = -1").select("bucket", F.lit(k - keep).cast("long").alias("chunk"), empty["dishes"], empty["states"], "blob"))
+    both = both.unionByName(asked.select("bucket", "chunk", empty["dishes"], empty["states"], "blob"))
 
     def answer(batches):
-        held, bucket = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["chunk"] < 0:
-                    own, bucket = _opened(row), row["bucket"]
-                    held = own, [_probabilities(own.restore(s), t) for s, t in zip(_load(row["states"])["sweeps"], samples, strict=True)]
-                    continue
-                p = _load(row["blob"])
-                if bucket != row["bucket"]:
-                    held, bucket = None, row["bucket"]
-                count, logs = _replies(held, samples, p["word"], p["many"], p["cls"].astype(np.int64))
-                out = _dump(word=p["word"], many=p["many"], cls=p["cls"], count=count, log=logs.astype(np.float32))
-                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([out], pa.binary())], ["chunk", "blob"])
+        held, bucket, states, contexts = None, None, [], {}
+        for row in (row for batch in batches for i in range(0, batch.num_rows, 16) for row in batch.slice(i, 16).to_pylist()):
+            if bucket != row["bucket"]:
+                held, bucket, states, contexts = None, row["bucket"], [], {}
+            if row["chunk"] < -keep:
+                own, states = _opened(row), _load(row["states"])["sweeps"]
+                held = own, [_probabilities(own.restore(s), t) for s, t in zip(states, samples, strict=True)]
+                continue
+            p = _load(row["blob"])
+            if row["chunk"] < 0:
+                contexts[row["chunk"] + keep] = p
+                continue
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["chunk"]], pa.int64()), pa.array([bucket], pa.int64()), pa.array([_reply(held, states, contexts, samples, p)], pa.binary())], ["chunk", "bucket", "blob"])
 
-    return both.repartition(fitted.buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answer, "chunk long, blob binary")
+    return both.repartition(fitted.buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answer, "chunk long, bucket long, blob binary")
+
+
+def _reply(held, states: list[dict], contexts: dict, samples: list[Totals], p: dict) -> bytes:
+    of, at = np.repeat(np.arange(p["word"].size), p["many"]), p["at"].astype(np.int64)
+    fine = np.unique(of * CLASSES + p["cls"][at])
+    count, chances = _parents(held, samples, p["word"], np.bincount(fine // CLASSES, minlength=p["word"].size), fine % CLASSES)
+    tables = np.zeros((len(samples), p["word"].size), np.int64)
+    n, seated = np.zeros(of.size, np.int64), np.zeros((len(samples), of.size), np.int64)
+    for k, own in contexts.items():
+        tables[k] = np.where((j := _lookup(own["context"], p["word"], True)) >= 0, own["tables"][j], 0)
+    if held:
+        own = held[0]
+        order = np.argsort(own.context)
+        word, context = _lookup(own.words, p["word"], True)[of], _lookup(own.context[order], p["context"], True)
+        context = np.where(context >= 0, order[context], -1)[at]
+        found = _lookup(own.pair, word * own.context.size + context, (word >= 0) & (context >= 0))
+        n = np.where(found >= 0, own.pair_n[found], 0)
+        for k, state in enumerate(states):
+            seated[k] = np.where(found >= 0, state["pair_t"][found], 0)
+    return _dump(count=_small(count), tables=_small(tables), n=_small(n), seated=_small(seated), chance=np.stack(chances).astype(np.float32))
 
 
 def _probabilities(own: Dishes, s: Totals):
@@ -357,9 +459,15 @@ def _probabilities(own: Dishes, s: Totals):
 
 
 def _replies(held, samples: list[Totals], word, many, cls):
-    """Training count of each word, and log10 of the averaged probability of each pair."""
+    """Training count of each word, and log10 of the averaged probability of each pair of word and class."""
+    count, chances = _parents(held, samples, word, many, cls)
+    return count, np.log10(sum(chances) / len(samples))
+
+
+def _parents(held, samples: list[Totals], word, many, cls):
+    """Training count of each word, and the probability of each pair of word and class in each sample."""
     of = np.repeat(np.arange(word.size), many)
-    total, count = np.zeros(of.size), np.zeros(word.size, np.int64)
+    chances, count = [], np.zeros(word.size, np.int64)
     if held:
         own = held[0]
         at = np.minimum(np.searchsorted(own.words, word), own.words.size - 1)
@@ -368,7 +476,7 @@ def _replies(held, samples: list[Totals], word, many, cls):
         low = _lookup(own.of * CLASSES + own.cls, at[of] * CLASSES + cls, known[of])
         mid = _lookup(own.coarse, at[of] * COARSE + cls // FINE, known[of])
     for k, s in enumerate(samples):
-        (d0, d1, d2), (a0, a1, a2) = s.discounts, s.strengths
+        (d0, d1, d2), (a0, a1, a2) = s.discounts[:3], s.strengths[:3]
         p = np.full(of.size, (a0 + d0 * s.root[1]) * s.base / (a0 + s.root[0]))
         if held:
             root, middle, fine = held[1][k]
@@ -380,7 +488,20 @@ def _replies(held, samples: list[Totals], word, many, cls):
         p = p * (a2 + d2 * s.fine[1][cls]) / (a2 + s.fine[0][cls])
         if held:
             p = np.where(low >= 0, fine[np.maximum(low, 0)], p)
-        total += p
+        chances.append(p)
+    return count, chances
+
+
+def _chances(chunk: Chunk, parts: list[dict], samples: list[Totals]) -> tuple[np.ndarray, np.ndarray]:
+    """Training count of each name of a chunk, and log10 of the averaged probability of each pair, from the answers of its buckets in order."""
+    count = np.concatenate([p["count"] for p in parts]).astype(np.int64)
+    tables, seated = (np.concatenate([p[k] for p in parts], 1).astype(np.int64) for k in ("tables", "seated"))
+    n, chance = np.concatenate([p["n"] for p in parts]).astype(np.int64), np.concatenate([p["chance"] for p in parts], 1).astype(np.float64)
+    _, fine = np.unique(chunk.word * CLASSES + chunk.cls[chunk.before], return_inverse=True)
+    total, seen = np.zeros(n.size), count[chunk.before]  # a word is a context as often as it occurs
+    for k, s in enumerate(samples):
+        d, a = s.discounts[3], s.strengths[3]
+        total += (n - d * seated[k] + (a + d * tables[k][chunk.before]) * chance[k][fine]) / (a + seen)
     return count, np.log10(total / len(samples))
 
 
@@ -400,42 +521,41 @@ def scores(docs: DataFrame, fitted: Fitted) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(4, -(-size // CHUNK_BYTES))
     dealt = _packed(docs.select("doc_id", "held_out", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "text"))
-    # each step is written, so that only one step's shuffle files stand at a time
-    asked = written(_asked(dealt.repartition(chunks, "chunk").sortWithinPartitions("chunk"), fitted.buckets), "asked", "uncompressed")
+    # requests go straight to their buckets: written as a table, they would stand on disk twice
+    asked = _asked(dealt.repartition(chunks, "chunk").sortWithinPartitions("chunk"), fitted.buckets)
     answers = written(_answered(asked, fitted), "answers", "uncompressed")
-    discard(asked)
-    both = dealt.select("chunk", F.lit(1).alias("role"), "doc_id", "held_out", "text").unionByName(answers.select(
-        "chunk", F.lit(0).alias("role"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"),
+    both = dealt.select("chunk", F.lit(TEXT).alias("role"), "doc_id", "held_out", "text").unionByName(answers.select(
+        "chunk", F.col("bucket").alias("role"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"),
         F.col("blob").alias("text")))
-    n, v = fitted.tokens, fitted.words
+    n, v, samples, buckets = fitted.tokens, fitted.words, fitted.samples, fitted.buckets
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(batches):
         unpack = zstandard.ZstdDecompressor()
         for group in runs(batches, ["chunk"]):
             role = group.column("role").to_numpy()
-            cut = int(np.searchsorted(role, 1))
+            cut = int(np.searchsorted(role, TEXT))
             parts = [_load(b) for b in group.column("text").slice(0, cut).to_pylist()]
-            word = np.concatenate([p["word"] for p in parts])
-            order = np.argsort(word)
-            rank = np.empty(word.size, np.int64)
-            rank[order] = np.arange(word.size)
-            word, count = word[order], np.concatenate([p["count"] for p in parts])[order]
-            pair = rank[np.repeat(np.arange(word.size), np.concatenate([p["many"] for p in parts]))] * CLASSES + np.concatenate([p["cls"] for p in parts])
-            by = np.argsort(pair)
-            pair, log = pair[by], np.concatenate([p["log"] for p in parts])[by].astype(np.float64)
-            base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
+            rows, held = [], []
             for batch in group.slice(cut).to_batches():
                 for part in _unpacked(batch, unpack):
                     data, offsets = raw(part.column("text"))
-                    own, cls, of = tokens(LOWER[data], offsets)
-                    at = np.searchsorted(word, own)
-                    rows = part.num_rows
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), part.column("held_out"), pa.array(np.bincount(of, minlength=rows).astype(np.int64)),
-                         pa.array(np.bincount(of, count[at] > 0, rows).astype(np.int64)), pa.array(np.full(rows, n, np.int64)),
-                         pa.array(np.bincount(of, base[at], rows)), pa.array(np.bincount(of, log[np.searchsorted(pair, at * CLASSES + cls)], rows))],
-                        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                    rows.append(part.select(["doc_id", "held_out"]))
+                    held.append(tokens(LOWER[data], offsets))
+            del group
+            chunk = Chunk(held, buckets)
+            held = [of for _, _, of in held]
+            count, log = _chances(chunk, parts, samples)
+            base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
+            first = 0
+            for part, of in zip(rows, held, strict=True):
+                own = slice(first, first + of.size)
+                name, pair, first, many = chunk.token[own], chunk.pair[own], own.stop, part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(np.bincount(of, minlength=many).astype(np.int64)),
+                     pa.array(np.bincount(of, count[name] > 0, many).astype(np.int64)), pa.array(np.full(many, n, np.int64)),
+                     pa.array(np.bincount(of, base[name], many)), pa.array(np.bincount(of, log[pair], many))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return both.repartition(chunks, "chunk").sortWithinPartitions("chunk", "role").mapInArrow(score, schema)
 

@@ -210,6 +210,40 @@ def test_language_model(spark):
     assert {r.score for r in empty} == {0.0} and {r.train_tokens for r in empty} == {0}
 
 
+def test_language_model_tells_words_of_one_class_apart(spark):
+    # two words before, of one class, are followed by different words; all words are equally frequent
+    names = [f"w{i}ed" for i in range(200)]
+    low = np.frombuffer(" ".join(names).encode(), np.uint8)
+    word, cls, _ = pitman_yor.tokens(low, np.array([0, low.size]))
+    one, two = (int(i) for i in np.flatnonzero(cls[:-1] == cls[0])[:2])
+    a, b = names[one], names[two]
+    train = [(i, False, f"{a} left {b} right") for i in range(50)]
+    asked = [(100, True, f"{a} left {b} right"), (101, True, f"{a} right {b} left")]
+    frame = spark.createDataFrame(train + asked, "doc_id long, held_out boolean, text string")
+    fitted = pitman_yor.fit(frame.where("NOT held_out"))
+    got = {r.doc_id: r.score for r in pitman_yor.scores(frame, fitted).collect()}
+    assert got[100] > got[101] + 2
+    # what follows a word, the end and the unknown included, sums to one
+    own = [pitman_yor._opened(r.asDict()) for r in fitted.model.collect()]
+    words = np.concatenate([np.unique(np.concatenate([x.words for x in own])), np.array([12345], np.uint64)])
+    for context in (0, 1, 2):  # a known word, another, the unknown
+        before = np.array([word[one], word[two], np.uint64(12345)])[context]
+        asks = {}
+        for b in np.unique(pitman_yor._bucket(words, fitted.buckets)).tolist():
+            part = words[pitman_yor._bucket(words, fitted.buckets) == b]
+            asks[b] = pitman_yor._dump(word=part, many=np.ones(part.size, np.uint8), context=np.array([before]), cls=cls[[one]].astype(np.uint8), at=np.zeros(part.size, np.uint8))
+        table = spark.createDataFrame([(b, 0, bytearray(x)) for b, x in asks.items()], "bucket long, chunk long, blob binary")
+        replies = [pitman_yor._load(r.blob) for r in pitman_yor._answered(table, fitted).orderBy("bucket").collect()]
+        order = np.concatenate([words[pitman_yor._bucket(words, fitted.buckets) == b] for b in asks])
+        count = np.concatenate([p["count"] for p in replies])
+        at = int(np.flatnonzero(order == before)[0])
+        total = 0.0
+        for k, s in enumerate(fitted.samples):
+            n, seated, chance, tables = (np.concatenate([p[x] if x == "n" else p[x][k] for p in replies]).astype(float) for x in ("n", "seated", "chance", "tables"))
+            total += ((n - s.discounts[3] * seated + (s.strengths[3] + s.discounts[3] * tables[at]) * chance) / (s.strengths[3] + count[at])).sum()
+        assert math.isclose(total / len(fitted.samples), 1, rel_tol=1e-5)
+
+
 def test_seating_matches_the_expected_number_of_tables():
     # with one dish and a base of 1, tables follow the Pitman-Yor process
     from math import lgamma
