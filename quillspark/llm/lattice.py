@@ -52,6 +52,7 @@ def _minimal() -> np.ndarray:
 
 
 MINIMAL = _minimal()
+APART = 0.331  # how far apart a block of two vectors at the cosine asked for may be expected to lie
 
 
 def _code(points: np.ndarray) -> np.ndarray:
@@ -72,6 +73,11 @@ def _projection(width: int, blocks: int, seed: int, table: int) -> tuple[np.ndar
     return axes, random.uniform(0, 2, directions)
 
 
+def scale_for(width: int, cosine: float, scale: float) -> float:
+    """`scale`, or less for narrow vectors or a low cosine: a block of two vectors at the cosine lies about scale * sqrt(8 * (2 - 2 * cosine) / width) apart."""
+    return min(scale, APART / np.sqrt(8 * max(2 - 2 * cosine, 1e-12) / width))
+
+
 def cells(unit: np.ndarray, tables: int, blocks: int, scale: float, probes: int, seed: int) -> np.ndarray:
     """(vectors, tables, 1 + probes) cell numbers: the own cell, then the `probes` nearest neighbouring cells."""
     n, width = unit.shape
@@ -119,7 +125,7 @@ def near_duplicates(
     Vectors link when their labels are equal and not null, their widths are equal, and their cosine is at least `cosine`.
     Null, empty and zero vectors and those with null or non-finite components link with nothing. Equal vectors of one label are
     compared once and counted as often as they occur. A cell of any size is compared whole, in blocks of `side` vectors
-    on different tasks, and a pair that meets in several cells counts in the smallest of its first table. Repeated rows
+    on different tasks; `scale` is the most, see scale_for. A pair that meets in several cells counts in the smallest of its first table. Repeated rows
     of one vec_id count as rows of their own; an empty table gives no rows.
     """
     kind = vectors.schema["embedding"].dataType.elementType
@@ -132,13 +138,16 @@ def near_duplicates(
     kinds = written(keyed.where("fit").groupBy("same").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "vectors")
     kinds = kinds.withColumn("kind", F.xxhash64(F.col("label").cast("string"), F.size("embedding")))
-    shape = (tables, blocks, scale, probes, seed)
+
+    def shape(width: int):
+        return tables, blocks, scale_for(width, cosine, scale), probes, seed
 
     def post(batches):
         for batch in batches:
             for table in runs(_by_width(batch), ["width"]):
                 rows = table.combine_chunks().to_batches()[0]
-                code = cells(_units(rows.column("embedding")), *shape).reshape(rows.num_rows, -1).astype(np.int64)
+                unit = _units(rows.column("embedding"))
+                code = cells(unit, *shape(unit.shape[1])).reshape(rows.num_rows, -1).astype(np.int64)
                 per = code.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(rows.column(c).to_numpy(), per)) for c in ("id", "kind")] + [pa.array(code.ravel())], ["id", "kind", "cell"])
@@ -151,7 +160,7 @@ def near_duplicates(
     spread = (posted.join(sizes, ["kind", "cell"]).select("id", "kind", "cell", own.alias("part"), other.alias("other"))
               .select("id", "kind", "cell", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")))
     full = spread.join(kinds.select("id", "n", "embedding"), "id").repartition("kind", "cell", "p", "q").sortWithinPartitions("kind", "cell", "p", "q")
-    found = written(full.mapInArrow(_compared(cosine, shape), "a long, links long, b long"), "found")
+    found = written(full.mapInArrow(_compared(cosine, shape, probes), "a long, links long, b long"), "found")
     linked = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
     per_kind = (kinds.select("same", "id", "n").join(counts, F.col("id") == F.col("a"), "left").join(linked, F.col("id") == F.col("node"), "left")
@@ -168,9 +177,7 @@ def _by_width(batch: pa.RecordBatch):
     yield batch.append_column("width", pa.array(width.astype(np.int64))).take(order)
 
 
-def _compared(cosine, shape):
-    tables, _, _, probes, _ = shape
-
+def _compared(cosine, shape, probes):
     def compare(batches):
         for group in runs(batches, ["kind", "cell", "p", "q"]):
             group = group.combine_chunks()
@@ -187,7 +194,7 @@ def _compared(cosine, shape):
             if not i.size:
                 continue
             near, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-            codes = cells(unit[near], *shape)
+            codes = cells(unit[near], *shape(unit.shape[1]))
             ci, cj = codes[at[: i.size]], codes[at[i.size :]]
             first = np.full(i.size, True)
             table = _table_of(cell, codes)

@@ -58,6 +58,30 @@ def test_vector_recall():
     assert met.mean() >= 0.99
 
 
+def _at_cosine(width, n, cosine):
+    random = np.random.default_rng(2)
+    x = random.normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = random.normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine**2) * off
+
+
+@pytest.mark.parametrize("width", [2, 8, 12, 16, 24, 32])
+def test_vector_recall_of_narrow_vectors(width):
+    a, b = (lattice.cells(v, 6, 2, lattice.scale_for(width, 0.93, 2.5), 2, 11) for v in _at_cosine(width, 2000, 0.93))
+    assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() >= 0.99
+    assert lattice.scale_for(64, 0.93, 2.5) == 2.5
+
+
+def test_narrow_vectors_link(spark):
+    rows = np.concatenate(_at_cosine(8, 300, 0.931))
+    # each pair has a label of its own
+    table = spark.createDataFrame([(i, v.tolist(), i % 300) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    assert lattice.near_duplicates(table).where("n_links = 1").count() >= 2 * 300 * 0.99
+
+
 PAGES = [(1, "http://a/", "same"), (3, "http://b/\r\nx y", "same"), (2, None, "same"), (4, "u", None), (5, "u", ""), (6, "u", "é" * 9),
          (7, "u", "x" * 300_000), (None, "u", "same"), (8, "u", "\x1f\x8b\x08 WARC/1.1"), (8, "u", "\x1f\x8b\x08 WARC/1.1")]
 
