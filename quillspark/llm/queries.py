@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, minhash, mixture, ordinal, pitman_yor, profiles, suffixes, viterbi, warc, wu_manber
+from . import divergence, lattice, minhash, mixture, ordinal, pitman_yor, profiles, sanitize, suffixes, viterbi, warc, whitening, wu_manber
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -66,5 +66,17 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.graded(docs, model, at_least=2).drop("text")
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "text"))
+
+
+def op12_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.sanitised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text", "clean_text")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}

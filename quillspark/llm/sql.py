@@ -1,7 +1,7 @@
 """DuckDB SQL for the numbered operators that SQL can express over whole tables.
 
-Operators 3, 6, 9 and 10 and the pipeline learn models, run a tokenizer's search or cut texts; they are tested against
-brute force instead.
+Operators 3, 6, 9, 10 and 13 and the pipeline learn models, run a tokenizer's search, find eigenvectors or cut texts; they
+are tested against brute force instead.
 """
 
 from __future__ import annotations
@@ -162,8 +162,90 @@ taken AS (
 SELECT doc_id, source, n_tokens, epoch, block, place FROM taken WHERE whole OR upto <= part
 """
 
+OP11 = f"""
+WITH d AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+        list_filter(regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+    FROM documents),
+t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS all_n FROM kept GROUP BY lang),
+counts AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t SEMI JOIN kept k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(any_value(c.n), 0) AS own_n FROM (SELECT DISTINCT lang, source FROM d)
+    LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL) c USING (lang, source) GROUP BY lang, source),
+shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.own_n + 5 * s.v) AS p,
+        1 + 1000000000::HUGEINT * (k.n + 5) // (s.all_n + 5 * s.v) AS q
+    FROM groups g JOIN sizes s ON g.lang = s.lang JOIN kept k ON g.lang = k.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM rows QUALIFY part = 'pair' OR rank <= 50
+"""
+
+_EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+"
+_TOKEN = f"{_EMAIL}|[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+def _placed(table: str, pattern: str, columns: str) -> str:
+    """Start, end and value of each match of a pattern in t of a table, which has its row number r."""
+    return f"""
+    SELECT {columns}, v[i] AS value, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) AS a
+    FROM (SELECT {columns}, g, v, unnest(range(1, len(v) + 1)) AS i
+        FROM (SELECT {columns}, string_split_regex(t, {pattern}) AS g, regexp_extract_all(t, {pattern}) AS v FROM {table}))"""
+
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+kinds AS (
+    SELECT d.*, k.* FROM d, (VALUES (1, 'email', '{_EMAIL}'), (2, 'ip', '[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)'),
+        (3, 'card', '[0-9](?:[\\x20-]?[0-9])+'), (4, 'phone', '\\+[0-9][\\x20().0-9-]+[0-9]')) AS k(kind, name, pattern)),
+found AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM ({_placed('kinds', 'pattern', 'r, kind, name')})),
+base AS (
+    SELECT r, kind, name, a, a + length(value) AS b, kind || ':' || CASE kind WHEN 1 THEN lower(value) WHEN 2 THEN value ELSE digits END AS entity FROM found
+    WHERE kind = 1
+        OR kind = 2 AND len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) > 255)) = 0
+        OR kind = 3 AND length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+            CASE WHEN i % 2 = 1 THEN digits[-i]::INT WHEN digits[-i]::INT > 4 THEN digits[-i]::INT * 2 - 9 ELSE digits[-i]::INT * 2 END)) % 10 = 0
+        OR kind = 4 AND length(digits) BETWEEN 10 AND 15),
+tokens AS (SELECT r, a, a + length(value) AS b, {_LOWER.format('value')} AS term FROM ({_placed('d', f"'{_TOKEN}'", 'r')}) WHERE NOT contains(value, '@')),
+terms AS (SELECT r, term FROM tokens UNION SELECT r, left(term, 3) || '*' FROM tokens),
+held AS (SELECT DISTINCT r, entity FROM base),
+entities AS (SELECT entity, count(*) AS n FROM held GROUP BY entity HAVING count(*) >= 3),
+counts AS (SELECT term, count(*) AS n FROM terms GROUP BY term),
+pairs AS (
+    SELECT entity, term, count(*) AS k, any_value(e.n) AS n FROM held h JOIN entities e USING (entity) JOIN terms USING (r) GROUP BY entity, term HAVING count(*) >= 3),
+told AS (
+    SELECT p.entity, p.term FROM pairs p JOIN counts c USING (term)
+    WHERE 2 * p.k >= c.n AND p.k::HUGEINT * (SELECT count(*) FROM d) >= 8::HUGEINT * p.n * c.n),
+disclosing AS (
+    SELECT w.entity, w.term, c.term IS NOT NULL AS removed FROM told w LEFT JOIN told c ON w.entity = c.entity AND c.term = left(w.term, 3) || '*'
+    WHERE NOT suffix(w.term, '*')),
+marks AS (SELECT r, term, bool_or(removed) AS removed FROM held JOIN disclosing USING (entity) GROUP BY r, term),
+spans AS (
+    SELECT r, kind, name, a, b FROM base
+    UNION ALL
+    SELECT t.r, CASE WHEN removed THEN 6 ELSE 5 END, CASE WHEN removed THEN 'removed' ELSE 'generalised' END, t.a, t.b FROM tokens t JOIN marks m ON t.r = m.r AND t.term = m.term),
+listed AS (
+    SELECT r, string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) AS spans,
+        string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (kind <= 4) AS base,
+        count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (kind = 3) AS n3, count(*) FILTER (kind = 4) AS n4
+    FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n1, 0) AS n_email, coalesce(n2, 0) AS n_ip, coalesce(n3, 0) AS n_card, coalesce(n4, 0) AS n_phone,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (r)
+"""
+
 
 def oracles() -> dict[str, str]:
     return {
         "op1_minhash_inverted_join": OP1, "op2_e8_lattice": OP2, "op4_suffix_array_family": OP4, "op5_wu_manber_decontamination": OP5,
-        "op7_warc_round_trip": OP7, "op8_temperature_mixture": OP8}
+        "op7_warc_round_trip": OP7, "op8_temperature_mixture": OP8, "op11_divergence_audit": OP11,
+        "op12_information_sanitisation": OP12}

@@ -175,7 +175,7 @@ def test_same_rows_as_sql(spark, name):
 
 def test_each_number_is_registered():
     names = registry.queries()
-    assert sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op")}) == list(range(1, 11)) and "pipeline" in names
+    assert sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op")}) == list(range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages(spark):
