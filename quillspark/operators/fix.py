@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed import fixes as X
 from ..functions import rx
@@ -216,46 +216,101 @@ def occurrences(text: Column, needle: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("int")
 
 
-def located(text: Column, original: Column, line_start: Column, line_end: Column) -> Column:
-    """0-based start of the text to replace; -1 when it is gone, -2 when it is ambiguous."""
-    lines = F.split(text, "\n", -1)
+def with_lines(text: Column, use) -> Column:
+    """Hands ``use`` the text's ``lines`` and their ``ends`` (offset after each line and its break): one pass over the text."""
+    return rx.let(F.split(text, "\n", -1), lambda ls: rx.let(F.struct(
+        ls.alias("lines"), rx.running(F.transform(ls, lambda l: F.length(l) + 1)).alias("ends")), use))
+
+
+def line_begin(table: Column, line: Column) -> Column:
+    """Offset at which a 0-based line begins; the text's length beyond the last line."""
+    return F.when(line <= 0, F.lit(0)).otherwise(F.coalesce(F.get(table["ends"], line - 1), F.element_at(table["ends"], -1) - 1)).cast("int")
+
+
+PLACE = "struct<start:int,line:int,col:int,end_line:int,end_col:int>"
+
+
+def placed(text: Column, table: Column, original: Column, line_start: Column, line_end: Column) -> Column:
+    """where the text to replace is: offset, line and column of both ends, 0-based; start -1 when it is gone, -2 when ambiguous.
+
+    The lines of the evidence are searched first; the whole text only where they do not hold it once.
+    """
     first = F.greatest(F.lit(1), line_start)
     last = F.greatest(first, line_end)
+    window = F.concat(F.array_join(F.slice(table["lines"], first, last - first + 1), "\n"), F.when(last < F.size(table["lines"]), "\n").otherwise(""))
+
+    def at(start: Column, line: Column) -> Column:
+        """Both ends from the start and its line."""
+        col = start - line_begin(table, line)
+        breaks = rx.literal_count(original, "\n")
+        end_col = F.when(breaks == 0, col + F.length(original)).otherwise(F.length(F.substring_index(original, "\n", -1)))
+        return F.struct(start.alias("start"), line.alias("line"), col.alias("col"), (line + breaks).alias("end_line"), end_col.alias("end_col")).cast(PLACE)
+
+    def none(code: int) -> Column:
+        return F.struct(*[F.lit(code).alias(n) for n in ("start", "line", "col", "end_line", "end_col")]).cast(PLACE)
+
+    def inside(w: Column) -> Column:
+        here = F.position(original, w) - 1
+        return at(line_begin(table, first - 1) + here, first - 1 + rx.literal_count(F.left(w, here), "\n"))
 
-    def width(upto: Column) -> Column:
-        return F.least(F.length(text), F.aggregate(
-            F.slice(lines, F.lit(1), upto), F.lit(0), lambda acc, l: acc + F.length(l) + 1))
+    def anywhere() -> Column:
+        return rx.let(F.position(original, text) - 1, lambda p: at(p, F.size(F.filter(table["ends"], lambda e: e <= p))))
 
-    return rx.let(F.struct(width(first - 1).alias("a"), width(last).alias("b")), lambda r: rx.let(
-        F.substr(text, r["a"] + 1, r["b"] - r["a"]), lambda window: (
-            F.when(occurrences(window, original) == 1, r["a"] + F.position(original, window) - 1)
-            .when(occurrences(text, original) == 0, F.lit(-1))
-            .when(occurrences(text, original) > 1, F.lit(-2))
-            .otherwise(F.position(original, text) - 1))))
+    whole = rx.let(occurrences(text, original), lambda n: F.when(n == 0, none(-1)).when(n > 1, none(-2)).otherwise(anywhere()))
+    return rx.let(window, lambda w: F.when(occurrences(w, original) == 1, inside(w)).otherwise(whole))
+
+
+def located(text: Column, original: Column, line_start: Column, line_end: Column) -> Column:
+    """F20 for a single text to replace: its start."""
+    return with_lines(text, lambda table: placed(text, table, original, line_start, line_end)["start"])
 
 
 def spliced(text: Column, start: Column, original: Column, suggested: Column) -> Column:
     return F.concat(F.left(text, start), suggested, F.substr(text, start + F.length(original) + 1, F.lit(1 << 30)))
 
 
+def between(table: Column, line: Column, col: Column, end_line: Column, end_col: Column) -> Column:
+    """The text from one place to another."""
+    of = lambda i: F.get(table["lines"], i)
+    inner = F.slice(table["lines"], line + 2, F.greatest(F.lit(0), end_line - line - 1))
+    return F.when(line == end_line, F.substr(of(line), col + 1, end_col - col)).otherwise(F.array_join(
+        F.concat(F.array(F.substr(of(line), col + 1, F.lit(1 << 30))), inner, F.array(F.left(of(end_line), end_col))), "\n"))
+
+
+def gathered(suggested: DataFrame, name: str = "s") -> DataFrame:
+    """(doc_id, array of its suggestions by line and id)."""
+    fields = [f.split(":")[0] for f in SUGGESTION[7:-1].split(",")]
+    rows = F.array_sort(F.collect_list(F.struct("line_start", "id", F.struct(*fields).cast(SUGGESTION).alias("s"))))
+    return suggested.groupBy("doc_id").agg(F.transform(rows, lambda k: k["s"]).alias(name))
+
+
 def previews(docs: DataFrame, suggested: DataFrame) -> DataFrame:
     """one verified replacement per suggestion on the original text.
 
-    ``docs(doc_id, text)`` joins on doc_id; a document's suggestions are folded into an array first, so its text
-    crosses the shuffle once.
+    ``docs(doc_id, text)`` meets its suggestions folded into one array: a document's text crosses the shuffle once, is split
+    and hashed once, and is never copied into the rows of its suggestions. ``diff`` holds the lines a fix changes, before and after.
     """
-    grouped = suggested.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
-        "line_start", "id", "line_end", "original", "suggested", "confidence", "fix_type"))).alias("s"))
-    rows = docs.join(grouped, "doc_id").select("doc_id", "text", F.explode("s").alias("s")).select("doc_id", "text", "s.*")
-    placed = rows.withColumn("start", located(F.col("text"), F.col("original"), F.col("line_start"), F.col("line_end")))
-    after = spliced(F.col("text"), F.col("start"), F.col("original"), F.col("suggested"))
-    return placed.select(
-        "doc_id", "id", "line_start", "start",
-        F.when(F.col("start") == -1, F.lit("stale")).when(F.col("start") == -2, F.lit("ambiguous"))
-        .when(F.col("original") == F.col("suggested"), F.lit("no change")).otherwise(F.lit("ok")).alias("status"),
-        F.sha2("text", 256).alias("before_hash"),
-        F.when(F.col("start") >= 0, F.sha2(after, 256)).otherwise(F.sha2("text", 256)).alias("after_hash"),
-        ((F.col("fix_type") != "safe") | (F.col("confidence") < 95)).alias("needs_confirmation"))
+    text = F.col("text")
+
+    def preview(table: Column, before: Column, s: Column, p: Column) -> Column:
+        ok = p["start"] >= 0
+        after = F.concat(between(table, F.lit(0), F.lit(0), p["line"], p["col"]), s["suggested"],
+                         between(table, p["end_line"], p["end_col"], F.size(table["lines"]) - 1, F.length(F.element_at(table["lines"], -1))))
+        old = F.slice(table["lines"], p["line"] + 1, p["end_line"] - p["line"] + 1)
+        new = F.split(F.concat(F.left(F.get(table["lines"], p["line"]), p["col"]), s["suggested"], F.substr(
+            F.get(table["lines"], p["end_line"]), p["end_col"] + 1, F.lit(1 << 30))), "\n", -1)
+        marked = lambda mark, lines: F.transform(lines, lambda l: F.concat(F.lit(mark), l))
+        back = rx.let(after, lambda a: F.struct(F.sha2(a, 256).alias("after"), F.sha2(reverted(a, s), 256).alias("back")))
+        return rx.let(F.when(ok, back), lambda h: F.struct(
+            s["id"].alias("id"), s["line_start"].alias("line_start"), p["start"].alias("start"),
+            F.when(p["start"] == -1, "stale").when(p["start"] == -2, "ambiguous").when(s["original"] == s["suggested"], "no change").otherwise("ok").alias("status"),
+            before.alias("before_hash"), F.coalesce(h["after"], before).alias("after_hash"), h["back"].alias("reverted_hash"),
+            ((s["fix_type"] != "safe") | (s["confidence"] < 95)).alias("needs_confirmation"),
+            F.when(ok, F.array_join(F.concat(marked("-", old), marked("+", new)), "\n")).otherwise("").alias("diff")))
+
+    each = with_lines(text, lambda table: rx.let(F.sha2(text, 256), lambda before: F.transform(
+        "s", lambda s: rx.let(placed(text, table, s["original"], s["line_start"], s["line_end"]), lambda p: preview(table, before, s, p)))))
+    return docs.join(gathered(suggested), "doc_id").select("doc_id", F.explode_outer(each).alias("p")).where("p IS NOT NULL").select("doc_id", "p.*")
 
 
 def priority_of(kind: Column) -> Column:
@@ -277,38 +332,66 @@ def accepted(candidates: Column) -> Column:
 
 
 def apply_all(text: Column, chosen: Column) -> Column:
-    """accepted fixes, last lines first, each located in the text as patched so far."""
-    order = F.transform(
-        F.array_sort(F.transform(chosen, lambda s, i: F.struct(
-            (-s["line_start"]).alias("a"), (-s["line_end"]).alias("b"), i.alias("i"), s.alias("s")))), lambda o: o["s"])
-    start = F.struct(text.alias("text"), rx.strings([]).alias("applied"))
+    """the text with the accepted fixes, each located in the text as it came, and those that were applied.
 
-    def step(state: Column, s: Column) -> Column:
-        return rx.let(located(state["text"], s["original"], s["line_start"], s["line_end"]), lambda at: (
-            F.when(at >= 0, F.struct(
-                spliced(state["text"], at, s["original"], s["suggested"]).alias("text"),
-                F.concat(state["applied"], F.array(s["id"])).alias("applied"))).otherwise(state)))
+    A piece table: the text is split into lines once, the fixes are placed in them and sorted, and the new text is put
+    together once from the pieces between them. A fix that begins within an earlier one stays out.
+    """
+    def kept(places: Column) -> Column:
+        by_place = F.array_sort(F.filter(places, lambda x: x["p"]["start"] >= 0))
+        start = F.struct(F.lit(-1).alias("upto"), F.slice(by_place, 1, 0).alias("all"))
 
-    return F.aggregate(order, start, step)
+        def step(acc: Column, x: Column) -> Column:
+            end = x["p"]["start"] + F.length(x["s"]["original"])
+            return F.when(x["p"]["start"] < acc["upto"], acc).otherwise(F.struct(end.alias("upto"), F.concat(acc["all"], F.array(x)).alias("all")))
 
+        return rx.let(by_place, lambda xs: F.aggregate(xs, start, step, lambda acc: acc["all"]))
 
-def fixed_documents(docs: DataFrame, suggested: DataFrame) -> DataFrame:
-    """F21 + F22: fixed text, applied and blocked suggestion ids per document."""
+    def built(table: Column, xs: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            last = F.get(xs, i - 1)["p"]
+            return F.concat(between(table, F.when(i == 0, 0).otherwise(last["end_line"]), F.when(i == 0, 0).otherwise(last["end_col"]), x["p"]["line"], x["p"]["col"]),
+                            x["s"]["suggested"])
+
+        end = F.get(xs, F.size(xs) - 1)["p"]
+        rest = between(table, F.coalesce(end["end_line"], F.lit(0)), F.coalesce(end["end_col"], F.lit(0)), F.size(table["lines"]) - 1, F.length(F.element_at(table["lines"], -1)))
+        return F.struct(F.array_join(F.concat(F.transform(xs, piece), F.array(rest)), "").alias("text"), F.transform(xs, lambda x: x["s"]).alias("actions"))
+
+    return with_lines(text, lambda table: rx.let(kept(F.transform(chosen, lambda s: F.struct(
+        placed(text, table, s["original"], s["line_start"], s["line_end"]).alias("p"), s.alias("s")))), lambda xs: built(table, xs)))
+
+
+def accepted_rows(suggested: DataFrame) -> DataFrame:
+    """(doc_id, s, chosen) of every document: its suggestions, and those that win their conflicts.
+
+    Suggestions whose lines touch directly or through others form a cluster; the greedy choice runs in each cluster alone,
+    so a document of many fixes costs no pair of all of them.
+    """
     fields = [f.split(":")[0] for f in SUGGESTION[7:-1].split(",")]
-    grouped = suggested.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
-        F.struct("line_start", "id").alias("k"), F.struct(*fields).cast(SUGGESTION).alias("s")))).alias("g"))
-    rows = docs.join(grouped, "doc_id").select("doc_id", "text", F.transform("g", lambda g: g["s"]).alias("s"))
-    rows = rows.withColumn("chosen", accepted(F.col("s"))).withColumn("done", apply_all(F.col("text"), F.col("chosen")))
+    by_line = Window.partitionBy("doc_id").orderBy("line_start", "line_end", "id")
+    before = F.max("line_end").over(by_line.rowsBetween(Window.unboundedPreceding, -1))
+    new = suggested.select("doc_id", *fields).withColumn("new", (before.isNull() | (F.col("line_start") > before)).cast("int"))
+    numbered = new.withColumn("cluster", F.sum("new").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.array_sort(F.collect_list(F.struct("line_start", "id", F.struct(*fields).cast(SUGGESTION).alias("s"))))
+    clusters = numbered.groupBy("doc_id", "cluster").agg(F.transform(own, lambda k: k["s"]).alias("s"))
+    chosen = clusters.withColumn("chosen", F.when(F.size("s") == 1, F.col("s")).otherwise(accepted(F.col("s"))))
+    return chosen.groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("chosen")).alias("chosen"))
+
+
+def fixed_documents(docs: DataFrame, suggested: DataFrame) -> DataFrame:
+    """F21 + F22: fixed text, the applied fixes with their ids, and the ids of blocked suggestions per document."""
+    rows = docs.join(accepted_rows(suggested), "doc_id").select("doc_id", "text", "s", "chosen")
+    rows = rows.withColumn("done", apply_all(F.col("text"), F.col("chosen")))
     return rows.select(
-        "doc_id", "text", F.col("done.text").alias("fixed_text"), F.col("done.applied").alias("applied"),
+        "doc_id", "text", F.col("done.text").alias("fixed_text"), F.transform("done.actions", lambda s: s["id"]).alias("applied"),
         F.array_except(F.transform("s", lambda s: s["id"]), F.transform("chosen", lambda s: s["id"])).alias("blocked"),
-        F.size("s").alias("n_suggestions"))
+        F.size("s").alias("n_suggestions"), F.col("done.actions").alias("actions"))
 
 
 def reverted(text: Column, fix: Column) -> Column:
     """swap the texts and apply."""
     at = located(text, fix["suggested"], fix["line_start"], fix["line_end"])
-    return F.when(at >= 0, spliced(text, at, fix["suggested"], fix["original"])).otherwise(text)
+    return rx.let(at, lambda a: F.when(a >= 0, spliced(text, a, fix["suggested"], fix["original"])).otherwise(text))
 
 
 # --- diffs ---------------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..operators.fix import stable_id
 
@@ -26,15 +28,56 @@ def stored_issues(issues: DataFrame, run_id: str) -> DataFrame:
         "source", "autofix_allowed", F.lit("open").alias("status"))
 
 
-def append(df: DataFrame, path: str, *partitions: str) -> None:
-    """Append to a Parquet table, partitioned when asked; a re-run of a failed task leaves no partial rows."""
-    writer = df.write.mode("append")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+_NAME = re.compile(r"[A-Za-z0-9._-]+")
+
+
+def replace(rows: DataFrame, path: str, *partitions: str) -> None:
+    """Writes every partition that the rows fall in anew and leaves the others alone: a repeated write changes nothing."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def save_batch(rows: DataFrame, path: str, run_id: str, batch: str) -> int:
+    """The rows as the whole content of partition (run_id, batch) of a table; gives their number.
+
+    A repeated batch replaces its rows, also by none: dynamic overwrite leaves a partition without new rows as it was,
+    so that one is removed. Other batches and runs are not touched.
+    """
+    for value in (run_id, batch):
+        if not _NAME.fullmatch(value):
+            raise ValueError(f"not a name for a partition: {value!r}")
+    seen = Observation()
+    rows = rows.withColumns({"run_id": F.lit(run_id), "batch": F.lit(batch)})
+    replace(rows.observe(seen, F.count(F.lit(1)).alias("n")), path, "run_id", "batch")
+    if not seen.get["n"]:
+        spark = rows.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run_id}/batch={batch}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return seen.get["n"]
+
+
+def save_run(scored: DataFrame, issues: DataFrame, folder: str, run_id: str, created_at: Column, batch: str = "all") -> None:
+    """Sessions and issues of a batch of a run; a repeated call replaces them."""
+    save_batch(session_rows(scored, run_id, created_at), f"{folder}/sessions", run_id, batch)
+    save_batch(stored_issues(issues, run_id), f"{folder}/issues", run_id, batch)
+
+
+def action_rows(fixed: DataFrame, run_id: str, applied_at: Column) -> DataFrame:
+    """One row for each fix that was applied to a document. ``fixed`` comes from ``fix.fixed_documents``.
+
+    The patched text itself is stored once, with the document; an action names it by its hash.
+    """
+    session = stable_id(F.lit(run_id), F.col("doc_id"))
+    rows = fixed.select("doc_id", F.sha2("fixed_text", 256).alias("patched_hash"), F.inline("actions"))
+    return rows.select(
+        stable_id(session, F.col("id"), F.lit("apply")).alias("id"), session.alias("session_id"), F.lit(run_id).alias("run_id"),
+        F.col("id").alias("suggestion_id"), "issue_id", "rule_id", F.lit("apply").alias("action_type"), F.col("original").alias("original_text"),
+        F.col("suggested").alias("patched_text"), "line_start", "line_end", "patched_hash", applied_at.cast("timestamp").alias("applied_at"),
+        F.lit(None).cast("timestamp").alias("reverted_at"))
 
 
-def save_run(scored: DataFrame, issues: DataFrame, folder: str, run_id: str, created_at: Column) -> None:
-    append(session_rows(scored, run_id, created_at), f"{folder}/sessions", "run_id")
-    append(stored_issues(issues, run_id), f"{folder}/issues", "run_id")
+def save_actions(fixed: DataFrame, folder: str, run_id: str, applied_at: Column, batch: str = "all") -> int:
+    """The applied fixes of a batch of a run as a table; a repeated call replaces them."""
+    return save_batch(action_rows(fixed, run_id, applied_at), f"{folder}/fix_actions", run_id, batch)
 
 
 def list_documents(documents: DataFrame, search: str | None = None, content_type: str | None = None,

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.fixed import fixes as X, profiles as P
 from quillspark.functions import rx
-from quillspark.operators import config as C, document as DOC, ops as O, safety as L
+from quillspark.operators import config as C, document as DOC, fix as FX, ops as O, safety as L
 from quillspark.operators.fix import stable_id
+from quillspark.session import shared_dir
 from quillspark.sources import files as SF, store as SS
 from quillspark.streaming import jobs
 
 from .drafts import RAW_SQL, documents, drafts, pick, sql_pick
 from .sql import any_in, ascii_fold, base, has, q, strip, words
-from .store_queries import _SO, _STORE, CATS, issue_table, issues, iss, scored, sessions, stored_documents
+from .store_queries import _BEST, _SO, _STORE, CATS, issue_table, issues, iss, scored, sessions, stored_documents, suggested
 
 Q: dict[str, tuple] = {}
 RAW = f"WITH {RAW_SQL} "
@@ -226,9 +229,40 @@ Q["s07_packs_for_documents"] = (
 Q["s08_session_rows"] = (
     lambda s, d: SS.session_rows(scored(s, d), "run-1", F.lit("2024-05-01").cast("timestamp")).select("id", "document_id", "profile_id", "status", "score"),
     iss() + "SELECT sha256('run-1|' || t.doc_id) AS id, t.doc_id AS document_id, d.profile_id, 'completed' AS status, t.score FROM totals t JOIN docs d USING (doc_id)")
+_STORED = ["session_id", "issue_id", "category", "rule_id", "severity", "message", "recommendation", "evidence_excerpt", "evidence_line_start",
+           "evidence_line_end", "evidence_location", "confidence", "autofix_allowed", "status"]
+
+
+def stored_twice(s, d):
+    """Every batch of a run is saved, one of them again; what is read back has each issue once."""
+    folder = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    for batch in (0, 1, 0):
+        SS.save_batch(SS.stored_issues(issue_table(s, d).where(F.pmod("doc_id", F.lit(2)) == batch), "run-1"), f"{folder}/issues", "run-1", f"half-{batch}")
+    return s.read.parquet(f"{folder}/issues").select(*_STORED)
+
+
 Q["s08_issue_rows"] = (
-    lambda s, d: SS.stored_issues(issue_table(s, d), "run-1").groupBy("session_id", "status").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")),
-    iss() + "SELECT sha256('run-1|' || doc_id) AS session_id, 'open' AS status, count(*) AS n, count(*) AS ids FROM iss GROUP BY doc_id")
+    stored_twice,
+    iss() + """SELECT sha256('run-1|' || doc_id) AS session_id, issue_id, category, rule_id, severity, message, recommendation, excerpt AS evidence_excerpt,
+    line_start AS evidence_line_start, line_end AS evidence_line_end, location AS evidence_location, confidence, autofix_allowed, 'open' AS status FROM iss""")
+
+
+def fix_actions(s, d):
+    """The fixes of every document are applied and their actions saved, the same batch twice."""
+    folder = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    fixed = FX.fixed_documents(drafts(s, d), suggested(s, d))
+    for _ in range(2):
+        SS.save_actions(fixed, folder, "run-1", F.lit("2024-05-01").cast("timestamp"))
+    return s.read.parquet(f"{folder}/fix_actions").select(
+        "id", "session_id", "suggestion_id", "issue_id", "rule_id", "action_type", "original_text", "patched_text", "line_start", "line_end", "patched_hash")
+
+
+Q["s11_fix_actions"] = (
+    fix_actions,
+    _BEST + """, new AS (SELECT doc_id, sha256(string_agg(t, chr(10) ORDER BY line_no)) AS patched_hash FROM (
+        SELECT l.doc_id, l.line_no, CASE WHEN s.id IS NOT NULL THEN s.suggested || substr(l.line, length(s.original) + 1) ELSE l.line END AS t FROM lines l LEFT JOIN best s ON s.doc_id = l.doc_id AND s.line_start = l.line_no) GROUP BY doc_id)
+    SELECT sha256(sha256('run-1|' || b.doc_id) || '|' || b.id || '|apply') AS id, sha256('run-1|' || b.doc_id) AS session_id, b.id AS suggestion_id, issue_id, rule_id, 'apply' AS action_type,
+    original AS original_text, suggested AS patched_text, line_start, line_end, patched_hash FROM best b JOIN new USING (doc_id)""")
 Q["s09_list_documents"] = (
     lambda s, d: SS.list_documents(stored_documents(s, d), search="9", content_type="text/html", limit=40).select("id", "original_name", "created_at"),
     _STORE + "SELECT id, original_name, created_at FROM dcs WHERE (original_name ILIKE '%9%' OR id ILIKE '%9%') AND content_type = 'text/html' ORDER BY created_at DESC, id LIMIT 40")

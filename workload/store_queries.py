@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillspark.fixed.catalog import ISSUES
@@ -10,7 +12,8 @@ from quillspark.functions import rx
 from quillspark.functions.findings import category_of
 from quillspark.operators import config as C, document as DOC, fix as FX, issues as I, ops as O, report as R, safety as L, score as G
 from quillspark.operators.parse import parse
-from quillspark.operators.rules import META, REGISTRY, rule
+from quillspark.operators.rules import META, REGISTRY, rule, tables
+from quillspark.operators.rules.tables import TableRule, stock_issue, table_rule
 from quillspark.plans import store as S
 from quillspark.plans.review import all_issues, issue_rows, review_rows
 from quillspark.sources import files as SF, store as SS
@@ -19,7 +22,7 @@ from quillspark.streaming import jobs
 from .blocks import BLOCKS_SQL, blocks
 from .drafts import PROFILE_CYCLE, RAW_SQL, documents, drafts, pick, sql_pick
 from .rule_oracles import all_rules
-from .sql import any_in, base, count_in, has, n, q, strip, words
+from .sql import any_in, base, count_in, found, has, n, q, strip, words
 
 Q: dict[str, tuple] = {}
 
@@ -105,6 +108,32 @@ Q["u01_registered_rule"] = (
     lambda s, d: issue_rows(review_rows(drafts(s, d), rule_ids=["structure.long-title"])).select("doc_id", "issue_id", "line_start"),
     base() + "SELECT doc_id, 'structure.title-not-h1' AS issue_id, line_no AS line_start FROM heads WHERE length(title) > 25")
 
+
+
+@table_rule("structure.long-title")
+class LongTitles(TableRule):
+    """The same rule as a table function over lines."""
+
+    def line(self, number, text):
+        from quillspark.fixed.words import HEADING
+
+        found = re.match(HEADING, text)
+        if found and len(found[2]) > 25:
+            yield stock_issue("title-not-h1", number, level=len(found[1]), title=found[2])
+
+
+_LONG = base() + "SELECT * , 'structure' AS category, 'syntax-rule' AS source FROM (" + found("title-not-h1", "heads", "length(title) > 25", line="line_no", level="level", title="title") + ")"
+Q["u04_table_rule"] = (lambda s, d: tables.issue_table(DOC.line_rows(parse(drafts(s, d))), "structure.long-title"), _LONG)
+
+
+def lateral_rule(s, d):
+    """The lateral form through SQL."""
+    _, name = tables.register(s, "structure.long-title")
+    return s.sql(f"SELECT d.doc_id, t.* FROM {{docs}} d, LATERAL {name}(d.lines) t", docs=parse(drafts(s, d)).select("doc_id", "lines"))
+
+
+Q["u04_lateral_rule"] = (lateral_rule, _LONG)
+
 # --- I -----------------------------------------------------------------------------------
 Q["i01_unified_issues"] = (
     lambda s, d: I.unify(issue_table(s, d)).groupBy("category", "source", "severity", "fix_capability").agg(
@@ -318,13 +347,14 @@ Q["f20_exact_location"] = (
     lambda s, d: FX.previews(drafts(s, d), suggested(s, d)).select("doc_id", "id", "start", "status"),
     _LOC + "SELECT doc_id, id, start, CASE WHEN start = -1 THEN 'stale' WHEN start = -2 THEN 'ambiguous' ELSE 'ok' END AS status FROM loc")
 Q["f23_verify_f24_preview"] = (
-    lambda s, d: FX.previews(drafts(s, d), suggested(s, d)).select("doc_id", "id", "before_hash", "after_hash", "needs_confirmation"),
-    _LOC + "SELECT doc_id, id, sha256(text) AS before_hash, CASE WHEN start >= 0 THEN sha256(left(text, start) || suggested || substr(text, start + length(original) + 1)) ELSE sha256(text) END AS after_hash, fix_type <> 'safe' OR confidence < 95 AS needs_confirmation FROM loc")
+    lambda s, d: FX.previews(drafts(s, d), suggested(s, d)).select("doc_id", "id", "before_hash", "after_hash", "needs_confirmation", "diff"),
+    _LOC + "SELECT doc_id, id, CASE WHEN start < 0 THEN '' ELSE '-' || window_text || chr(10) || '+' || left(window_text, start - a) || suggested || substr(window_text, start - a + length(original) + 1) END AS diff, sha256(text) AS before_hash, CASE WHEN start >= 0 THEN sha256(left(text, start) || suggested || substr(text, start + length(original) + 1)) ELSE sha256(text) END AS after_hash, fix_type <> 'safe' OR confidence < 95 AS needs_confirmation FROM loc")
+_BEST = _SUG + """, best AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM sug2
+    QUALIFY row_number() OVER (PARTITION BY doc_id, line_start ORDER BY CASE fix_type WHEN 'safe' THEN 3 WHEN 'ai' THEN 1 ELSE 0 END DESC, confidence DESC, id) = 1)"""
 # every suggestion is of one line, so those of one line overlap: the best of a line is applied, the others are blocked
 Q["f21_f22_fixed_documents"] = (
     lambda s, d: FX.fixed_documents(drafts(s, d), suggested(s, d)).select("doc_id", F.sha2("fixed_text", 256).alias("digest"), F.size("applied").alias("applied"), F.size("blocked").alias("blocked")),
-    _SUG + """, best AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM sug2
-        QUALIFY row_number() OVER (PARTITION BY doc_id, line_start ORDER BY CASE fix_type WHEN 'safe' THEN 3 WHEN 'ai' THEN 1 ELSE 0 END DESC, confidence DESC, id) = 1)
+    _BEST + """
     SELECT l.doc_id, sha256(string_agg(CASE WHEN s.id IS NOT NULL THEN s.suggested || substr(l.line, length(s.original) + 1) ELSE l.line END, chr(10) ORDER BY l.line_no)) AS digest, count(s.id) AS applied, max(s.total) - count(s.id) AS blocked
     FROM lines l LEFT JOIN best s ON s.doc_id = l.doc_id AND s.line_start = l.line_no WHERE l.doc_id IN (SELECT doc_id FROM sug2) GROUP BY l.doc_id""")
 
@@ -336,12 +366,8 @@ def pairs(s, d):
 
 _PAIR = base() + f", pr AS (SELECT doc_id, text, replace(regexp_replace({chain('text', [(p if w else p + r'\s*', w or ' ') for p, w in X.HEDGING_FIXES])}, '\\.([A-Z])', '. \\1', 'g'), '.  ', '. ') AS fixed_text FROM docs)"
 Q["f25_revert"] = (
-    lambda s, d: FX.previews(drafts(s, d), suggested(s, d)).where("status = 'ok'").join(drafts(s, d).select("doc_id", "text"), "doc_id").join(
-        suggested(s, d).select("id", "original", "suggested", "line_end"), "id").select(
-        "doc_id", "id", (FX.reverted(
-            FX.spliced(F.col("text"), F.col("start"), F.col("original"), F.col("suggested")),
-            F.struct("original", "suggested", "line_start", "line_end")) == F.col("text")).alias("restored")),
-    _LOC + "SELECT doc_id, id, TRUE AS restored FROM loc WHERE start >= 0")
+    lambda s, d: FX.previews(drafts(s, d), suggested(s, d)).where("status = 'ok'").select("doc_id", "id", "before_hash", "reverted_hash"),
+    _LOC + "SELECT doc_id, id, sha256(text) AS before_hash, sha256(text) AS reverted_hash FROM loc WHERE start >= 0")
 Q["f26_line_diff"] = (lambda s, d: FX.diffs(pairs(s, d)), None)
 Q["f26_word_diff"] = (lambda s, d: FX.diffs(pairs(s, d), "word").groupBy("doc_id", "kind").agg(F.count("*").alias("n")), None)
 Q["f26_paragraph_diff"] = (lambda s, d: FX.diffs(pairs(s, d), "paragraph").groupBy("doc_id", "kind").agg(F.count("*").alias("n")), None)
