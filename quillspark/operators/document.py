@@ -54,9 +54,8 @@ def sentence_array(text: Column) -> Column:
 def sentence_rows(docs: DataFrame) -> DataFrame:
     """Offsets count the stripped pieces plus one, as in the reference."""
     def placed(parts: Column) -> Column:
-        return F.transform(parts, lambda p, i: F.struct(
-            i.alias("i"), p.alias("text"),
-            F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda acc, x: acc + F.length(x) + 1).alias("start")))
+        return rx.let(rx.running(F.transform(parts, lambda p: F.length(p) + 1)), lambda ends: F.transform(parts, lambda p, i: F.struct(
+            i.alias("i"), p.alias("text"), (F.get(ends, i) - F.length(p) - 1).cast("int").alias("start"))))
 
     rows = docs.where(rx.strip(F.col("text")) != "").select(
         "doc_id", F.explode_outer(rx.let(sentence_array(F.col("text")), placed)).alias("s"))
@@ -142,32 +141,90 @@ def offset_map(blocks: DataFrame) -> DataFrame:
         "end_offset", F.col("start_offset") + F.length("text"))
 
 
+def stabbed(probes: DataFrame, spans: DataFrame, at: str, start: str, end: str, keep: list[str]) -> DataFrame:
+    """Each probe (doc_id, ``at``, more) with ``found``: of the spans of its document that hold it, the first by ``keep``; null if none does.
+
+    An as-of merge in place of product and filter. Probes and spans go through one shuffle into one ordered stream of each
+    document, spans before the probes at their start; the last span travels along, and the running maximum of ends cuts
+    the stream into clusters of overlapping spans. A probe in a cluster of one span, as parsed blocks have them, is answered by it;
+    only probes in clusters of several meet that cluster's spans. Rows moved are probes + spans.
+    """
+    span = F.struct(F.struct(*keep).alias("k"), F.col(start).cast("long").alias("a"), F.col(end).cast("long").alias("b"))
+    begins = spans.where(F.col(start) <= F.col(end)).select("doc_id", F.col(start).cast("long").alias("_at"), F.lit(0).alias("_side"), span.alias("_span"))
+    asked = probes.select("*", F.col(at).cast("long").alias("_at"), F.lit(1).alias("_side"))
+    order = Window.partitionBy("doc_id").orderBy("_at", "_side", "_span.b")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    merged = asked.unionByName(begins, allowMissingColumns=True).withColumn("_reach", F.max("_span.b").over(before))
+    merged = merged.withColumn("_new", ((F.col("_side") == 0) & F.coalesce(F.col("_reach") < F.col("_at"), F.lit(True))).cast("int"))
+    merged = merged.withColumns({"_cluster": F.sum("_new").over(upto), "_last": F.last("_span", ignorenulls=True).over(upto)})
+    merged = merged.withColumn("_size", F.count("_span").over(Window.partitionBy("doc_id", "_cluster")))
+    own = merged.where("_side = 1")
+    columns = probes.columns
+    inside = F.when(F.col("_last.b") >= F.col("_at"), F.col("_last.k"))
+    single = own.where("_size <= 1").select(*columns, inside.alias("found"))
+    some = merged.where("_side = 0 AND _size > 1").select(F.col("doc_id").alias("_doc"), F.col("_cluster").alias("_c"), F.col("_span").alias("_s"))
+    several = own.where("_size > 1").join(some, (F.col("doc_id") == F.col("_doc")) & (F.col("_cluster") == F.col("_c")), "left").groupBy(*columns).agg(
+        F.min(F.when(F.col("_at").between(F.col("_s.a"), F.col("_s.b")), F.col("_s.k"))).alias("found"))
+    return single.unionByName(several)
+
+
 def locate_offsets(probes: DataFrame, mapped: DataFrame) -> DataFrame:
-    """First block whose range holds the offset. ``probes(doc_id, offset)``; misses keep nulls."""
-    spans = mapped.select("doc_id", "block_idx", "page_number", "start_offset", "end_offset")
-    hit = probes.join(
-        spans,
-        (probes["doc_id"] == spans["doc_id"]) & probes["offset"].between(spans["start_offset"], spans["end_offset"]),
-        "left").select(probes["doc_id"], probes["offset"], spans["block_idx"], spans["page_number"])
-    return hit.groupBy("doc_id", "offset").agg(
-        F.min("block_idx").alias("block_idx"), F.min_by("page_number", "block_idx").alias("page_number"))
+    """First block whose range holds the offset. ``probes(doc_id, offset)``; misses keep nulls, repeated probes come once."""
+    found = stabbed(probes.select("doc_id", "offset").distinct(), mapped, "offset", "start_offset", "end_offset", ["block_idx", "page_number"])
+    return found.select("doc_id", "offset", "found.block_idx", "found.page_number")
+
+
+def overlapping(spans: DataFrame, start: str = "start_offset", end: str = "end_offset", previous_only: bool = False) -> DataFrame:
+    """Spans with ``overlaps``: whether one begins before an earlier span of its document has ended; ends are exclusive.
+
+    A sweep over the sorted spans with the running maximum of the ends, so a span within an earlier one is seen even when a
+    shorter span lies between. The published form compares with the span just before (``previous_only``). Of equal spans all but one overlap.
+    """
+    order = Window.partitionBy("doc_id").orderBy(start, end)
+    reach = F.lag(end).over(order) if previous_only else F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("overlaps", F.coalesce(F.col(start) < reach, F.lit(False)))
 
 
 def parse_validation(parsed: DataFrame, blocks: DataFrame, max_text: int = 50_000_000, max_blocks: int = 100_000,
-                     max_block: int = 100_000) -> DataFrame:
-    """Errors and warnings per document with the counts behind them."""
-    per_doc = blocks.groupBy("doc_id").agg(
-        F.count("*").alias("blocks"), F.count_if(F.length("text") > max_block).alias("long_blocks"),
-        (F.count("node_id") - F.count_distinct("node_id")).alias("repeated_nodes"))
-    joined = parsed.select(
-        "doc_id", F.length("text").alias("chars"), "n_lines", F.size("headings").alias("n_headings")
-    ).join(per_doc, "doc_id", "left").fillna(0, ["blocks", "long_blocks", "repeated_nodes"])
+                     max_block: int = 100_000, sentences: DataFrame | None = None, offsets: DataFrame | None = None,
+                     pages: DataFrame | None = None) -> DataFrame:
+    """Errors and warnings per document with the counts behind them, and the parser's statistics.
+
+    ``sentences(doc_id, block_idx, start_char, end_char)``: a block whose sentences cover more than 1.1 times its text is a
+    warning. ``offsets(doc_id, start_offset, end_offset)``: so is each span that overlaps an earlier one. ``pages(doc_id, page, n_blocks)``:
+    so is a number of blocks on pages that is not the number of blocks. What is not given is not checked.
+    """
+    def counted(rows: DataFrame | None, **aggregates: Column) -> DataFrame:
+        if rows is None:
+            return parsed.select("doc_id", *[F.lit(0).cast("bigint").alias(name) for name in aggregates])
+        return rows.groupBy("doc_id").agg(*[c.alias(name) for name, c in aggregates.items()])
+
+    kind = lambda name: F.count_if(F.col("type") == name)
+    per_doc = counted(
+        blocks, blocks=F.count("*"), long_blocks=F.count_if(F.length("text") > max_block), repeated_nodes=F.count("node_id") - F.count_distinct("node_id"),
+        tables=kind("table"), figures=kind("figure"), footnotes=kind("footnote"), page_breaks=kind("page_break"),
+        hyperlinks=F.sum(rx.count(F.col("text"), r"https?://\S")), nodes=F.count_if((F.col("block_idx") < 5) & (F.col("node_id") != "")))
+    wide = None
+    if sentences is not None:
+        covered = sentences.groupBy("doc_id", "block_idx").agg(F.count("*").alias("n"), F.sum(F.col("end_char") - F.col("start_char")).alias("covered"))
+        wide = covered.join(blocks.select("doc_id", "block_idx", F.length("text").alias("size")), ["doc_id", "block_idx"])
+    per_sentence = counted(wide, sentences=F.sum("n"), wide_blocks=F.count_if(F.col("covered") * 10 > F.col("size") * 11))
+    per_offset = counted(None if offsets is None else overlapping(offsets), offset_spans=F.count("*"), overlapping_offsets=F.count_if("overlaps"))
+    per_page = counted(pages, pages=F.count("*"), page_blocks=F.sum("n_blocks"))
+    cited = F.aggregate("lines", F.lit(0), lambda n, line: n + rx.count(line, rx.exact(W.BRACKET_CITATION)) + rx.count(line, rx.exact(W.APA_CITATION)))
+    joined = parsed.select("doc_id", F.length("text").alias("chars"), "n_lines", F.size("headings").alias("n_headings"), cited.alias("citations"))
+    for side in (per_doc, per_sentence, per_offset, per_page):
+        joined = joined.join(side, "doc_id", "left").fillna(0, [c for c in side.columns if c != "doc_id"])
+    page_mismatch = (F.col("pages") > 0) & (F.col("page_blocks") != F.col("blocks"))
+    content = (F.col("chars") > 0) | (F.col("blocks") > 0)
     return joined.select(
-        "doc_id", "chars", F.col("n_lines").alias("total_lines"), F.col("n_headings").alias("headings"), "blocks",
-        ((F.col("chars") > 0) | (F.col("blocks") > 0)).alias("has_content"),
-        (F.col("repeated_nodes") == 0).alias("unique_nodes"),
+        "doc_id", "chars", F.col("n_lines").alias("total_lines"), F.col("n_headings").alias("headings"), "blocks", content.alias("has_content"),
+        (F.col("repeated_nodes") == 0).alias("unique_nodes"), (content & (F.col("repeated_nodes") == 0)).alias("valid"),
         ((F.col("chars") > max_text).cast("int") + ((F.col("blocks") < 1) | (F.col("blocks") > max_blocks)).cast("int")
-         + F.col("long_blocks").cast("int")).alias("warnings"))
+         + F.col("long_blocks").cast("int") + F.col("wide_blocks").cast("int") + F.col("overlapping_offsets").cast("int") + page_mismatch.cast("int")).alias("warnings"),
+        F.col("wide_blocks").cast("int").alias("wide_blocks"), F.col("overlapping_offsets").cast("int").alias("overlapping_offsets"), page_mismatch.alias("page_mismatch"),
+        *[F.col(c).cast("int").alias(c) for c in ("tables", "figures", "footnotes", "sentences", "hyperlinks", "citations", "pages", "page_breaks")],
+        (F.col("offset_spans") > 0).alias("has_offset_map"), (F.col("nodes") > 0).alias("has_node_ids"))
 
 
 def document_stats(parsed: DataFrame) -> DataFrame:
@@ -181,93 +238,104 @@ def document_stats(parsed: DataFrame) -> DataFrame:
 
 
 def fixed_chunks(docs: DataFrame, size: int = 8000, overlap: int = 500) -> DataFrame:
-    """P17 without boundaries: windows of ``size`` characters that step by ``size - overlap``."""
-    length, step = F.length("text"), size - overlap
-    last = F.greatest(F.lit(0), F.ceil((length - size) / step).cast("int"))
-    rows = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    start = F.col("chunk") * step
-    end = F.least(start + size, F.length("text"))
+    """P17 without boundaries: windows of ``size`` characters that step by ``size - overlap``.
+
+    The text is cut once into pieces of a step; a chunk is its piece and the beginning of the next ones, and its lines come from the
+    running count of line breaks, so no chunk reads the text before it.
+    """
+    step = size - overlap
+    more = -(-overlap // step)  # pieces that the overlap reaches into
+
+    def cut(pieces: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step).cast("int"))
+        return rx.let(rx.running(F.transform(pieces, lambda p: rx.literal_count(p, "\n"))), lambda breaks: F.transform(
+            F.sequence(F.lit(0), last), lambda k: rx.let(
+                F.left(F.array_join(F.slice(pieces, k + 1, more + 1), ""), F.lit(size)), lambda body: F.struct(
+                    k.alias("chunk"), body.alias("chunk_text"), (F.when(k == 0, 0).otherwise(F.get(breaks, k - 1)) + 1).cast("int").alias("start_line")))))
+
+    rows = docs.select("doc_id", F.explode_outer(rx.let(rx.find_all(F.col("text"), f"(?s).{{1,{step}}}"), cut)).alias("c")).where("c IS NOT NULL")
+    start = F.col("c.chunk") * step
     return rows.select(
-        "doc_id", "chunk", start.alias("start_char"), end.alias("end_char"),
-        F.substr("text", start + 1, end - start).alias("chunk_text"),
-        (rx.literal_count(F.left(F.col("text"), start), "\n") + 1).alias("start_line"),
-        (rx.literal_count(F.left(F.col("text"), end), "\n") + 1).alias("end_line"))
+        "doc_id", "c.chunk", start.alias("start_char"), (start + F.length("c.chunk_text")).alias("end_char"), "c.chunk_text", "c.start_line",
+        (F.col("c.start_line") + rx.literal_count(F.col("c.chunk_text"), "\n")).alias("end_line"))
 
 
-CHUNK_SCHEMA = "doc_id bigint, chunk int, section string, start_char int, end_char int, chunk_text string"
+#: Where a chunk may end, best first: after a heading line, a blank line, a line, a sentence.
+BREAKS = (r"\n#{1,3}\s+[^\n]+\n", r"\n\n", r"\n", r"[.!?]\s+")
+REACH = 500  # characters at the end of a chunk that are searched for a break
 
 
-def split_at_boundaries(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Spans of at most ``size`` characters; a span ends at the best break in its last 500 characters.
+def _part(pieces: Column, a: Column, b: Column) -> Column:
+    """Characters a to b of a text cut into pieces of REACH: only the pieces that hold them are read."""
+    first = F.floor(a / REACH).cast("int")
+    n = F.greatest(F.lit(0), F.floor((b - 1) / REACH).cast("int") - first + 1)
+    return F.substr(F.array_join(F.slice(pieces, first + 1, n), ""), a - first * REACH + 1, b - a)
 
-    Heading lines are the best break, then blank lines, line ends and sentence ends. Every span starts
-    after the one before it started.
+
+def chunk_array(text: Column, size: int, overlap: int) -> Column:
+    """``start``, ``end`` and ``body`` of chunks of at most ``size`` characters; one ends at the last of the best breaks in its last 500 characters.
+
+    A greedy fold over the text: each step looks for a break in one window alone, so the work grows with the text. Every chunk starts
+    after the one before it started; an empty text is one empty chunk.
     """
-    import re
-
-    if len(text) <= size:
-        return [(0, len(text))]
-    breaks = [re.compile(p) for p in (r"\n#{1,3}\s+.+\n", r"\n\n", r"\n", r"[.!?]\s+")]
-    spans, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            low = max(start + overlap + 1, end - 500)
-            for pattern in breaks:
-                stops = [m.end() for m in pattern.finditer(text, low, end)]
-                if stops:
-                    end = stops[-1]
-                    break
-        spans.append((start, end))
-        if end >= len(text):
-            break
-        start = max(start + 1, end - overlap)
-    return spans
+    def cut(given: Column) -> Column:
+        pieces, n = given["pieces"], given["n"]
 
+        def stop(start: Column) -> Column:
+            end = F.least(start + size, n)
+            low = F.greatest(start + overlap + 1, end - REACH)
 
-def boundary_chunks(docs: DataFrame, size: int = 8000, overlap: int = 500) -> DataFrame:
-    """Chunks that prefer natural breaks; sequential inside one document, so Arrow batches of whole texts."""
+            def last(window: Column) -> Column:
+                return F.coalesce(*[F.nullif(F.length(F.regexp_extract(window, f"(?sU)^(.*{p})", 1)), F.lit(0)) for p in BREAKS])
 
-    def cut(batches):
-        import pandas as pd
+            return F.when(end < n, F.coalesce(low + rx.let(_part(pieces, low, end), last), end)).otherwise(end).cast("int")
 
-        for batch in batches:
-            rows = [
-                (doc_id, i, "", a, b, text[a:b])
-                for doc_id, text in zip(batch["doc_id"], batch["text"])
-                for i, (a, b) in enumerate(split_at_boundaries(text, size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "section", "start_char", "end_char", "chunk_text"])
+        def step(acc: Column, _: Column) -> Column:
+            def after(end: Column) -> Column:
+                return F.struct(
+                    F.greatest(acc["start"] + 1, end - overlap).alias("start"), (end >= n).alias("done"),
+                    F.concat(acc["all"], F.array(F.struct(acc["start"].alias("start"), end.alias("end")))).alias("all"))
 
-    return docs.select("doc_id", "text").mapInPandas(cut, CHUNK_SCHEMA)
+            return F.when(acc["done"], acc).otherwise(rx.let(stop(acc["start"]), after))
 
+        steps = F.floor(n / max(2, size - REACH - overlap)).cast("int") + 1
+        zero = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<struct<start:int,end:int>>").alias("all"))
+        spans = F.aggregate(F.sequence(F.lit(1), steps), zero, step, lambda acc: acc["all"])
+        return F.transform(spans, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _part(pieces, c["start"], c["end"]).alias("body")))
 
-def section_spans(text: str) -> list[tuple[int, int, str]]:
-    """H1-H3 sections as character spans; text before the first heading is its own section."""
-    import re
+    return rx.let(F.struct(rx.find_all(text, f"(?s).{{1,{REACH}}}").alias("pieces"), F.length(text).alias("n")), cut)
 
-    marks = [(m.start(), m.group(2)) for m in re.finditer(r"^(#{1,3})\s+(.+)$", text, re.M)]
-    edges = [(0, "document-start")] + marks if not marks or marks[0][0] > 0 else marks
-    stops = [a for a, _ in edges[1:]] + [len(text)]
-    return [(a, b, name) for (a, name), b in zip(edges, stops) if b > a]
+
+def _chunk_rows(docs: DataFrame, chunks: Column) -> DataFrame:
+    return docs.select("doc_id", F.posexplode_outer(chunks).alias("chunk", "c")).where("c IS NOT NULL").select(
+        "doc_id", "chunk", "c.section", F.col("c.start").alias("start_char"), F.col("c.end").alias("end_char"), F.col("c.body").alias("chunk_text"))
+
+
+def boundary_chunks(docs: DataFrame, size: int = 8000, overlap: int = 500) -> DataFrame:
+    """Chunks that prefer natural breaks. A null text has none."""
+    return _chunk_rows(docs, F.transform(chunk_array(F.col("text"), size, overlap), lambda c: F.struct(
+        F.lit("").alias("section"), c["start"].alias("start"), c["end"].alias("end"), c["body"].alias("body"))))
+
+
+SECTION = r"(?mdU)^(#{1,3})\s+(.+)$"
 
 
 def section_chunks(docs: DataFrame, size: int = 4000, overlap: int = 100) -> DataFrame:
-    """One chunk per section, long sections split further."""
+    """One chunk per H1-H3 section, long sections split further; text before the first heading is its own section."""
+    text = F.col("text")
 
-    def cut(batches):
-        import pandas as pd
+    def sections(marks: Column) -> Column:
+        head = F.struct(F.lit(0).alias("a"), F.lit("document-start").alias("name"))
+        named = F.transform(marks, lambda m: F.struct(m["start"].alias("a"), F.regexp_extract(m["value"], SECTION, 2).alias("name")))
+        return rx.let(F.concat(F.array(head), named), lambda all_: F.filter(F.transform(all_, lambda x, i: F.struct(
+            x["a"].alias("a"), F.coalesce(F.get(all_, i + 1)["a"], F.length(text)).alias("b"), x["name"].alias("name"))), lambda x: x["b"] > x["a"]))
 
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                n = 0
-                for a, b, name in section_spans(text):
-                    for x, y in split_at_boundaries(text[a:b], size, overlap):
-                        rows.append((doc_id, n, name, a + x, a + y, text[a + x:a + y]))
-                        n += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "section", "start_char", "end_char", "chunk_text"])
+    def split(pieces: Column) -> Column:
+        return F.flatten(F.transform(rx.let(rx.spans(text, SECTION), sections), lambda x: F.transform(
+            chunk_array(_part(pieces, x["a"], x["b"]), size, overlap), lambda c: F.struct(
+                x["name"].alias("section"), (x["a"] + c["start"]).alias("start"), (x["a"] + c["end"]).alias("end"), c["body"].alias("body")))))
 
-    return docs.select("doc_id", "text").mapInPandas(cut, CHUNK_SCHEMA)
+    return _chunk_rows(docs, rx.let(rx.find_all(text, f"(?s).{{1,{REACH}}}"), split))
 
 
 def token_budget(docs: DataFrame, max_tokens: int, from_start: bool = True) -> DataFrame:
@@ -309,35 +377,36 @@ def issue_snippets(reviewed: DataFrame, context: int = 2) -> DataFrame:
 
 def jump_targets(issues: DataFrame, blocks: DataFrame) -> DataFrame:
     """Block by index (line_start - 1), else the first block whose lines hold the issue's first line."""
-    spans = blocks.select(
-        F.col("doc_id").alias("b_doc"), F.col("block_idx").alias("b_idx"), F.col("page_number").alias("b_page"),
-        F.col("node_id").alias("b_node"), F.col("line_start").alias("b_start"), F.col("line_end").alias("b_end"))
-    by_index = issues.join(
-        spans, (F.col("doc_id") == F.col("b_doc")) & (F.col("line_start") - 1 == F.col("b_idx")), "left")
-    direct = by_index.where("b_idx IS NOT NULL").select(
-        "doc_id", "seq", F.col("b_idx").alias("block_idx"), F.col("b_page").alias("page_number"),
-        F.col("b_node").alias("node_id"), F.col("b_start").alias("target_start"), F.col("b_end").alias("target_end"))
-    open_issues = by_index.where("b_idx IS NULL").select("doc_id", "seq", "line_start", "line_end")
-    by_line = open_issues.join(
-        spans, (F.col("doc_id") == F.col("b_doc")) & F.col("line_start").between(F.col("b_start"), F.col("b_end")),
-    ).groupBy("doc_id", "seq", "line_start", "line_end").agg(
-        F.min("b_idx").alias("block_idx"), F.min_by("b_page", "b_idx").alias("page_number"),
-        F.min_by("b_node", "b_idx").alias("node_id"))
-    return direct.unionByName(by_line.select(
-        "doc_id", "seq", "block_idx", "page_number", "node_id", F.col("line_start").alias("target_start"),
-        F.col("line_end").alias("target_end")))
+    spans = blocks.select("doc_id", "block_idx", "page_number", "node_id", F.col("line_start").alias("b_start"), F.col("line_end").alias("b_end"))
+    by_index = issues.withColumn("block_idx", F.col("line_start") - 1).join(spans, ["doc_id", "block_idx"], "left")
+    direct = by_index.where("node_id IS NOT NULL").select(
+        "doc_id", "seq", "block_idx", "page_number", "node_id", F.col("b_start").alias("target_start"), F.col("b_end").alias("target_end"))
+    open_issues = by_index.where("node_id IS NULL").select("doc_id", "seq", "line_start", "line_end")
+    by_line = stabbed(open_issues, spans, "line_start", "b_start", "b_end", ["block_idx", "page_number", "node_id"]).where("found IS NOT NULL")
+    return direct.unionByName(by_line.select("doc_id", "seq", "found.*", F.col("line_start").alias("target_start"), F.col("line_end").alias("target_end")))
 
 
 def evidence_blocks(issues: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Ids of the blocks that start or end inside the issue's lines."""
-    spans = blocks.select(
-        F.col("doc_id").alias("b_doc"), "node_id", F.col("line_start").alias("b_start"), F.col("line_end").alias("b_end"))
-    inside = issues.join(
-        spans,
-        (F.col("doc_id") == F.col("b_doc"))
-        & (F.col("b_start").between(F.col("line_start"), F.col("line_end"))
-           | F.col("b_end").between(F.col("line_start"), F.col("line_end"))))
-    return inside.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"))
+    """Ids of the blocks that start or end inside the issue's lines.
+
+    Issues and the two ends of each block go through one ordered stream of a document with running counts of the ends, which
+    give each issue the ranks of the block ends inside it; ranks then meet the blocks by equality. Rows moved are issues + blocks + matches.
+    """
+    ends = blocks.select("doc_id", "node_id", F.inline(F.array(
+        F.struct(F.lit("start").alias("side"), F.col("line_start").alias("at")), F.struct(F.lit("end").alias("side"), F.col("line_end").alias("at")))))
+    asked = issues.select("doc_id", "seq", F.inline(F.array(
+        F.struct(F.lit(-1).alias("turn"), F.col("line_start").alias("at")), F.struct(F.lit(1).alias("turn"), F.col("line_end").alias("at")))))
+    stream = ends.withColumn("turn", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    upto = Window.partitionBy("doc_id").orderBy("at", "turn", "node_id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = stream.withColumns({side: F.count_if(F.col("side") == side).over(upto) for side in ("start", "end")})
+    own = lambda side, turn: F.max(F.when(F.col("turn") == turn, F.col(side)))
+    ranges = counted.where("turn <> 0").groupBy("doc_id", "seq").agg(*[
+        F.struct((own(side, -1) + 1).alias("a"), own(side, 1).alias("b")).alias(side) for side in ("start", "end")])
+    ranks = lambda side: F.when(F.col(f"{side}.a") <= F.col(f"{side}.b"), F.transform(
+        F.sequence(F.col(f"{side}.a"), F.col(f"{side}.b")), lambda r: F.struct(F.lit(side).alias("side"), r.alias("rank"))))
+    wanted = ranges.select("doc_id", "seq", F.explode(F.concat(*[F.coalesce(ranks(s), F.array().cast("array<struct<side:string,rank:bigint>>")) for s in ("start", "end")])).alias("r")).select("doc_id", "seq", "r.*")
+    numbered = counted.where("turn = 0").select("doc_id", "side", F.when(F.col("side") == "start", F.col("start")).otherwise(F.col("end")).alias("rank"), "node_id")
+    return wanted.join(numbered, ["doc_id", "side", "rank"]).groupBy("doc_id", "seq").agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"))
 
 
 def table_captions(blocks: DataFrame) -> DataFrame:

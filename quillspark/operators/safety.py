@@ -169,7 +169,7 @@ def bounded_context(reviewed_issues: DataFrame, first: int = 20) -> DataFrame:
 
 def model_chunks(docs: DataFrame, threshold: int = 6000, size: int = 4000, overlap: int = 300) -> DataFrame:
     """Texts over the threshold are split at boundaries, the others stay whole."""
-    from .document import CHUNK_SCHEMA, boundary_chunks
+    from .document import boundary_chunks
 
     whole = docs.where(F.length("text") <= threshold).select(
         "doc_id", F.lit(0).alias("chunk"), F.lit("").alias("section"), F.lit(0).alias("start_char"),

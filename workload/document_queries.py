@@ -108,12 +108,34 @@ Q["p14_locate_offsets"] = (
     SELECT p.doc_id, p.o AS offset, min(m.block_idx) AS block_idx, min_by(m.page_number, m.block_idx) AS page_number FROM probes p LEFT JOIN omap m
     ON m.doc_id = p.doc_id AND p.o BETWEEN m.start_offset AND m.end_offset GROUP BY ALL""")
 # --- P15, P16 ----------------------------------------------------------------------------
+
+
+def validated(s, d):
+    """The parser's tables of the drafts with faults: sentences that reach too far, offsets that overlap, pages that lack a block."""
+    b = blocks(s, d)
+    off = F.pmod(F.col("doc_id") + F.col("block_idx"), F.lit(5))
+    sentences = b.where("text <> ''").select("doc_id", "block_idx", F.lit(0).alias("start_char"), (F.length("text") + F.when(off == 0, F.length("text")).otherwise(0)).alias("end_char"))
+    mapped = DOC.offset_map(b)
+    offsets = mapped.select("doc_id", (F.col("start_offset") - F.when(off == 1, 4).otherwise(0)).alias("start_offset"), (F.col("end_offset") + F.when(off == 3, 9).otherwise(0)).alias("end_offset"))
+    pages = b.groupBy("doc_id", F.col("page_number").alias("page")).agg(F.count("*").alias("n")).select(
+        "doc_id", "page", (F.col("n") - ((F.col("page") == 1) & (F.col("doc_id") % 3 == 0)).cast("int")).alias("n_blocks"))
+    return DOC.parse_validation(parsed(s, d), b, max_text=3000, max_block=1000, sentences=sentences, offsets=offsets, pages=pages)
+
+
 Q["p15_parse_validation"] = (
-    lambda s, d: DOC.parse_validation(parsed(s, d), blocks(s, d), max_text=3000, max_block=1000),
-    base() + BLOCKS_SQL + """SELECT d.doc_id, length(d.text) AS chars, n_lines AS total_lines, coalesce(h.c, 0) AS headings, coalesce(b.c, 0) AS blocks, TRUE AS has_content,
-    TRUE AS unique_nodes, CAST(length(d.text) > 3000 AS INTEGER) + CAST(coalesce(b.c, 0) < 1 AS INTEGER) + coalesce(b.l, 0) AS warnings FROM docs d
-    LEFT JOIN (SELECT doc_id, count(*) AS c FROM heads GROUP BY doc_id) h USING (doc_id)
-    LEFT JOIN (SELECT doc_id, count(*) AS c, count(*) FILTER (WHERE length(text) > 1000) AS l FROM blk GROUP BY doc_id) b USING (doc_id)""")
+    validated,
+    _MAP + f""", off AS (SELECT *, (doc_id + block_idx) % 5 AS o FROM blk),
+    wide AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE o = 0) AS w FROM off WHERE text <> '' GROUP BY doc_id),
+    spans AS (SELECT doc_id, start_offset - CASE WHEN (doc_id + block_idx) % 5 = 1 THEN 4 ELSE 0 END AS a, end_offset + CASE WHEN (doc_id + block_idx) % 5 = 3 THEN 9 ELSE 0 END AS b FROM omap),
+    laps AS (SELECT doc_id, count(*) FILTER (WHERE a < r) AS laps FROM (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans) GROUP BY doc_id),
+    bl AS (SELECT doc_id, count(*) AS c, count(*) FILTER (WHERE length(text) > 1000) AS l, count(DISTINCT page_number) AS pages, count(*) FILTER (WHERE type = 'table') AS t, count(*) FILTER (WHERE type = 'figure') AS f,
+      sum(len(regexp_extract_all(text, 'https?://\\S'))) AS links FROM blk GROUP BY doc_id),
+    ci AS (SELECT doc_id, sum(len(regexp_extract_all(line, {q(W.BRACKET_CITATION)})) + len(regexp_extract_all(line, {q(W.APA_CITATION)}))) AS c FROM lines GROUP BY doc_id)
+    SELECT d.doc_id, length(d.text) AS chars, n_lines AS total_lines, coalesce(h.c, 0) AS headings, coalesce(b.c, 0) AS blocks, TRUE AS has_content, TRUE AS unique_nodes, TRUE AS valid,
+    CAST(length(d.text) > 3000 AS INTEGER) + CAST(coalesce(b.c, 0) < 1 AS INTEGER) + coalesce(b.l, 0) + coalesce(w.w, 0) + coalesce(laps, 0) + CAST(b.c > 0 AND d.doc_id % 3 = 0 AS INTEGER) AS warnings,
+    coalesce(w.w, 0) AS wide_blocks, coalesce(laps, 0) AS overlapping_offsets, b.c > 0 AND d.doc_id % 3 = 0 AS page_mismatch, coalesce(t, 0) AS tables, coalesce(f, 0) AS figures, 0 AS footnotes, coalesce(w.n, 0) AS sentences,
+    coalesce(links, 0) AS hyperlinks, coalesce(ci.c, 0) AS citations, coalesce(b.pages, 0) AS pages, 0 AS page_breaks, w.n > 0 AS has_offset_map, b.c > 0 AS has_node_ids FROM docs d
+    LEFT JOIN (SELECT doc_id, count(*) AS c FROM heads GROUP BY doc_id) h USING (doc_id) LEFT JOIN bl b USING (doc_id) LEFT JOIN wide w USING (doc_id) LEFT JOIN laps USING (doc_id) LEFT JOIN ci USING (doc_id)""")
 Q["p16_document_stats"] = (
     lambda s, d: DOC.document_stats(parsed(s, d)),
     base() + f"""SELECT doc_id, greatest(1, {words('text')} // 300) AS pages, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip('p')} <> '')) AS paragraphs,
@@ -125,8 +147,34 @@ Q["p17_fixed_chunks"] = (
     1 + length(left(text, k * 900)) - length(replace(left(text, k * 900), chr(10), '')) AS start_line,
     1 + length(left(text, least(k * 900 + 1000, length(text)))) - length(replace(left(text, least(k * 900 + 1000, length(text))), chr(10), '')) AS end_line
     FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(0, ceil((length(text) - 1000) / 900.0)) AS BIGINT) + 1)) AS k FROM raw_docs)""")
-Q["p17_boundary_chunks"] = (lambda s, d: DOC.boundary_chunks(drafts(s, d), 1000, 100), None)
-Q["p18_section_chunks"] = (lambda s, d: DOC.section_chunks(drafts(s, d), 800, 100), None)
+
+
+def chunked(source: str, size: int, overlap: int) -> str:
+    """Recursive CTE ``chunks(k, text, chunk, start, stop)`` over source(k, text): a step a chunk."""
+    best = ", ".join(f"nullif(length(regexp_extract(w, '(?s)^(.*{p})', 1)), 0)" for p in DOC.BREAKS)
+    window = lambda rows: (f"SELECT *, substr(text, low + 1, e - low) AS w FROM (SELECT *, least(start + {size}, length(text)) AS e, "
+                           f"greatest(start + {overlap + 1}, least(start + {size}, length(text)) - {DOC.REACH}) AS low FROM ({rows}))")
+    stop = lambda rows: f"SELECT k, text, chunk, start, CASE WHEN e < length(text) THEN coalesce(low + coalesce({best}), e) ELSE e END AS stop FROM ({window(rows)})"
+    return f"""chunks AS ({stop(f'SELECT k, text, 0 AS chunk, 0::BIGINT AS start FROM {source}')}
+    UNION ALL {stop(f'SELECT k, text, chunk + 1 AS chunk, greatest(start + 1, stop - {overlap}) AS start FROM chunks WHERE stop < length(text)')})"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+Q["p17_boundary_chunks"] = (
+    lambda s, d: DOC.boundary_chunks(drafts(s, d), 1000, 100),
+    recursive(base()) + ", src AS (SELECT doc_id AS k, text FROM docs), " + chunked("src", 1000, 100)
+    + " SELECT k AS doc_id, chunk, '' AS section, start AS start_char, stop AS end_char, substr(text, start + 1, stop - start) AS chunk_text FROM chunks")
+Q["p18_section_chunks"] = (
+    lambda s, d: DOC.section_chunks(drafts(s, d), 800, 100),
+    recursive(base()) + """, ofs AS (SELECT doc_id, line_no, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) - length(line) - 1 AS a FROM lines),
+    marks AS (SELECT doc_id, a, regexp_extract(line, '^(#{1,3})\\s+(.+)$', 2) AS name FROM ofs WHERE regexp_matches(line, '^#{1,3}\\s+.+$') UNION ALL SELECT doc_id, 0, 'document-start' FROM docs),
+    secs AS (SELECT m.doc_id, a, name, coalesce(lead(a) OVER (PARTITION BY m.doc_id ORDER BY a, name <> 'document-start'), length(d.text)) AS b, d.text FROM marks m JOIN docs d USING (doc_id)),
+    src AS (SELECT struct_pack(doc_id := doc_id, a := a, name := name) AS k, substr(text, a + 1, b - a) AS text FROM secs WHERE b > a), """ + chunked("src", 800, 100)
+    + """ SELECT k.doc_id AS doc_id, row_number() OVER (PARTITION BY k.doc_id ORDER BY k.a, chunk) - 1 AS chunk, k.name AS section, k.a + start AS start_char, k.a + stop AS end_char,
+    substr(text, start + 1, stop - start) AS chunk_text FROM chunks""")
 Q["p19_token_budget"] = (
     lambda s, d: DOC.token_budget(documents(s, d), 250),
     f"WITH {RAW_SQL} SELECT doc_id, length(text) // 4 AS tokens, CASE WHEN length(text) <= 1000 THEN text ELSE left(text, 1000) || chr(10) || chr(10) || '[...truncated...]' END AS text FROM raw_docs")

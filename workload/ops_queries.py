@@ -14,6 +14,7 @@ from quillspark.session import shared_dir
 from quillspark.sources import files as SF, store as SS
 from quillspark.streaming import jobs
 
+from .document_queries import chunked
 from .drafts import RAW_SQL, documents, drafts, pick, sql_pick
 from .sql import any_in, ascii_fold, base, has, q, strip, words
 from .store_queries import _BEST, _SO, _STORE, CATS, issue_table, issues, iss, scored, sessions, stored_documents, suggested
@@ -118,7 +119,11 @@ Q["l10_bounded_context"] = (
 Q["l10_truncated_text"] = (
     lambda s, d: documents(s, d).select("doc_id", L.truncated_at_word(F.col("text"), 300).alias("text")),
     "SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE CASE WHEN contains(left(text, 300), ' ') THEN regexp_replace(left(text, 300), '(?s) [^ ]*$', '') ELSE left(text, 300) END || chr(10) || chr(10) || '...[truncated]...' END AS text FROM documents")
-Q["l11_model_chunks"] = (lambda s, d: L.model_chunks(documents(s, d)), None)
+Q["l11_model_chunks"] = (
+    lambda s, d: L.model_chunks(documents(s, d)),
+    f"WITH RECURSIVE {RAW_SQL}, src AS (SELECT doc_id AS k, text FROM raw_docs WHERE length(text) > 6000), " + chunked("src", 4000, 300)
+    + """ SELECT k AS doc_id, chunk, '' AS section, start AS start_char, stop AS end_char, substr(text, start + 1, stop - start) AS chunk_text FROM chunks
+    UNION ALL SELECT doc_id, 0, '', 0, length(text), text FROM raw_docs WHERE length(text) <= 6000""")
 Q["l11_merged_issues"] = (
     lambda s, d: L.merged_issues(issue_table(s, d), L.validated_items(L.reply_items(replies(s, d)))).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "ai").alias("n_ai")),
     iss() + ", rep AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS c FROM docs) SELECT * FROM (SELECT doc_id, coalesce(n_issues, 0) + c AS n, c AS n_ai FROM rep LEFT JOIN per_doc USING (doc_id)) WHERE n > 0")
