@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed import fixes as X
+from ..session import stored
 
 
 def histogram(samples: DataFrame, *labels: str) -> DataFrame:
@@ -103,31 +104,54 @@ def retention(records: DataFrame, now: Column, days: dict[str, int] | None = Non
         "expired", F.coalesce(~F.col("legal_hold") & (now >= F.col("expires_at")), F.lit(False)))
 
 
-def nearest_rank(samples: DataFrame, quantiles: list[float], bins: int = 256) -> DataFrame:
+def _clean(samples: DataFrame) -> DataFrame:
+    return samples.where("value IS NOT NULL AND NOT isnan(value)")
+
+
+def sketch_days(samples: DataFrame, at: str = "ts", bins: int = 1024) -> DataFrame:
+    """One mergeable quantile sketch for each name and day, with count, sum and maximum.
+
+    Days are written once, by batches or a stream; any range of days then merges its sketches without reading samples again.
+    """
+    return _clean(samples).groupBy("name", F.to_date(at).alias("day")).agg(
+        F.kll_sketch_agg_double("value", bins).alias("sketch"), F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("hi"))
+
+
+def approximate_rank(days: DataFrame, quantiles: list[float]) -> DataFrame:
+    """O08 from the sketches of days alone: ``value`` is within the sketches' rank error of the nearest-rank percentile."""
+    whole = days.groupBy("name").agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+    return whole.select("name", "n", F.explode(F.array(*[
+        F.struct(F.lit(q).alias("quantile"), F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias("value")) for q in quantiles])).alias("x")).select("name", "n", "x.*")
+
+
+def nearest_rank(samples: DataFrame, quantiles: list[float], bins: int = 1024, days: DataFrame | None = None) -> DataFrame:
     """Exact nearest-rank percentiles per name without sorting a group in one task.
 
-    Null and NaN values are no samples. Values are counted once; approximate quantiles cut each name into ``bins``
-    ranges of about equal counts, so an outlier does not put the rest in one range; the counts by range (at most
-    ``bins`` rows per name) tell which range holds each rank, and the running count over the distinct values of
-    that range gives the answer.
+    Null and NaN values are no samples. A sketch of each name (merged from ``days``, where those of the same samples are given) tells
+    two values around each percentile. These few cuts part the name's values into ranges; the counts by range tell which one holds
+    each rank, and only its values are counted one by one. Cuts that miss make that range longer, never the answer wrong.
     """
-    samples = samples.where("value IS NOT NULL AND NOT isnan(value)")
-    cuts = F.percentile_approx("value", F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(10 * bins))
-    span = samples.groupBy("name").agg(F.max("value").alias("hi"), F.count("*").alias("n"), F.avg("value").alias("mean"), cuts.alias("cuts"))
-    distinct = samples.groupBy("name", "value").agg(F.count("*").alias("c"))
-    binned = distinct.join(span.select("name", "cuts"), "name").select(
-        "name", "value", "c", F.size(F.filter("cuts", lambda x: x < F.col("value"))).alias("bin"))
-    counts = binned.groupBy("name", "bin").agg(F.sum("c").alias("size"))
+    clean = _clean(samples)
+    if days is None:
+        span = clean.groupBy("name").agg(
+            F.kll_sketch_agg_double("value", bins).alias("sketch"), F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("hi"))
+    else:
+        span = days.groupBy("name").agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("hi").alias("hi"))
+    error = 4.6 / bins**0.9  # twice the sketch's rank error
+    ranks = [F.lit(float(r)) for q in quantiles for r in (max(0.0, q - error), min(1.0, q + error))]
+    span = span.withColumn("cuts", F.array_sort(F.array_distinct(F.array(*[F.kll_sketch_get_quantile_double("sketch", r) for r in ranks])))).drop("sketch")
+    span = stored(span, "percentiles")  # a sketch is random: what the ranges and their counts see must be the same cuts
+    # 2 k: between the cuts k - 1 and k; 2 k + 1: at cut k
+    ranged = clean.join(span.select("name", "cuts"), "name").select(
+        "name", "value", (2 * F.size(F.filter("cuts", lambda c: c < F.col("value"))) + F.array_contains("cuts", F.col("value")).cast("int")).alias("bin"))
+    counts = ranged.groupBy("name", "bin").agg(F.count("*").alias("size"))
     running = Window.partitionBy("name").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0)))
-    wanted = span.select("name", "n", F.explode(F.array(*[F.lit(q) for q in quantiles])).alias("quantile")).withColumn(
+    wanted = span.select("name", "n", "mean", "hi", F.explode(F.array(*[F.lit(q) for q in quantiles])).alias("quantile")).withColumn(
         "rank", F.greatest(F.lit(1), F.ceil(F.col("quantile") * F.col("n"))))
-    targets = counts.join(wanted, "name").where(
-        (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("size"))).select(
-        "name", "bin", "quantile", "rank", "before")
-    values = binned.join(targets.select("name", "bin").distinct(), ["name", "bin"], "left_semi")
-    upto = Window.partitionBy("name", "bin").orderBy("value")
-    placed = values.withColumn("upto", F.sum("c").over(upto))
+    targets = counts.join(wanted, "name").where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("size")))
+    values = ranged.join(targets.select("name", "bin").distinct(), ["name", "bin"], "left_semi").groupBy("name", "bin", "value").agg(F.count("*").alias("c"))
+    placed = values.withColumn("upto", F.sum("c").over(Window.partitionBy("name", "bin").orderBy("value")))
     hits = placed.join(targets, ["name", "bin"]).where(F.col("before") + F.col("upto") >= F.col("rank"))
-    exact = hits.groupBy("name", "quantile").agg(F.min("value").alias("value"))
-    return exact.join(span.select("name", F.round("mean", 2).alias("mean"), F.col("hi").alias("max")), "name")
+    return hits.groupBy("name", "quantile").agg(
+        F.min("value").alias("value"), F.round(F.first("mean"), 2).alias("mean"), F.first("hi").alias("max"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stored
+
 
 def _ilike(needle: str | None, *columns: str) -> Column:
     if not needle:
@@ -91,23 +95,75 @@ def sessions_of_document(sessions: DataFrame, document_id, user_id=None) -> Data
         "id", "created_at", "profile_id", "status", "score", "summary")
 
 
+EVENT_KEYS = ["target", "key", "category"]
+
+
+def newest_events(events: DataFrame) -> DataFrame:
+    """(target, key, category, last, closed): the latest event of each key, and the time of its last closing one."""
+    category = F.when(F.col("target") == "session", F.col("category"))  # has no meaning for one issue
+    closing = F.col("status").isin("resolved", "ignored")
+    return events.groupBy("target", "key", category.alias("category")).agg(
+        F.max(F.struct("at", "status")).alias("last"), F.max(F.when(closing, F.col("at"))).alias("closed"))
+
+
+class StatusLog:
+    """Q-07 over a growing log of updates: a compacted snapshot, the latest event of each key, and the batches since then.
+
+    A batch is folded when it comes and written as its own delta; a repeated batch replaces it. ``compact`` folds the snapshot and the
+    deltas since then into a new one, in a folder that counts once it is complete, so old events are never folded again and a failed
+    compaction leaves the state as it was. Batch numbers grow.
+    """
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _numbers(self, what: str) -> list[int]:
+        """Numbers of the complete tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{what}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        made = [f.getPath() for f in files.listStatus(path)]
+        return sorted(int(p.getName()) for p in made if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def add(self, events: DataFrame, batch: int) -> None:
+        done = self._numbers("snapshot")
+        if done and batch <= done[-1]:
+            raise ValueError(f"batch {batch} is in the snapshot already")
+        newest_events(events).write.mode("overwrite").parquet(f"{self.folder}/delta/{batch}")
+
+    def state(self) -> DataFrame:
+        """The latest event of each key: the snapshot and the deltas since then, merged."""
+        done = self._numbers("snapshot")[-1:]
+        parts = [f"{self.folder}/snapshot/{n}" for n in done] + [f"{self.folder}/delta/{n}" for n in self._numbers("delta") if not done or n > done[0]]
+        if not parts:
+            raise ValueError("no events yet")
+        return self.spark.read.parquet(*parts).groupBy(*EVENT_KEYS).agg(F.max("last").alias("last"), F.max("closed").alias("closed"))
+
+    def compact(self) -> None:
+        """Makes the state the new snapshot. Older snapshots and deltas are not read any more and may be removed."""
+        upto = self._numbers("delta")[-1:]
+        if upto and upto != self._numbers("snapshot")[-1:]:
+            self.state().write.mode("overwrite").parquet(f"{self.folder}/snapshot/{upto[0]}")
+
+
 def current_status(issues: DataFrame, events: DataFrame) -> DataFrame:
     """Q-07: status after all update events; the latest event wins, a resolve time once set is kept.
 
     ``events(target, key, category, status, at)``: target ``issue`` updates one issue, ``session`` all of a session,
     of one category when given (the category of an ``issue`` event has no meaning). Events fold to the newest per key before they meet the issues.
     """
-    def newest(target: str, *keys: str) -> DataFrame:
-        closing = F.col("status").isin("resolved", "ignored")
-        return events.where(F.col("target") == target).groupBy(*keys).agg(
-            F.max(F.struct("at", "status")).alias("last"), F.max(F.when(closing, F.col("at"))).alias("closed"))
-
-    own = newest("issue", "key").select(F.col("key").alias("id"), F.col("last").alias("a"), F.col("closed").alias("a_closed"))
-    whole = newest("session", "key", "category")
-    any_cat = whole.where("category IS NULL").select(
-        F.col("key").alias("session_id"), F.col("last").alias("b"), F.col("closed").alias("b_closed"))
-    one_cat = whole.where("category IS NOT NULL").select(
-        F.col("key").alias("session_id"), "category", F.col("last").alias("c"), F.col("closed").alias("c_closed"))
+    return status_of(issues, newest_events(events))
+
+
+def status_of(issues: DataFrame, state: DataFrame) -> DataFrame:
+    """Q-07 from the latest event of each key, as ``newest_events`` or a StatusLog gives them."""
+    def side(where: str, name: str, *keys) -> DataFrame:
+        return state.where(where).select(*keys, F.col("last").alias(name), F.col("closed").alias(f"{name}_closed"))
+
+    own = side("target = 'issue'", "a", F.col("key").alias("id"))
+    any_cat = side("target = 'session' AND category IS NULL", "b", F.col("key").alias("session_id"))
+    one_cat = side("target = 'session' AND category IS NOT NULL", "c", F.col("key").alias("session_id"), "category")
     joined = issues.withColumn("session_id", F.col("session_id").cast("string")).join(own, "id", "left").join(
         any_cat, "session_id", "left").join(one_cat, ["session_id", "category"], "left")
     last = F.greatest("a", "b", "c")
@@ -208,6 +264,74 @@ def search(documents: DataFrame, sessions: DataFrame, issues: DataFrame, needle:
         kind(issues, "issue", "message", "message", "recommendation"))
 
 
+class SearchIndex:
+    """Q-11 without a scan: character trigrams of the texts, written by partitions, select the texts that ILIKE then confirms.
+
+    Texts are kept once however many rows share them. Three tables: ``grams`` (gram, text key), ``texts`` and ``rows`` (the rows of each
+    text), partitioned by hashes of the gram or of the key, so a search reads the partitions of a few grams and of the texts found.
+    """
+
+    def __init__(self, spark, folder: str, parts: int = 64):
+        self.spark, self.folder, self.parts = spark, folder.rstrip("/"), parts
+
+    def _part(self, of) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(self.parts)).cast("int").alias("part")
+
+    @staticmethod
+    def _grams(text: Column) -> Column:
+        """Distinct trigrams of the lower-case text between two marks, so a text of one letter has one."""
+        marked = F.concat(F.lit("\u0002"), F.lower(text), F.lit("\u0003"))
+        return F.array_distinct(F.filter(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - 2)), lambda i: F.substr(marked, i, F.lit(3))), lambda g: F.length(g) == 3))
+
+    def build(self, documents: DataFrame, sessions: DataFrame, issues: DataFrame) -> None:
+        """Writes the index of the searched columns; a repeated call replaces it."""
+        def rows(df: DataFrame, kind: str, label: str, *fields: str) -> DataFrame:
+            keys = F.array_distinct(F.array_compact(F.array(*[F.col(f) for f in fields])))
+            own = df.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.col(label).alias("label"), F.monotonically_increasing_id().alias("row"), keys.alias("texts"))
+            return own.withColumn("text", F.explode_outer("texts")).drop("texts").withColumn("key", F.md5("text"))
+
+        every = rows(documents, "document", "original_name", "original_name").unionByName(rows(sessions, "session", "filename", "filename", "summary")).unionByName(
+            rows(issues, "issue", "message", "message", "recommendation"))
+        self._write(every.select(self._part("key"), "key", "kind", "id", "label", "row"), "rows", "key")
+        texts = every.where("key IS NOT NULL").select("key", "text").distinct()
+        self._write(texts.select(self._part("key"), "key", "text"), "texts", "key")
+        texts = self.spark.read.parquet(f"{self.folder}/texts")
+        grams = texts.select("key", F.explode(self._grams(F.col("text"))).alias("gram"))
+        self._write(grams.select(self._part("gram"), "gram", "key"), "grams", "gram")
+        grams = self.spark.read.parquet(f"{self.folder}/grams")
+        grams.groupBy("part", "gram").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.folder}/sizes")
+
+    def _write(self, rows: DataFrame, name: str, order: str) -> None:
+        # a partition is spread over tasks by its keys; within a file they are sorted, so row groups can be passed over
+        rows.repartition("part", F.pmod(F.xxhash64(order, F.lit(1)), F.lit(4))).sortWithinPartitions("part", order).write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/{name}")
+
+    def texts_like(self, needle: str, most: int = 3) -> DataFrame:
+        """(part, key) of the texts that hold the needle: the rarest ``most`` of its trigrams select, ILIKE confirms."""
+        texts = self.spark.read.parquet(f"{self.folder}/texts")
+        literal = [p for p in re.split(r"[%_\\]", needle.lower()) if p]
+        grams = sorted({p[i:i + 3] for p in literal for i in range(len(p) - 2)})
+        table = self.spark.read.parquet(f"{self.folder}/grams")
+        if grams:
+            parts = {r.gram: r.part for r in self.spark.createDataFrame([(g,) for g in grams], "gram string").select("gram", self._part("gram")).collect()}
+            sizes = self.spark.read.parquet(f"{self.folder}/sizes").where(F.col("gram").isin(grams)).collect()  # at most the needle's own
+            rarest = [r.gram for r in sorted(sizes, key=lambda r: (r.n, r.gram))[:most]] if len(sizes) == len(grams) else []
+            own = table.where(F.col("part").isin([parts[g] for g in rarest]) & F.col("gram").isin(rarest))
+            found = own.groupBy("key").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rarest)).select("key")
+        elif literal:  # one or two letters: every trigram that holds them
+            found = table.where(F.col("gram").contains(max(literal, key=len))).select("key").distinct()
+        else:  # wildcards alone
+            found = texts.select("key")
+        keyed = found.select(self._part("key"), "key")
+        return texts.join(keyed, ["part", "key"]).where(F.col("text").ilike(f"%{needle}%")).select("part", "key")
+
+    def search(self, needle: str) -> DataFrame:
+        """(kind, id, label): the rows that ``search`` finds by a scan, each once; all rows for an empty needle."""
+        rows = self.spark.read.parquet(f"{self.folder}/rows")
+        found = rows.join(self.texts_like(needle), ["part", "key"]) if needle else rows
+        return found.select("kind", "id", "label", "row").dropDuplicates(["kind", "row"]).drop("row")
+
+
 def issue_stats(issues: DataFrame) -> DataFrame:
     """Q-12: counts by severity, category and status per session; the fixed severities and statuses show zeros.
 
@@ -230,25 +354,25 @@ def without_deleted(sessions: DataFrame, issues: DataFrame, deleted: DataFrame)
     return kept, issues.join(gone, "session_id", "left_anti")
 
 
-def timeline(sessions: DataFrame, owner: str = "document_id", bucket: str = "month") -> DataFrame:
+def timeline(sessions: DataFrame, owner: str = "document_id", ranges: int | None = None) -> DataFrame:
     """Q-14: score change and time since the previous session of the same owner.
 
-    The window runs per (owner, time bucket); only the last session of every bucket is carried into a second, smaller
-    window per owner. A hot owner is split over its buckets: choose them so that one fits a task.
+    Sessions are dealt by ranges of (owner, time, id), so those of one hot owner, of whatever times, make several runs. The window
+    runs within a run; the last row and the size of each run are handed to the next run of the owner in a second, small window over runs.
+    The dealt rows are written, so that both see the same runs. ``ranges`` sets the number of ranges, else Spark's own is taken.
     """
-    month = F.date_trunc(bucket, "created_at")
-    base = sessions.select(owner, "id", "created_at", "score", month.alias("month"))
-    order = [F.col("created_at"), F.col("id")]
-    inner = Window.partitionBy(owner, "month").orderBy(*order)
-    ranked = base.withColumns({
-        "prev": F.lag(F.struct("created_at", "score")).over(inner), "n": F.row_number().over(inner)})
-    months = base.groupBy(owner, "month").agg(
-        F.max(F.struct("created_at", "id", "score")).alias("tail"), F.count("*").alias("size"))
-    outer = Window.partitionBy(owner).orderBy("month")
-    carried = months.select(
-        owner, "month", F.lag(F.struct(F.col("tail.created_at").alias("created_at"), F.col("tail.score").alias("score"))).over(outer).alias("carried"),
+    order = [owner, "created_at", "id"]
+    base = sessions.select(owner, "id", "created_at", "score")
+    dealt = base.repartitionByRange(*([ranges] if ranges else []), *order).withColumn("run", F.spark_partition_id())
+    dealt = stored(dealt, "timeline")
+    inner = Window.partitionBy(owner, "run").orderBy("created_at", "id")
+    ranked = dealt.withColumns({"prev": F.lag(F.struct("created_at", "score")).over(inner), "n": F.row_number().over(inner)})
+    runs = dealt.groupBy(owner, "run").agg(F.max(F.struct("created_at", "id", "score")).alias("tail"), F.count("*").alias("size"))
+    outer = Window.partitionBy(owner).orderBy("run")
+    carried = runs.select(
+        F.col(owner).alias("_owner"), F.col("run").alias("_run"), F.lag(F.struct(F.col("tail.created_at").alias("created_at"), F.col("tail.score").alias("score"))).over(outer).alias("carried"),
         F.coalesce(F.sum("size").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    joined = ranked.join(carried, [owner, "month"]).withColumn("p", F.coalesce("prev", "carried"))
+    joined = ranked.join(carried, ranked[owner].eqNullSafe(carried["_owner"]) & (ranked["run"] == carried["_run"])).withColumn("p", F.coalesce("prev", "carried"))
     return joined.select(
         owner, "id", "created_at", "score", (F.col("before") + F.col("n")).alias("position"),
         (F.col("score") - F.col("p.score")).alias("score_change"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def stored(rows: DataFrame, what: str) -> DataFrame:
+    """The rows as a table in the shared folder: what a plan reads twice is then the same both times, and lineage ends there."""
+    at = f"{shared_dir(rows.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """A Parquet table for per-row work.
 

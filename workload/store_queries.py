@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from quillspark.operators.rules import META, REGISTRY, rule, tables
 from quillspark.operators.rules.tables import TableRule, stock_issue, table_rule
 from quillspark.plans import store as S
 from quillspark.plans.review import all_issues, issue_rows, review_rows
+from quillspark.session import shared_dir
 from quillspark.sources import files as SF, store as SS
 from quillspark.streaming import jobs
 
@@ -459,24 +461,35 @@ Q["q06_document_sessions"] = (
 
 
 def status_events(s, d):
-    """Update events from the event log: some name an issue, with or without a category, some a session or a category of it."""
+    """Update events from the event log over the whole range of session ids: sessions, their categories, and every issue of some sessions."""
     e = s.read.parquet(f"{d}/events.parquet")
-    n_sessions = F.pmod(F.col("event_id") * 13, F.lit(2000))
-    e = e.select(
-        F.lit("session").alias("target"), n_sessions.cast("string").alias("key"), "event_id",
+    top = s.read.parquet(f"{d}/orders.parquet").agg(F.max("o_orderkey").alias("top"))
+    e = e.join(F.broadcast(top)).select(
+        F.lit("session").alias("target"), F.pmod(F.col("event_id") * 7919, F.col("top") + 1).cast("string").alias("key"), "event_id",
         F.when(F.col("event_type").isin("click", "view"), pick(CATS, F.col("user_id"))).alias("category"), pick(STATUS, F.col("event_id") * 5 + F.col("user_id")).alias("status"), F.col("ts").alias("at"))
-    one = e.where("event_id % 3 = 0").join(issues(s, d).where("evidence_line_start <= 2").select(F.col("session_id").cast("string").alias("key"), "id"), "key").select(
+    one = e.where("event_id % 3 = 0").join(issues(s, d).select(F.col("session_id").cast("string").alias("key"), "id"), "key").select(
         F.lit("issue").alias("target"), F.col("id").alias("key"), "event_id", "category", "status", "at")
-    return e.unionByName(one).drop("event_id")
+    return e.unionByName(one)
 
 
-Q["q07_status_updates"] = (
-    lambda s, d: S.current_status(issues(s, d), status_events(s, d)).select("id", "status", "resolved_at"),
-    _STORE + f""", ev AS (SELECT event_id, (event_id * 13) % 2000 AS k, CASE WHEN event_type IN ('click', 'view') THEN {sql_pick(CATS, 'user_id')} END AS category, {sql_pick(STATUS, 'event_id * 5 + user_id')} AS status, ts FROM events),
-    m AS (SELECT k, category, max(ts) AS t, max_by(status, ts) AS st, max(ts) FILTER (WHERE status IN ('resolved', 'ignored')) AS closed FROM ev GROUP BY k, category),
-    o AS (SELECT i.id AS k, max(ts) AS t, max_by(ev.status, ts) AS st, max(ts) FILTER (WHERE ev.status IN ('resolved', 'ignored')) AS closed FROM ev JOIN isu i ON i.session_id = ev.k WHERE event_id % 3 = 0 AND evidence_line_start <= 2 GROUP BY i.id)
+def logged_status(s, d):
+    """The events come in four batches; the first two are compacted, one batch comes twice."""
+    log = S.StatusLog(s, f"{shared_dir(s)}/status-{uuid.uuid4().hex}")
+    events = status_events(s, d)
+    for batch in (0, 1, 2, 3, 3):
+        log.add(events.where(F.pmod("event_id", F.lit(4)) == batch), batch)
+        if batch == 1:
+            log.compact()
+    return S.status_of(issues(s, d), log.state()).select("id", "status", "resolved_at")
+
+
+_STATUS = _STORE + f""", ev AS (SELECT event_id, (event_id * 7919) % (1 + (SELECT max(o_orderkey) FROM orders)) AS k, CASE WHEN event_type IN ('click', 'view') THEN {sql_pick(CATS, 'user_id')} END AS category, {sql_pick(STATUS, 'event_id * 5 + user_id')} AS status, ts FROM events),
+    m AS (SELECT k, category, max(ts) AS t, arg_max(status, (ts, status)) AS st, max(ts) FILTER (WHERE status IN ('resolved', 'ignored')) AS closed FROM ev GROUP BY k, category),
+    o AS (SELECT i.id AS k, max(ts) AS t, arg_max(ev.status, (ts, ev.status)) AS st, max(ts) FILTER (WHERE ev.status IN ('resolved', 'ignored')) AS closed FROM ev JOIN isu i ON i.session_id = ev.k WHERE event_id % 3 = 0 GROUP BY i.id)
     SELECT i.id, CASE WHEN o.t = greatest(o.t, a.t, c.t) THEN o.st WHEN a.t = greatest(o.t, a.t, c.t) THEN a.st WHEN c.t IS NOT NULL THEN c.st ELSE i.status END AS status, greatest(o.closed, a.closed, c.closed) AS resolved_at
-    FROM isu i LEFT JOIN (SELECT * FROM m WHERE category IS NULL) a ON a.k = i.session_id LEFT JOIN (SELECT * FROM m WHERE category IS NOT NULL) c ON c.k = i.session_id AND c.category = i.category LEFT JOIN o ON o.k = i.id""")
+    FROM isu i LEFT JOIN (SELECT * FROM m WHERE category IS NULL) a ON a.k = i.session_id LEFT JOIN (SELECT * FROM m WHERE category IS NOT NULL) c ON c.k = i.session_id AND c.category = i.category LEFT JOIN o ON o.k = i.id"""
+Q["q07_status_updates"] = (lambda s, d: S.current_status(issues(s, d), status_events(s, d)).select("id", "status", "resolved_at"), _STATUS)
+Q["q07_status_log"] = (logged_status, _STATUS)
 Q["q08_dashboard"] = (
     lambda s, d: S.dashboard(sessions(s, d), issues(s, d)),
     _STORE + """SELECT 'summary' AS section, 'total_reviews' AS key, count(*)::DOUBLE AS value FROM ses UNION ALL SELECT 'summary', 'average_score', round_even(avg(score), 0) FROM ses
@@ -514,6 +527,18 @@ Q["q11_search"] = (
     lambda s, d: S.search(stored_documents(s, d), sessions(s, d), issues(s, d), "99", limit=None),
     _STORE + """SELECT 'document' AS kind, id, original_name AS label FROM dcs WHERE original_name ILIKE '%99%' UNION ALL SELECT 'session', CAST(id AS VARCHAR), filename FROM ses WHERE filename ILIKE '%99%' OR summary ILIKE '%99%'
     UNION ALL SELECT 'issue', id, message FROM isu WHERE message ILIKE '%99%' OR recommendation ILIKE '%99%'""")
+
+
+def indexed_search(s, d, needle="riority 2"):
+    index = S.SearchIndex(s, f"{shared_dir(s)}/search-{uuid.uuid4().hex}", parts=8)
+    index.build(stored_documents(s, d), sessions(s, d), issues(s, d))
+    return index.search(needle)
+
+
+Q["q11_indexed_search"] = (
+    indexed_search,
+    _STORE + """SELECT 'document' AS kind, id, original_name AS label FROM dcs WHERE original_name ILIKE '%riority 2%' UNION ALL SELECT 'session', CAST(id AS VARCHAR), filename FROM ses WHERE filename ILIKE '%riority 2%' OR summary ILIKE '%riority 2%'
+    UNION ALL SELECT 'issue', id, message FROM isu WHERE message ILIKE '%riority 2%' OR recommendation ILIKE '%riority 2%'""")
 Q["q12_issue_stats"] = (
     lambda s, d: S.issue_stats(issues(s, d)),
     _STORE + f"""SELECT session_id, dimension, value, CAST(sum(n) AS BIGINT) AS n FROM (SELECT session_id, 'severity' AS dimension, severity AS value, 1 AS n FROM isu UNION ALL SELECT session_id, 'category', category, 1 FROM isu UNION ALL SELECT session_id, 'status', status, 1 FROM isu
