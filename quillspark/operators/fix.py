@@ -135,6 +135,14 @@ def suggested_text(original: Column, rule_id: Column, category: Column) -> Colum
         .when(category == "format", period_spacing(original)))
 
 
+def has_fixer(rule_id: str, category: str) -> bool:
+    """whether ``suggested_text`` changes anything for a rule: a review for fixes alone needs no other rules."""
+    rule = rule_id.lower().replace("_", "-").split(".")[-1]
+    return (rule in ("heading-numbering", "line-spacing", "broken-hyperlinks", "bullet-list", "punctuation", "period-spacing", "spelling")
+            or any(part in rule for part in ("reference", "url", "citation-order")) or category in ("grammar", "format")
+            or category == "writing" and "hedging" in rule)
+
+
 def fix_type(rule_id: Column) -> Column:
     """F13."""
     rule = short_rule(rule_id)

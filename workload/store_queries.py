@@ -306,7 +306,8 @@ sug2 AS (SELECT *, sha256(concat_ws('|', doc_id, issue_id, rule_id, line_start,
 
 
 def suggested(s, d):
-    return FX.suggestions(issue_table(s, d))
+    """Suggestions of all issues; rules without a fixer are left out of the review, as they give none."""
+    return FX.suggestions(issue_rows(review_rows(drafts(s, d), rule_ids=[r for r in RULESET if FX.has_fixer(r, META[r][0])])))
 
 
 Q["f01_suggestions"] = (
