@@ -104,45 +104,92 @@ def session_documents(sessions: DataFrame, issues: DataFrame) -> DataFrame:
     return sessions.withColumnRenamed("id", "session_id").join(folded, "session_id", "left").withColumn("issues", F.coalesce("issues", empty))
 
 
-def as_json(sessions: DataFrame, issues: DataFrame) -> DataFrame:
-    """S12."""
-    whole = session_documents(sessions, issues)
-    plain = [c for c in whole.columns if c != "issues"]
-    return whole.select("session_id", F.to_json(F.struct(F.struct(*plain).alias("session"), "issues")).alias("body"))
+def when(at: Column | None) -> Column:
+    """The time of an export as text, to the minute."""
+    return F.date_format(F.current_timestamp() if at is None else at.cast("timestamp"), "yyyy-MM-dd HH:mm 'UTC'")
+
+
+def dated(column: str) -> Column:
+    return F.coalesce(F.date_format(F.col(column).cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit("N/A"))
+
+
+def short_id() -> Column:
+    return F.left(F.col("session_id").cast("string"), F.lit(8))
+
+
+def shown(value: Column, missing: str = "") -> Column:
+    return F.coalesce(value.cast("string"), F.lit(missing))
+
+
+def scores_of(whole: DataFrame, each) -> Column:
+    """``each(category, score)`` for the entries of the session's category scores, in their order."""
+    if "category_scores" not in whole.columns:
+        return F.array().cast("array<string>")
+    return F.coalesce(F.transform(F.map_entries("category_scores"), lambda e: each(e["key"], e["value"])), F.array().cast("array<string>"))
+
+
+def as_json(sessions: DataFrame, issues: DataFrame, exported_at: Column | None = None) -> DataFrame:
+    """The session, its issues in export order, and the time of the export."""
+    whole = session_documents(sessions, issues).withColumn("created_at", dated("created_at"))
+    plain = [c for c in whole.columns if c not in ("issues", "session_id")]
+    session = F.struct(F.col("session_id").alias("id"), *plain)
+    return whole.select("session_id", F.to_json(F.struct(session.alias("session"), "issues", when(exported_at).alias("exported_at"))).alias("body"))
 
 
+CSV_HEADER = ["Session ID", "Profile", "Document", "Date", "Score", "Summary"]
+CSV_TITLES = ["Issue ID", "Severity", "Category", "Rule", "Message", "Confidence", "Status", "Location", "Recommendation", "Evidence"]
 CSV_COLUMNS = ["issue_id", "severity", "category", "rule_id", "message", "confidence", "status", "evidence_location",
                "recommendation", "evidence_excerpt"]
 
 
-def as_csv(issues: DataFrame) -> DataFrame:
-    """The ten issue columns in export order."""
-    return issues.select("session_id", *CSV_COLUMNS)
+def csv_line(values: list[Column]) -> Column:
+    """One line of comma-separated fields; those with commas, quotes or line breaks are quoted. Without its line end."""
+    def field(value: Column) -> Column:
+        text = shown(value)
+        return F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
+    return F.concat_ws(",", *[field(v) for v in values])
 
-def write_csv(issues: DataFrame, path: str) -> None:
-    as_csv(issues).write.mode("overwrite").option("header", True).csv(path)
 
+def as_csv(sessions: DataFrame, issues: DataFrame) -> DataFrame:
+    """The session's row under its header, an empty line, and the issues under theirs; lines end in CR LF."""
+    whole = session_documents(sessions, issues)
+    head = [F.lit(",".join(CSV_HEADER)), csv_line([short_id(), F.col("profile_id"), F.col("filename"), dated("created_at"), F.col("score"), F.col("summary")]),
+            F.lit(""), F.lit(",".join(CSV_TITLES))]
+    rows = F.transform("issues", lambda i: csv_line([i[c] for c in CSV_COLUMNS]))
+    return whole.select("session_id", F.concat(F.array_join(F.concat(F.array(*head), rows), "\r\n"), F.lit("\r\n")).alias("body"))
+
+
+def write_bodies(bodies: DataFrame, path: str, extension: str) -> None:
+    """One file for each session, in a folder of its own, through Spark's partitioned text writer."""
+    bodies.select("session_id", F.lit(extension).alias("format"), "body").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+        "lineSep", "\n").partitionBy("format", "session_id").text(path)
 
-def as_markdown(sessions: DataFrame, issues: DataFrame, title: str = "Review Report") -> DataFrame:
+
+def as_markdown(sessions: DataFrame, issues: DataFrame, title: str = "Review Report", exported_at: Column | None = None) -> DataFrame:
     """S14."""
     badge = lambda s: F.when(s == "high", "🔴 HIGH").when(s == "medium", "🟡 MEDIUM").when(s == "low", "🟢 LOW").otherwise(s)
 
     def section(i: Column, n: Column) -> Column:
         return F.concat(
-            F.lit("### "), (n + 1).cast("string"), F.lit(". "), badge(i["severity"]), F.lit(" — "), i["message"],
-            F.lit("\n- **Category:** "), i["category"], F.lit("\n- **Rule:** `"), i["rule_id"],
-            F.lit("`\n- **Confidence:** "), i["confidence"].cast("string"), F.lit("%\n- **Status:** "), i["status"],
-            F.lit('\n- **Evidence:** "'), i["evidence_excerpt"], F.lit('"\n- **Location:** '), i["evidence_location"],
-            F.lit("\n- **Recommendation:** "), i["recommendation"], F.lit("\n"))
+            F.lit("### "), (n + 1).cast("string"), F.lit(". "), shown(badge(i["severity"])), F.lit(" — "), shown(i["message"]),
+            F.lit("\n- **Category:** "), shown(i["category"], "N/A"), F.lit("\n- **Rule:** `"), shown(i["rule_id"], "N/A"),
+            F.lit("`\n- **Confidence:** "), shown(i["confidence"], "0"), F.lit("%\n- **Status:** "), shown(i["status"], "open"),
+            F.lit('\n- **Evidence:** "'), shown(i["evidence_excerpt"]), F.lit('"\n- **Location:** '), shown(i["evidence_location"], "N/A"),
+            F.lit("\n- **Recommendation:** "), shown(i["recommendation"], "N/A"), F.lit("\n"))
+
+    def bar(category: Column, score: Column) -> Column:
+        full = F.floor(score / 10).cast("int")
+        return F.concat(F.lit("- **"), category, F.lit(":** "), score.cast("string"), F.lit("/100  `"), F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), 10 - full), F.lit("`"))
 
     whole = session_documents(sessions, issues)
-    listed = F.when(F.size("issues") == 0, F.lit("No issues found.")).otherwise(
-        F.array_join(F.transform("issues", section), "\n"))
-    return whole.select("session_id", F.concat(
-        F.lit(f"# {title}\n\n**Profile:** "), F.col("profile_id"), F.lit("\n**Document:** "), F.col("filename"),
-        F.lit("\n**Overall Score:** "), F.col("score").cast("string"), F.lit("/100\n\n## Summary\n\n"), F.col("summary"),
-        F.lit("\n\n## Issues\n"), listed).alias("body"))
+    head = [F.lit(f"# {title}"), F.lit(""), F.concat(F.lit("**Session:** "), short_id()), F.concat(F.lit("**Profile:** "), shown(F.col("profile_id"))),
+            F.concat(F.lit("**Document:** "), shown(F.col("filename"))), F.concat(F.lit("**Date:** "), dated("created_at")),
+            F.concat(F.lit("**Overall Score:** "), shown(F.col("score")), F.lit("/100")), F.lit(""), F.lit("## Category Scores")]
+    middle = [F.lit(""), F.lit("## Summary"), F.lit(""), shown(F.col("summary")), F.lit(""), F.lit("## Issues")]
+    listed = F.when(F.size("issues") == 0, F.array(F.lit("No issues found."))).otherwise(F.transform("issues", section))
+    end = [F.lit("---"), F.concat(F.lit(f"*Generated by {title} on "), when(exported_at), F.lit("*"))]
+    return whole.select("session_id", F.array_join(F.concat(F.array(*head), scores_of(whole, bar), F.array(*middle), listed, F.array(*end)), "\n").alias("body"))
 
 
 def escaped(text: Column) -> Column:
@@ -151,17 +198,31 @@ def escaped(text: Column) -> Column:
     return text
 
 
-def as_html(sessions: DataFrame, issues: DataFrame, title: str = "Review Report") -> DataFrame:
-    """S15."""
+STYLE = ("body{font-family:sans-serif;margin:2em auto;max-width:56em}.bar{background:#ddd}.fill{background:#176;height:.7em}"
+         ".issue{border-left:4px solid #39f;padding:.5em 1em}.high{border-color:#d22}.medium{border-color:#da0}")
+
+
+def as_html(sessions: DataFrame, issues: DataFrame, title: str = "Review Report", exported_at: Column | None = None) -> DataFrame:
+    """A page with the score, the category bars, the summary and every issue; all texts are escaped."""
+    text = lambda c, missing="": escaped(shown(c, missing))
+    icon = lambda s: F.when(s == "high", "🔴 ").when(s == "medium", "🟡 ").when(s == "low", "🟢 ").otherwise("")
+
     def block(i: Column) -> Column:
         return F.concat(
-            F.lit('<div class="issue '), i["severity"], F.lit('"><h4>'), escaped(i["message"]), F.lit("</h4><blockquote>"),
-            escaped(i["evidence_excerpt"]), F.lit("</blockquote><p>"), escaped(i["recommendation"]), F.lit("</p><code>"),
-            i["rule_id"], F.lit("</code></div>"))
+            F.lit('<div class="issue '), text(i["severity"]), F.lit('"><p><b>'), icon(i["severity"]), F.upper(text(i["severity"])), F.lit("</b> <span>"), text(i["category"]),
+            F.lit("</span> <span>"), text(i["confidence"], "0"), F.lit("% confidence</span> <span>"), text(i["status"], "open"), F.lit("</span></p><h4>"), text(i["message"]),
+            F.lit("</h4><blockquote>&quot;"), text(i["evidence_excerpt"]), F.lit("&quot;</blockquote><p><b>Recommendation:</b> "), text(i["recommendation"]),
+            F.lit("</p><p>Rule: <code>"), text(i["rule_id"]), F.lit("</code> &middot; Location: "), text(i["evidence_location"]), F.lit("</p></div>"))
+
+    def bar(category: Column, score: Column) -> Column:
+        return F.concat(F.lit("<div><span>"), text(category), F.lit('</span><div class="bar"><div class="fill" style="width:'), F.least(score, F.lit(100)).cast("string"),
+                        F.lit('%"></div></div><b>'), score.cast("string"), F.lit("</b></div>"))
 
     whole = session_documents(sessions, issues)
     color = F.when(F.col("score") >= 80, "#22c55e").when(F.col("score") >= 50, "#eab308").otherwise("#ef4444")
+    listed = F.when(F.size("issues") == 0, "<p>No issues found.</p>").otherwise(F.array_join(F.transform("issues", block), ""))
     return whole.select("session_id", F.concat(
-        F.lit(f"<!DOCTYPE html><html><head><title>{title}</title></head><body><h1>"), escaped(F.col("filename")),
-        F.lit('</h1><span style="color:'), color, F.lit('">'), F.col("score").cast("string"), F.lit("</span>"),
-        F.array_join(F.transform("issues", block), ""), F.lit("</body></html>")).alias("body"))
+        F.lit('<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>' + title + " — "), escaped(short_id()), F.lit(f"</title><style>{STYLE}</style></head><body><h1>{title}</h1><p>"),
+        text(F.col("filename"), "N/A"), F.lit(" &middot; "), text(F.col("profile_id"), "N/A"), F.lit(' profile</p><p><b style="color:'), color, F.lit('">'), shown(F.col("score")),
+        F.lit("</b></p><p>"), text(F.col("summary")), F.lit("</p><h2>Category Scores</h2>"), F.array_join(scores_of(whole, bar), ""), F.lit("<h2>Issues ("), F.size("issues").cast("string"),
+        F.lit(")</h2>"), listed, F.lit("<hr><p>Generated by " + title + " on "), when(exported_at), F.lit("</p></body></html>")).alias("body"))

@@ -99,3 +99,28 @@ def test_twice_the_fixes_do_not_take_twice_the_time(spark):
 
     seconds(500)
     assert seconds(2000) < 2 * seconds(1000)
+
+
+def test_exports_are_files_of_sessions(spark):
+    sessions = spark.createDataFrame(
+        [("session-1", "a<b>.md", "sop", 77, "He said, \"so\"\nand went", {"logic": 100, "writing": 7}), ("s2", None, None, None, None, None)],
+        "id string, filename string, profile_id string, score int, summary string, category_scores map<string,int>").withColumn("created_at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    issue = ("i1", "session-1", "x", "writing", "writing.odd", "critical", "A, B & C", None, 'q "x"', "line 1", 50, "open")
+    issues = spark.createDataFrame([issue], "id string, session_id string, issue_id string, category string, rule_id string, severity string, message string, recommendation string, "
+                                            "evidence_excerpt string, evidence_location string, confidence int, status string").withColumn("created_at", F.lit("2024-01-02").cast("timestamp"))
+    at = F.lit("2024-05-01 10:30:00")
+    text = SS.as_markdown(sessions, issues, exported_at=at)
+    path = f"{shared_dir(spark)}/exports-{time.time_ns()}"
+    for _ in range(2):
+        SS.write_bodies(text, path, "md")
+    SS.write_bodies(SS.as_csv(sessions, issues), path, "csv")
+    files = {(r.format, r.session_id): r.value for r in spark.read.text(path, wholetext=True).collect()}
+    want = {r.session_id: r.body for r in text.collect()}
+    assert {k[1]: v for k, v in files.items() if k[0] == "md"} == {k: v + "\n" for k, v in want.items()}
+    assert "**Session:** session-\n" in want["session-1"] and all(line in want["session-1"] for line in ("- **logic:** 100/100  `██████████`\n", "- **writing:** 7/100  `░░░░░░░░░░`\n"))
+    assert "### 1. critical — A, B & C\n" in want["session-1"] and want["session-1"].endswith("---\n*Generated by Review Report on 2024-05-01 10:30 UTC*")
+    assert "## Issues\nNo issues found.\n---" in want["s2"]
+    body = SS.as_csv(sessions, issues).where("session_id = 'session-1'").first().body.split("\r\n")
+    assert body[0].startswith("Session ID,") and '77,"He said, ""so""\nand went"' in body[1] and body[2] == "" and 'critical,writing,writing.odd,"A, B & C",50,open,line 1,,"q ""x"""' in body[4]
+    page = SS.as_html(sessions, issues, exported_at=at).where("session_id = 'session-1'").first().body
+    assert "a&lt;b&gt;.md" in page and "A, B &amp; C" in page and "<h2>Issues (1)</h2>" in page and 'style="width:7%"' in page

@@ -274,20 +274,50 @@ Q["s09_list_documents"] = (
 Q["s10_template_rows"] = (
     lambda s, d: stored_documents(s, d).select("id", F.to_json(F.struct(F.col("original_name").alias("source_filename"), F.lit(1).alias("version"))).alias("analysis")),
     _STORE + "SELECT id, '{\"source_filename\":\"' || original_name || '\",\"version\":1}' AS analysis FROM dcs")
+EXPORTED = "2024-05-01 10:30:00"
+
+
+def exported(make):
+    """An export of every session, with its category scores."""
+    def run(s, d):
+        with_scores = sessions(s, d).withColumn("category_scores", F.create_map(
+            F.lit("structure"), F.col("score"), F.lit("writing"), (F.col("id") % 101).cast("int")))
+        return make(with_scores, issues(s, d), F.lit(EXPORTED))
+    return run
+
+
+_DATE = "strftime(s.created_at, '%Y-%m-%d %H:%M:%S')"
+_SES = _STORE + f", s AS (SELECT *, id % 101 AS w FROM ses), o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {_SO}, created_at DESC, id) AS n FROM isu)"
+_cell = lambda x: f"CASE WHEN regexp_matches({x}::VARCHAR, '[,\"\\r\\n]') THEN '\"' || replace({x}::VARCHAR, '\"', '\"\"') || '\"' ELSE {x}::VARCHAR END"
+_esc = lambda x: f"replace(replace(replace(replace({x}::VARCHAR, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_bars = lambda v: f"repeat('█', ({v} // 10)::BIGINT) || repeat('░', (10 - {v} // 10)::BIGINT)"
+_FIELDS = ["id", "issue_id", "category", "rule_id", "severity", "message", "recommendation", "evidence_excerpt", "evidence_location", "confidence", "status"]
 Q["s12_json_export"] = (
-    lambda s, d: SS.as_json(sessions(s, d), issues(s, d)).select("session_id", F.get_json_object("body", "$.session.filename").alias("filename"), F.json_array_length(F.get_json_object("body", "$.issues")).alias("n"), F.get_json_object("body", "$.issues[0].id").alias("first_id")),
-    _STORE + f"SELECT s.id AS session_id, s.filename, count(i.id) AS n, list(i.id ORDER BY {_SO}, i.created_at DESC, i.id)[1] AS first_id FROM ses s LEFT JOIN isu i ON i.session_id = s.id GROUP BY ALL")
+    exported(lambda a, b, at: SS.as_json(a, b, at)),
+    _SES + f""", b AS (SELECT session_id, '[' || string_agg(to_json(struct_pack({', '.join(f'{c} := {c}' for c in _FIELDS)}))::VARCHAR, ',' ORDER BY n) || ']' AS t FROM o GROUP BY session_id)
+    SELECT s.id AS session_id, '{{"session":' || to_json(struct_pack(id := s.id, document_id := document_id, user_id := user_id, created_at := {_DATE}, filename := filename, profile_id := profile_id, status := status,
+      score := score, summary := summary, category_scores := struct_pack(structure := score, writing := w)))::VARCHAR || ',"issues":' || coalesce(t, '[]') || ',"exported_at":"2024-05-01 10:30 UTC"}}' AS body FROM s LEFT JOIN b ON b.session_id = s.id""")
 Q["s13_csv_export"] = (
-    lambda s, d: SS.as_csv(issues(s, d)),
-    _STORE + "SELECT session_id, issue_id, severity, category, rule_id, message, confidence, status, evidence_location, recommendation, evidence_excerpt FROM isu")
+    exported(lambda a, b, at: SS.as_csv(a, b)),
+    _SES + f""", b AS (SELECT session_id, string_agg(concat_ws(',', {', '.join(_cell(c) for c in SS.CSV_COLUMNS)}) || chr(13) || chr(10), '' ORDER BY n) AS t FROM o GROUP BY session_id)
+    SELECT s.id AS session_id, '{','.join(SS.CSV_HEADER)}' || chr(13) || chr(10) || concat_ws(',', left(s.id::VARCHAR, 8), {_cell('profile_id')}, {_cell('filename')}, {_DATE}, score, {_cell('summary')}) || chr(13) || chr(10) || chr(13) || chr(10)
+      || '{','.join(SS.CSV_TITLES)}' || chr(13) || chr(10) || coalesce(t, '') AS body FROM s LEFT JOIN b ON b.session_id = s.id""")
 _BAD = "CASE severity WHEN 'high' THEN '🔴 HIGH' WHEN 'medium' THEN '🟡 MEDIUM' ELSE '🟢 LOW' END"
-Q["s14_markdown_export"] = (
-    lambda s, d: SS.as_markdown(sessions(s, d), issues(s, d)).select("session_id", F.sha2("body", 256).alias("digest")),
-    _STORE + f""", o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {_SO}, created_at DESC, id) AS n FROM isu), b AS (SELECT session_id, string_agg('### ' || n || '. ' || {_BAD} || ' — ' || message || chr(10) || '- **Category:** ' || category || chr(10) || '- **Rule:** `' || rule_id || '`' || chr(10)
-    || '- **Confidence:** ' || confidence || '%' || chr(10) || '- **Status:** ' || status || chr(10) || '- **Evidence:** "' || evidence_excerpt || '"' || chr(10) || '- **Location:** ' || evidence_location || chr(10) || '- **Recommendation:** ' || recommendation || chr(10), chr(10) ORDER BY n) AS t FROM o GROUP BY session_id)
-    SELECT s.id AS session_id, sha256('# Review Report' || chr(10) || chr(10) || '**Profile:** ' || profile_id || chr(10) || '**Document:** ' || filename || chr(10) || '**Overall Score:** ' || score || '/100' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || summary || chr(10) || chr(10) || '## Issues' || chr(10) || coalesce(t, 'No issues found.')) AS digest
-    FROM ses s LEFT JOIN b ON b.session_id = s.id""")
-Q["s15_html_export"] = (lambda s, d: SS.as_html(sessions(s, d), issues(s, d)), None)
+_MD = _SES + f""", b AS (SELECT session_id, string_agg('### ' || n || '. ' || {_BAD} || ' — ' || message || chr(10) || '- **Category:** ' || category || chr(10) || '- **Rule:** `' || rule_id || '`' || chr(10)
+    || '- **Confidence:** ' || confidence || '%' || chr(10) || '- **Status:** ' || status || chr(10) || '- **Evidence:** "' || evidence_excerpt || '"' || chr(10) || '- **Location:** ' || evidence_location || chr(10) || '- **Recommendation:** ' || recommendation || chr(10), chr(10) ORDER BY n) AS t FROM o GROUP BY session_id),
+    md AS (SELECT s.id AS session_id, array_to_string(['# Review Report', '', '**Session:** ' || left(s.id::VARCHAR, 8), '**Profile:** ' || profile_id, '**Document:** ' || filename, '**Date:** ' || {_DATE}, '**Overall Score:** ' || score || '/100', '',
+      '## Category Scores', '- **structure:** ' || score || '/100  `' || {_bars('score')} || '`', '- **writing:** ' || w || '/100  `' || {_bars('w')} || '`', '', '## Summary', '', summary, '', '## Issues', coalesce(t, 'No issues found.'), '---', '*Generated by Review Report on 2024-05-01 10:30 UTC*'], chr(10)) AS body
+    FROM s LEFT JOIN b ON b.session_id = s.id)"""
+Q["s14_markdown_export"] = (exported(lambda a, b, at: SS.as_markdown(a, b, exported_at=at)), _MD + " SELECT * FROM md")
+Q["s15_html_export"] = (
+    exported(lambda a, b, at: SS.as_html(a, b, exported_at=at)),
+    _SES + f""", b AS (SELECT session_id, count(*) AS c, string_agg('<div class="issue ' || severity || '"><p><b>' || CASE severity WHEN 'high' THEN '🔴 ' WHEN 'medium' THEN '🟡 ' ELSE '🟢 ' END || upper(severity) || '</b> <span>' || category || '</span> <span>' || confidence
+      || '% confidence</span> <span>' || status || '</span></p><h4>' || {_esc('message')} || '</h4><blockquote>&quot;' || {_esc('evidence_excerpt')} || '&quot;</blockquote><p><b>Recommendation:</b> ' || {_esc('recommendation')} || '</p><p>Rule: <code>' || rule_id
+      || '</code> &middot; Location: ' || {_esc('evidence_location')} || '</p></div>', '' ORDER BY n) AS t FROM o GROUP BY session_id)
+    SELECT s.id AS session_id, '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Review Report — ' || left(s.id::VARCHAR, 8) || '</title><style>{SS.STYLE}</style></head><body><h1>Review Report</h1><p>' || {_esc('filename')} || ' &middot; ' || profile_id
+      || ' profile</p><p><b style="color:' || CASE WHEN score >= 80 THEN '#22c55e' WHEN score >= 50 THEN '#eab308' ELSE '#ef4444' END || '">' || score || '</b></p><p>' || {_esc('summary')} || '</p><h2>Category Scores</h2>'
+      || '<div><span>structure</span><div class="bar"><div class="fill" style="width:' || score || '%"></div></div><b>' || score || '</b></div><div><span>writing</span><div class="bar"><div class="fill" style="width:' || w || '%"></div></div><b>' || w || '</b></div>'
+      || '<h2>Issues (' || coalesce(c, 0) || ')</h2>' || coalesce(t, '<p>No issues found.</p>') || '<hr><p>Generated by Review Report on 2024-05-01 10:30 UTC</p></body></html>' AS body FROM s LEFT JOIN b ON b.session_id = s.id""")
 
 # --- batch forms of the streaming jobs ----------------------------------------------------------
 Q["st2_windowed_metrics"] = (
