@@ -227,10 +227,16 @@ def parse_validation(parsed: DataFrame, blocks: DataFrame, max_text: int = 50_00
         (F.col("offset_spans") > 0).alias("has_offset_map"), (F.col("nodes") > 0).alias("has_node_ids"))
 
 
-def document_stats(parsed: DataFrame) -> DataFrame:
-    """P16 for text documents."""
+def document_stats(parsed: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """P16 for text documents; tables and figures are counted where blocks are given, and 0 without."""
     words = rx.word_count(F.col("text"))
+    if blocks is None:
+        parsed = parsed.withColumns({"tables": F.lit(0), "figures": F.lit(0)})
+    else:
+        counts = blocks.groupBy("doc_id").agg(*[F.count_if(F.col("type") == t).cast("int").alias(f"{t}s") for t in ("table", "figure")])
+        parsed = parsed.join(counts, "doc_id", "left").fillna(0, ["tables", "figures"])
     return parsed.select(
+        "tables", "figures",
         "doc_id", F.greatest(F.lit(1), F.floor(words / 300)).cast("int").alias("pages"),
         F.size(F.filter(F.split("text", "\n\n", -1), lambda p: rx.strip(p) != "")).alias("paragraphs"),
         F.size("headings").alias("headings"), words.alias("words"), F.size("refs").alias("references"),
@@ -366,6 +372,35 @@ def snippet(lines: Column, start: Column, end: Column, context: int = 2, limit:
         F.when(F.length(after) > 200, F.concat(F.left(after, F.lit(200)), F.lit("..."))).otherwise(after).alias("after"))
 
 
+def multi_range_snippet(lines: Column, ranges: Column, context: int = 1) -> Column:
+    """P20 for several ranges (``a``, ``b``: first and last line): joined as listed, with context before the first and after the last alone."""
+    n = F.size(lines)
+
+    def joined(a: Column, b: Column) -> Column:
+        """Lines a..b-1, 0-based."""
+        return F.array_join(F.slice(lines, a + 1, F.greatest(F.lit(0), b - a)), "\n")
+
+    def built(rs: Column) -> Column:
+        top = F.greatest(F.lit(0), F.get(rs, F.lit(0))["a"] - 1)
+        end = F.least(n, F.get(rs, F.size(rs) - 1)["b"])
+        return F.struct(
+            F.array_join(F.transform(rs, lambda r: joined(F.greatest(F.lit(0), r["a"] - 1), F.least(n, r["b"]))), "\n...\n").alias("highlighted"),
+            F.when(F.size(rs) > 0, joined(F.greatest(F.lit(0), F.get(rs, F.lit(0))["a"] - 1 - context), top)).otherwise("").alias("before"),
+            F.when(F.size(rs) > 0, joined(end, F.least(n, end + context))).otherwise("").alias("after"))
+
+    return rx.let(ranges, built)
+
+
+def category_snippets(reviewed: DataFrame, context: int = 1) -> DataFrame:
+    """P20: one snippet for each category of a document, over the lines of all its issues in the order of lines."""
+    def one(found: Column, c: Column) -> Column:
+        ranges = F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda i: i["category"] == c), lambda i: F.struct(i["line_start"].alias("a"), i["line_end"].alias("b")))))
+        return F.struct(c.alias("category"), multi_range_snippet(F.col("lines"), ranges, context).alias("s"))
+
+    made = rx.let(F.col("issues"), lambda found: F.transform(F.array_distinct(F.transform(found, lambda i: i["category"])), lambda c: one(found, c)))
+    return reviewed.select("doc_id", F.explode_outer(made).alias("x")).where("x IS NOT NULL").select("doc_id", "x.category", "x.s.*")
+
+
 def issue_snippets(reviewed: DataFrame, context: int = 2) -> DataFrame:
     """P20 for every issue, cut from the row's own lines."""
     made = F.transform("issues", lambda i, n: F.struct(

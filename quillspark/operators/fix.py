@@ -196,12 +196,15 @@ def suggestions(issues: DataFrame) -> DataFrame:
 
 
 def plan(suggested: DataFrame) -> DataFrame:
-    """F16: counts, time and success estimate per document."""
+    """F16: counts, time and success estimate per document, and its suggestions by category."""
     score = fix_confidence(F.col("rule_id"), F.col("category"), F.col("fix_type"), F.col("severity"))
     level = confirm_level(score)
-    counted = suggested.groupBy("doc_id").agg(
-        F.count("*").alias("total"), F.count_if(level == "safe").alias("safe_fixes"),
+    by_category = suggested.groupBy("doc_id", F.coalesce(F.nullif("category", F.lit("")), F.lit("other")).alias("category")).agg(
+        F.count("*").alias("n"), F.count_if(level == "safe").alias("safe_fixes"),
         F.count_if(level.isin("confirm", "review")).alias("need_confirmation"), F.count_if(level == "manual").alias("manual_only"))
+    counted = by_category.groupBy("doc_id").agg(
+        F.sum("n").alias("total"), *[F.sum(c).alias(c) for c in ("safe_fixes", "need_confirmation", "manual_only")],
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("by_category"))
     return counted.withColumns({
         "seconds": F.floor(F.col("safe_fixes") * 0.5 + F.col("need_confirmation") * 2 + F.col("manual_only") * 5).cast("int"),
         "success_rate": F.floor((F.col("safe_fixes") * 99 + F.col("need_confirmation") * 80 + F.col("manual_only") * 30)

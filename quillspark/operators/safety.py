@@ -26,7 +26,7 @@ def pii_rows(docs: DataFrame, limit: int | None = None) -> DataFrame:
     def named(kind: str, pattern: str) -> Column:
         found = F.transform(found_values(F.col("text"), pattern, limit),
                             lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-        return F.when(F.col("text").rlike(PII_NEEDS[kind]), found).otherwise(F.slice(found, 1, 0)) if kind in PII_NEEDS else found
+        return F.when(F.col("text").rlike(PII_NEEDS[kind]), found).otherwise(F.array().cast("array<struct<kind:string,value:string>>")) if kind in PII_NEEDS else found
 
     kinds = F.concat(*[named(k, p) for k, p in X.PII])
     rows = docs.select("doc_id", F.explode_outer(kinds).alias("x"))
@@ -47,13 +47,13 @@ def topics(text: Column) -> Column:
 
 
 def input_gate(docs: DataFrame, allow_sensitive: bool = False) -> DataFrame:
-    """Allowed flag, reason and topics per document."""
+    """Allowed flag, reason and topics per document, and the redacted text of one that is blocked."""
     kinds = F.array_compact(F.array(*[F.when(F.col("text").rlike(rx.exact(p)), F.lit(k)) for k, p in X.PII]))
     blocked = F.lit(not allow_sensitive) & (F.size("kinds") > 0)
     return docs.withColumn("kinds", kinds).select(
         "doc_id", (~blocked).alias("allowed"),
         F.when(blocked, F.concat(F.lit("PII detected: "), F.array_join("kinds", ", "), F.lit("."))).otherwise(F.lit("")).alias("reason"),
-        F.array_join(topics(F.col("text")), ",").alias("topics"))
+        F.array_join(topics(F.col("text")), ",").alias("topics"), F.when(blocked, redacted(F.col("text"))).alias("redacted_text"))
 
 
 def output_gate(texts: DataFrame) -> DataFrame:

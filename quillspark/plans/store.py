@@ -26,8 +26,13 @@ def _equal(**filters) -> Column:
     return keep
 
 
-def page(df: DataFrame, order: list, limit: int | None, offset: int = 0) -> DataFrame:
-    """Ordered page of ``limit`` rows, of which Spark keeps only the top rows of each partition; all rows, unordered, without a limit."""
+def page(df: DataFrame, order: list, limit: int | None, offset: int = 0, total: bool = False) -> DataFrame:
+    """Ordered page of ``limit`` rows, of which Spark keeps only the top rows of each partition; all rows, unordered, without a limit.
+
+    ``total`` adds the number of rows of all pages to each row of this one: a count beside the page, one row to every task.
+    """
+    if total:
+        return page(df, order, limit, offset).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
     if limit is None:
         if offset:
             raise ValueError("an offset needs a limit: without one all rows would go through one task")
@@ -37,14 +42,14 @@ def page(df: DataFrame, order: list, limit: int | None, offset: int = 0) -> Data
 
 
 def list_sessions(sessions: DataFrame, search: str | None = None, score_min: int | None = None,
-                  score_max: int | None = None, limit: int | None = None, offset: int = 0, **equal) -> DataFrame:
-    """Q-01."""
+                  score_max: int | None = None, limit: int | None = None, offset: int = 0, total: bool = False, **equal) -> DataFrame:
+    """Q-01; with ``total``, the number of sessions that match beside each row."""
     keep = _equal(**equal) & _ilike(search, "filename", "summary")
     if score_min is not None:
         keep = keep & (F.col("score") >= score_min)
     if score_max is not None:
         keep = keep & (F.col("score") <= score_max)
-    return page(sessions.where(keep), [F.desc("created_at"), "id"], limit, offset)
+    return page(sessions.where(keep), [F.desc("created_at"), "id"], limit, offset, total)
 
 
 def severity_order(other: int = 2) -> Column:
@@ -65,11 +70,11 @@ def with_session(issues: DataFrame, sessions: DataFrame, *columns: str) -> DataF
 
 
 def list_all_issues(issues: DataFrame, sessions: DataFrame, search: str | None = None, limit: int | None = None,
-                    offset: int = 0, **equal) -> DataFrame:
-    """Q-03."""
+                    offset: int = 0, total: bool = False, **equal) -> DataFrame:
+    """Q-03; with ``total``, the number of issues that match beside each row."""
     joined = with_session(issues.where(_ilike(search, "message", "recommendation")), sessions,
                           F.col("filename").alias("session_filename"), "profile_id", "user_id").where(_equal(**equal))
-    return page(joined, [severity_order(), F.desc("created_at"), "id"], limit, offset)
+    return page(joined, [severity_order(), F.desc("created_at"), "id"], limit, offset, total)
 
 
 def issue_evidence(issues: DataFrame, sessions: DataFrame, issue_ids: DataFrame) -> DataFrame:

@@ -81,12 +81,22 @@ def save_actions(fixed: DataFrame, folder: str, run_id: str, applied_at: Column,
 
 
 def list_documents(documents: DataFrame, search: str | None = None, content_type: str | None = None,
-                   limit: int | None = None, offset: int = 0) -> DataFrame:
-    """S09."""
+                   limit: int | None = None, offset: int = 0, total: bool = False) -> DataFrame:
+    """S09; with ``total``, the number of documents that match beside each row."""
     from ..plans.store import _equal, _ilike, page
 
     keep = _equal(content_type=content_type) & _ilike(search, "original_name", "id")
-    return page(documents.where(keep), [F.desc("created_at"), "id"], limit, offset)
+    return page(documents.where(keep), [F.desc("created_at"), "id"], limit, offset, total)
+
+
+def template_rows(learned: DataFrame, names: DataFrame) -> DataFrame:
+    """Each learned template with its source file as one JSON value, keyed by what it says, so that a template learned again is the same row.
+
+    ``learned`` comes from ``template.learn``, ``names(doc_id, source_filename)`` tells the files.
+    """
+    rows = learned.join(names.select("doc_id", "source_filename"), "doc_id")
+    analysis = F.to_json(F.struct("source_filename", F.lit(1).alias("version"), *[c for c in learned.columns if c != "doc_id"]))
+    return rows.select(stable_id(F.col("doc_id"), analysis).alias("id"), "doc_id", "source_filename", analysis.alias("analysis"))
 
 
 # --- exports: a session's issues fold into one ordered array (bounded by its document) ------

@@ -137,8 +137,8 @@ Q["p15_parse_validation"] = (
     coalesce(links, 0) AS hyperlinks, coalesce(ci.c, 0) AS citations, coalesce(b.pages, 0) AS pages, 0 AS page_breaks, w.n > 0 AS has_offset_map, b.c > 0 AS has_node_ids FROM docs d
     LEFT JOIN (SELECT doc_id, count(*) AS c FROM heads GROUP BY doc_id) h USING (doc_id) LEFT JOIN bl b USING (doc_id) LEFT JOIN wide w USING (doc_id) LEFT JOIN laps USING (doc_id) LEFT JOIN ci USING (doc_id)""")
 Q["p16_document_stats"] = (
-    lambda s, d: DOC.document_stats(parsed(s, d)),
-    base() + f"""SELECT doc_id, greatest(1, {words('text')} // 300) AS pages, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip('p')} <> '')) AS paragraphs,
+    lambda s, d: DOC.document_stats(parsed(s, d), blocks(s, d)),
+    base() + BLOCKS_SQL + f"""SELECT doc_id, (SELECT count(*) FROM blk b WHERE b.doc_id = nref.doc_id AND type = 'table') AS tables, (SELECT count(*) FROM blk b WHERE b.doc_id = nref.doc_id AND type = 'figure') AS figures, greatest(1, {words('text')} // 300) AS pages, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip('p')} <> '')) AS paragraphs,
     (SELECT count(*) FROM heads h WHERE h.doc_id = nref.doc_id) AS headings, {words('text')} AS words, n_refs AS "references", length(text) AS chars FROM nref""")
 # --- P17-P19 -----------------------------------------------------------------------------
 Q["p17_fixed_chunks"] = (

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from quillspark.fixed import fixes as X, profiles as P
 from quillspark.functions import rx
-from quillspark.operators import config as C, document as DOC, fix as FX, ops as O, safety as L
+from quillspark.operators import config as C, document as DOC, fix as FX, ops as O, safety as L, template as T
 from quillspark.operators.fix import stable_id
 from quillspark.session import shared_dir
 from quillspark.sources import files as SF, store as SS
 from quillspark.streaming import jobs
 
-from .document_queries import chunked
-from .drafts import RAW_SQL, documents, drafts, pick, sql_pick
+from .blocks import BLOCKS_SQL, blocks
+from .document_queries import _LAY, chunked, layout
+from .drafts import PROFILE_CYCLE, RAW_SQL, documents, drafts, pick, sql_pick
 from .sql import any_in, ascii_fold, base, has, q, strip, words
 from .store_queries import _BEST, _SO, _STORE, CATS, issue_table, issues, iss, scored, sessions, stored_documents, suggested
 
@@ -44,8 +45,9 @@ _RED = "t"
 for _k, _p in X.PII:
     _RED = f"regexp_replace({_RED}, {q(_p)}, '[REDACTED_{_k.upper()}]', 'g')"
 Q["l02_redaction"] = (
-    lambda s, d: keyed(s, d).select("doc_id", F.length(L.redacted(F.col("text"))).alias("chars"), rx.literal_count(L.redacted(F.col("text")), "[REDACTED_").alias("redactions")),
-    RAW + f"SELECT doc_id, length(r) AS chars, (length(r) - length(replace(r, '[REDACTED_', ''))) // 10 AS redactions FROM (SELECT doc_id, {_RED} AS r FROM (SELECT doc_id, {ascii_fold('text')} AS t FROM {_KEYED}))")
+    lambda s, d: keyed(s, d).select("doc_id", F.length(L.redacted(F.col("text"))).alias("chars"), rx.literal_count(L.redacted(F.col("text")), "[REDACTED_").alias("redactions"),
+                                    F.array_join(rx.find_all(L.redacted(F.col("text")), r"\[REDACTED_[A-Z_]+\]"), ",").alias("kinds")),
+    RAW + f"SELECT doc_id, array_to_string(regexp_extract_all(r, '\\[REDACTED_[A-Z_]+\\]'), ',') AS kinds, length(r) AS chars, (length(r) - length(replace(r, '[REDACTED_', ''))) // 10 AS redactions FROM (SELECT doc_id, {_RED} AS r FROM (SELECT doc_id, {ascii_fold('text')} AS t FROM {_KEYED}))")
 topical = lambda s, d: drafts(s, d).select("doc_id", "profile_id", F.concat("text", pick(["", " Confidential data.", " Keep it internal only, a trade secret.", ""], F.col("doc_id"))).alias("text"))
 _TOP = base() + f", top AS (SELECT doc_id, profile_id, text || {sql_pick(['', ' Confidential data.', ' Keep it internal only, a trade secret.', ''], 'doc_id')} AS text FROM docs)"
 _TOPICS = f"array_to_string(list_filter([{', '.join(q(t) for t in X.SENSITIVE_TOPICS)}], lambda t: contains(lower(text), t)), ',')"
@@ -53,14 +55,15 @@ Q["l03_sensitive_topics"] = (
     lambda s, d: topical(s, d).select("doc_id", F.array_join(L.topics(F.col("text")), ",").alias("topics")), _TOP + f" SELECT doc_id, {_TOPICS} AS topics FROM top")
 _KINDS = "list_filter([" + ", ".join(f"CASE WHEN {has('f', p)} THEN {q(k)} END" for k, p in X.PII) + "], lambda x: x IS NOT NULL)"
 Q["l04_input_gate"] = (
-    lambda s, d: L.input_gate(topical(s, d)),
-    _TOP + f" SELECT doc_id, len(k) = 0 AS allowed, CASE WHEN len(k) > 0 THEN 'PII detected: ' || array_to_string(k, ', ') || '.' ELSE '' END AS reason, {_TOPICS} AS topics FROM (SELECT doc_id, text, {_KINDS} AS k FROM (SELECT *, {ascii_fold('text')} AS f FROM top))")
+    lambda s, d: L.input_gate(topical(s, d)).withColumn("redacted_text", rx.count(F.col("redacted_text"), r"\[REDACTED_[A-Z_]+\]")),
+    _TOP + f" SELECT doc_id, len(k) = 0 AS allowed, CASE WHEN len(k) > 0 THEN 'PII detected: ' || array_to_string(k, ', ') || '.' ELSE '' END AS reason, {_TOPICS} AS topics, CASE WHEN len(k) > 0 THEN len(regexp_extract_all({_RED.replace("(t,", "(f,")}, '\\[REDACTED_[A-Z_]+\\]')) END AS redacted_text FROM (SELECT doc_id, text, f, {_KINDS} AS k FROM (SELECT *, {ascii_fold('text')} AS f FROM top))")
 ADVICE = [" We could rephrase it.", " Omit the annex.", " Please simplify language here.", " Fine as it is.", " Add a step."]
-answers = lambda s, d: drafts(s, d).select("doc_id", "profile_id", F.concat(F.lit("Reply:"), pick(ADVICE, F.col("doc_id"))).alias("text"))
+answers = lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select(
+    F.col("conv_id").alias("doc_id"), pick(PROFILE_CYCLE, F.col("conv_id")).alias("profile_id"), F.concat("text", pick(ADVICE, F.col("conv_id") + F.col("turn"))).alias("text"))
 _hit = lambda ws: "profile_id = 'sop' AND " + any_in("lower(text)", ws)
 Q["l05_output_gate"] = (
     lambda s, d: L.output_gate(answers(s, d)),
-    f"""WITH {RAW_SQL}, ans AS (SELECT doc_id, profile_id, 'Reply:' || {sql_pick(ADVICE, 'doc_id')} AS text FROM raw_docs), g AS (SELECT doc_id, CASE """
+    f"""WITH ans AS (SELECT conv_id AS doc_id, {sql_pick(PROFILE_CYCLE, 'conv_id')} AS profile_id, text || {sql_pick(ADVICE, 'conv_id + turn')} AS text FROM conversations), g AS (SELECT doc_id, CASE """
     + " ".join(f"WHEN {_hit(ws)} THEN {q(why)}" for _, ws, sev, why in X.SOP_RESTRICTED if sev == "high")
     + " END AS reason, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_hit(ws)} THEN {q(name)} END" for name, ws, _, _ in X.SOP_RESTRICTED)
     + "], lambda x: x IS NOT NULL), ',') AS actions FROM ans) SELECT doc_id, reason IS NULL AS allowed, coalesce(reason, '') AS reason, actions FROM g")
@@ -269,11 +272,16 @@ Q["s11_fix_actions"] = (
     SELECT sha256(sha256('run-1|' || b.doc_id) || '|' || b.id || '|apply') AS id, sha256('run-1|' || b.doc_id) AS session_id, b.id AS suggestion_id, issue_id, rule_id, 'apply' AS action_type,
     original AS original_text, suggested AS patched_text, line_start, line_end, patched_hash FROM best b JOIN new USING (doc_id)""")
 Q["s09_list_documents"] = (
-    lambda s, d: SS.list_documents(stored_documents(s, d), search="9", content_type="text/html", limit=40).select("id", "original_name", "created_at"),
-    _STORE + "SELECT id, original_name, created_at FROM dcs WHERE (original_name ILIKE '%9%' OR id ILIKE '%9%') AND content_type = 'text/html' ORDER BY created_at DESC, id LIMIT 40")
+    lambda s, d: SS.list_documents(stored_documents(s, d), search="9", content_type="text/html", limit=40, total=True).select("id", "original_name", "created_at", "total"),
+    _STORE + "SELECT id, original_name, created_at, count(*) OVER () AS total FROM dcs WHERE (original_name ILIKE '%9%' OR id ILIKE '%9%') AND content_type = 'text/html' ORDER BY created_at DESC, id LIMIT 40")
 Q["s10_template_rows"] = (
-    lambda s, d: stored_documents(s, d).select("id", F.to_json(F.struct(F.col("original_name").alias("source_filename"), F.lit(1).alias("version"))).alias("analysis")),
-    _STORE + "SELECT id, '{\"source_filename\":\"' || original_name || '\",\"version\":1}' AS analysis FROM dcs")
+    lambda s, d: SS.template_rows(T.learn(blocks(s, d), layout(s, d)), drafts(s, d).select("doc_id", F.col("filename").alias("source_filename"))).select(
+        "doc_id", "source_filename", *[F.get_json_object("analysis", f"$.{k}").alias(k) for k in ("source_filename", "version", "body_font", "table_count", "figure_count")][1:],
+        F.coalesce(F.get_json_object("analysis", "$.required_sections"), F.lit("[]")).alias("sections")),
+    base() + BLOCKS_SQL + f""", {_LAY}, hb AS (SELECT * FROM blk WHERE type = 'heading')
+    SELECT l.doc_id, d.filename AS source_filename, '1' AS version, body_font, b.t::VARCHAR AS table_count, b.f::VARCHAR AS figure_count, coalesce(s.sections, '[]') AS sections FROM lay l JOIN drafts d USING (doc_id)
+    LEFT JOIN (SELECT doc_id, to_json(list(title ORDER BY i))::VARCHAR AS sections FROM (SELECT doc_id, min(block_idx) AS i, min_by({strip('text')}, block_idx) AS title FROM hb GROUP BY doc_id, lower({strip('text')})) GROUP BY doc_id) s USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE type = 'table') AS t, count(*) FILTER (WHERE type = 'figure') AS f FROM blk GROUP BY doc_id) b USING (doc_id)""")
 EXPORTED = "2024-05-01 10:30:00"
 
 

@@ -171,8 +171,8 @@ Q["i05_summary"] = (
     + ", ".join(f"count(*) FILTER (WHERE category = '{c}') AS in_{c}" for c in P.UNIFIED_CATEGORIES)
     + ", count(*) AS from_rule, 0 AS from_ai, 0 AS from_cross_rule, 0 AS from_compliance FROM iss GROUP BY doc_id")
 Q["i06_strict_readiness"] = (
-    lambda s, d: scored(s, d).select("doc_id", I.strict_readiness(F.col("score"), F.lit(0)).alias("readiness")),
-    iss() + "SELECT doc_id, CASE WHEN score < 50 THEN 'draft' WHEN score < 70 THEN 'review_needed' WHEN score < 85 THEN 'almost_ready' ELSE 'ready' END AS readiness FROM totals")
+    lambda s, d: scored(s, d).select("doc_id", I.strict_readiness(F.col("score"), F.size(F.filter("issues", lambda i: i["severity"] == "critical"))).alias("readiness")),
+    iss() + "SELECT doc_id, CASE WHEN score < 50 OR doc_id IN (SELECT doc_id FROM iss WHERE severity = 'critical') THEN 'draft' WHEN score < 70 THEN 'review_needed' WHEN score < 85 THEN 'almost_ready' ELSE 'ready' END AS readiness FROM totals")
 Q["i07_top_recommendations"] = (
     lambda s, d: I.prioritized(reviewed(s, d), top=5).select("doc_id", "priority", "severity", "auto_fixable", "score_gain"),
     iss() + f"SELECT * FROM (SELECT doc_id, {_PRI} AS priority, severity, autofix_allowed AS auto_fixable, {_GAIN} AS score_gain FROM iss) WHERE priority <= 5")
@@ -254,6 +254,12 @@ Q["p20_snippets"] = (
     iss() + f"""SELECT doc_id, line_start, CASE WHEN length(h) > 500 THEN left(h, 500) || '...' ELSE h END AS highlighted, CASE WHEN length(b) > 200 THEN '...' || right(b, 200) ELSE b END AS before,
     CASE WHEN length(a) > 200 THEN left(a, 200) || '...' ELSE a END AS after FROM (SELECT i.doc_id, i.line_start, {_J('i.line_start', 'i.line_end')} AS h, CASE WHEN i.line_start = 1 THEN '' ELSE {_J('greatest(1, i.line_start - 2)', 'i.line_start - 1')} END AS b,
     CASE WHEN i.line_end >= d.n_lines THEN '' ELSE {_J('i.line_end + 1', 'i.line_end + 2')} END AS a FROM iss i JOIN docs d USING (doc_id))""")
+Q["p20_multi_range_snippets"] = (
+    lambda s, d: DOC.category_snippets(reviewed(s, d)),
+    iss() + f""", r AS (SELECT DISTINCT i.doc_id, i.category, i.line_start AS a, i.line_end AS b FROM iss i)
+    SELECT r.doc_id, category, string_agg({_J('r.a', 'r.b')}, chr(10) || '...' || chr(10) ORDER BY r.a, r.b) AS highlighted, CASE WHEN min(r.a) = 1 THEN '' ELSE any_value(d.ls[least(min_a - 1, d.n_lines)]) END AS before,
+    coalesce(any_value(d.ls[last_b + 1]), '') AS after FROM (SELECT *, min(a) OVER w AS min_a, last_value(b) OVER (w ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_b FROM r WINDOW w AS (PARTITION BY doc_id, category)) r
+    JOIN docs d USING (doc_id) GROUP BY r.doc_id, category""")
 Q["p21_jump_targets"] = (
     lambda s, d: DOC.jump_targets(issue_table(s, d), blocks(s, d)).select("doc_id", "block_idx", "page_number", "node_id", "target_start", "target_end"),
     iss() + BLOCKS_SQL + """SELECT i.doc_id, b.block_idx, b.page_number, b.node_id, b.line_start AS target_start, b.line_end AS target_end FROM iss i JOIN blk b ON b.doc_id = i.doc_id AND b.block_idx = i.line_start - 1
@@ -332,9 +338,10 @@ Q["f15_confirm_level"] = (
     _ALLS + """ SELECT CASE WHEN fc >= 95 THEN 'safe' WHEN fc >= 60 THEN 'confirm' WHEN fc >= 30 THEN 'review' ELSE 'manual' END AS level,
     CASE WHEN fc >= 95 THEN '🟢 ' || fc || '% Safe' WHEN fc >= 80 THEN '🟢 ' || fc || '%' WHEN fc >= 60 THEN '🟡 ' || fc || '%' WHEN fc >= 40 THEN '🟠 ' || fc || '%' ELSE '🔴 Suggestion Only' END AS label, count(*) AS n FROM conf GROUP BY ALL""")
 Q["f16_fix_plan"] = (
-    lambda s, d: FX.plan(suggested(s, d)),
+    lambda s, d: FX.plan(suggested(s, d)).withColumn("by_category", F.array_join(F.transform(F.map_entries("by_category"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")),
     _SUG + "," + _CONF.replace("{src}", "sug2") + """, lv AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE fc >= 95) AS safe_fixes, count(*) FILTER (WHERE fc < 95 AND fc >= 30) AS need_confirmation, count(*) FILTER (WHERE fc < 30) AS manual_only FROM conf GROUP BY doc_id)
-    SELECT *, CAST(floor(safe_fixes * 0.5 + need_confirmation * 2 + manual_only * 5) AS INTEGER) AS seconds, CAST(floor((safe_fixes * 99 + need_confirmation * 80 + manual_only * 30) / total::DOUBLE) AS INTEGER) AS success_rate FROM lv""")
+    SELECT lv.*, by_category, CAST(floor(safe_fixes * 0.5 + need_confirmation * 2 + manual_only * 5) AS INTEGER) AS seconds, CAST(floor((safe_fixes * 99 + need_confirmation * 80 + manual_only * 30) / total::DOUBLE) AS INTEGER) AS success_rate FROM lv
+    JOIN (SELECT doc_id, string_agg(category || ':' || n, ',' ORDER BY category) AS by_category FROM (SELECT doc_id, category, count(*) AS n FROM conf GROUP BY ALL) GROUP BY doc_id) USING (doc_id)""")
 Q["f17_issue_plan"] = (
     lambda s, d: FX.issue_plan(issue_table(s, d)),
     iss() + f"""SELECT doc_id, count(*) AS actions, count(*) FILTER (WHERE autofix_allowed) AS safe_actions, 0 AS ai_actions, count(*) FILTER (WHERE NOT autofix_allowed) AS manual_actions,
@@ -430,8 +437,8 @@ dcs AS (SELECT CAST(c_custkey AS VARCHAR) AS id, lower(c_name) AS original_name,
 """
 _SO = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 Q["q01_list_sessions"] = (
-    lambda s, d: S.list_sessions(sessions(s, d), search="urgent", score_min=20, score_max=90, profile_id="academic", limit=30, offset=5).select("id", "created_at", "filename", "score", "summary", "document_id"),
-    _STORE + "SELECT id, created_at, filename, score, summary, document_id FROM ses WHERE profile_id = 'academic' AND score BETWEEN 20 AND 90 AND (filename ILIKE '%urgent%' OR summary ILIKE '%urgent%') ORDER BY created_at DESC, id LIMIT 30 OFFSET 5")
+    lambda s, d: S.list_sessions(sessions(s, d), search="urgent", score_min=20, score_max=90, profile_id="academic", limit=30, offset=5, total=True).select("id", "created_at", "filename", "score", "summary", "document_id", "total"),
+    _STORE + "SELECT id, created_at, filename, score, summary, document_id, count(*) OVER () AS total FROM ses WHERE profile_id = 'academic' AND score BETWEEN 20 AND 90 AND (filename ILIKE '%urgent%' OR summary ILIKE '%urgent%') ORDER BY created_at DESC, id LIMIT 30 OFFSET 5")
 Q["q01_sessions_matching"] = (
     lambda s, d: S.list_sessions(sessions(s, d), search="low", score_min=50, limit=None).select("id", "score"),
     _STORE + "SELECT id, score FROM ses WHERE score >= 50 AND (filename ILIKE '%low%' OR summary ILIKE '%low%')")
@@ -439,8 +446,8 @@ Q["q02_list_issues"] = (
     lambda s, d: S.list_issues(issues(s, d), 7, search="e", limit=None).select("id", "severity", "message", "status"),
     _STORE + "SELECT id, severity, message, status FROM isu WHERE session_id = 7 AND (message ILIKE '%e%' OR recommendation ILIKE '%e%')")
 Q["q03_all_issues"] = (
-    lambda s, d: S.list_all_issues(issues(s, d), sessions(s, d), search="passive", severity="high", limit=100).select("id", "session_filename", "profile_id"),
-    _STORE + f"SELECT i.id, s.filename AS session_filename, s.profile_id FROM isu i JOIN ses s ON s.id = i.session_id WHERE message ILIKE '%passive%' AND severity = 'high' ORDER BY {_SO}, i.created_at DESC, i.id LIMIT 100")
+    lambda s, d: S.list_all_issues(issues(s, d), sessions(s, d), search="passive", severity="high", limit=100, total=True).select("id", "session_filename", "profile_id", "total"),
+    _STORE + f"SELECT i.id, s.filename AS session_filename, s.profile_id, count(*) OVER () AS total FROM isu i JOIN ses s ON s.id = i.session_id WHERE message ILIKE '%passive%' AND severity = 'high' ORDER BY {_SO}, i.created_at DESC, i.id LIMIT 100")
 Q["q04_issue_evidence"] = (
     lambda s, d: S.issue_evidence(issues(s, d), sessions(s, d), issues(s, d).where("severity = 'high' AND confidence > 45").select("id")).select("id", "session_id", "evidence_excerpt", "evidence_line_start", "filename"),
     _STORE + "SELECT i.id, i.session_id, i.evidence_excerpt, i.evidence_line_start, s.filename FROM isu i JOIN ses s ON s.id = i.session_id WHERE i.id IN (SELECT id FROM isu WHERE severity = 'high' AND confidence > 45)")
