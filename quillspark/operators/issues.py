@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed import profiles as P
+from ..functions.findings import rendered
 from .score import gain, severity_rank
 
 
@@ -52,12 +53,13 @@ def dependencies(issues: DataFrame) -> DataFrame:
 def prioritized(scored: DataFrame, top: int | None = None) -> DataFrame:
     """Severity, then fix ease, stable; the sort stays inside the document row."""
     keyed = F.array_sort(F.transform("issues", lambda i, n: F.struct(
-        severity_rank(i["severity"]).alias("rank"), F.when(i["fix"], F.lit(1)).otherwise(F.lit(3)).alias("ease"),
-        n.alias("seq"), i["category"].alias("category"), i["severity"].alias("severity"), i["fix"].alias("fix"))))
+        severity_rank(i["severity"]).alias("rank"), F.when(i["fix"], F.lit(1)).otherwise(F.lit(3)).alias("ease"), n.alias("seq"), i.alias("i"))))
     ranked = keyed if top is None else F.slice(keyed, 1, top)
-    return scored.select("doc_id", F.posexplode_outer(ranked).alias("pos", "i")).where("i IS NOT NULL").select(
-        "doc_id", (F.col("pos") + 1).alias("priority"), "i.seq", "i.category", "i.severity",
-        F.col("i.fix").alias("auto_fixable"), gain(F.col("i.severity")).alias("score_gain"))
+    rows = scored.select("doc_id", F.posexplode_outer(ranked).alias("pos", "r")).where("r IS NOT NULL").select(
+        "doc_id", (F.col("pos") + 1).alias("priority"), "r.seq", F.col("r.i").alias("issue"))
+    return rendered(rows).select(
+        "doc_id", "priority", "seq", "rule_id", "category", "severity", "message", "recommendation", F.col("autofix_allowed").alias("auto_fixable"),
+        gain(F.col("severity")).alias("score_gain"))
 
 
 def summary(unified: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed import fixes as X
 from ..functions import rx
@@ -121,8 +121,7 @@ def validated_items(items: DataFrame) -> DataFrame:
         "i.message", "i.recommendation", F.coalesce("i.evidence_excerpt", F.lit("")).alias("evidence_excerpt"),
         F.when(confidence.between(0, 100), confidence.cast("int")).otherwise(F.lit(50)).alias("confidence"),
         F.array_join(missing, ",").alias("missing"))
-    failed = checked.groupBy("doc_id").agg(F.bool_and(F.col("missing") == "").alias("reply_valid"))
-    return checked.join(failed, "doc_id")
+    return checked.withColumn("reply_valid", F.bool_and(F.col("missing") == "").over(Window.partitionBy("doc_id")))  # the items of one reply
 
 
 def valid_fix(original: Column, suggested: Column) -> Column:

@@ -72,30 +72,36 @@ Q["l05_output_gate"] = (
 
 
 def replies(s, d):
-    """A reply per document in one of six shapes: fenced, bare array, issues object, repairable, partly broken, prose."""
-    doc = documents(s, d)
-    item = lambda sev, conf: F.concat(
-        F.lit('{"category": "writing", "rule_id": "ai.tone", "severity": "'), F.lit(sev), F.lit('", "message": "Doc '), F.col("doc_id").cast("string"),
-        F.lit(' reads flat", "recommendation": "Vary it", "confidence": '), F.lit(conf), F.lit("}"))
+    """A reply about every turn of the conversations in one of six shapes: fenced, bare array, issues object, repairable, partly broken, prose.
+
+    The turn's own text is the message of its items, and the prose.
+    """
+    turns = s.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "conv_id", "turn", "text")
+
+    def item(severity: str, confidence: int):
+        return F.to_json(F.struct(F.lit("writing").alias("category"), F.lit("ai.tone").alias("rule_id"), F.lit(severity).alias("severity"),
+                                  F.col("text").alias("message"), F.lit("Vary it").alias("recommendation"), F.lit(confidence).alias("confidence")))
+
     short = F.lit('{"category": "logic", "message": "No rule"}')
-    k = F.col("doc_id") % 6
-    return doc.select("doc_id", F.when(k == 0, F.concat(F.lit("Here:\n```json\n["), item("high", "80"), F.lit(", "), item("odd", "20"), F.lit("]\n```\nDone")))
-                      .when(k == 1, F.concat(F.lit("Found ["), item("low", "400"), F.lit("] only")))
-                      .when(k == 2, F.concat(F.lit('{"issues": ['), item("medium", "55"), F.lit(", "), item("low", "60"), F.lit("]}")))
-                      .when(k == 3, F.concat(F.lit("```\n["), item("high", "70"), F.lit(",]\n```")))
-                      .when(k == 4, F.concat(F.lit("["), item("high", "70"), F.lit(", "), short, F.lit("]")))
-                      .otherwise(F.lit("Nothing to report.")).alias("reply"))
-
-
-_REP = """WITH it AS (SELECT doc_id, doc_id % 6 AS k FROM documents), x AS (
-    SELECT doc_id, 0 AS item, 'high' AS sev, 80 AS c, '' AS m FROM it WHERE k = 0 UNION ALL SELECT doc_id, 1, 'medium', 20, '' FROM it WHERE k = 0 UNION ALL SELECT doc_id, 0, 'low', 50, '' FROM it WHERE k = 1
-    UNION ALL SELECT doc_id, 0, 'medium', 55, '' FROM it WHERE k = 2 UNION ALL SELECT doc_id, 1, 'low', 60, '' FROM it WHERE k = 2 UNION ALL SELECT doc_id, 0, 'high', 70, '' FROM it WHERE k = 3
-    UNION ALL SELECT doc_id, 0, 'high', 70, '' FROM it WHERE k = 4 UNION ALL SELECT doc_id, 1, 'medium', 50, 'rule_id,severity,recommendation' FROM it WHERE k = 4)
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    return turns.select("doc_id", F.when(k == 0, F.concat(F.lit("Here:\n```json\n["), item("high", 80), F.lit(", "), item("odd", 20), F.lit("]\n```\nDone")))
+                        .when(k == 1, F.concat(F.lit("Found ["), item("low", 400), F.lit("] only")))
+                        .when(k == 2, F.concat(F.lit('{"issues": ['), item("medium", 55), F.lit(", "), item("low", 60), F.lit("]}")))
+                        .when(k == 3, F.concat(F.lit("```\n["), item("high", 70), F.lit(",]\n```")))
+                        .when(k == 4, F.concat(F.lit("["), item("high", 70), F.lit(", "), short, F.lit("]")))
+                        .otherwise(F.col("text")).alias("reply"))
+
+
+_REP = """WITH it AS (SELECT conv_id * 1000 + turn AS doc_id, (conv_id + turn) % 6 AS k, text FROM conversations), x AS (
+    SELECT doc_id, k, text AS message, 0 AS item, 'high' AS sev, 80 AS c, '' AS m FROM it WHERE k = 0 UNION ALL SELECT doc_id, k, text, 1, 'medium', 20, '' FROM it WHERE k = 0 UNION ALL SELECT doc_id, k, text, 0, 'low', 50, '' FROM it WHERE k = 1
+    UNION ALL SELECT doc_id, k, text, 0, 'medium', 55, '' FROM it WHERE k = 2 UNION ALL SELECT doc_id, k, text, 1, 'low', 60, '' FROM it WHERE k = 2 UNION ALL SELECT doc_id, k, text, 0, 'high', 70, '' FROM it WHERE k = 3
+    UNION ALL SELECT doc_id, k, text, 0, 'high', 70, '' FROM it WHERE k = 4 UNION ALL SELECT doc_id, k, 'No rule', 1, 'medium', 50, 'rule_id,severity,recommendation' FROM it WHERE k = 4)
 """
-Q["s16_reply_items"] = (lambda s, d: L.reply_items(replies(s, d)).select("doc_id", "item"), _REP + "SELECT doc_id, item FROM x")
+Q["s16_reply_items"] = (lambda s, d: L.reply_items(replies(s, d)).select("doc_id", "item", *[F.get_json_object("json", f"$.{k}").alias(k) for k in ("message", "category")]),
+                        _REP + "SELECT doc_id, item, message, CASE WHEN message = 'No rule' THEN 'logic' ELSE 'writing' END AS category FROM x")
 Q["l06_validated_items"] = (
-    lambda s, d: L.validated_items(L.reply_items(replies(s, d))).select("doc_id", "item", "severity", "confidence", "missing", "reply_valid"),
-    _REP + "SELECT doc_id, item, sev AS severity, c AS confidence, m AS missing, doc_id % 6 <> 4 AS reply_valid FROM x")
+    lambda s, d: L.validated_items(L.reply_items(replies(s, d))).select("doc_id", "item", "message", "severity", "confidence", "missing", "reply_valid"),
+    _REP + "SELECT doc_id, item, message, sev AS severity, c AS confidence, m AS missing, k <> 4 AS reply_valid FROM x")
 Q["l07_valid_fixes"] = (
     lambda s, d: documents(s, d).select("doc_id", L.valid_fix(F.col("text"), F.when(F.col("doc_id") % 3 > 0, F.substring_index("text", "\n", 1)).otherwise(F.lit(""))).alias("valid")),
     "SELECT doc_id, text <> '' AND doc_id % 3 > 0 AND string_split(text, chr(10))[1] <> '' AS valid FROM documents")
@@ -127,9 +133,11 @@ Q["l11_model_chunks"] = (
     f"WITH RECURSIVE {RAW_SQL}, src AS (SELECT doc_id AS k, text FROM raw_docs WHERE length(text) > 6000), " + chunked("src", 4000, 300)
     + """ SELECT k AS doc_id, chunk, '' AS section, start AS start_char, stop AS end_char, substr(text, start + 1, stop - start) AS chunk_text FROM chunks
     UNION ALL SELECT doc_id, 0, '', 0, length(text), text FROM raw_docs WHERE length(text) <= 6000""")
+_MERGED = ["doc_id", "category", "rule_id", "severity", "message", "recommendation", "confidence"]
 Q["l11_merged_issues"] = (
-    lambda s, d: L.merged_issues(issue_table(s, d), L.validated_items(L.reply_items(replies(s, d)))).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "ai").alias("n_ai")),
-    iss() + ", rep AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS c FROM docs) SELECT * FROM (SELECT doc_id, coalesce(n_issues, 0) + c AS n, c AS n_ai FROM rep LEFT JOIN per_doc USING (doc_id)) WHERE n > 0")
+    lambda s, d: L.merged_issues(issue_table(s, d), L.validated_items(L.reply_items(replies(s, d)))).select(*_MERGED, (F.col("source") == "ai").alias("is_ai")),
+    iss() + _REP.replace("WITH it", ", it") + f"""SELECT {', '.join(_MERGED)}, FALSE AS is_ai FROM iss
+    UNION ALL SELECT doc_id, 'writing', 'ai.tone', sev, message, 'Vary it', c, TRUE FROM x WHERE k <> 4""")
 
 # --- O01-O08 on the event log ---------------------------------------------------------------------
 events = lambda s, d: s.read.parquet(f"{d}/events.parquet")

@@ -162,8 +162,8 @@ _PRI = f"row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, CASE WHEN auto
 _GAIN = "CASE severity WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 2 END"
 # seq differs where two issues of one rule share a line, so positions compare by severity and fix ease
 Q["i04_prioritized"] = (
-    lambda s, d: I.prioritized(reviewed(s, d)).select("doc_id", "priority", "severity", "auto_fixable"),
-    iss() + f"SELECT doc_id, {_PRI} AS priority, severity, autofix_allowed AS auto_fixable FROM iss")
+    lambda s, d: I.prioritized(reviewed(s, d)).select("doc_id", "priority", "rule_id", "severity", "auto_fixable"),
+    iss() + f"SELECT doc_id, {_PRI} AS priority, rule_id, severity, autofix_allowed AS auto_fixable FROM iss")
 Q["i05_summary"] = (
     lambda s, d: I.summary(I.unify(issue_table(s, d))),
     iss() + "SELECT doc_id, count(*) AS total, 0 AS critical, " + ", ".join(f"count(*) FILTER (WHERE severity = '{v}') AS {v}" for v in ("high", "medium", "low"))
@@ -174,8 +174,8 @@ Q["i06_strict_readiness"] = (
     lambda s, d: scored(s, d).select("doc_id", I.strict_readiness(F.col("score"), F.size(F.filter("issues", lambda i: i["severity"] == "critical"))).alias("readiness")),
     iss() + "SELECT doc_id, CASE WHEN score < 50 OR doc_id IN (SELECT doc_id FROM iss WHERE severity = 'critical') THEN 'draft' WHEN score < 70 THEN 'review_needed' WHEN score < 85 THEN 'almost_ready' ELSE 'ready' END AS readiness FROM totals")
 Q["i07_top_recommendations"] = (
-    lambda s, d: I.prioritized(reviewed(s, d), top=5).select("doc_id", "priority", "severity", "auto_fixable", "score_gain"),
-    iss() + f"SELECT * FROM (SELECT doc_id, {_PRI} AS priority, severity, autofix_allowed AS auto_fixable, {_GAIN} AS score_gain FROM iss) WHERE priority <= 5")
+    lambda s, d: I.prioritized(reviewed(s, d), top=5).select("doc_id", "priority", "rule_id", "severity", "auto_fixable", "score_gain"),
+    iss() + f"SELECT * FROM (SELECT doc_id, {_PRI} AS priority, rule_id, severity, autofix_allowed AS auto_fixable, {_GAIN} AS score_gain FROM iss) WHERE priority <= 5")
 _NODES = base() + f""", fig AS (SELECT DISTINCT doc_id, 'figure-' || number AS node_id FROM caps WHERE number IS NOT NULL AND starts_with(lower(whole), 'fig')),
 nref2 AS (SELECT doc_id, 'reference-' || (pos + 1) AS node_id FROM refs),
 men AS (SELECT DISTINCT doc_id, 'figure-' || unnest(regexp_extract_all(line, {q('(?i)' + W.FIGURE_REF)}, 1)) AS node_id FROM lines WHERE NOT {has('line', '^' + W.CAPTION, 'i')}),
@@ -221,8 +221,8 @@ Q["g04_insights"] = (
     CASE WHEN points >= 80 THEN '' ELSE (SELECT string_agg(rule_id, ',' ORDER BY seq) FROM iss i WHERE i.doc_id = c.doc_id AND i.category = c.category) END AS related_rules FROM cat_scores c WHERE points >= 80 OR points < 60
     UNION ALL SELECT doc_id, 'opportunity', 'general', n_fixable || ' Issues Can Be Auto-Fixed', 'high', '' FROM totals WHERE n_fixable > 0""")
 Q["g05_recommendations"] = (
-    lambda s, d: G.recommendations(scored(s, d)).select("doc_id", "priority", "severity", "estimated_gain"),
-    iss() + f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, seq) AS priority, severity, {_GAIN} AS estimated_gain FROM iss")
+    lambda s, d: G.recommendations(scored(s, d)).select("doc_id", "priority", "rule_id", "severity", "estimated_gain"),
+    iss() + f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, seq) AS priority, rule_id, severity, {_GAIN} AS estimated_gain FROM iss")
 # an issue id starts with its template up to the first slot; the longest start tells the issue
 _SOURCES = ", ".join(sorted({f"({q(v[1])}, {q(v[0].split('{')[0])}, {q(v[4])})" for v in ISSUES.values()}))
 Q["g06_issue_summary"] = (
@@ -241,8 +241,8 @@ Q["g09_rule_distribution"] = (
     lambda s, d: G.rule_distribution(issue_table(s, d)),
     iss() + "SELECT rule_id, count(*) AS n, round(count(*) / (max(count(*)) OVER ())::DOUBLE, 6) AS share_of_max FROM iss GROUP BY rule_id")
 Q["g10_top_confidence"] = (
-    lambda s, d: G.top_by_confidence(issue_table(s, d)).select("doc_id", "rank", "confidence"),
-    iss() + "SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, seq) AS rank, confidence FROM iss) WHERE rank <= 5")
+    lambda s, d: G.top_by_confidence(issue_table(s, d)).select("doc_id", "rank", "rule_id", "confidence"),
+    iss() + "SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, seq) AS rank, rule_id, confidence FROM iss) WHERE rank <= 5")
 Q["g11_effort"] = (
     lambda s, d: G.effort(scored(s, d)),
     iss() + """SELECT c.doc_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY points, pos) AS position, category, points AS category_score, CASE WHEN points < 60 THEN 'high' WHEN points < 80 THEN 'medium' ELSE 'low' END AS priority,
