@@ -304,7 +304,8 @@ def chunk_array(text: Column, size: int, overlap: int) -> Column:
 
             return F.when(acc["done"], acc).otherwise(rx.let(stop(acc["start"]), after))
 
-        steps = F.floor(n / max(2, size - REACH - overlap)).cast("int") + 1
+        least = max(1, min(size - overlap, max(2, size - REACH - overlap)))  # characters from one start to the next
+        steps = F.floor(n / least).cast("int") + 1
         zero = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<struct<start:int,end:int>>").alias("all"))
         spans = F.aggregate(F.sequence(F.lit(1), steps), zero, step, lambda acc: acc["all"])
         return F.transform(spans, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _part(pieces, c["start"], c["end"]).alias("body")))

@@ -44,10 +44,9 @@ def paragraphs(text: Column) -> Column:
 def missing_transition(d: Doc, cfg: dict) -> Column:
     def judge(sized: Column) -> Column:
         starts = lambda p: F.exists(rx.strings(W.TRANSITIONS), lambda w: F.startswith(F.lower(p["first"]), w))
-        before = lambda p: F.aggregate(F.slice(sized, F.lit(1), p["i"]), F.lit(0), lambda acc, x: acc + x["n"])
         abrupt = F.filter(sized, lambda p: (p["i"] > 0) & (p["n"] >= cfg["min_paragraph_lines"]) & ~starts(p))
-        return F.transform(abrupt, lambda p: issue(
-            "transition", line=before(p) + 1, index=p["i"], position=p["i"] + 1, excerpt=cut(F.lower(p["first"]))))
+        return rx.let(rx.running(F.transform(sized, lambda p: p["n"])), lambda ends: F.transform(abrupt, lambda p: issue(
+            "transition", line=(F.get(ends, p["i"] - 1) + 1).cast("int"), index=p["i"], position=p["i"] + 1, excerpt=cut(F.lower(p["first"])))))
 
     return rx.let(
         F.transform(paragraphs(d.text), lambda g, i: F.struct(

@@ -67,7 +67,7 @@ def test_validation_of_an_empty_document(spark):
 TEXTS = ["", "short", "# A\n" + "one two. " * 60 + "\n## B\n\n" + "x" * 900 + "\n### C\ny\n" * 30, "é😀 " * 400, "a.\n\n\nb! " * 200, "\n" * 700, "pre\n# H\n# I\nbody"]
 
 
-@pytest.mark.parametrize("size,overlap", [(600, 50), (700, 150), (40, 10)])
+@pytest.mark.parametrize("size,overlap", [(600, 50), (700, 150), (40, 10), (50, 49)])
 def test_chunks_cover_the_text_and_end_at_breaks(spark, size, overlap):
     rows = DOC.boundary_chunks(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), size, overlap).orderBy("doc_id", "chunk").collect()
     import re

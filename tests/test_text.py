@@ -11,21 +11,22 @@ def texts(spark, *rows):
     return spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")
 
 
-def test_chunks_cover_the_text_and_move_forward():
+def test_chunks_cover_the_text_and_move_forward(spark):
     text = ("# Head\n" + "Some words here. More words follow!\n\n" * 40) * 3
     for size, overlap in ((200, 20), (1000, 100), (50, 49)):
-        spans = DOC.split_at_boundaries(text, size, overlap)
+        spans = [(r.start_char, r.end_char) for r in DOC.boundary_chunks(texts(spark, text), size, overlap).orderBy("chunk").collect()]
         assert spans[0][0] == 0 and spans[-1][1] == len(text)
         for (a, b), (c, d) in zip(spans, spans[1:]):
             assert a < c <= b and b - a <= size
 
 
-def test_sections_partition_the_text():
+def test_sections_partition_the_text(spark):
     text = "intro\n# A\nbody\n#### not a section\n## B\nend"
-    spans = DOC.section_spans(text)
-    assert "".join(text[a:b] for a, b, _ in spans) == text
-    assert [n for _, _, n in spans] == ["document-start", "A", "B"]
-    assert DOC.section_spans("# A\nx") == [(0, 5, "A")]
+    rows = DOC.section_chunks(texts(spark, text, "# A\nx")).orderBy("doc_id", "chunk").collect()
+    first = [r for r in rows if r.doc_id == 0]
+    assert "".join(text[r.start_char:r.end_char] for r in first) == text
+    assert [r.section for r in first] == ["document-start", "A", "B"]
+    assert [(r.start_char, r.end_char, r.section) for r in rows if r.doc_id == 1] == [(0, 5, "A")]
 
 
 def test_sentences_keep_abbreviations(spark):
