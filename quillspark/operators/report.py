@@ -20,7 +20,8 @@ LABELS = {
         "high": "High", "medium": "Medium", "low": "Low", "overview": "Document Overview", "metric": "Metric",
         "value": "Value", "pages": "Pages", "words": "Words", "headings": "Headings", "references": "References",
         "issues": "Issues", "rule": "Rule", "evidence": "Evidence", "recommendation": "Recommendation",
-        "auto_fixable": "Auto-fixable",
+        "auto_fixable": "Auto-fixable", "critical": "Critical", "paragraphs": "Paragraphs", "tables": "Tables",
+        "figures": "Figures", "generated": "Generated by the document review",
     },
     "vi": {
         "title": "Báo cáo Chất lượng", "profile": "Hồ sơ", "overall": "Điểm tổng thể", "status": "Trạng thái",
@@ -33,15 +34,20 @@ LABELS = {
         "high": "Cao", "medium": "Trung bình", "low": "Thấp", "overview": "Tổng quan tài liệu", "metric": "Chỉ số",
         "value": "Giá trị", "pages": "Trang", "words": "Từ", "headings": "Tiêu đề", "references": "Tài liệu tham khảo",
         "issues": "Chi tiết vấn đề", "rule": "Quy tắc", "evidence": "Bằng chứng", "recommendation": "Khuyến nghị",
-        "auto_fixable": "Có thể tự sửa",
+        "auto_fixable": "Có thể tự sửa", "critical": "Nghiêm trọng", "paragraphs": "Đoạn", "tables": "Bảng",
+        "figures": "Hình", "generated": "Tạo bởi hệ thống đánh giá tài liệu",
     },
 }
+READY_ICONS = {"draft": "🟥", "review_needed": "🟧", "almost_ready": "🟨", "ready": "🟩"}
 
 
 def report(scored: DataFrame, language: str = "en") -> DataFrame:
-    """One Markdown text per document: header, overview, category scores with grade, severity counts, issues."""
+    """One Markdown text per document: header, overview, category scores with grade, severity counts, issues, footer.
+
+    Columns ``tables`` and ``figures``, where the rows have them, fill their lines of the overview.
+    """
     t = LABELS.get(language, LABELS["en"])
-    ready = F.create_map(*[F.lit(x) for k in ("draft", "review_needed", "almost_ready", "ready") for x in (k, t[k])])
+    ready = F.create_map(*[F.lit(x) for k in ("draft", "review_needed", "almost_ready", "ready") for x in (k, f"{READY_ICONS[k]} {t[k]}")])
 
     def score_line(e: Column) -> Column:
         grade = F.when(e["value"] >= 80, F.lit(f"🟢 {t['excellent']}")).when(e["value"] >= 65, F.lit(f"🟡 {t['good']}")).otherwise(
@@ -52,8 +58,8 @@ def report(scored: DataFrame, language: str = "en") -> DataFrame:
         n = F.size(F.filter("issues", lambda i: i["severity"] == name))
         return F.when(n > 0, F.concat(F.lit(f"| {icon} {t[name]} | "), n.cast("string"), F.lit(" |")))
 
-    severities = F.create_map(*[F.lit(x) for k in ("high", "medium", "low") for x in (k, t[k])])
-    icons = F.create_map(*[F.lit(x) for pair in (("high", "🟠"), ("medium", "🟡"), ("low", "🔵")) for x in pair])
+    severities = F.create_map(*[F.lit(x) for k in ("critical", "high", "medium", "low") for x in (k, t[k])])
+    icons = F.create_map(*[F.lit(x) for pair in (("critical", "🔴"), ("high", "🟠"), ("medium", "🟡"), ("low", "🔵")) for x in pair])
 
     def issue_text(i: Column) -> Column:
         badge = F.when(i["fix"], F.lit(f" 🔧 {t['auto_fixable']}")).otherwise(F.lit(""))
@@ -71,8 +77,9 @@ def report(scored: DataFrame, language: str = "en") -> DataFrame:
             F.array_join(F.transform(F.filter(found, lambda i: i["category"] == c), issue_text), "\n"))), "\n")
 
     words = rx.word_count(F.col("text"))
-    figures = [("pages", F.greatest(F.lit(1), F.floor(words / 300).cast("int"))), ("words", words),
-               ("headings", F.size("headings")), ("references", F.size("refs"))]
+    paragraphs = F.size(F.filter(F.split("text", "\n\n", -1), lambda p: rx.strip(p) != ""))
+    figures = [("pages", F.greatest(F.lit(1), F.floor(words / 300).cast("int"))), ("words", words), ("paragraphs", paragraphs),
+               ("headings", F.size("headings")), *[(c, F.col(c)) for c in ("tables", "figures") if c in scored.columns], ("references", F.size("refs"))]
     overview = F.concat(
         F.lit(f"\n## {t['overview']}\n\n| {t['metric']} | {t['value']} |\n|---|---:|"),
         *[x for name, n in figures for x in (F.lit(f"\n| {t[name]} | "), n.cast("string"), F.lit(" |"))])
@@ -87,10 +94,11 @@ def report(scored: DataFrame, language: str = "en") -> DataFrame:
         F.array_join(F.transform(F.map_entries("category_scores"), score_line), "\n"),
         F.lit(f"\n## {t['summary']}\n\n| {t['severity']} | {t['count']} |\n|---|---:|"),
         F.when(F.size("issues") > 0, F.array_join(F.array_compact(F.array(
-            severity_line("high", "🟠"), severity_line("medium", "🟡"), severity_line("low", "🔵"))), "\n")).otherwise(
+            severity_line("critical", "🔴"), severity_line("high", "🟠"), severity_line("medium", "🟡"), severity_line("low", "🔵"))), "\n")).otherwise(
             F.lit(f"✅ {t['no_issues']}")),
         F.concat(F.lit(f"\n**{t['autofixable']}:** {before}"), F.col("n_fixable").cast("string"), F.lit(after)),
         F.when(F.size("issues") > 0, F.concat(
             F.lit(f"\n## {t['issues']}\n\n"), rx.let(F.col("issues"), issue_list))).otherwise(F.lit("")),
+        F.lit(f"---\n_{t['generated']}_"),
     ]
     return scored.select("doc_id", F.array_join(F.array(*parts), "\n").alias("report"))

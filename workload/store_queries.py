@@ -235,8 +235,16 @@ Q["g07_next_steps"] = (
     UNION ALL SELECT doc_id, 'Apply ' || n_fixable || ' available auto-fixes to quickly improve your score' FROM totals WHERE n_fixable > 0
     UNION ALL SELECT doc_id, 'Focus on improving ' || category || ' quality (current: ' || points || '/100)' FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points, pos) AS rn FROM cat_scores) WHERE rn = 1 AND points < 70
     UNION ALL SELECT doc_id, 'Your document is nearly ready. Review remaining issues and submit when satisfied.' FROM totals WHERE score >= 85""")
-Q["g08_report"] = (lambda s, d: R.report(scored(s, d)), None)
-Q["g08_report_vi"] = (lambda s, d: R.report(scored(s, d), "vi"), None)
+
+
+def counted(s, d):
+    """Scored reviews with the tables and figures of their documents."""
+    stats = DOC.document_stats(parse(drafts(s, d)), blocks(s, d)).select("doc_id", "tables", "figures")
+    return scored(s, d).join(stats, "doc_id")
+
+
+Q["g08_report"] = (lambda s, d: R.report(counted(s, d)), None)
+Q["g08_report_vi"] = (lambda s, d: R.report(counted(s, d), "vi"), None)
 Q["g09_rule_distribution"] = (
     lambda s, d: G.rule_distribution(issue_table(s, d)),
     iss() + "SELECT rule_id, count(*) AS n, round(count(*) / (max(count(*)) OVER ())::DOUBLE, 6) AS share_of_max FROM iss GROUP BY rule_id")
