@@ -24,11 +24,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays, the one of the smallest doc_id.
 
-    Rows of one doc_id are one document, of which one row stays; rows with a null doc_id all stay.
+    Rows of one doc_id and one text are one document, of which one row stays; other texts of that doc_id go only if they are
+    copies themselves. Rows with a null doc_id all stay. Texts of one doc_id are told apart by a hash of 64 bits.
     """
     docs = docs.select(*COLUMNS)
-    kept = minhash.near_duplicates(docs.select("doc_id", "text"), size=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    own = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = minhash.survivors(docs.select("doc_id", "text"), size=5, percent=80)
+    own = docs.where("doc_id IS NOT NULL").withColumn("mark", F.xxhash64("text")).join(kept, ["doc_id", "mark"], "left_semi")
+    own = own.dropDuplicates(["doc_id", "mark"]).drop("mark")
     return own.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 
 

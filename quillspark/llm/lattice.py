@@ -126,7 +126,8 @@ def near_duplicates(
     Null, empty and zero vectors and those with null or non-finite components link with nothing. Equal vectors of one label are
     compared once and counted as often as they occur. A cell of any size is compared whole, in blocks of `side` vectors
     on different tasks; `scale` is the most, see scale_for. A pair that meets in several cells counts in the smallest of its first table. Repeated rows
-    of one vec_id count as rows of their own; an empty table gives no rows.
+    of one vec_id count as rows of their own, and so do different vectors of one vec_id; rows with a null vec_id link like
+    others and are kept; an empty table gives no rows.
     """
     kind = vectors.schema["embedding"].dataType.elementType
     clean = vectors.select("vec_id", "label", "embedding")
@@ -136,7 +137,8 @@ def near_duplicates(
     keyed = clean.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x)))
     keyed = keyed.withColumn("same", F.when(F.col("fit"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("embedding").cast("array<string>")), 256)))
     kinds = written(keyed.where("fit").groupBy("same").agg(
-        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "vectors")
+        F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+        .withColumn("id", F.monotonically_increasing_id()), "vectors")
     kinds = kinds.withColumn("kind", F.xxhash64(F.col("label").cast("string"), F.size("embedding")))
 
     def shape(width: int):
@@ -163,11 +165,12 @@ def near_duplicates(
     found = written(full.mapInArrow(_compared(cosine, shape, probes), "a long, links long, b long"), "found")
     linked = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
-    per_kind = (kinds.select("same", "id", "n").join(counts, F.col("id") == F.col("a"), "left").join(linked, F.col("id") == F.col("node"), "left")
-                .select("same", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    per_kind = (kinds.select("same", "id", "name", "n").join(counts, F.col("id") == F.col("a"), "left").join(linked, F.col("id") == F.col("node"), "left")
+                .select("same", "name", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("group")))
+    per_kind = per_kind.join(per_kind.groupBy("group").agg(F.min("name").alias("component_id")), "group").drop("group", "name")
     out = keyed.select("vec_id", "same").join(per_kind, "same", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def _by_width(batch: pa.RecordBatch):

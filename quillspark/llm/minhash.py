@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .groups import runs
 from .store import written
-from .text import LOWER, NOT_BLANK, bounds, fingerprints, mix, pair, raw, slices, words
+from .text import LOWER, NOT_BLANK, bounds, fingerprints, mix, pair, raw, released, slices, unpacked, words
 
 SIDE = 512  # members that one task compares with a pivot
 MISS = 1e-6  # the most pairs, as a share, that the match threshold may lose at the similarity asked for
@@ -81,7 +81,7 @@ def _lists(signatures: np.ndarray) -> pa.ListArray:
 
 
 def signed(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
-    """(doc_id, n_shingles, key, key2, signature, packed): the set's size, fingerprint and minima, and the text's bytes compressed."""
+    """(doc_id, mark, n_shingles, key, key2, signature, packed): a hash of the text, the set's size, fingerprint and minima, and the text's bytes compressed."""
     one, two = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 
     def sign(batches):
@@ -98,11 +98,11 @@ def signed(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
                 texts = [packer.compress(t.encode("utf-8", "surrogatepass")) if c else None
                          for t, c in zip(part.column("text").to_pylist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(key2.astype(np.int64)), _lists(minima(value, at, coordinates)), pa.array(texts, pa.binary())],
-                    ["doc_id", "n_shingles", "key", "key2", "signature", "packed"])
+                    [part.column("doc_id"), part.column("mark"), pa.array(n.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(key2.astype(np.int64)), _lists(minima(value, at, coordinates)), pa.array(texts, pa.binary())],
+                    ["doc_id", "mark", "n_shingles", "key", "key2", "signature", "packed"])
 
-    return docs.selectExpr("cast(doc_id AS bigint) doc_id", "text").mapInArrow(
-        sign, "doc_id long, n_shingles long, key long, key2 long, signature array<long>, packed binary")
+    return docs.selectExpr("cast(doc_id AS bigint) doc_id", "xxhash64(text) mark", "text").mapInArrow(
+        released(sign), "doc_id long, mark long, n_shingles long, key long, key2 long, signature array<long>, packed binary")
 
 
 def _prefixes(kinds: DataFrame, matches: int) -> DataFrame:
@@ -130,17 +130,15 @@ def _open(posted: DataFrame, groups: DataFrame) -> DataFrame:
 def _shingled(ids: DataFrame, table: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
     """(id, n, value): every shingle of the ids."""
     def all_of(batches):
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                texts = pa.array([unpack.decompress(t).decode("utf-8", "surrogatepass") for t in part.column("packed").to_pylist()], pa.large_string())
-                value, at = shingles(texts, size)
+            for first, end, texts in unpacked(batch.column("packed")):
+                part = batch.slice(first, end - first)
+                value, at = shingles(pa.array(texts, pa.large_string()), size)
                 n = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(part.column("id").to_numpy(), n)), pa.array(np.repeat(n, n).astype(np.int64)), pa.array(value.astype(np.int64))], ["id", "n", "value"])
 
-    return _texts(ids, table, kinds).mapInArrow(all_of, "id long, n long, value long")
+    return _texts(ids, table, kinds).mapInArrow(released(all_of), "id long, n long, value long")
 
 
 def _across(ids: DataFrame, groups: DataFrame, table: DataFrame, kinds: DataFrame, size: int, percent: int) -> DataFrame:
@@ -168,9 +166,9 @@ def _across(ids: DataFrame, groups: DataFrame, table: DataFrame, kinds: DataFram
 
 def _texts(ids: DataFrame, table: DataFrame, kinds: DataFrame) -> DataFrame:
     """(id, packed): the compressed text of each id."""
-    own = kinds.join(ids, "id", "left_semi").select("id", "key", "key2")
-    return (table.where("packed IS NOT NULL").select(F.col("doc_id").alias("id"), "key", "key2", "packed")
-            .join(own, ["id", "key", "key2"]).select("id", "packed").dropDuplicates(["id"]))
+    own = kinds.join(ids, "id", "left_semi").select("id", F.col("name").alias("doc_id"), "key", "key2")
+    return (table.where("packed IS NOT NULL").select("doc_id", "key", "key2", "packed")
+            .join(own, ["doc_id", "key", "key2"]).select("id", "packed").dropDuplicates(["id"]))
 
 
 def _agreeing(pairs: DataFrame, kinds: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -192,13 +190,12 @@ def _confirmed(pairs: DataFrame, table: DataFrame, kinds: DataFrame, size: int,
     full = wanted.join(texts, "id").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def confirm(batches):
-        unpack, head, held = zstandard.ZstdDecompressor(), None, None
+        head, held = None, None
         for group in runs(batches, ["a", "part", "role"]):
             for batch in group.to_batches():
-                for i in range(0, batch.num_rows, 256):
-                    part = batch.slice(i, 256)
-                    texts = pa.array([unpack.decompress(t).decode("utf-8", "surrogatepass") for t in part.column("packed").to_pylist()], pa.large_string())
-                    value, at = shingles(texts, size)
+                for first, end, texts in unpacked(batch.column("packed")):
+                    part = batch.slice(first, end - first)
+                    value, at = shingles(pa.array(texts, pa.large_string()), size)
                     if part.column("role")[0].as_py() == 0:
                         head, held = (part.column("a")[0].as_py(), part.column("part")[0].as_py()), value[at[0] : at[1]]
                         continue
@@ -209,23 +206,25 @@ def _confirmed(pairs: DataFrame, table: DataFrame, kinds: DataFrame, size: int,
                     links = 100 * shared >= percent * (n + held.size - shared)
                     yield pa.RecordBatch.from_arrays([part.column("a"), part.column("id")], ["a", "b"]).filter(pa.array(links))
 
-    return full.mapInArrow(confirm, "a long, b long").distinct()
+    return full.mapInArrow(released(confirm), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 32) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 32) -> DataFrame:
+    """(doc_id, mark, n_shingles, group, component_id) of every row of docs (doc_id, text).
 
     Words are runs of anything but blanks, A-Z lower-cased. A text of fewer than `size` words, but not none, has the
     whole sequence as its one shingle. Null, empty and blank texts have no shingle and link with nothing. Documents
     link when 100 * intersection >= percent * union; equal sets are linked without being paired. component_id is the
-    smallest doc_id reachable. Rows of one doc_id count as one document; rows with a null doc_id stay alone. An empty
-    table gives no rows. The match
+    smallest doc_id reachable. Rows of one doc_id with different texts are linked by their own texts only; rows with a
+    null doc_id stay alone. An empty table gives no rows. mark is a hash of the text. group is a number of the rows linked,
+    null for rows that link with nothing; it may differ between runs. The match
     threshold follows from `percent`: a pair of just that similarity fails it once in a million.
     """
     matches = matches_for(percent, coordinates)
     table = written(signed(docs, size, coordinates), "signed", "snappy")
     kinds = written(table.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key", "key2").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "kinds", "snappy")
+        F.min("doc_id").alias("name"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+        .withColumn("id", F.monotonically_increasing_id()), "kinds", "snappy")
     prefix = written(_prefixes(kinds, matches), "prefix", "snappy")
     ends = prefix.groupBy("place", "value").agg(F.count(F.lit(1)).alias("long"), F.min("id").alias("first"), F.max("id").alias("last")).where("long > 1").drop("long")
     posted = written(prefix.join(ends, ["place", "value"]), "posted", "snappy")
@@ -241,7 +240,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     if not rest.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    named = kinds.join(groups, F.col("id") == F.col("node"), "left").select("key", "key2", F.coalesce("component", "id").alias("component_id"))
-    out = table.select("doc_id", "n_shingles", *(F.when(F.col("n_shingles") > 0, F.col(k)).alias(k) for k in ("key", "key2")))
-    out = out.join(named, ["key", "key2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = kinds.join(groups, F.col("id") == F.col("node"), "left").select("key", "key2", "name", F.coalesce("component", "id").alias("group"))
+    named = named.join(named.groupBy("group").agg(F.min("name").alias("component_id")), "group").drop("name")
+    out = table.select("doc_id", "mark", "n_shingles", *(F.when(F.col("n_shingles") > 0, F.col(k)).alias(k) for k in ("key", "key2")))
+    known = F.col("doc_id").isNotNull()
+    return out.join(named, ["key", "key2"], "left").select(
+        "doc_id", "mark", "n_shingles", F.when(known, F.col("group")).alias("group"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 32) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs, see grouped(); rows with a null doc_id are kept."""
+    return (grouped(docs, size, percent, coordinates).select("doc_id", "n_shingles", "component_id")
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def survivors(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 32) -> DataFrame:
+    """(doc_id, mark), each once: of every group the row of the smallest doc_id (of several texts of that id, the one of the
+    smallest hash), and every row without shingles. Rows with a null doc_id are not among them."""
+    rows = grouped(docs, size, percent, coordinates).where("doc_id IS NOT NULL")
+    of_groups = rows.where("group IS NOT NULL AND doc_id = component_id").groupBy("group", "doc_id").agg(F.min("mark").alias("mark"))
+    return of_groups.select("doc_id", "mark").unionByName(rows.where("group IS NULL").select("doc_id", "mark").distinct())

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import aliased, written
 
 STEPS = 40  # halvings of the exponent's range
 
@@ -116,10 +116,10 @@ def mixed(docs: DataFrame, share: float = 1.0, entropy: float = 0.95, repeats: f
     The budget is `share` of all tokens. Whole epochs take every document of a source. The last epoch takes whole blocks
     in its order while they fit, and of the first block that does not fit the documents, by hash and then doc_id, whose running
     sum of tokens fits. A null source is a source of its own; documents without tokens come with every whole epoch of
-    their source, and sources without tokens are left out. Columns named like an output are replaced. Empty tables give
-    no rows.
+    their source, and sources without tokens are left out. Columns named like an output are replaced, all others stay. Empty
+    tables give no rows.
     """
-    docs = docs.drop("n_tokens", "epoch", "block", "place")
+    docs, names = aliased(docs.drop("n_tokens", "epoch", "block", "place"), "doc_id", "source", "text")
     sized = token_shares(docs)
     per_source, placed = plan(sized.select("doc_id", "source", "n_tokens"), share, entropy, repeats)
     blocked = _blocked(sized, per_source)
@@ -131,4 +131,4 @@ def mixed(docs: DataFrame, share: float = 1.0, entropy: float = 0.95, repeats: f
     running = F.sum("n_tokens").over(
         Window.partitionBy("source", "block").orderBy(_hash(F.col("doc_id"), F.col("epoch")), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     torn = torn.withColumn("running", running).where("before + running <= part").drop("running")
-    return whole.unionByName(torn).select(*docs.columns, "n_tokens", "epoch", "block", "place")
+    return whole.unionByName(torn).select(*docs.columns, "n_tokens", "epoch", "block", "place").withColumnsRenamed(names)

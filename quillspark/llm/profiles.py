@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import slices
+from .text import released, slices
 
 EDGE = 32  # stands for everything that is no letter; a run of it is one
 _LETTER: list[np.ndarray] = []
@@ -56,7 +56,7 @@ def learn(docs: DataFrame, size: int = 300) -> DataFrame:
             keys, counts = _added(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * keys.size, pa.string()), pa.array(keys), pa.array(counts)], ["lang", "gram", "n"])
 
-    counts = docs.where("lang IS NOT NULL").select("lang", "text").mapInArrow(counted, "lang string, gram long, n long")
+    counts = docs.where("lang IS NOT NULL").select("lang", "text").mapInArrow(released(counted), "lang string, gram long, n long")
     by = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return (counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
             .withColumn("place", F.row_number().over(by)).where(F.col("place") <= size).select("lang", "gram", "place"))
@@ -92,7 +92,7 @@ def identify(docs: DataFrame, profiles: DataFrame, size: int = 300) -> DataFrame
                 part = part.append_column("lang_pred", pa.array([x for x, _ in found], pa.string()))
                 yield part.append_column("score", pa.array([s for _, s in found], pa.float64()))
 
-    return docs.mapInArrow(predict, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return docs.mapInArrow(released(predict), docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
 
 
 def _nearest(text, langs, keys, places, size):

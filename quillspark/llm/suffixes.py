@@ -1,9 +1,9 @@
-"""Removal of long repeated byte strings with a logarithmic family of sampled suffix arrays.
+"""Removal of long repeated byte strings with a logarithmic family of levels of sampled suffixes.
 
-Documents come in batches. A batch's suffix array holds its sampled suffixes (see anchors.py), dealt by key and sorted:
-by their first bytes, then by fingerprints. It is merge-scanned against
-itself and the existing levels for suffixes that agree on a whole gram; equal-sized levels merge in the same pass, so a
-suffix is rewritten once per doubling.
+Documents come in batches. A batch's level holds its sampled suffixes (see anchors.py) as keys and contexts with counts,
+grouped by key; it keeps neither positions nor suffix order, so these are no suffix arrays in the strict sense. Equal-sized
+levels are merged by grouping, so a suffix is rewritten once per doubling, and all levels are merged at the end of a call.
+Strings are compared by fingerprints of 64 bits.
 A run of strings whose whole context occurs twice is repeated; where only a part of two contexts agrees, one text of each
 context is fetched and its strings of `length` bytes are sorted within their key, neighbours that are equal being repeated.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .anchors import Prefixes, anchors
 from .groups import whole_runs
-from .store import discard, fresh, written
-from .text import raw, slices
+from .store import aliased, discard, fresh, written
+from .text import raw, released, slices, unpacked
 
 GROUP = 5_000  # contexts of one key that a task compares; the strings of a larger key are dealt one by one
 
@@ -29,7 +29,7 @@ ROW = ["doc_id", "rid"]
 
 
 class Family:
-    """Suffix arrays of levels whose sizes are powers of two batches: (key, context, n, kinds, hit), sorted within parts dealt by key.
+    """Levels of sampled suffixes whose sizes are powers of two batches: (key, context, n, kinds, hit), sorted within parts dealt by key.
 
     n counts a context, kinds the contexts of its key; hit says that the key's suffixes occur more than once.
     """
@@ -38,10 +38,9 @@ class Family:
         self.levels: dict[int, DataFrame] = {}
 
     def add(self, suffixes: DataFrame) -> None:
-        """Takes a batch of suffixes (key, context): its array is merge-scanned against the levels of its size, one after the other.
+        """Takes a batch of suffixes (key, context): its level is merged with the levels of its size, one after the other.
 
-        A scan and a merge are one pass over both arrays. A larger level is scanned when an array of its size has
-        grown, or by repeated().
+        A larger level is merged when one of its size has grown, or by repeated().
         """
         run = written(_scanned(suffixes.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"))), "run")
         size = 1
@@ -66,7 +65,7 @@ class Family:
 
 
 def _scanned(rows: DataFrame) -> DataFrame:
-    """Rows (key, context, n) in order, with what their neighbours of one key tell."""
+    """Rows (key, context, n) with what the rows of one key tell together."""
     by = Window.partitionBy("key")
     return rows.withColumns({"kinds": F.count(F.lit(1)).over(by), "hit": F.sum("n").over(by) > 1})
 
@@ -86,7 +85,7 @@ def suffix_rows(docs: DataFrame, length: int) -> DataFrame:
                      pa.array((last - begin).astype(np.int32)), pa.array(key), pa.array(context)],
                     [*ROW, "first", "last", "key", "context"])
 
-    return docs.select(*ROW, "text").mapInArrow(find, _typed(docs, "first int, last int, key long, context long"))
+    return docs.select(*ROW, "text").mapInArrow(released(find), _typed(docs, "first int, last int, key long, context long"))
 
 
 def _typed(docs: DataFrame, more: str) -> str:
@@ -104,7 +103,7 @@ def _packed(docs: DataFrame, others: list[str]) -> DataFrame:
                 at = part.schema.get_field_index("text")
                 yield part.set_column(at, "text", pa.array(texts, pa.binary()))
 
-    return docs.select(*others, "text").mapInArrow(pack, docs.select(*others, F.col("text").cast("binary").alias("text")).schema)
+    return docs.select(*others, "text").mapInArrow(released(pack), docs.select(*others, F.col("text").cast("binary").alias("text")).schema)
 
 
 def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -119,7 +118,9 @@ def _contexts(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     def fetch(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in batch.to_pylist():
+            kept = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("rid", pa.int64()), ("first", pa.int32()), ("width", pa.int32()),
+                              ("whole", pa.bool_()), ("kinds", pa.int64()), ("key", pa.int64()), ("bytes", pa.binary())])
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
                 text = unpack.decompress(row["text"])
                 own = row["asked"]
                 yield pa.RecordBatch.from_pylist(
@@ -127,11 +128,8 @@ def _contexts(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                       "kinds": a["kinds"], "key": a["key"], "bytes": text[a["first"] : a["last"] + length]} for a in own], schema=kept)
 
     schema = _typed(texts, "first int, width int, whole boolean, kinds long, key long, bytes binary")
-    ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[texts.schema["doc_id"].dataType.simpleString()]
-    kept = pa.schema([("doc_id", ids), ("rid", pa.int64()), ("first", pa.int32()), ("width", pa.int32()), ("whole", pa.bool_()),
-                      ("kinds", pa.int64()), ("key", pa.int64()), ("bytes", pa.binary())])
     per_text = asked.groupBy(*ROW).agg(F.collect_list(F.struct("first", "last", "whole", "kinds", "key")).alias("asked"))
-    return _joined(texts.select(*ROW, "text"), per_text, "inner").mapInArrow(fetch, schema)
+    return _joined(texts.select(*ROW, "text"), per_text, "inner").mapInArrow(released(fetch), schema)
 
 
 def _strings(table: pa.Table, length: int):
@@ -183,8 +181,8 @@ def _partly(contexts: DataFrame, length: int) -> DataFrame:
                 [*(table.column(c).take(rows) for c in (*ROW, "key", "whole")), start, pa.array(print_.astype(np.int64))], [*ROW, "key", "whole", "start", "print"]).to_batches()
 
     typed = _typed(contexts, "start int, stop int")
-    few = contexts.where(F.col("kinds") <= GROUP).repartition("key").sortWithinPartitions("key").mapInArrow(compare, typed)
-    each = contexts.where(F.col("kinds") > GROUP).mapInArrow(dealt, _typed(contexts, "key long, whole boolean, start int, print long"))
+    few = contexts.where(F.col("kinds") <= GROUP).repartition("key").sortWithinPartitions("key").mapInArrow(released(compare), typed)
+    each = contexts.where(F.col("kinds") > GROUP).mapInArrow(released(dealt), _typed(contexts, "key long, whole boolean, start int, print long"))
     twice = each.groupBy("key", "print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     many = each.where("NOT whole").join(twice, ["key", "print"]).select(*ROW, "start", (F.col("start") + length).cast("int").alias("stop"))
     return few.unionByName(many)
@@ -222,32 +220,33 @@ def without_repeats(docs: DataFrame, length: int = 200, batches: int = 4, text:
     A byte goes if it is in a string of `length` bytes that starts anywhere else, in the same text or another; overlaps
     count, and strings are judged on the texts as they come. Repeated rows are copies of each other. Null texts are
     empty (and stay null if `text`); texts under `length` bytes stay whole. Cut texts keep whole characters: a character
-    that would be cut through stays. Columns named like an output are replaced; an empty table gives no rows.
+    that would be cut through stays. Columns named like an output are replaced, all others stay; doc_id
+    may be of any type that has an order. An empty table gives no rows.
     """
     added = ["n_removed"] if text else ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    docs = docs.drop(*added, "rid", "spans")
+    docs, names = aliased(docs.drop(*added), "doc_id", "text")
     others = [c for c in docs.columns if c != "text"]
     keyed = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     full = _joined(_packed(keyed, [*others, "rid"]), repeated_spans(keyed, length, batches), "left").select(*others, "text", "spans")
     kinds = {"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.lit("")}
     out = docs.select(*docs.columns if text else others, *(kinds[a].alias(a) for a in added))
 
-    names = out.columns
+    order = out.columns
 
     def finish(batches):
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            found = [_cut(None if t is None else unpack.decompress(t), spans, text)
-                     for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            columns = {c: batch.column(c) for c in others}
-            if text:
-                columns["text"] = pa.array([f[4] for f in found], pa.string())
-            for name, i in (("n_bytes", 0), ("n_removed", 1), ("n_spans", 2)):
-                columns[name] = pa.array([f[i] for f in found], pa.int64())
-            columns["kept_sha256"] = pa.array([f[3] for f in found], pa.string())
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
-
-    return full.mapInArrow(finish, out.schema)
+            for first, end, texts in unpacked(batch.column("text")):
+                part = batch.slice(first, end - first)
+                found = [_cut(None if t is None else t.encode("utf-8", "surrogatepass"), s.as_py(), text) for t, s in zip(texts, part.column("spans"), strict=True)]
+                columns = {c: part.column(c) for c in others}
+                if text:
+                    columns["text"] = pa.array([f[4] for f in found], pa.string())
+                for name, i in (("n_bytes", 0), ("n_removed", 1), ("n_spans", 2)):
+                    columns[name] = pa.array([f[i] for f in found], pa.int64())
+                columns["kept_sha256"] = pa.array([f[3] for f in found], pa.string())
+                yield pa.RecordBatch.from_arrays([columns[c] for c in order], order)
+
+    return full.mapInArrow(released(finish), out.schema).withColumnsRenamed(names)
 
 
 def _cut(data: bytes | None, spans: list[dict] | None, text: bool) -> tuple:

@@ -6,10 +6,12 @@ length never collide and longer ones do with probability about 2**-64 a pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 SLICE_BYTES = 1 << 20
 
@@ -54,6 +56,37 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         first = last
 
 
+def released(step: Callable) -> Callable:
+    """A task function that gives freed memory back to the system when its task ends: workers are used again, and idle ones would keep their peak."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
+def unpacked(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
+    """First row, end and texts of row ranges of a column of compressed texts, in about `limit` bytes of text; a longer text comes alone."""
+    unpack, first, texts, size = zstandard.ZstdDecompressor(), 0, [], 0
+    for i in range(len(column)):
+        packed = column[i].as_py()
+        text = None if packed is None else unpack.decompress(packed)
+        if texts and size + len(text or b"") > limit:
+            yield first, i, texts
+            first, texts, size = i, [], 0
+        texts.append(None if text is None else text.decode("utf-8", "surrogatepass"))
+        size += len(text or b"")
+    if texts:
+        yield first, len(column), texts
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes end to end and the offset of each text; null is empty."""
     column = column.fill_null("").cast(pa.large_string())

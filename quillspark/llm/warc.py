@@ -83,8 +83,8 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") ->
 def read(archives: DataFrame, split: int = 8 << 20) -> DataFrame:
     """The records of archives (path, bytes), by tasks over ranges of `split` bytes.
 
-    A record comes once, wherever ranges begin. Bytes that are no gzip member with a WARC header are passed over; a
-    damaged member is passed over too. payload is null in a revisit; payload_bytes and payload_digest are taken from
+    A record comes once, wherever ranges begin. Bytes that are no gzip member with a WARC header are passed over, and so
+    are damaged members and those whose Content-Length is no number or more than is there. A page number that is none is null. payload is null in a revisit; payload_bytes and payload_digest are taken from
     the payload read, stated_digest from the header.
     """
     begins = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("begin")
@@ -163,9 +163,12 @@ def _parsed(content: bytes) -> tuple | None:
     if not found:
         return None
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    block = rest[: int(fields.get("content-length", len(rest)))]
+    size = fields.get("content-length", str(len(rest)))
+    if not re.fullmatch("[0-9]{1,18}", size) or int(size) > len(rest):
+        return None
+    block = rest[: int(size)]
     kind, stated = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
-    number = lambda name: int(fields[name]) if name in fields else None
+    number = lambda name: int(fields[name]) if re.fullmatch("-?[0-9]{1,18}", fields.get(name, "")) else None
     payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
     return (kind, number("x-page-id"), fields.get("warc-target-uri"), number("x-refers-to-page-id"),
             None if payload is None else len(payload), None if payload is None else digest(payload), stated, payload)

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALPHANUMERIC, LOWER, bounds, fingerprints, pair, raw, slices, words
+from .store import aliased, written
+from .text import ALPHANUMERIC, LOWER, bounds, fingerprints, pair, raw, released, slices, words
 
 LANE = 64  # search positions of one lane; lanes of a slice advance together
 
@@ -103,11 +104,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, per_pas
 
     A word is hit inside any occurrence of a pattern; occurrences overlap freely. Null or empty texts have no words and
     are not contaminated; repeated rows and repeated items each count once a row; an empty benchmark hits nothing.
-    Columns of docs named like an output are replaced, others stay. At most `per_pass` patterns are broadcast at once:
-    a larger benchmark is searched in several passes of one task, each with its own part of the patterns.
+    Columns of docs named like an output are replaced, others stay; items with a null item_id are passed over. At most
+    `per_pass` patterns are broadcast at once: a larger benchmark is searched in several passes, each with its own part of
+    the patterns, and every pass but the last ends in a written table.
     """
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    docs = docs.drop(*added, "_spans", "_items")
+    docs, names = aliased(docs.drop(*added), "text")
     patterns = window_rows(benchmark, size)
     passes = max(1, -(-patterns.count() // per_pass))
     spark = docs.sparkSession
@@ -116,11 +118,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, per_pas
     for i in range(passes):
         part = patterns.where(F.pmod(F.crc32("pattern"), F.lit(passes)) == i)
         table = spark.sparkContext.broadcast(compiled([tuple(r) for r in part.collect()]))
-        out = out.mapInArrow(_search(table), schema)
+        if i < passes - 1:
+            out = written(out.mapInArrow(released(_search(table)), schema), "searched")
+            table.destroy()
     done = docs.withColumns({
         "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"),
         "items_sha256": F.lit(""), "contaminated": F.lit(False)})
-    return out.mapInArrow(_summary(docs.columns), done.schema)
+    search, summary = _search(table), _summary(docs.columns)
+    return out.mapInArrow(released(lambda batches: summary(search(batches))), done.schema).withColumnsRenamed(names)  # one worker a task
 
 
 def _search(table):
