@@ -23,3 +23,10 @@ def test_word_diff_leaves_in_slices():
     rows = [r for s in slices for r in s.to_pylist()]
     assert len(slices) > 1 and max(s.num_rows for s in slices) <= FX.ROWS
     assert rows == [dict(zip(slices[0].schema.names, r)) for i in range(300) for r in FX.diff_rows(i, "a b c " * 50, "a b d " * 50, "word")]
+
+
+def test_paragraph_diff_of_long_texts_leaves_in_slices():
+    long = "word " * 60_000
+    slices = FX.diffs(Frame(*[(i, f"{long}\n\nold", f"{long}\n\nnew") for i in range(12)]), "paragraph")
+    assert len(slices) == 7 and sum(s.num_rows for s in slices) == 36
+    assert [r["kind"] for r in slices[0].to_pylist()][:3] == ["same", "removed", "added"]
