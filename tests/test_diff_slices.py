@@ -30,3 +30,10 @@ def test_paragraph_diff_of_long_texts_leaves_in_slices():
     slices = FX.diffs(Frame(*[(i, f"{long}\n\nold", f"{long}\n\nnew") for i in range(12)]), "paragraph")
     assert len(slices) == 7 and sum(s.num_rows for s in slices) == 36
     assert [r["kind"] for r in slices[0].to_pylist()][:3] == ["same", "removed", "added"]
+
+
+def test_unified_diffs_leave_in_slices():
+    text = "".join(f"line {i} {'x' * 90}\n" for i in range(2000))
+    slices = FX.unified_diffs(Frame(*[(i, text, text.replace("line", "row")) for i in range(8)]))
+    assert [s.num_rows for s in slices] == [3, 3, 2]
+    assert {(r["changes"], r["additions"], r["deletions"]) for s in slices for r in s.to_pylist()} == {(4000, 2000, 2000)}
