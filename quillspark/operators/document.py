@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed import words as W
 from ..functions import rx
+from ..session import stored
 from .rules.logic import paragraphs
 
 
@@ -412,8 +413,12 @@ def issue_snippets(reviewed: DataFrame, context: int = 2) -> DataFrame:
 
 
 def jump_targets(issues: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Block by index (line_start - 1), else the first block whose lines hold the issue's first line."""
-    spans = blocks.select("doc_id", "block_idx", "page_number", "node_id", F.col("line_start").alias("b_start"), F.col("line_end").alias("b_end"))
+    """Block by index (line_start - 1), else the first block whose lines hold the issue's first line.
+
+    Both sides are read several times, so they are written first: the review and the blocks behind them run once.
+    """
+    issues = stored(issues.select("doc_id", "seq", "line_start", "line_end"), "jump-issues")
+    spans = stored(blocks.select("doc_id", "block_idx", "page_number", "node_id", F.col("line_start").alias("b_start"), F.col("line_end").alias("b_end")), "jump-spans")
     by_index = issues.withColumn("block_idx", F.col("line_start") - 1).join(spans, ["doc_id", "block_idx"], "left")
     direct = by_index.where("node_id IS NOT NULL").select(
         "doc_id", "seq", "block_idx", "page_number", "node_id", F.col("b_start").alias("target_start"), F.col("b_end").alias("target_end"))
