@@ -431,7 +431,8 @@ def evidence_blocks(issues: DataFrame, blocks: DataFrame) -> DataFrame:
     """Ids of the blocks that start or end inside the issue's lines.
 
     Issues and the two ends of each block go through one ordered stream of a document with running counts of the ends, which
-    give each issue the ranks of the block ends inside it; ranks then meet the blocks by equality. Rows moved are issues + blocks + matches.
+    give each issue the ranks of the block ends inside it. A document's ends are folded into two arrays by rank, and each issue
+    takes its slices of them. Rows moved are issues + blocks, in one shuffle; matches are made within the document's row.
     """
     ends = blocks.select("doc_id", "node_id", F.inline(F.array(
         F.struct(F.lit("start").alias("side"), F.col("line_start").alias("at")), F.struct(F.lit("end").alias("side"), F.col("line_end").alias("at")))))
@@ -439,15 +440,19 @@ def evidence_blocks(issues: DataFrame, blocks: DataFrame) -> DataFrame:
         F.struct(F.lit(-1).alias("turn"), F.col("line_start").alias("at")), F.struct(F.lit(1).alias("turn"), F.col("line_end").alias("at")))))
     stream = ends.withColumn("turn", F.lit(0)).unionByName(asked, allowMissingColumns=True)
     upto = Window.partitionBy("doc_id").orderBy("at", "turn", "node_id").rowsBetween(Window.unboundedPreceding, 0)
-    counted = stream.withColumns({side: F.count_if(F.col("side") == side).over(upto) for side in ("start", "end")})
+    counted = stream.withColumns({side: F.count_if(F.col("side") == side).over(upto).cast("int") for side in ("start", "end")})
     own = lambda side, turn: F.max(F.when(F.col("turn") == turn, F.col(side)))
-    ranges = counted.where("turn <> 0").groupBy("doc_id", "seq").agg(*[
-        F.struct((own(side, -1) + 1).alias("a"), own(side, 1).alias("b")).alias(side) for side in ("start", "end")])
-    ranks = lambda side: F.when(F.col(f"{side}.a") <= F.col(f"{side}.b"), F.transform(
-        F.sequence(F.col(f"{side}.a"), F.col(f"{side}.b")), lambda r: F.struct(F.lit(side).alias("side"), r.alias("rank"))))
-    wanted = ranges.select("doc_id", "seq", F.explode(F.concat(*[F.coalesce(ranks(s), F.array().cast("array<struct<side:string,rank:bigint>>")) for s in ("start", "end")])).alias("r")).select("doc_id", "seq", "r.*")
-    numbered = counted.where("turn = 0").select("doc_id", "side", F.when(F.col("side") == "start", F.col("start")).otherwise(F.col("end")).alias("rank"), "node_id")
-    return wanted.join(numbered, ["doc_id", "side", "rank"]).groupBy("doc_id", "seq").agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"))
+    by_rank = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct(F.col(side).alias("rank"), "node_id"))))
+    each = counted.groupBy("doc_id", (F.col("turn") == 0).alias("is_block"), "seq").agg(
+        *[F.struct(own(s, -1).alias("a"), own(s, 1).alias("b"), by_rank(s).alias("nodes")).alias(s) for s in ("start", "end")])
+    documents = each.groupBy("doc_id").agg(
+        F.collect_list(F.when(~F.col("is_block"), F.struct("seq", *[F.struct(f"{s}.a", f"{s}.b").alias(s) for s in ("start", "end")]))).alias("asked"),
+        *[F.first(F.when(F.col("is_block"), F.col(f"{s}.nodes")), ignorenulls=True).alias(f"{s}_nodes") for s in ("start", "end")])
+    inside = lambda i, s: F.transform(
+        F.slice(f"{s}_nodes", i[s]["a"] + 1, F.greatest(F.lit(0), i[s]["b"] - i[s]["a"])), lambda x: x["node_id"])
+    found = F.transform("asked", lambda i: F.struct(
+        i["seq"].alias("seq"), F.array_sort(F.array_compact(F.array_distinct(F.concat(*[inside(i, s) for s in ("start", "end")])))).alias("node_ids")))
+    return documents.select("doc_id", F.explode_outer(found).alias("x")).where(F.size("x.node_ids") > 0).select("doc_id", "x.*")
 
 
 def table_captions(blocks: DataFrame) -> DataFrame:

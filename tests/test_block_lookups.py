@@ -20,3 +20,8 @@ def test_jump_targets_read_their_sides_once(spark):
     assert "LogicalRDD" not in plan and "Relation" in plan
 
 
+def test_evidence_blocks_move_no_matches(spark):
+    found = DOC.evidence_blocks(*tables(spark))
+    assert {(r.doc_id, r.seq): r.node_ids for r in found.collect()} == {
+        (1, 0): ["a", "b", "c"], (1, 3): ["c"], (3, 1): ["e"]}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
