@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 
 from pyspark.sql import functions as F
@@ -303,8 +304,12 @@ Q["f06_url_prefix"] = fixer(FX.url_prefix, "replace(replace(replace(line, '://',
 Q["f07_bullets"] = fixer(lambda c: FX.bullets(F.regexp_replace(c, "^[|] ", "* ")), "CASE WHEN starts_with(line, '| ') THEN '- ' || substr(regexp_replace(line, '\\s+$', ''), 3) ELSE line END")
 Q["f08_period_spacing"] = fixer(FX.period_spacing, "replace(regexp_replace(line, '\\.([A-Z])', '. \\1', 'g'), '.  ', '. ')")
 Q["f09_citation_order"] = fixer(lambda c: FX.citation_order(F.replace(c, F.lit("[1] and [2]"), F.lit("[7, 2,5]"))), "replace(replace(line, '[1] and [2]', '[7, 2,5]'), '[7, 2,5]', '[2], [5], [7]')")
+#: Small letters whose capital is several characters (DuckDB's upper keeps one character), as Unicode lists them.
+_LONG_CAPITALS = [(c, c.upper()) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Ll" and len(c.upper()) > 1]
+_FIRST = "left(lower(line), 1)"
+_CAPITAL = f"coalesce(map([{', '.join(q(c) for c, _ in _LONG_CAPITALS)}], [{', '.join(q(u) for _, u in _LONG_CAPITALS)}])[{_FIRST}], upper({_FIRST}))"
 Q["f10_bullet_capitals"] = fixer(lambda c: FX.bullet_capitals(F.concat(F.lit("- "), F.lower(c)), corrected=True),
-                                 "CASE WHEN regexp_matches(lower(line), '^\\p{Ll}') THEN '- ' || upper(left(lower(line), 1)) || substr(lower(line), 2) ELSE '- ' || lower(line) END")
+                                 f"CASE WHEN regexp_matches(lower(line), '^\\p{{Ll}}') THEN '- ' || {_CAPITAL} || substr(lower(line), 2) ELSE '- ' || lower(line) END")
 Q["f11_spelling"] = fixer(FX.spelling, chain("line", X.SPELLING_FIXES))
 Q["f12_hedging"] = fixer(FX.hedging, chain("line", [(p if w else p + r"\s*", w or " ") for p, w in X.HEDGING_FIXES]))
 Q["f04_line_spacing"] = (
