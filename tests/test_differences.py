@@ -19,3 +19,8 @@ def differs(spark, folder, name, documents=(), pages=()):
 
 def test_capitals_of_several_characters(spark, tmp_path):
     assert differs(spark, tmp_path, "f10_bullet_capitals", [(1, "ßungber und\nŉor\nab"), (2, "ﬁne\nÄrger")]) is None
+
+
+def test_character_references_without_semicolon(spark, tmp_path):
+    pages = [(1, "<title>a &amp;&amp</title><h1>x</h1>"), (2, "<title>&copy b &quot;c&quot</title><h1>y</h1>"), (3, "<title>&amp;amp &amp;copy;</title><p>z</p>")]
+    assert differs(spark, tmp_path, "p08_html_metadata", pages=pages) is None

@@ -51,7 +51,8 @@ Q["p06_sentences"] = (
 # --- P07, P08 ----------------------------------------------------------------------------
 Q["p07_html_blocks"] = (
     lambda s, d: html.page_blocks(read_table(s, f"{d}/pages.parquet", "page_id", "html")).select("page_id", "block_idx", "type", "text", "level"), None)
-_ENT = lambda x: f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+# references to characters count without their semicolon too, as in HTML
+_ENT = lambda x: f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '&quot;?', '\"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g')"
 Q["p08_html_metadata"] = (
     lambda s, d: html.page_blocks(read_table(s, f"{d}/pages.parquet", "page_id", "html")).groupBy("page_id").agg(
         F.any_value("title").alias("title"), F.any_value("author").alias("author"),
