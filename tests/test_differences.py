@@ -24,3 +24,7 @@ def test_capitals_of_several_characters(spark, tmp_path):
 def test_character_references_without_semicolon(spark, tmp_path):
     pages = [(1, "<title>a &amp;&amp</title><h1>x</h1>"), (2, "<title>&copy b &quot;c&quot</title><h1>y</h1>"), (3, "<title>&amp;amp &amp;copy;</title><p>z</p>")]
     assert differs(spark, tmp_path, "p08_html_metadata", pages=pages) is None
+
+
+def test_short_files_with_a_good_header(spark, tmp_path):
+    assert differs(spark, tmp_path, "s05_rejects", [(12, "x" * 19), (26, "x" * 20), (40, "short"), (5, "y"), (4, "z"), (6, "csv")]) is None

@@ -230,7 +230,7 @@ Q["s01_s03_documents"] = (
 Q["s05_rejects"] = (
     lambda s, d: SF.dispatch(file_rows(s, d))[1],
     _FILES + """SELECT path, CASE WHEN k = 6 THEN 'Supported formats: TXT, Markdown, HTML, LaTex, DOCX and PDF.' WHEN k = 4 AND nb < 10 THEN 'File too small to be a valid PDF' WHEN k = 4 THEN 'File does not start with PDF header'
-    WHEN nb < 22 THEN 'File too small to be a valid DOCX' ELSE 'File does not start with ZIP header (invalid DOCX)' END AS reason FROM f WHERE k = 6 OR (k IN (4, 5) AND doc_id % 2 = 1)""")
+    WHEN nb < 22 THEN 'File too small to be a valid DOCX' ELSE 'File does not start with ZIP header (invalid DOCX)' END AS reason FROM f WHERE k = 6 OR (k IN (4, 5) AND doc_id % 2 = 1) OR (k = 5 AND nb + 2 < 22)""")
 Q["s02_inline_text"] = (
     lambda s, d: s.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")).select(
         "conv_id", F.sha2(F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n"), F.array_join(F.transform("t", lambda x: F.concat(
