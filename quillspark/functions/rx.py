@@ -113,8 +113,8 @@ def title_case(col: Column) -> Column:
 
 
 def half_even(col: Column, digits: int = 0) -> Column:
-    """Number as text with a fixed count of decimals, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(col.cast("double"), digits))
+    """Number as text with a fixed count of decimals, ties to even. The double itself is rounded, not its shortest decimal: 3.45 is above a tie, 3.15 below."""
+    return F.call_function("format_number", col.cast("double"), F.lit("0." + "0" * digits if digits else "0"))
 
 
 def let(value: Column, use) -> Column:

@@ -1,7 +1,9 @@
 """Queries and their SQL on rows where they once differed."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from quillspark.functions import rx
 from tests.compare import difference
 from workload import registry
 
@@ -28,3 +30,10 @@ def test_character_references_without_semicolon(spark, tmp_path):
 
 def test_short_files_with_a_good_header(spark, tmp_path):
     assert differs(spark, tmp_path, "s05_rejects", [(12, "x" * 19), (26, "x" * 20), (40, "short"), (5, "y"), (4, "z"), (6, "csv")]) is None
+
+
+def test_decimals_of_the_double_itself(spark):
+    values = spark.createDataFrame([(207 / 60, 1), (189 / 60, 1), (2.25, 1), (0.05, 1), (12345.65, 1), (1.005, 2), (2.5, 0), (3.5, 0), (0.49999999999999994, 0)], "x double, d int")
+    for digits in (0, 1, 2):
+        got = [(r.x, r.t) for r in values.where(F.col("d") == digits).select("x", rx.half_even(F.col("x"), digits).alias("t")).collect()]
+        assert got and all(t == f"{x:.{digits}f}" for x, t in got), got
