@@ -194,34 +194,43 @@ class Doc:
         """True when the document has one of the words as a token."""
         return F.arrays_overlap(self.vocabulary, rx.strings(words))
 
+    def on_lines(self, use, words: list[str] | None) -> Column:
+        """``use(line, index, worth)`` of every line; ``worth``: the line has one of the words, null without words.
+
+        The tokens are bound first: a column read only inside a lambda is moved into it by the optimizer, and would be made
+        anew for every line.
+        """
+        if words is None:
+            return F.transform(self.lines, lambda line, i: use(line, i, None))
+        wanted = rx.strings(words)
+        return rx.let(self.tokens, lambda tokens: F.transform(
+            self.lines, lambda line, i: use(line, i, F.arrays_overlap(F.get(tokens, i), wanted))))
+
     def lines_where(self, pick, words: list[str] | None = None) -> Column:
         """(no, line, k) for the lines on which ``pick(line)`` is not null, in line order.
 
         ``words``: tokens a line must have for ``pick`` to be worth a look.
         """
 
-        def on_line(line: Column, i: Column) -> Column:
-            value = pick(line)
-            if words is not None:
-                value = F.when(F.arrays_overlap(F.get(self.tokens, i), rx.strings(words)), value)
+        def on_line(line: Column, i: Column, worth: Column | None) -> Column:
+            value = pick(line) if worth is None else F.when(worth, pick(line))
             return F.struct((i + 1).alias("no"), line.alias("line"), value.alias("k"))
 
-        return F.filter(F.transform(self.lines, on_line), lambda hit: hit["k"].isNotNull())
+        return F.filter(self.on_lines(on_line, words), lambda hit: hit["k"].isNotNull())
 
     def matches(self, pattern: str, group: int = 0, per_line: int | None = None,
                 words: list[str] | None = None) -> Column:
         """(no, line, k) for every regex match, in order; at most ``per_line`` of each line."""
 
-        def on_line(line: Column, i: Column) -> Column:
+        def on_line(line: Column, i: Column, worth: Column | None) -> Column:
             found = rx.find_all(line, pattern, group)
-            if words is not None:
-                found = F.when(F.arrays_overlap(F.get(self.tokens, i), rx.strings(words)), found).otherwise(
-                    rx.strings([]))
+            if worth is not None:
+                found = F.when(worth, found).otherwise(rx.strings([]))
             if per_line is not None:
                 found = F.slice(found, 1, per_line)
             return F.transform(found, lambda m: F.struct((i + 1).alias("no"), line.alias("line"), m.alias("k")))
 
-        return F.flatten(F.transform(self.lines, on_line))
+        return F.flatten(self.on_lines(on_line, words))
 
     def section_lines(self, section: Column, include_next_heading: bool) -> Column:
         """Lines after a heading; the structure rules count the next heading line in, the format rules do not."""
