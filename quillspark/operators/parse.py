@@ -72,7 +72,7 @@ def reference_array(lines: Column, sections: Column) -> Column:
 
 
 def caption_array(lines: Column) -> Column:
-    pattern = rx.fold(W.CAPTION)
+    pattern = rx.led("fte", rx.fold(W.CAPTION))
     return F.filter(
         F.transform(
             lines,
@@ -100,11 +100,21 @@ def citation_counts(text: Column) -> Column:
         for name, pattern, opening in patterns])
 
 
+def sought(token: Column) -> Column:
+    """True for the tokens that a stock rule looks for on a line."""
+    found = token.isin(W.LINE_WORDS)
+    for end in W.ENDINGS:
+        found = found | token.endswith(end)
+    return found
+
+
 def parse(docs: DataFrame, text: str = "text") -> DataFrame:
     """The document model as columns of the document row.
 
     ``tokens`` holds the lower-case words of every line and ``vocabulary`` the distinct ones of the
-    document: most rules look there first and run their regexes only where a needed word occurs.
+    document: most rules look there first and run their regexes only where a needed word occurs. ``marks`` are the
+    tokens of every line that some rule looks for. ``odd`` documents have a letter that matches i or s in a pattern of any case
+    without being one in lower case: their lines are all looked at.
     """
     out = docs.withColumn("text", normalized(F.col(text)))
     out = out.withColumns({"lines": F.split("text", "\n", -1), "text_lower": F.lower("text")})
@@ -116,13 +126,15 @@ def parse(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns({
         "sections": section_array(F.col("headings"), F.col("n_lines")),
         "vocabulary": F.array_distinct(F.flatten("tokens")),
+        "marks": F.transform("tokens", lambda words: F.filter(words, lambda t: sought(t))),
+        "odd": F.col("text").rlike("[\u0130\u0131\u017f]"),
         "cites": citation_counts(F.col("text")),
     })
     return out.withColumns({
         "refs": reference_array(F.col("lines"), F.col("sections")),
         "captions": F.when(
             F.arrays_overlap("vocabulary", rx.strings(CAPTION_WORDS))
-            | F.col("text").rlike(rx.fold(r"(?:figure|fig|tabl|equation|eq)\w*\.?\s*\d")),
+            | F.col("text").rlike(rx.led("fte", rx.fold(r"(?:figure|fig|tabl|equation|eq)\w*\.?\s*\d"))),
             caption_array(F.col("lines"))).otherwise(caption_array(F.array().cast("array<string>"))),
     })
 
@@ -148,6 +160,11 @@ def with_blocks(parsed: DataFrame, blocks: DataFrame) -> DataFrame:
         "blocks", F.coalesce("blocks", F.array().cast(EMPTY_BLOCKS)))
 
 
+def shows(tokens: Column, words: list[str]) -> Column:
+    """True when one of the tokens of a line is one of the words."""
+    return F.exists(tokens, lambda t: t.isin(words))
+
+
 @dataclass(frozen=True)
 class Doc:
     """The columns of a parsed document row, as the rules see them."""
@@ -162,6 +179,8 @@ class Doc:
     captions: Column
     tokens: Column
     vocabulary: Column
+    marks: Column
+    odd: Column
     cites: Column
     blocks: Column
     profile_id: Column
@@ -177,7 +196,7 @@ class Doc:
         return cls(
             F.col("text"), F.col("text_lower"), F.col("lines"), F.col("n_lines"), F.col("headings"),
             F.col("sections"), F.col("refs"), F.col("captions"), F.col("tokens"), F.col("vocabulary"),
-            F.col("cites"),
+            F.col("marks"), F.col("odd"), F.col("cites"),
             has("blocks", F.array().cast(EMPTY_BLOCKS)),
             has("profile_id", F.lit("general")), has("profile_name", F.lit("General Review")),
             has("required_sections", F.array().cast("array<string>")),
@@ -192,45 +211,51 @@ class Doc:
 
     def uses(self, words: list[str]) -> Column:
         """True when the document has one of the words as a token."""
-        return F.arrays_overlap(self.vocabulary, rx.strings(words))
+        return self.odd | F.arrays_overlap(self.vocabulary, rx.strings(words))
 
-    def on_lines(self, use, words: list[str] | None) -> Column:
-        """``use(line, index, worth)`` of every line; ``worth``: the line has one of the words, null without words.
+    def on_lines(self, use, words: list[str] | None = None, worth=None) -> Column:
+        """The array of what ``use(line, index)`` gives for the lines that have one of the words, or of which ``worth(marks)`` holds.
 
         The tokens are bound first: a column read only inside a lambda is moved into it by the optimizer, and would be made
         anew for every line.
         """
-        if words is None:
-            return F.transform(self.lines, lambda line, i: use(line, i, None))
-        wanted = rx.strings(words)
-        return rx.let(self.tokens, lambda tokens: F.transform(
-            self.lines, lambda line, i: use(line, i, F.arrays_overlap(F.get(tokens, i), wanted))))
-
-    def lines_where(self, pick, words: list[str] | None = None) -> Column:
+        if words is None and worth is None:
+            return F.transform(self.lines, use)
+        has = worth or (lambda marks: shows(marks, words))
+        tokens = self.marks if worth or set(words) <= set(W.LINE_WORDS) else self.tokens
+        return self._kept(tokens, lambda line, i, marks, odd: F.when(odd | has(marks), use(line, i)))
+
+    def marked(self, use) -> Column:
+        """The array of what ``use(line, index, marks, odd)`` gives for the lines that have marks."""
+        return self._kept(self.marks, lambda line, i, marks, odd: F.when(odd | (F.size(marks) > 0), use(line, i, marks, odd)))
+
+    def _kept(self, tokens: Column, use) -> Column:
+        bound = F.struct(tokens.alias("tokens"), self.odd.alias("odd"))
+        return rx.let(bound, lambda b: F.filter(
+            F.transform(self.lines, lambda line, i: use(line, i, F.get(b["tokens"], i), b["odd"])), lambda x: x.isNotNull()))
+
+    def lines_where(self, pick, words: list[str] | None = None, worth=None) -> Column:
         """(no, line, k) for the lines on which ``pick(line)`` is not null, in line order.
 
         ``words``: tokens a line must have for ``pick`` to be worth a look.
         """
 
-        def on_line(line: Column, i: Column, worth: Column | None) -> Column:
-            value = pick(line) if worth is None else F.when(worth, pick(line))
-            return F.struct((i + 1).alias("no"), line.alias("line"), value.alias("k"))
+        def on_line(line: Column, i: Column) -> Column:
+            return F.struct((i + 1).alias("no"), line.alias("line"), pick(line).alias("k"))
 
-        return F.filter(self.on_lines(on_line, words), lambda hit: hit["k"].isNotNull())
+        return F.filter(self.on_lines(on_line, words, worth), lambda hit: hit["k"].isNotNull())
 
     def matches(self, pattern: str, group: int = 0, per_line: int | None = None,
-                words: list[str] | None = None) -> Column:
+                words: list[str] | None = None, worth=None) -> Column:
         """(no, line, k) for every regex match, in order; at most ``per_line`` of each line."""
 
-        def on_line(line: Column, i: Column, worth: Column | None) -> Column:
+        def on_line(line: Column, i: Column) -> Column:
             found = rx.find_all(line, pattern, group)
-            if worth is not None:
-                found = F.when(worth, found).otherwise(rx.strings([]))
             if per_line is not None:
                 found = F.slice(found, 1, per_line)
             return F.transform(found, lambda m: F.struct((i + 1).alias("no"), line.alias("line"), m.alias("k")))
 
-        return F.flatten(self.on_lines(on_line, words))
+        return F.flatten(self.on_lines(on_line, words, worth))
 
     def section_lines(self, section: Column, include_next_heading: bool) -> Column:
         """Lines after a heading; the structure rules count the next heading line in, the format rules do not."""

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 from ...fixed import words as W
 from ...functions import rx
 from ...functions.findings import issue, none, only_if, present
-from ..parse import Doc
-
-
-ABSOLUTE_WORDS = ["100", "all", "every", "none", "no", "zero", "entirely", "completely"]
-QUALIFIER_WORDS = [
-    "some", "most", "many", "few", "several", "partially", "partly", "approximately", "about", "nearly",
-]
-CLAIM_WORDS = [
-    "this", "these", "it", "without", "no", "our", "significantly", "dramatically", "substantially",
-]
+from ..parse import Doc, shows
 
 
 def cut(line: Column) -> Column:
@@ -26,7 +20,7 @@ def cut(line: Column) -> Column:
 def undefined_acronym(d: Doc, cfg: dict) -> Column:
     def judge(defined: Column) -> Column:
         used = F.filter(
-            d.matches(rx.exact(W.ACRONYM)),
+            d.matches(rx.led("A-Z", rx.exact(W.ACRONYM))),
             lambda h: (F.length(h["k"]) <= 8) & ~h["k"].isin(W.ACRONYM_STOP) & ~F.array_contains(defined, h["k"]))
         return F.transform(used, lambda h: issue("acronym", line=h["no"], acronym=h["k"], excerpt=cut(h["line"])))
 
@@ -43,14 +37,14 @@ def paragraphs(text: Column) -> Column:
 
 def missing_transition(d: Doc, cfg: dict) -> Column:
     def judge(sized: Column) -> Column:
-        starts = lambda p: F.exists(rx.strings(W.TRANSITIONS), lambda w: F.startswith(F.lower(p["first"]), w))
+        starts = lambda p: reduce(or_, [p["first"].startswith(w) for w in W.TRANSITIONS])
         abrupt = F.filter(sized, lambda p: (p["i"] > 0) & (p["n"] >= cfg["min_paragraph_lines"]) & ~starts(p))
         return rx.let(rx.running(F.transform(sized, lambda p: p["n"])), lambda ends: F.transform(abrupt, lambda p: issue(
-            "transition", line=(F.get(ends, p["i"] - 1) + 1).cast("int"), index=p["i"], position=p["i"] + 1, excerpt=cut(F.lower(p["first"])))))
+            "transition", line=(F.get(ends, p["i"] - 1) + 1).cast("int"), index=p["i"], position=p["i"] + 1, excerpt=cut(p["first"]))))
 
     return rx.let(
         F.transform(paragraphs(d.text), lambda g, i: F.struct(
-            i.alias("i"), F.substring_index(g, "\n", 1).alias("first"), (rx.literal_count(g, "\n") + 1).alias("n"))),
+            i.alias("i"), F.lower(F.substring_index(g, "\n", 1)).alias("first"), (rx.literal_count(g, "\n") + 1).alias("n"))),
         judge)
 
 
@@ -94,28 +88,33 @@ def scope_mismatch(d: Doc, cfg: dict) -> Column:
 
 
 def contradictions(d: Doc, cfg: dict) -> Column:
+    limit = cfg["max_contrast_words"]
+
     def words_used(pattern: str) -> Column:
-        used = rx.limited(rx.find_all(d.lower, rx.exact(pattern)), cfg["max_contrast_words"])
+        used = rx.limited(rx.find_all(d.lower, rx.exact(pattern)), limit)
         return F.concat(F.lit(r"(?U)\b(?:"), F.array_join(F.array_distinct(used), "|"), F.lit(r")\b"))
 
-    def on_lines(p: Column) -> Column:
-        both = F.filter(
-            F.transform(d.lines, lambda line, i: F.struct(line.alias("line"), i.alias("i"))),
-            lambda x: F.rlike(F.lower(x["line"]), p["absolute"]) & F.rlike(F.lower(x["line"]), p["qualifier"]))
+    def worth(marks: Column) -> Column:
+        return shows(marks, W.ABSOLUTE_WORDS) & shows(marks, W.QUALIFIER_WORDS)
+
+    def on_lines(absolute: Column, qualifier: Column) -> Column:
+        both = d.lines_where(lambda line: rx.let(F.lower(line), lambda low: F.when(
+            F.rlike(low, absolute) & F.rlike(low, qualifier), F.lit(1))), worth=worth)
         return F.transform(rx.limited(both, cfg["max_contradictions"]), lambda x: issue(
-            "contradiction", line=x["i"] + 1, index=x["i"], excerpt=cut(x["line"])))
+            "contradiction", line=x["no"], index=x["no"] - 1, excerpt=cut(x["line"])))
 
-    clash = F.when(
-        d.uses(ABSOLUTE_WORDS) & d.uses(QUALIFIER_WORDS)
-        & d.lower.rlike(rx.exact(W.ABSOLUTES)) & d.lower.rlike(rx.exact(W.QUALIFIERS)),
-        rx.let(F.struct(
-            words_used(W.ABSOLUTES).alias("absolute"), words_used(W.QUALIFIERS).alias("qualifier")), on_lines),
-    ).otherwise(none())
+    if limit is None:  # the words that the text uses find what all words find
+        clash = on_lines(F.lit(rx.exact(W.ABSOLUTES)), F.lit(rx.exact(W.QUALIFIERS)))
+    else:
+        clash = rx.let(F.struct(
+            words_used(W.ABSOLUTES).alias("absolute"), words_used(W.QUALIFIERS).alias("qualifier")), lambda p: on_lines(p["absolute"], p["qualifier"]))
+        clash = F.when(d.lower.rlike(rx.exact(W.ABSOLUTES)) & d.lower.rlike(rx.exact(W.QUALIFIERS)), clash).otherwise(none())
+    clash = F.when(d.uses(W.ABSOLUTE_WORDS) & d.uses(W.QUALIFIER_WORDS), clash).otherwise(none())
 
     near = rx.let(
-        F.get(rx.positions(d.lower, rx.exact(W.CONTRAST_MARKERS)), F.lit(0)),
-        lambda contrast: F.exists(
-            rx.positions(d.lower, rx.exact(W.SIMILARITY_MARKERS)), lambda s: F.abs(s - contrast) < 500))
+        F.split(d.lower, rx.led("icho", rx.exact(W.CONTRAST_MARKERS)), 2),
+        lambda pieces: rx.let(F.when(F.size(pieces) > 1, F.length(pieces[0])), lambda contrast: F.exists(
+            rx.positions(d.lower, rx.led("sli", rx.exact(W.SIMILARITY_MARKERS))), lambda s: F.abs(s - contrast) < 500)))
     mixed = F.filter(
         F.transform(d.lines, lambda line, i: F.when(
             F.lower(line).contains("in contrast") & F.lower(line).contains("similarly"),
@@ -130,7 +129,7 @@ def contradictions(d: Doc, cfg: dict) -> Column:
 def claim_without_evidence(d: Doc, cfg: dict) -> Column:
     claim = rx.fold("|".join(f"(?:{p})" for p in W.CLAIMS))
     evidence = rx.fold("|".join(f"(?:{p})" for p in W.EVIDENCE_MARKERS))
-    hits = d.lines_where(lambda line: F.when(line.rlike(claim) & ~line.rlike(evidence), F.lit(1)), CLAIM_WORDS)
+    hits = d.lines_where(lambda line: F.when(line.rlike(claim) & ~line.rlike(evidence), F.lit(1)), W.CLAIM_WORDS)
     return F.transform(rx.limited(hits, cfg["max_claims"]), lambda h: issue("claim", line=h["no"], excerpt=cut(h["line"])))
 
 
@@ -158,17 +157,20 @@ def unsupported_conclusion(d: Doc, cfg: dict) -> Column:
 
 
 def number_consistency(d: Doc, cfg: dict) -> Column:
-    counts = [(name, rx.count(d.text, rx.exact(p))) for name, p in W.DATE_FORMATS]
-    used = F.array_compact(F.array(*[
-        F.when(n > 0, F.concat(F.lit(f"{name} ("), n.cast("string"), F.lit("x)"))) for name, n in counts]))
+    starts = {"Month DD, YYYY": "JFMASOND"}
+    counts = F.array(*[rx.count(d.text, rx.led(starts.get(name, r"\d"), rx.exact(p))) for name, p in W.DATE_FORMATS])
+    used = rx.let(counts, lambda ns: F.array_compact(F.array(*[
+        F.when(ns[k] > 0, F.concat(F.lit(f"{name} ("), ns[k].cast("string"), F.lit("x)"))) for k, (name, _) in enumerate(W.DATE_FORMATS)])))
     dates = F.when(
         d.text.rlike("[0-9]{4}"),
         rx.let(used, lambda u: only_if(F.size(u) > 1, issue("date-formats", formats=F.array_join(u, ", "))))
     ).otherwise(none())
 
-    many = (
-        (rx.count(d.text, rx.exact(r"\b\d+\b")) > 10) & (rx.count(d.text, rx.fold(W.NUMBER_WORDS)) > 3))
-    word, digit = rx.fold(W.NUMBER_WORDS_ON_LINE), rx.exact(r"\b\d+\b")
+    word, digit = rx.led("ft", rx.fold(W.NUMBER_WORDS_ON_LINE)), rx.led(r"\d", rx.exact(r"\b\d+\b"))
+    # a number word is a whole token, unless a letter is only by its case one of it
+    named = F.aggregate(d.marks, F.lit(0), lambda acc, ws: acc + F.size(F.filter(ws, lambda t: t.isin(W.NUMBER_NAMES))))
+    named = F.when(d.odd, rx.count(d.text, rx.fold(W.NUMBER_WORDS))).otherwise(named)
+    many = (named > 3) & (rx.count(d.text, digit) > 10)
     mixed = F.transform(
         d.lines_where(lambda line: F.when(line.rlike(digit) & line.rlike(word), F.lit(1))),
         lambda h: issue("mixed-numbers", line=h["no"], fix=True, excerpt=cut(h["line"])))

@@ -85,9 +85,11 @@ def empty_section(d: Doc, cfg: dict) -> Column:
 
     def words_of(section: Column, names: Column) -> Column:
         def add(total: Column, line: Column) -> Column:
-            bare = F.lower(rx.strip(line))
-            names_other = F.exists(names, lambda h: F.startswith(bare, h["low"]) & (h["title"] != section["title"]))
-            return total + F.when(names_other, F.lit(0)).otherwise(rx.word_count(line))
+            # bound, or every heading would lower the line again
+            names_other = rx.let(F.lower(rx.strip(line)), lambda bare: F.exists(
+                names, lambda h: F.startswith(bare, h["low"]) & (h["title"] != section["title"])))
+            # a section with enough words stays so
+            return F.when(total >= limit, total).otherwise(total + F.when(names_other, F.lit(0)).otherwise(rx.word_count(line)))
 
         return F.aggregate(d.section_lines(section, include_next_heading=True), F.lit(0), add)
 

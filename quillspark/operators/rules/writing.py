@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 from ...fixed import words as W
 from ...functions import rx
 from ...functions.findings import issue, none, only_if, present
-from ..parse import Doc
+from ..parse import Doc, shows
 
 
 def excerpt(line: Column, size: int | None = None) -> Column:
@@ -15,29 +18,6 @@ def excerpt(line: Column, size: int | None = None) -> Column:
     return line if size is None else F.left(line, F.lit(size))
 
 
-# words a line needs before the grammar regexes are worth running
-GRAMMAR_WORDS = [
-    "its", "s", "your", "there", "affect", "effect", "complement", "compliment", "principal", "principle",
-    "stationary", "stationery", "than", "then", "whose", "loose", "less", "fewer", "between", "among", "myself",
-    "very", "really", "quite", "data", "criterion", "phenomenon", "analysis", "hypothesis", "thesis", "curriculum",
-    "memorandum", "datas", "criterions", "phenomenons", "hypothesises", "thesises", "curriculums", "memorandums",
-    "irregardless", "alot",
-]
-# the two patterns without a word boundary in front of every alternative
-GRAMMAR_PIECES = ["ould of", "ight of", "suppose to", "use to"]
-OVERUSED_WORDS = [
-    "recent", "lot", "fact", "words", "important", "least", "noted", "nutshell", "considered", "day", "nich",
-    "research",
-]
-VERBOSE_WORDS = ["order", "fact", "event", "basis", "point", "majority", "number", "able", "capable"]
-BE_WORDS = ["am", "is", "are", "was", "were", "be", "been", "being"]
-
-
-def token_words(words: list[str]) -> list[str]:
-    """First token of every entry: what the line's token list has to show."""
-    return sorted({w.replace("'", " ").split()[0].lower() for w in words})
-
-
 def first_pattern_per_line(d: Doc, patterns: list[str], limit: int | None = None,
                            words: list[str] | None = None) -> Column:
     """(no, line, k): k is the 1-based index of the first pattern found on the line."""
@@ -49,18 +29,24 @@ def grammar(d: Doc, cfg: dict) -> Column:
     patterns = [rx.fold(p) for p, _ in W.GRAMMAR]
     regexes, notes = rx.strings(patterns), rx.strings([n for _, n in W.GRAMMAR])
 
-    def pick(line: Column, i: Column) -> Column:
-        worth = F.arrays_overlap(F.get(d.tokens, i), rx.strings(GRAMMAR_WORDS)) | rx.contains_any(
-            F.lower(line), GRAMMAR_PIECES)
-        return F.struct((i + 1).alias("no"), line.alias("line"),
-                        F.when(worth, rx.first_match(line, patterns)).alias("k"))
+    def needed(k: int, marks: Column) -> Column:
+        ends = W.GRAMMAR_ENDS.get(k)
+        if ends is None:
+            return shows(marks, W.GRAMMAR_WORDS[k])
+        return F.exists(marks, lambda t: reduce(or_, [t.endswith(e) for e in ends]))
 
-    hits = rx.limited(F.filter(F.transform(d.lines, pick), lambda h: h["k"].isNotNull()), cfg["max_grammar_issues"])
-    found = F.transform(hits, lambda h: issue(
+    def pick(line: Column, marks: Column, odd: Column) -> Column:
+        choice = F
+        for k, pattern in enumerate(patterns):
+            choice = choice.when((odd | needed(k, marks)) & line.rlike(pattern), F.lit(k + 1))
+        return choice
+
+    found = d.marked(lambda line, i, marks, odd: F.struct((i + 1).alias("no"), line.alias("line"), pick(line, marks, odd).alias("k")))
+    hits = rx.limited(F.filter(found, lambda h: h["k"].isNotNull()), cfg["max_grammar_issues"])
+    return F.transform(hits, lambda h: issue(
         "grammar", line=h["no"], fix=d.may("writing", 3), excerpt=excerpt(h["line"]),
         problem=F.element_at(notes, h["k"]),
         match=F.left(F.regexp_substr(h["line"], F.element_at(regexes, h["k"])), F.lit(60))))
-    return F.when(d.uses(GRAMMAR_WORDS) | rx.contains_any(d.lower, GRAMMAR_PIECES), found).otherwise(none())
 
 
 def spelling(d: Doc, cfg: dict) -> Column:
@@ -71,7 +57,7 @@ def spelling(d: Doc, cfg: dict) -> Column:
             F.filter(words, lambda t: t.isin(typos)),
             lambda t: F.struct((i + 1).alias("no"), F.get(d.lines, i).alias("line"), t.alias("k")))
 
-    hits = rx.limited(F.flatten(F.transform(d.tokens, on_line)), cfg["max_spelling_issues"])
+    hits = rx.limited(F.flatten(F.transform(d.marks, on_line)), cfg["max_spelling_issues"])
     fixes = F.create_map(*[F.lit(x) for pair in W.TYPOS.items() for x in pair])
     found = F.transform(hits, lambda h: issue(
         "spelling", line=h["no"], fix=True, excerpt=excerpt(h["line"]), word=h["k"],
@@ -104,7 +90,7 @@ def readability(d: Doc, cfg: dict) -> Column:
     long_words = F.aggregate(d.tokens, F.lit(0), lambda acc, ws: acc + F.size(F.filter(ws, lambda w: F.length(w) >= 10)))
     measured = rx.let(pieces, lambda ps: F.struct(
         words.alias("words"), F.size(ps).alias("pieces"),
-        F.size(F.filter(ps, lambda p: rx.word_count(p) >= 2)).alias("sentences"), long_words.alias("long")))
+        F.size(F.filter(ps, lambda p: p.rlike(r"(?U)\S\s+\S"))).alias("sentences"), long_words.alias("long")))
 
     def judge(m: Column) -> Column:
         percent = m["long"] / F.nullif(m["words"], F.lit(0)) * 100
@@ -127,33 +113,35 @@ def readability(d: Doc, cfg: dict) -> Column:
 def overused_phrases(d: Doc, cfg: dict) -> Column:
     advice = rx.strings([a for _, a in W.OVERUSED])
 
-    def on_line(line: Column, i: Column) -> Column:
+    def on_line(line: Column, i: Column, marks: Column, odd: Column) -> Column:
         flags = F.array_compact(F.array(*[
-            F.when(line.rlike(rx.fold(p)), F.lit(n)) for n, (p, _) in enumerate(W.OVERUSED, 1)]))
-        worth = F.arrays_overlap(F.get(d.tokens, i), rx.strings(OVERUSED_WORDS + ["gap", "gaps"]))
-        hits = F.when(worth, flags).otherwise(F.array().cast("array<int>"))
-        return F.transform(hits, lambda k: F.struct((i + 1).alias("no"), line.alias("line"), k.alias("k")))
+            F.when((odd | shows(marks, W.OVERUSED_WORDS[n])) & line.rlike(rx.fold(p)), F.lit(n + 1))
+            for n, (p, _) in enumerate(W.OVERUSED)]))
+        return F.transform(flags, lambda k: F.struct((i + 1).alias("no"), line.alias("line"), k.alias("k")))
 
-    hits = rx.limited(F.flatten(F.transform(d.lines, on_line)), cfg["max_per_phrase"])
-    return F.when(d.uses(OVERUSED_WORDS), F.transform(hits, lambda h: issue(
-        "overused", line=h["no"], excerpt=excerpt(h["line"]), advice=F.element_at(advice, h["k"])))).otherwise(none())
+    return F.transform(rx.limited(F.flatten(d.marked(on_line)), cfg["max_per_phrase"]), lambda h: issue(
+        "overused", line=h["no"], excerpt=excerpt(h["line"]), advice=F.element_at(advice, h["k"])))
 
 
 def terminology(d: Doc, cfg: dict) -> Column:
     def mixed(first: str, second: str) -> Column:
-        a, b = rx.literal_count(d.lower, first), rx.literal_count(d.lower, second)
+        counts = F.struct(rx.literal_count(d.lower, first).alias("a"), rx.literal_count(d.lower, second).alias("b"))
         return F.when(
             d.lower.contains(first) & d.lower.contains(second),
-            issue("terminology", slug=first.replace(" ", "-")[:20], first=first, second=second, n_first=a, n_second=b,
-                  dominant=F.when(a >= b, F.lit(first)).otherwise(F.lit(second)),
-                  other=F.when(a >= b, F.lit(second)).otherwise(F.lit(first))),
+            rx.let(counts, lambda n: issue(
+                "terminology", slug=first.replace(" ", "-")[:20], first=first, second=second, n_first=n["a"], n_second=n["b"],
+                dominant=F.when(n["a"] >= n["b"], F.lit(first)).otherwise(F.lit(second)),
+                other=F.when(n["a"] >= n["b"], F.lit(second)).otherwise(F.lit(first)))),
         )
 
     return present(*[mixed(*pair) for pair in W.TERM_VARIANTS])
 
 
 def passive_voice(d: Doc, cfg: dict) -> Column:
-    hits = rx.limited(d.matches(rx.fold(W.PASSIVE), 1, words=BE_WORDS), cfg["max_passive"])
+    def worth(marks: Column) -> Column:
+        return shows(marks, W.BE_WORDS) & F.exists(marks, lambda t: t.endswith("ed") | t.isin(W.PARTICIPLES))
+
+    hits = rx.limited(d.matches(rx.fold(W.PASSIVE), 1, worth=worth), cfg["max_passive"])
     placed = F.transform(hits, lambda h: F.struct(
         h["no"].alias("no"),
         F.substr(h["line"], F.greatest(F.lit(0), F.instr(F.lower(h["line"]), h["k"]) - 21) + 1, F.lit(100)).alias("context")))
@@ -162,7 +150,7 @@ def passive_voice(d: Doc, cfg: dict) -> Column:
 
 
 def hedging(d: Doc, cfg: dict) -> Column:
-    hits = rx.limited(d.matches(rx.fold(rx.any_word(W.HEDGING_WORDS)), words=token_words(W.HEDGING_WORDS)), cfg["max_hedging"])
+    hits = rx.limited(d.matches(rx.fold(rx.any_word(W.HEDGING_WORDS)), words=W.HEDGING_MARKS), cfg["max_hedging"])
     return F.transform(hits, lambda h: issue(
         "hedging", line=h["no"], fix=d.may("writing", 4), excerpt=excerpt(h["line"]), match=h["k"]))
 
@@ -175,13 +163,13 @@ def weak_wording(d: Doc, cfg: dict) -> Column:
 
 def verbosity(d: Doc, cfg: dict) -> Column:
     advice = rx.strings([a for _, a in W.VERBOSE])
-    return F.transform(first_pattern_per_line(d, [rx.fold(p) for p, _ in W.VERBOSE], words=VERBOSE_WORDS), lambda h: issue(
+    return F.transform(first_pattern_per_line(d, [rx.fold(p) for p, _ in W.VERBOSE], words=W.VERBOSE_WORDS), lambda h: issue(
         "verbose", line=h["no"], fix=d.may("writing", 3), excerpt=excerpt(h["line"]),
         advice=F.element_at(advice, h["k"])))
 
 
 def contractions(d: Doc, cfg: dict) -> Column:
-    found = F.transform(d.matches(rx.fold(rx.any_word(W.CONTRACTIONS)), words=token_words(W.CONTRACTIONS)), lambda h: issue(
+    found = F.transform(d.matches(rx.fold(rx.any_word(W.CONTRACTIONS)), words=W.CONTRACTION_MARKS), lambda h: issue(
         "contraction", line=h["no"], fix=d.may("writing", 4), excerpt=excerpt(h["line"]), match=h["k"],
         profile=d.profile_name))
     return F.when(d.is_profile("academic", "sop"), found).otherwise(none())
@@ -211,7 +199,8 @@ def long_sentence_piece(d: Doc, cfg: dict) -> Column:
 
 
 def repetition(d: Doc, cfg: dict) -> Column:
-    used = rx.find_all(d.lower, rx.exact(rx.any_word(W.REPETITION_WORDS)))
+    used = F.flatten(d.on_lines(
+        lambda line, i: rx.find_all(F.lower(line), rx.exact(rx.any_word(W.REPETITION_WORDS))), W.REPETITION_MARKS))
 
     def judge(found: Column) -> Column:
         counted = F.transform(F.array_distinct(found), lambda w: F.struct(
@@ -220,9 +209,7 @@ def repetition(d: Doc, cfg: dict) -> Column:
             F.filter(counted, lambda c: c["n"] > cfg["max_repeats"]),
             lambda c: issue("repetition", word=c["word"], count=c["n"]))
 
-    return F.when(
-        d.uses([w for w in W.REPETITION_WORDS if " " not in w] + ["addition"]), rx.let(used, judge)
-    ).otherwise(none())
+    return F.when(d.uses(W.REPETITION_MARKS), rx.let(used, judge)).otherwise(none())
 
 
 def tone_consistency(d: Doc, cfg: dict) -> Column:
@@ -231,10 +218,10 @@ def tone_consistency(d: Doc, cfg: dict) -> Column:
         return F.transform(words, lambda w: issue(
             "informal", line=i + 1, fix=d.may("writing", 3), excerpt=excerpt(F.get(d.lines, i)), word=w))
 
-    passive = rx.count(d.text, rx.fold(W.PASSIVE))
+    passive = rx.count(d.text, rx.led("aiwb", rx.fold(W.PASSIVE)))
     direct = F.size(F.filter(rx.limited(d.lines, cfg["max_tone_lines"]), lambda line: line.rlike(r"^\p{Lu}")))
     return (
-        F.when(d.is_profile("academic"), F.flatten(F.transform(d.tokens, informal_on)))
+        F.when(d.is_profile("academic"), F.flatten(F.transform(d.marks, informal_on)))
         .when(d.is_profile("business"), only_if(passive > 10, issue("business-passive", count=passive)))
         .when(d.is_profile("sop"), only_if(direct < 3, issue("sop-imperative")))
         .otherwise(none())
