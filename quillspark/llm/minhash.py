@@ -6,7 +6,9 @@ posted under the first coordinates - matches + 1 of its own (the prefix): two do
 these, while values that many unlike documents share (of common passages) stay out of prefixes. Postings of one list are
 not paired with each other. They are merged with two pivots of the list, collisions are counted over the whole
 signatures, and links are confirmed on the full sets. Then lists whose members are all in one component by now are
-skipped. The documents of the others are joined once more in the same way, with all their shingles in place of the
+skipped. In a few turns each of the others takes other pivots, by chance and of its own, for the members that are not in
+its largest component yet: of a large group of near copies few stay outside, at a cost that grows with the lists alone.
+The documents of the lists that are open even then are joined once more in the same way, with all their shingles in place of the
 signature's coordinates, so that the thresholds of prefix and position are those of the similarity itself: texts that
 share much but not enough are not paired. Again only lists of several components count, and only pairs across them.
 """
@@ -27,6 +29,7 @@ from .store import written
 from .text import LOWER, NOT_BLANK, bounds, fingerprints, mix, pair, raw, released, slices, unpacked, words
 
 SIDE = 512  # members that one task compares with a pivot
+TURNS, YIELD = 4, 0.01  # of other pivots for lists still open, while such a share of the pairs are links; what is left is joined exactly
 MISS = 1e-6  # the most pairs, as a share, that the match threshold may lose at the similarity asked for
 
 
@@ -127,6 +130,20 @@ def _open(posted: DataFrame, groups: DataFrame) -> DataFrame:
     return of.join(several, lists)
 
 
+def _guesses(posted: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components: the members of an open list outside its largest component, each with two pivots of that
+    component and one from outside it. Pivots are chosen by chance for each list and turn: a document of many lists meets many."""
+    found = written(_open(posted, groups).withColumn("chance", F.xxhash64("id", "place", "value", F.lit(turn))), "open", "snappy")
+    outer = F.col("c") != F.col("largest")
+    drawn = found.groupBy("place", "value").agg(
+        F.min_by("id", F.when(~outer, F.col("chance"))).alias("one"), F.max_by("id", F.when(~outer, F.col("chance"))).alias("two"),
+        F.min_by(F.struct("id", "c"), F.when(outer, F.col("chance"))).alias("own"))
+    met = found.where(outer).join(drawn, ["place", "value"])
+    pivots = F.array("one", "two", F.when(F.col("c") != F.col("own.c"), F.col("own.id")))
+    return met.select("id", F.explode(pivots).alias("pivot")).where("pivot IS NOT NULL").select(
+        F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
 def _shingled(ids: DataFrame, table: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
     """(id, n, value): every shingle of the ids."""
     def all_of(batches):
@@ -234,11 +251,22 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int
     links = _confirmed(pairs, table, kinds, size, percent)
     groups = components(links)
 
+    joined = lambda more: components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    for turn in range(TURNS):
+        fresh = _guesses(posted.select("place", "value", "id"), groups, turn).join(pairs, ["a", "b"], "left_anti")
+        fresh = written(_agreeing(fresh, kinds, matches, percent), "pairs", "snappy")
+        more = written(_confirmed(fresh, table, kinds, size, percent), "links", "snappy")
+        pairs, tried, found = pairs.union(fresh), fresh.count(), more.count()
+        if found:
+            groups = joined(more)
+        if found <= YIELD * tried:
+            break
+
     ids = written(_open(posted.select("place", "value", "id"), groups).select("id").distinct(), "open", "snappy")
     rest = written(_across(ids, groups, table, kinds, size, percent).join(pairs, ["a", "b"], "left_anti"), "pairs", "snappy")
     more = _confirmed(rest, table, kinds, size, percent)
     if not rest.isEmpty():
-        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        groups = joined(more)
 
     named = kinds.join(groups, F.col("id") == F.col("node"), "left").select("key", "key2", "name", F.coalesce("component", "id").alias("group"))
     named = named.join(named.groupBy("group").agg(F.min("name").alias("component_id")), "group").drop("name")
