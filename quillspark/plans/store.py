@@ -337,19 +337,22 @@ class SearchIndex:
         return found.select("kind", "id", "label", "row").dropDuplicates(["kind", "row"]).drop("row")
 
 
-def issue_stats(issues: DataFrame) -> DataFrame:
+def issue_stats(issues: DataFrame, rows: int = 500_000) -> DataFrame:
     """Q-12: counts by severity, category and status per session; the fixed severities and statuses show zeros.
 
-    One scan: the few combinations of a session are counted first, and each then adds to its three values.
+    The few combinations of a session are counted first, and each then adds to its three values. Rows are dealt before they are
+    hashed, about ``rows`` to a task, so that what a task holds does not grow with the table; a hot session is dealt by combinations.
     """
-    combined = issues.groupBy("session_id", "severity", "category", "status").agg(F.count("*").alias("n"))
+    keys = ["session_id", "severity", "category", "status"]
+    parts = max(issues.sparkSession.sparkContext.defaultParallelism, -(-issues.count() // rows))
+    combined = issues.select(*keys).repartition(parts, *keys).groupBy(*keys).agg(F.count("*").alias("n")).repartition(parts, "session_id")
     entry = lambda dimension, value, n: F.struct(F.lit(dimension).alias("dimension"), value.alias("value"), n.alias("n"))
     zero = F.lit(0).cast("bigint")
     entries = [entry(d, F.col(d), F.col("n")) for d in ("severity", "category", "status")]
     entries += [entry("severity", F.lit(v), zero) for v in ("high", "medium", "low")]
     entries += [entry("status", F.lit(v), zero) for v in ("open", "resolved", "ignored")]
-    return combined.select("session_id", F.explode(F.array(*entries)).alias("x")).groupBy(
-        "session_id", "x.dimension", "x.value").agg(F.sum("x.n").alias("n"))
+    return combined.select("session_id", F.explode(F.array(*entries)).alias("x")).select("session_id", "x.*").groupBy(
+        "session_id", "dimension", "value").agg(F.sum("n").alias("n"))
 
 
 def without_deleted(sessions: DataFrame, issues: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
