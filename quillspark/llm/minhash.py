@@ -6,11 +6,13 @@ posted under the first coordinates - matches + 1 of its own (the prefix): two do
 these, while values that many unlike documents share (of common passages) stay out of prefixes. Postings of one list are
 not paired with each other. They are merged with two pivots of the list, collisions are counted over the whole
 signatures, and links are confirmed on the full sets. Then lists whose members are all in one component by now are
-skipped. In a few turns each of the others takes other pivots, by chance and of its own, for the members that are not in
-its largest component yet: of a large group of near copies few stay outside, at a cost that grows with the lists alone.
-The documents of the lists that are open even then are joined once more in the same way, with all their shingles in place of the
+skipped. The documents of the others are posted once more in the same way, with all their shingles in place of the
 signature's coordinates, so that the thresholds of prefix and position are those of the similarity itself: texts that
-share much but not enough are not paired. Again only lists of several components count, and only pairs across them.
+share much but not enough are not paired. Again only lists of several components count. In a few turns each of them takes
+the most central member of its largest component as pivot, whose shingles are the most frequent ones, and each document
+outside that component meets the PIVOTS pivots that most of its lists name: of a large group of near copies few stay
+outside, at a cost of PIVOTS pairs a document and turn. What is left in these lists is paired across components and
+confirmed, so no link depends on the turns.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from .store import written
 from .text import LOWER, NOT_BLANK, bounds, fingerprints, mix, pair, raw, released, slices, unpacked, words
 
 SIDE = 512  # members that one task compares with a pivot
-TURNS, YIELD = 4, 0.01  # of other pivots for lists still open, while such a share of the pairs are links; what is left is joined exactly
+TURNS, YIELD = 4, 0.05  # of central pivots for lists still open, while such a share of the pairs are links; what is left is joined exactly
+PIVOTS, DRAW = 2, 4  # pivots that a document meets in a turn; after the first turn pivots are drawn from one member in so many
 MISS = 1e-6  # the most pairs, as a share, that the match threshold may lose at the similarity asked for
 
 
@@ -130,18 +133,22 @@ def _open(posted: DataFrame, groups: DataFrame) -> DataFrame:
     return of.join(several, lists)
 
 
-def _guesses(posted: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of different components: the members of an open list outside its largest component, each with two pivots of that
-    component and one from outside it. Pivots are chosen by chance for each list and turn: a document of many lists meets many."""
-    found = written(_open(posted, groups).withColumn("chance", F.xxhash64("id", "place", "value", F.lit(turn))), "open", "snappy")
+def _guesses(posted: DataFrame, groups: DataFrame, pairs: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components, not among `pairs`: each member of an open list outside its largest component with
+    PIVOTS of the pivots of its lists, those that most of them name. A list's pivots are the member of the greatest weight in
+    that component and the one outside it, after the first turn rather among members drawn by chance."""
+    found = written(_open(posted, groups), "open", "snappy")
     outer = F.col("c") != F.col("largest")
-    drawn = found.groupBy("place", "value").agg(
-        F.min_by("id", F.when(~outer, F.col("chance"))).alias("one"), F.max_by("id", F.when(~outer, F.col("chance"))).alias("two"),
-        F.min_by(F.struct("id", "c"), F.when(outer, F.col("chance"))).alias("own"))
-    met = found.where(outer).join(drawn, ["place", "value"])
-    pivots = F.array("one", "two", F.when(F.col("c") != F.col("own.c"), F.col("own.id")))
-    return met.select("id", F.explode(pivots).alias("pivot")).where("pivot IS NOT NULL").select(
-        F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(DRAW if turn else 1)) == 0
+    first = F.struct(drawn.alias("drawn"), "weight", "id")
+    named = found.groupBy("value").agg(
+        F.max_by(F.struct("id", "n", "c"), F.when(~outer, first)).alias("one"), F.max_by(F.struct("id", "n", "c"), F.when(outer, first)).alias("own"))
+    pivots = F.array("one", F.when(F.col("c") != F.col("own.c"), F.col("own")))
+    met = found.where(outer).join(named, "value").select("id", "n", F.explode(pivots).alias("pivot"))
+    met = met.where(F.least("n", "pivot.n") * 100 >= F.greatest("n", "pivot.n") * percent).groupBy("id", F.col("pivot.id").alias("pivot")).agg(F.count(F.lit(1)).alias("lists"))
+    fresh = met.select("id", "lists", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).join(pairs, ["a", "b"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("lists"), "a", "b"))
+    return fresh.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("a", "b").distinct()
 
 
 def _shingled(ids: DataFrame, table: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
@@ -158,24 +165,38 @@ def _shingled(ids: DataFrame, table: DataFrame, kinds: DataFrame, size: int) ->
     return _texts(ids, table, kinds).mapInArrow(released(all_of), "id long, n long, value long")
 
 
-def _across(ids: DataFrame, groups: DataFrame, table: DataFrame, kinds: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids in different components that may be similar enough: no such pair is missing.
+def _overlap(sizes, percent: int):
+    """What two sets must share whose sizes have this sum."""
+    return F.ceil(sizes * percent / (100 + percent) - 1e-9)
+
+
+def _postings(ids: DataFrame, table: DataFrame, kinds: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, n, value, rank, weight): the shingles of each id among its first n - ceil(percent * n / 100) + 1, the rarest first.
+
+    Shingles that no other id has come first and are not posted. weight is how often the id's shingles occur, on average:
+    of near copies of one text, the one with the fewest changes has the greatest.
+    """
+    shingle = written(_shingled(ids, table, kinds, size), "shingles", "snappy")
+    often = shingle.groupBy("value").agg(F.count(F.lit(1)).alias("long")).where("long > 1")
+    own = Window.partitionBy("id")
+    rank = F.row_number().over(own.orderBy("long", "value")) + F.col("n") - F.count(F.lit(1)).over(own)
+    return written(
+        shingle.join(often, "value").withColumns({"rank": rank, "weight": F.sum("long").over(own) / F.col("n")})
+        .where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).select("id", "n", "value", "rank", "weight"), "postings", "snappy")
+
+
+def _across(posted: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of posted ids in different components that may be similar enough: no such pair is missing.
 
     Of two similar sets the smaller has a common shingle among its first n - overlap + 1, the rarest first, where overlap
     is what sets of that size must share; the larger has it among its first n - ceil(percent * n / 100) + 1. What
     comes behind the two places bounds what the sets can share.
     """
-    shingle = written(_shingled(ids, table, kinds, size), "shingles", "snappy")
-    often = shingle.groupBy("value").agg(F.count(F.lit(1)).alias("long")).where("long > 1")
-    needed = lambda m, n: F.ceil((m + n) * percent / (100 + percent) - 1e-9)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("long", "value")) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
-    posted = (shingle.join(often, "value").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1)
-              .select("id", "n", "value", "rank"))
-    found = written(_open(posted, groups), "open", "snappy")
-    left = found.where(F.col("rank") <= F.col("n") - needed(F.col("n"), F.col("n")) + 1)
+    found = written(_open(posted.drop("weight"), groups), "open", "snappy")
+    left = found.where(F.col("rank") <= F.col("n") - _overlap(F.col("n") * 2, percent) + 1)
     right = found.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("rank").alias("rank2"), F.col("c").alias("c2"))
     near = ((F.col("c") != F.col("c2")) & (F.col("n") <= F.col("n2")) & (F.col("n") * 100 >= F.col("n2") * percent)
-            & (F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) + 1 >= needed(F.col("n"), F.col("n2"))))
+            & (F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) + 1 >= _overlap(F.col("n") + F.col("n2"), percent)))
     one = left.where("c <> largest").join(right, "value").where(near)
     two = left.where("c = largest").join(right, "value").where(near & (F.col("c2") != F.col("largest")))
     return one.union(two).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
@@ -248,25 +269,24 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int
 
     pivots = posted.select(F.col("id").alias("b"), F.explode(F.array("first", "last")).alias("a")).where("a <> b").distinct()
     pairs = written(_agreeing(pivots.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), kinds, matches, percent), "pairs", "snappy")
-    links = _confirmed(pairs, table, kinds, size, percent)
-    groups = components(links)
+    links = lambda some: written(_confirmed(some, table, kinds, size, percent), "links", "snappy")  # noqa: E731  they are read twice
+    groups = components(links(pairs))
 
     joined = lambda more: components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    ids = written(_open(posted.select("place", "value", "id"), groups).select("id").distinct(), "open", "snappy")
+    places = _postings(ids, table, kinds, size, percent)
     for turn in range(TURNS):
-        fresh = _guesses(posted.select("place", "value", "id"), groups, turn).join(pairs, ["a", "b"], "left_anti")
-        fresh = written(_agreeing(fresh, kinds, matches, percent), "pairs", "snappy")
-        more = written(_confirmed(fresh, table, kinds, size, percent), "links", "snappy")
+        fresh = written(_guesses(places, groups, pairs, percent, turn), "pairs", "snappy")
+        more = links(fresh)
         pairs, tried, found = pairs.union(fresh), fresh.count(), more.count()
         if found:
             groups = joined(more)
         if found <= YIELD * tried:
             break
 
-    ids = written(_open(posted.select("place", "value", "id"), groups).select("id").distinct(), "open", "snappy")
-    rest = written(_across(ids, groups, table, kinds, size, percent).join(pairs, ["a", "b"], "left_anti"), "pairs", "snappy")
-    more = _confirmed(rest, table, kinds, size, percent)
+    rest = written(_across(places, groups, percent).join(pairs, ["a", "b"], "left_anti"), "pairs", "snappy")
     if not rest.isEmpty():
-        groups = joined(more)
+        groups = joined(links(rest))
 
     named = kinds.join(groups, F.col("id") == F.col("node"), "left").select("key", "key2", "name", F.coalesce("component", "id").alias("group"))
     named = named.join(named.groupBy("group").agg(F.min("name").alias("component_id")), "group").drop("name")

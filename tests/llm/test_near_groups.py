@@ -39,3 +39,18 @@ def test_few_pairs_of_a_large_group_reach_the_exact_join(spark, monkeypatch):
     rows = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=3, percent=85).collect()
     assert [r.component_id for r in sorted(rows, key=lambda r: r.doc_id)] == _linked(texts)
     assert left[0] < 4 * len(texts)
+
+
+def test_texts_with_a_common_passage_are_not_tried_by_every_list(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(100))
+    texts, tried, guesses = [f"{passage} " + " ".join(f"x{i}y{j}" for j in range(40)) for i in range(60)], [], minhash._guesses
+
+    def counted(*args):
+        pairs = guesses(*args)
+        tried.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_guesses", counted)
+    rows = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=3, percent=85).collect()
+    assert sorted(r.component_id for r in rows) == list(range(60))
+    assert tried and sum(tried) < len(texts)
