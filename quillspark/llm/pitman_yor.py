@@ -11,13 +11,15 @@ Seating starts anew in each sweep: what a sweep takes from the one before are th
 Probabilities are averaged over the kept sweeps; in each they sum to one over the words and the unknown.
 
 Texts are dealt in chunks. A chunk asks a bucket once for each distinct pair of word and context, and the answers come back
-to it in that order: what moves is distinct pairs, never tokens.
+to it in that order: what moves is distinct pairs, never tokens. Chunks are scored in a few rounds, so that the requests and
+answers of one round are on disk at a time; each round opens the model again.
 """
 
 from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ COARSE, FINE = 32, 8  # classes; the first coarse class is that of a text's star
 CLASSES = COARSE * FINE
 END = np.uint64(0x454E44454E44454E)
 CHUNK_BYTES = 8 << 20  # of text, in a chunk and for each bucket
+ROUNDS = 3  # in which texts are scored: requests and answers of one round stand on disk at a time
 TEXT = 1 << 62  # comes after all buckets
 BLOCK = 16  # customers of a large dish sit down in blocks of a sixteenth of those seated
 
@@ -520,15 +523,10 @@ def scores(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(4, -(-size // CHUNK_BYTES))
-    dealt = _packed(docs.select("doc_id", "held_out", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "text"))
-    # requests go straight to their buckets: written as a table, they would stand on disk twice
-    asked = _asked(dealt.repartition(chunks, "chunk").sortWithinPartitions("chunk"), fitted.buckets)
-    answers = written(_answered(asked, fitted), "answers", "uncompressed")
-    both = dealt.select("chunk", F.lit(TEXT).alias("role"), "doc_id", "held_out", "text").unionByName(answers.select(
-        "chunk", F.col("bucket").alias("role"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"),
-        F.col("blob").alias("text")))
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
+    doc_type = docs.schema["doc_id"].dataType
     n, v, samples, buckets = fitted.tokens, fitted.words, fitted.samples, fitted.buckets
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"doc_id {doc_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -557,7 +555,18 @@ def scores(docs: DataFrame, fitted: Fitted) -> DataFrame:
                      pa.array(np.bincount(of, base[name], many)), pa.array(np.bincount(of, log[pair], many))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return both.repartition(chunks, "chunk").sortWithinPartitions("chunk", "role").mapInArrow(score, schema)
+    done = []
+    for i in range(ROUNDS):
+        dealt = _packed(docs.select("doc_id", "held_out", chunk, "text").where(F.col("chunk") % ROUNDS == i))
+        # requests go straight to their buckets: written as a table, they would stand on disk twice
+        asked = _asked(dealt.repartition(chunks, "chunk").sortWithinPartitions("chunk"), fitted.buckets)
+        answers = written(_answered(asked, fitted), "answers", "uncompressed")
+        both = dealt.select("chunk", F.lit(TEXT).alias("role"), "doc_id", "held_out", "text").unionByName(answers.select(
+            "chunk", F.col("bucket").alias("role"), F.lit(None).cast(doc_type).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"),
+            F.col("blob").alias("text")))
+        done.append(written(both.repartition(chunks, "chunk").sortWithinPartitions("chunk", "role").mapInArrow(score, schema), "scores"))
+        discard(answers)
+    return reduce(DataFrame.unionByName, done)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
